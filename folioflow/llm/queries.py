@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioflow.llm import chat, language_id, media, mixing, ngram_join, sharding, token_files
+from folioflow.llm import chat, decontamination, language_id, line_dedup, media, mixing, ngram_join, sharding, token_files, toxicity
 from folioflow.sources.workspace import table
 
 
@@ -16,11 +17,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        F.size("deleted_lines").cast("long").alias("n_deleted"),
+        F.array_join("deleted_lines", " ").alias("deleted_lines"),
+        F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("kept_crc32"),
+    )
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_documents(chunks)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -46,7 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_files": op3_token_files,
+    "op4_toxicity": op4_toxicity,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_media_columns": op8_media_columns,
