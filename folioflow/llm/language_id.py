@@ -103,22 +103,28 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.nd
     return [r["lang"] for r in whole], np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32).copy(), np.log(docs / docs.sum()) if len(docs) else docs
 
 
+def classify(texts: list[str | None], model) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a batch."""
+    langs, logs, prior = model
+    names, scores = [], []
+    for text in texts:
+        found = gram_buckets(text) if text and langs else None
+        if found is None:
+            names.append(UNKNOWN)
+            scores.append(0.0)
+            continue
+        total = logs[found].sum(0, dtype=np.float64)
+        weak = total * min(1.0, EVIDENCE / len(found)) + prior
+        best = int(np.argmax(total + prior))
+        names.append(langs[best])
+        scores.append(float(1 / np.exp(weak - weak[best]).sum()))
+    return names, scores
+
+
 def _predictions(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logs, prior = model.value
         for batch in batches:
-            names, scores = [], []
-            for text in batch["text"].to_pylist():
-                found = gram_buckets(text) if text and langs else None
-                if found is None:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                total = logs[found].sum(0, dtype=np.float64)
-                weak = total * min(1.0, EVIDENCE / len(found)) + prior
-                best = int(np.argmax(total + prior))
-                names.append(langs[best])
-                scores.append(float(1 / np.exp(weak - weak[best]).sum()))
+            names, scores = classify(batch["text"].to_pylist(), model.value)
             at = batch.schema.get_field_index("text")
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
@@ -126,6 +132,18 @@ def _predictions(model):
     return run
 
 
+def accepted(docs: DataFrame, model, least: float) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = classify(batch["text"].to_pylist(), shared.value)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model, *carried: str) -> DataFrame:
     """The carried columns with lang_pred and score of each row's whole text."""
     spark = docs.sparkSession

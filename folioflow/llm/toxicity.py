@@ -93,6 +93,20 @@ def _matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
 
 
+def telling(y: np.ndarray, row: np.ndarray, col: np.ndarray, chi: float = 25.0, least: int = 100) -> np.ndarray:
+    """Features whose presence depends on the class: chi-squared of ``chi`` or more, or among the ``least`` best.
+
+    Features that only tell by chance would add up over a long text.
+    """
+    n, t = len(y), float(y.sum())
+    seen = np.bincount(col, minlength=1 << BITS).astype(float)
+    hits = np.bincount(col, y[row], 1 << BITS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = np.nan_to_num(n * (hits * n - seen * t) ** 2 / (seen * (n - seen) * t * (n - t)), posinf=0.0)
+    value[seen < 3] = 0
+    return (value > 0) & (value >= min(chi, np.partition(value, -least)[-least]))
+
+
 def fit(rows: list, share: float, pull: float = 1.0, ridge: float = 2e-4, steps: int = 60, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and intercept from (toxic, own, other) rows by full-batch Adam; share is the true part of toxic labels."""
     y = np.array([r["toxic"] for r in rows], np.float32)
@@ -100,7 +114,7 @@ def fit(rows: list, share: float, pull: float = 1.0, ridge: float = 2e-4, steps:
     pairs = [r for r in rows if len(r["other"])]
     a_row, a_col = _matrix([r["own"] for r in pairs])
     b_row, b_col = _matrix([r["other"] for r in pairs])
-    common = np.bincount(col, minlength=1 << BITS) >= 3  # a feature of one or two texts says nothing about others
+    common = telling(y, row, col)
     w, b, m, v, mb, vb = np.zeros(1 << BITS), 0.0, np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -30, 30)))
