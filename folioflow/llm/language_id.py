@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.sources.workspace import small_batches
+
 BITS = 16
 ORDERS = (1, 2, 3)
 EVIDENCE = 200
@@ -91,6 +93,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (buckets x languages) and log priors, from all rows with text and lang."""
     kind = "lang string, docs long, counts binary"
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counted = rows.mapInArrow(_counts, kind)
     part = counted.repartition(32, "lang", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(_summed, kind)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.sources.workspace import stored
+from folioflow.sources.workspace import small_batches, stored
 
 MIN_WORDS = 50
 KEY = ["doc_id", "mark"]
@@ -66,6 +66,7 @@ def _ranked(groups: DataFrame, *by: str) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, mark, start, span): runs of lines that an equal run precedes; mark is a hash of the text."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").withColumn("mark", F.xxhash64("text"))
     lines = stored(texts.mapInArrow(_lines(min_words), "doc_id long, mark long, high array<long>, low array<long>, starts array<int>, spans array<int>"), "lines").where("doc_id is not null")
     ids = lines.select(*KEY, F.posexplode(F.arrays_zip("high", "low"))).select(*KEY, "pos", "col.high", "col.low").distinct()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.sources.workspace import shared_dir
+from folioflow.sources.workspace import shared_dir, small_batches
 
 UNIT = 64
 RATE = 8000
@@ -213,6 +213,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     import uuid
 
     spark = docs.sparkSession
+    small_batches(spark)
     waves = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_stored_waves, "doc_id long, n_bytes long, declared string, media binary")
     path = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
     waves.write.option("compression", "zstd").parquet(path)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.sources.workspace import stored
+from folioflow.sources.workspace import small_batches, stored
 
 MAGIC = b"TKPL"
 BLOCK = 16_384
@@ -108,6 +108,7 @@ def _chunks(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Writes the token files to the shared folder; returns the table of their chunks as read back."""
+    small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(_chunks(tokenizer, end_id), CHUNKS), "tokens")
 

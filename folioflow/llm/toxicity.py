@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.language_id import held_out
+from folioflow.sources.workspace import small_batches
 
 BITS = 18
 MOST = 6000
@@ -164,6 +165,7 @@ def _scores(model):
 
 def score(docs: DataFrame, labels: DataFrame, most: int = MOST, pull: float = 1.0) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of held-out documents aren't read."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)), most, pull)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, 0).alias("held_out"), F.col("text").cast("string").alias("text"))
