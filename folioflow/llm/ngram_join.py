@@ -5,7 +5,8 @@
 2. The global order puts shingles of thin buckets first (ties by hash). Two sets that reach the threshold share a
    shingle among the first ``n - ceil(t n) + 1`` of either, so only those are shuffled, and only those that two classes
    share go on.
-3. Shingles with few holders give candidate pairs, found inside the holder list and cut by sizes. Shingles with many
+3. Shingles with few holders give candidate pairs, found inside the holder list and cut by sizes and by a parity bitmap
+   of each set, which bounds the overlap from above before any set is moved. Shingles with many
    holders join their holders to families instead; a family is dealt into size-bounded blocks that meet pairwise, so no
    key meets in one task and no pairs are written out.
 4. Each task stores the sets of a group in a trie along the global order and walks it with each probe: sets with a
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.words import WordHashes, shingle_sets
 from folioflow.operators.graph import connected_components
-from folioflow.sources.workspace import stored
+from folioflow.sources.workspace import small_batches, stored
 
 ORDER_BITS = 20
 SLICES = 16
@@ -96,6 +97,33 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each of 2**k hash slots (about as many as shingles): whether an odd number of shingles falls there."""
+    slots = 1 << max(7, len(shingles).bit_length() - 1)
+    odd = np.bincount((shingles >> np.uint64(20) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def can_reach(n1: int, p1: bytes, n2: int, p2: bytes, percent: int) -> bool:
+    """Whether two sets may reach the threshold: each odd slot of both parities together is a shingle that one lacks."""
+    a, b = np.frombuffer(p1, np.uint8), np.frombuffer(p2, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    most = (n1 + n2 - int(np.bitwise_count(a ^ b).sum())) // 2
+    return 100 * most >= percent * (n1 + n2 - most)
+
+
+def _reaching(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch[c].to_pylist() for c in ("n1", "p1", "n2", "p2")), strict=True)
+            yield batch.filter(pa.array([can_reach(*r, percent) for r in rows], pa.bool_())).select(["probe", "doc_id"])
+
+    return run
+
+
 def _as_lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
     flat = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
@@ -106,7 +134,7 @@ def _prefixes(size: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = WordHashes(), levels.value
         for batch in batches:
-            ids, n, parts = [], [], []
+            ids, n, parts, parities = [], [], [], []
             for doc, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"].to_pylist(), size, memo), strict=True):
                 if len(s) and doc is not None:
                     p = prefix_length(len(s), percent)
@@ -114,7 +142,8 @@ def _prefixes(size: int, percent: int, levels):
                     ids.append(doc)
                     n.append(len(s))
                     parts.append(np.partition(key, p - 1)[:p] if p < len(key) else key)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _as_lists(parts)], names=["doc_id", "n", "prefix"])
+                    parities.append(parity(s))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _as_lists(parts), pa.array(parities, pa.binary())], names=["doc_id", "n", "prefix", "parity"])
 
     return run
 
@@ -299,16 +328,18 @@ def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int =
     one task stores at once. Neither changes the result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = stored(texts.mapInArrow(_digests(size), "doc_id long, n long, d1 long, d2 long, slice int, counts binary"), "digests")
     levels = spark.sparkContext.broadcast(order_levels(first.where("slice is not null")))
     sized = first.where("slice is null").select("doc_id", "n", "d1", "d2")
-    classes = sized.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
+    classes = stored(sized.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     rows = sized.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", "class_id")
 
-    prefixes = texts.mapInArrow(_prefixes(size, percent, levels), "doc_id long, n long, prefix array<long>")
+    prefixes = texts.mapInArrow(_prefixes(size, percent, levels), "doc_id long, n long, prefix array<long>, parity binary")
     own = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    held = stored(prefixes.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes").select("doc_id", "n", F.explode("prefix").alias("shingle"))
+    prefixes = stored(prefixes.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes")
+    held = prefixes.select("doc_id", "n", F.explode("prefix").alias("shingle"))
     shared = held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
     held = stored(held.join(shared, "shingle"), "holders")
 
@@ -321,7 +352,9 @@ def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int =
         .mapInArrow(_candidate_pairs(percent), "probe long, doc_id long")
         .distinct()
     )
-    pairs = stored(pairs, "pairs")
+    one = prefixes.select(F.col("doc_id").alias("probe"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
+    two = prefixes.select("doc_id", F.col("n").alias("n2"), F.col("parity").alias("p2"))
+    pairs = stored(pairs.join(one, "probe").join(two, "doc_id").select("probe", "doc_id", "n1", "p1", "n2", "p2").mapInArrow(_reaching(percent), "probe long, doc_id long"), "pairs")
     dense = held.where(F.col("holders") > few)
     hubs = dense.groupBy("shingle").agg(F.min("doc_id").alias("hub"))
     family = connected_components(dense.join(hubs, "shingle").select("doc_id", "hub").distinct(), "doc_id", "hub")
