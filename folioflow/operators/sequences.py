@@ -16,7 +16,8 @@ def islands(df: DataFrame, by: str, at: str, flag: str, least: int = 1) -> DataF
 def lag_run_loop(tokens: DataFrame, by: str, at: str, token: str, periods: int, least: int) -> DataFrame:
     """(by, stop, period): the first place where tokens repeat those p back so long that run + p >= max(least, 4 p)."""
     w = Window.partitionBy(by).orderBy(at)
-    long = tokens.select(by, at, F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(token).eqNullSafe(F.lag(token, p).over(w)).alias("same")) for p in range(1, periods + 1)))).alias("x")).select(by, at, "x.*")
+    back = F.array(*(F.struct(F.lit(p).alias("p"), F.col(token).eqNullSafe(F.lag(token, p).over(w)).alias("same")) for p in range(1, periods + 1)))
+    long = tokens.select(by, at, back.alias("back")).select(by, at, F.explode("back").alias("x")).select(by, at, "x.*")
     per = Window.partitionBy(by, "p").orderBy(at)
     broken = F.coalesce(F.max(F.when(~F.col("same"), F.col(at))).over(per), F.lit(-1))
     found = long.withColumn("run", F.col(at) - broken).where(F.col("same") & (F.col("run") + F.col("p") >= F.greatest(F.lit(least), 4 * F.col("p"))))
@@ -26,7 +27,8 @@ def lag_run_loop(tokens: DataFrame, by: str, at: str, token: str, periods: int,
 def sessions(events: DataFrame, by: str, ts: str, gap_seconds: int) -> DataFrame:
     """(by, session, first, last, n): events apart by more than the gap begin a session."""
     w = Window.partitionBy(by).orderBy(ts, "event_id")
-    new = (F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w)) > gap_seconds * 1_000_000).cast("int")
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    new = (micros - F.lag(micros).over(w) > gap_seconds * 1_000_000).cast("int")
     return events.withColumn("session", F.sum(F.coalesce(new, F.lit(0))).over(w)).groupBy(by, "session").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
 
 
