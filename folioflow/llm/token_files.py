@@ -6,14 +6,16 @@ cut into blocks of 16,384; each block is transposed into its four byte planes an
 zstandard (a plane of zeros takes no bytes). The chunk index (file, chunk, first id in the file, doc_ids, lengths) lies
 in columns of its own, so it's read without the payload. The files are written and read by Spark, in any store.
 
-The pre-tokenizer splits at white space, so a text's ids are those of its words in a row; each worker keeps the ids of
-up to 200,000 words it has met. Only one row per file meets in one task (file totals). A null text is empty: it holds
+The pre-tokenizer splits at white space, so a text's ids are those of its words in a row; each worker process keeps the
+ids of about 600,000 words it has met and encodes only new ones, a batch at a time. Only one row per file meets in one task (file totals). A null text is empty: it holds
 the end id alone. Equal doc_ids are ordered by text. Null doc_ids come first. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -62,26 +64,80 @@ def unpack(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _byte_marks() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the rest from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_MARKS = _byte_marks()
+
+
 class WordIds(dict):
-    """Word to the little-endian bytes of its ids."""
+    """Word to the little-endian bytes of its ids; kept by the worker process over its tasks, and bounded.
+
+    ASCII letters may be lower-cased first, as the tokenizer does it anyway, except beside the mark of special tokens.
+    """
+
+    _kept: dict[str, WordIds] = {}
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 600_000):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
+    @classmethod
+    def of(cls, path: str) -> WordIds:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    @staticmethod
+    def words(text: str) -> list[bytes]:
+        data = text.encode()
+        return (data if b"<|" in data else data.lower()).split()
+
+    @staticmethod
+    def stem(word: bytes) -> bytes | None:
+        """The word without a last . or , if the tokenizer parts them: after a letter or a digit."""
+        if len(word) > 1 and word[-1] in b".,":
+            last = word.decode()[-2]
+            if unicodedata.category(last)[0] in "LN":
+                return word[:-1]
+        return None
+
+    def marks(self, word: str) -> str | None:
+        """What the tokenizer's normalizer and splitter make of a word, where that is plain: lower-case Latin letters."""
+        if word.isalpha() and word.islower() and max(word) < "\u0250" and word.lower() == word and unicodedata.is_normalized("NFC", word):
+            return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_MARKS)
+        return None
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Encodes the words of a batch that aren't known."""
+        if len(self) > self.most:
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        value = self[word] = np.array(ids, "<u4").tobytes()
-        return value
+        new = {w for words in texts for w in words if w not in self} if texts else set()
+        stems = {w: s for w in new if (s := self.stem(w))}
+        plain, tokenize = [], self.tokenizer.model.tokenize
+        for w in new | {*stems.values(), b".", b","}:
+            if w not in stems and w not in self:
+                if marks := self.marks(w.decode()):
+                    self[w] = np.array([t.id for t in tokenize(marks)], "<u4").tobytes()
+                else:
+                    plain.append(w)
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for word, found in zip(plain, encode([w.decode() for w in plain], add_special_tokens=False), strict=True):
+            self[word] = np.array(found.ids, "<u4").tobytes()
+        for word, s in stems.items():
+            self[word] = self[s] + self[word[-1:]]
 
 
 def _chunks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, file = WordIds(path), TaskContext.get().partitionId()
+        memo, file = WordIds.of(path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         chunk = first = 0
         docs, parts, total = [], [], 0
@@ -92,8 +148,10 @@ def _chunks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(ids)], pa.binary())], names=["file", "chunk", "first_id", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = b"".join(map(memo.__getitem__, text.encode().split())) + end if text else end
+            words = [memo.words(t) if t else [] for t in batch["text"].to_pylist()]
+            memo.learn(words)
+            for doc, own in zip(batch["doc_id"].to_pylist(), words, strict=True):
+                ids = b"".join(map(memo.__getitem__, own)) + end
                 docs.append(doc)
                 parts.append(ids)
                 total += len(ids) // 4
