@@ -132,7 +132,7 @@ def taken_words(docs: DataFrame, share: int = 150, most: int = 2, block: int = B
         F.least(end - F.col("block") * block, F.lit(block)).alias("hi"),
     )
     slots = block_slots(aimed, block, shards, seed).select("s", "block", "words").hint("merge")  # grows with the words: never broadcast
-    got = F.greatest(F.least("hi", "words") - F.col("lo"), F.lit(0))
+    got = F.greatest(F.least(F.col("hi"), F.coalesce("words", F.lit(0))) - F.col("lo"), F.lit(0))
     return (
         pieces.join(slots, ["s", "block"], "left")
         .groupBy("s", "bucket", "nth", "doc_id", "size", "source_size", "target")
