@@ -28,9 +28,7 @@ def test_line_dedup_by_brute_force(spark, nothing):
     rng = random.Random(3)
     pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([0, 5, 20, 60]))) for _ in range(14)]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(40)] + [(90, None), (91, ""), (7, "x\n" * 300)]
-    want, lines = {}, {i: t.split("\n") for i, t in rows if t is not None and i != 7}
-    order = sorted({(d, x, n) for n, (d, x) in enumerate(rows) if x is not None}, key=lambda r: (r[0], r[1]))
-    del lines, order
+    want = {}
     table = spark.createDataFrame(rows[:7] + rows[8:], "doc_id long, text string")
     texts = sorted((d, t) for d, t in rows[:7] + rows[8:] if t is not None)
     seen: set = set()
@@ -159,8 +157,8 @@ def test_leaks_by_brute_force(spark, docs, nothing, sf):
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(table, items).collect()}
     assert want <= got and len(got) <= len(want) * 1.1 + 1
     item = " ".join(f"q{k}" for k in range(30))
-    changed = " ".join("z" if k % 8 == 1 else f"q{k}" for k in range(30))
-    texts = [(1, "some words before " * 30 + changed + " and after" * 20), (2, "some words before " * 40), (3, None), (4, "")]
+    changed = " ".join(f"z{k}" if k % 8 == 1 else f"q{k}" for k in range(30))
+    texts = [(1, " ".join(f"b{k}" for k in range(90)) + " " + changed + " " + " ".join(f"a{k}" for k in range(40))), (2, "some words before " * 40), (3, None), (4, "")]
     some = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontamination.leaks(some, bench).collect()] == [(1, 7)]
