@@ -48,9 +48,14 @@ IDENTITY = (
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
+def plain_bytes(text: str | None) -> bytes:
+    """Lower-case UTF-8 with a space for each ASCII character that is no letter or digit."""
+    return text.lower().encode().translate(_PUNCTUATION) if text else b""
+
+
 def plain_words(text: str | None) -> list[bytes]:
     """Lower-case words without ASCII punctuation, as UTF-8."""
-    return text.lower().encode().translate(_PUNCTUATION).split() if text else []
+    return plain_bytes(text).split()
 
 
 def swaps(identity=IDENTITY) -> dict[bytes, bytes]:

@@ -165,3 +165,13 @@ def test_leaks_by_brute_force(spark, docs, nothing, sf):
     assert decontamination.leaks(nothing, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
     a, b = "x a y b z c".split(), "a b c".split()
     assert decontamination.lcs_length([w.encode() for w in a], [w.encode() for w in b]) == 3
+
+
+def test_terms_follow_words():
+    texts = [None, "", " ,.", "a", "A a, a!", "Straße l'été 東京 x-y\tz", "long " * 40_000 + "b"]
+    seen: dict = {}
+    for text in texts:
+        words, ids = toxicity.plain_words(text), decontamination.term_ids(text)
+        assert len(words) == len(ids)
+        assert all(seen.setdefault(w, k) == k for w, k in zip(words, ids, strict=True))
+    assert len(set(seen.values())) == len(seen)
