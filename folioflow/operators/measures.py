@@ -64,3 +64,37 @@ def divergence(p: DataFrame, q: DataFrame, group: str, key: str, weight: str, k:
     rest_p, rest_q = 1 - F.sum("p"), F.greatest(1 - F.sum("q"), F.lit(1e-300))
     tail = F.when(rest_p > 1e-12, rest_p * F.ln(rest_p / rest_q)).otherwise(0.0)
     return both.groupBy(group).agg(F.round(F.greatest(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))) + tail, F.lit(0.0)), 6).alias("kl"))
+
+
+def rank_biserial(df: DataFrame, group: str, flag: Column, value: str) -> DataFrame:
+    """Rank-biserial correlation of a flag with a value per group, from the U statistic with mean ranks for ties.
+
+    Equal values are counted before the window, so it sees one row per distinct value. Groups that lack either side get null.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count_if(flag).alias("ones"), F.count_if(~flag).alias("zeros"))
+    below = F.sum("zeros").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    wins = counts.withColumn("wins", F.col("ones") * (F.coalesce(below, F.lit(0)) + F.col("zeros") / 2))
+    pairs = F.sum("ones").cast("double") * F.sum("zeros")
+    return wins.groupBy(group).agg(F.round(2 * F.sum("wins") / F.nullif(pairs, F.lit(0.0)) - 1, 6).alias("rank_biserial"))
+
+
+def log_sum_exp(df: DataFrame, group: str, chunk: Column, value: str) -> DataFrame:
+    """The softmax denominator's logarithm per group, merged from chunks that each hold (maximum, sum of exp(x - maximum))."""
+    top = df.select(group, chunk.alias("chunk"), value)
+    parts = top.join(top.groupBy(group, "chunk").agg(F.max(value).alias("m")), [group, "chunk"]).groupBy(group, "chunk", "m").agg(F.sum(F.exp(F.col(value) - F.col("m"))).alias("s"))
+    merged = parts.groupBy(group).agg(F.max("m").alias("top"), F.collect_list(F.struct("m", "s")).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["s"] * F.exp(p["m"] - F.col("top")))
+    return merged.select(group, F.round(F.col("top") + F.ln(total), 6).alias("log_sum_exp"))
+
+
+def best_threshold(df: DataFrame, group: str, score: Column, truth: Column, grid: list[float], least_precision: float) -> DataFrame:
+    """(group, threshold, recall): of a fixed grid, the threshold of most recall whose precision suffices; ties go to the least.
+
+    One pass counts every threshold's hits on the map side; rows are not multiplied by the grid.
+    """
+    rows = df.select(group, score.alias("score"), truth.alias("truth"))
+    cells = [F.struct(F.lit(t).alias("threshold"), F.count_if((F.col("score") >= t) & F.col("truth")).alias("tp"), F.count_if(F.col("score") >= t).alias("n")) for t in grid]
+    counted = rows.groupBy(group).agg(F.count_if("truth").alias("positives"), F.array(*cells).alias("cells"))
+    each = counted.select(group, "positives", F.explode("cells").alias("c")).select(group, "positives", "c.*").where((F.col("n") > 0) & (F.col("tp") >= least_precision * F.col("n")) & (F.col("positives") > 0))
+    best = each.groupBy(group).agg(F.min(F.struct((-F.col("tp")).alias("m"), "threshold", "positives")).alias("b"))
+    return best.select(group, F.col("b.threshold").alias("threshold"), F.round(-F.col("b.m") / F.col("b.positives"), 6).alias("recall"))

@@ -432,3 +432,45 @@ def as_of_value(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     seen = events.where("event_type <> 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
     return joins.as_of(events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), seen, "user_id", "ts", "value").withColumn("value", F.round("value", 6))
+
+
+@query("""
+WITH c AS (SELECT p_brand, p_retailprice AS v, p_size > 25 AS f FROM part),
+p AS (SELECT a.p_brand, avg(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0.0 END) AS u FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.f AND NOT b.f GROUP BY a.p_brand)
+SELECT b.p_brand, round(2 * u - 1, 6) AS rank_biserial FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN p USING (p_brand)""")
+def rank_biserial(spark: SparkSession, sf: str) -> DataFrame:
+    return measures.rank_biserial(table(spark, sf, "part"), "p_brand", F.col("p_size") > 25, "p_retailprice")
+
+
+@query("""
+WITH x AS (SELECT label, embedding[1]::DOUBLE AS v FROM embeddings), m AS (SELECT label, max(v) AS m FROM x GROUP BY label)
+SELECT label, round(any_value(m) + ln(sum(exp(v - m))), 6) AS log_sum_exp FROM x JOIN m USING (label) GROUP BY label""")
+def partial_softmax_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("v"))
+    return measures.log_sum_exp(rows, "label", F.col("vec_id") % 4, "v")
+
+
+@query("""
+WITH r AS (SELECT lang, n_chars::DOUBLE AS s, quality = 1 AS y FROM labels JOIN documents USING (doc_id)), t AS (SELECT unnest([0.0, 100.0, 300.0, 1000.0, 3000.0]::DOUBLE[]) AS threshold),
+c AS (SELECT lang, threshold, count(*) FILTER (s >= threshold AND y) AS tp, count(*) FILTER (s >= threshold) AS n, count(*) FILTER (y) AS pos FROM r, t GROUP BY ALL)
+SELECT lang, threshold, round(tp / pos, 6) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tp DESC, threshold) AS rn FROM c WHERE n > 0 AND pos > 0 AND tp >= 0.5::DOUBLE * n) WHERE rn = 1""")
+def threshold_grid_argmax(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return measures.best_threshold(rows, "lang", F.col("n_chars").cast("double"), F.col("quality") == 1, [0.0, 100.0, 300.0, 1000.0, 3000.0], 0.5)
+
+
+@query("SELECT lower(regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1)) AS parent, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1")
+def page_parent_key(spark: SparkSession, sf: str) -> DataFrame:
+    parent = F.lower(F.regexp_extract("url", "^[a-z]+://[^/]+/([^/?#]*)", 1))
+    return table(spark, sf, "pages").groupBy(parent.alias("parent")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query("""
+WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM w GROUP BY ALL),
+r AS (SELECT lang, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS rn FROM c)
+SELECT lang, count(*) AS words, round(sum(CASE WHEN rn <= 100 THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM r GROUP BY lang""")
+def token_frequency_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    counts = table(spark, sf, "documents").select("lang", F.explode(T.word_list(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    ranked = counts.withColumn("rn", place)
+    return ranked.groupBy("lang").agg(F.count("*").alias("words"), F.round(F.sum(F.when(F.col("rn") <= 100, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
