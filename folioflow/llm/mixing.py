@@ -1,10 +1,13 @@
 """Operator 10, mixing sources to target weights (DataFrame functions only).
 
 Each source's words form one stream that is cut into blocks of ``block`` words; a document lies in a row of blocks. The
-mix is a number of slots per source (its target over the block length; a last slot may be cut), thrown on the output
-shards: the shards' counts of a source are a multinomial draw, and their sum meets the target. Slot
-``j`` of a source reads block ``permutation(j mod blocks)``, so each pass over a source reads every block once, in a
-pseudorandom order, and no block is read more often than the target's multiple rounded up. Blocks join slots by index.
+mix is a number of slots per source (its target over the block length; a last slot may be cut), dealt to output shards
+of even size: each place of a shard draws a source by target weight, so a shard's source counts are a multinomial draw,
+and a seeded correction swaps the few places that a source drew above its number for sources below theirs. A shard's
+slots are then permuted, so sources alternate in it. Slot ``j`` of a source reads block ``permutation(j mod blocks)``,
+so each pass over a source reads every block once, in a pseudorandom order, and no block is read more often than the
+target's multiple rounded up. Blocks join slots by index; what comes out are rows (shard, slot, source, block, words),
+and what is taken of a document is counted over them.
 
 Targets: sources in code point order, null last, weigh 3, 1, 2, repeating; together they get ``share`` percent of all
 words; a target stops at ``most`` times its source's words and the excess goes to the others by weight until none is
@@ -67,9 +70,8 @@ def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataF
 
     slots are whole blocks, rest is the words of one more, cut slot.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("mark")).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)).cast("int"))
-    sized = stored(sized, "sized")
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    marked = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("mark")).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)).cast("int"))
+    buckets = stored(marked.groupBy("source", "bucket").agg(F.sum(word_count(F.col("text"))).alias("words")), "buckets")
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     aimed = (
         targets(sizes, share, most)
@@ -81,66 +83,124 @@ def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataF
         .withColumn("rest", F.pmod("more", F.lit(block)))
     )
     aimed = stored(aimed, "targets")
-    starts = buckets.withColumn("first", F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-    ahead = starts.alias("b").join(F.broadcast(aimed).alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("source"), "bucket", "first", "s", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("mark", "doc_id", "size")
+    named = F.broadcast(aimed.select(F.col("source").alias("name"), "s", "source_size", "target"))
+    starts = buckets.join(named, F.col("source").eqNullSafe(F.col("name"))).select("s", "bucket", (F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("first"))
+    inside = Window.partitionBy("s", "bucket").orderBy("mark", "doc_id", "size")
     placed = (
-        sized.withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        marked.join(named, F.col("source").eqNullSafe(F.col("name")))
+        .select("doc_id", "text", "mark", "bucket", "s", "source_size", "target", word_count(F.col("text")).alias("size"))
+        .withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("nth", F.row_number().over(inside))
-        .alias("d")
-        .join(ahead.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source")) & (F.col("d.bucket") == F.col("a.bucket")))
-        .select("doc_id", "size", "s", F.col("d.bucket").alias("bucket"), "nth", "source_size", "target", (F.col("first") + F.col("end") - F.col("size")).alias("start"))
+        .join(starts, ["s", "bucket"])
+        .select("doc_id", "text", "size", "s", "bucket", "nth", "source_size", "target", (F.col("first") + F.col("end") - F.col("size")).alias("start"))
     )
     return placed, aimed
 
 
-def block_slots(aimed: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """(s, slot, shard, block, words): which block each slot of the mix reads, and the output shard that it went to.
+def dealt(aimed: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(shard, s, n, first, before, places): how many slots of a source a shard holds; first slot of the source there.
 
-    Throwing a source's slots independently on the shards makes the shard counts a multinomial draw.
+    before counts the shard's slots of sources ahead, places all its slots. Each place draws a source by target weight;
+    then sources above their slots give up places, spread over their shards, and sources below theirs take them.
     """
-    spread = aimed.select("s", "blocks", "slots", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("slots") / CHUNK))).alias("chunk")).repartition("s", "chunk")
-    last = F.least((F.col("chunk") + 1) * CHUNK - 1, F.col("slots"))
+    whole = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    wanted = aimed.where("blocks > 0").select("s", (F.col("slots") + (F.col("rest") > 0).cast("long")).alias("want")).where("want > 0")
+    ranges = stored(
+        wanted.withColumn("lo", F.sum("want").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("want")).withColumn("total", F.sum("want").over(whole)),
+        "wanted",
+    )
+    width = F.floor(F.col("total") / CHUNK) + 1
+    reach = ranges.select("s", "lo", (F.col("lo") + F.col("want")).alias("hi"), F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + F.col("want") - 1) / width))).alias("part"))
+    places = (
+        ranges.select("total").limit(1)
+        .select("total", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        .withColumn("places", F.floor(F.col("total") / shards) + (F.col("shard") < F.pmod("total", F.lit(shards))).cast("long"))
+        .where("places > 0")
+        .select("total", "shard", "places", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("places") - 1) / CHUNK))).alias("chunk"))
+        .repartition("shard", "chunk")
+        .select("total", "shard", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "places") - 1)).alias("place"))
+        .withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "shard", "place"), F.col("total")))
+        .withColumn("part", F.floor(F.col("at") / width))
+    )
+    drawn = stored(places.join(F.broadcast(reach), "part").where("at >= lo and at < hi").groupBy("shard", "s").agg(F.count("*").alias("n")), "drawn")
+
+    per = Window.partitionBy("s")
+    upto = per.orderBy(F.xxhash64(F.lit(seed), "s", "shard"), "shard").rowsBetween(Window.unboundedPreceding, 0)
+    above = (
+        drawn.join(F.broadcast(ranges.select("s", "want")), "s")
+        .select("shard", "s", "n", "want", F.sum("n").over(upto).alias("upto"), F.sum("n").over(per).alias("got"))
+        .where("got > want")
+        .select("shard", "s", F.expr("(upto * (got - want)) div got - ((upto - n) * (got - want)) div got").alias("gone"))
+        .where("gone > 0")
+    )
+    above = stored(above, "above")
+    numbered = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    freed = above.groupBy("shard").agg(F.sum("gone").alias("n")).withColumn("upto", F.sum("n").over(numbered)).withColumn("all", F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    freed = freed.select("shard", "all", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("x")).select("shard", permuted(F.col("x"), F.col("all"), F.xxhash64(F.lit(seed), "all")).alias("x"))
+    below = ranges.join(drawn.groupBy("s").agg(F.sum("n").alias("got")), "s", "left").select("s", (F.col("want") - F.coalesce("got", F.lit(0))).alias("n")).where("n > 0")
+    below = below.withColumn("upto", F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+    below = below.select("s", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("x"))
+    swapped = freed.join(below, "x").select("shard", "s", F.lit(1).cast("long").alias("n"))
+    exact = drawn.unionByName(above.select("shard", "s", (-F.col("gone")).alias("n"))).unionByName(swapped).groupBy("shard", "s").agg(F.sum("n").alias("n")).where("n > 0")
+    first = F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return stored(exact.select("shard", "s", "n", first.alias("first"), before.alias("before"), F.sum("n").over(Window.partitionBy("shard")).alias("places")), "dealt")
+
+
+def block_slots(aimed: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+    """(s, shard, slot, block, words): the source and block that each slot of an output shard reads, and words of it."""
+    held = dealt(aimed, shards, seed).join(F.broadcast(aimed.select("s", "blocks", "slots", "rest")), "s")
+    spread = held.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("s", "shard", "chunk")
     return (
-        spread.select("s", "blocks", "slots", "rest", F.explode(F.sequence(F.col("chunk") * CHUNK, last)).alias("slot"))
-        .withColumn("words", F.when(F.col("slot") < F.col("slots"), F.lit(block).cast("long")).otherwise(F.col("rest")))
-        .where("words > 0 and blocks > 0")
+        spread.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "n") - 1)))
+        .withColumn("nth_slot", F.col("first") + F.col("i"))
         .select(
             "s",
-            "slot",
-            F.pmod(F.xxhash64(F.lit(seed), "s", "slot"), F.lit(shards)).cast("int").alias("shard"),
-            permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "s", F.floor(F.col("slot") / F.col("blocks")))).alias("block"),
-            "words",
+            "shard",
+            permuted(F.col("before") + F.col("i"), F.col("places"), F.xxhash64(F.lit(seed), F.lit("shard"), "shard")).alias("slot"),
+            permuted(F.pmod("nth_slot", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "s", F.floor(F.col("nth_slot") / F.col("blocks")))).alias("block"),
+            F.when(F.col("nth_slot") < F.col("slots"), F.lit(block).cast("long")).otherwise(F.col("rest")).alias("words"),
         )
     )
 
 
-def taken_words(docs: DataFrame, share: int = 150, most: int = 2, block: int = BLOCK, shards: int = 64, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes of it, repeats counted) of every row."""
-    placed, aimed = _numbered(docs, share, most, block)
+def _packed(placed: DataFrame, aimed: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+    """(shard, slot, s, block, words, pieces): the mix; pieces are the rows (bucket, nth) that its words are of, with n."""
     end = F.col("start") + F.col("size")
-    pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(F.greatest(end - 1, F.col("start")) / block)))).select(
-        "doc_id",
-        "size",
-        "s",
-        "bucket",
-        "nth",
-        "source_size",
-        "target",
-        "block",
-        F.greatest(F.col("start") - F.col("block") * block, F.lit(0)).alias("lo"),
-        F.least(end - F.col("block") * block, F.lit(block)).alias("hi"),
+    lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
+    hi = F.least(end - F.col("block") * block, F.lit(block))
+    skipped = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    pieces = (
+        placed.where("size > 0")
+        .select("s", "bucket", "nth", "size", "start", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
+        .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
+        .select("s", "block", F.struct(lo.alias("lo"), hi.alias("hi"), "bucket", "nth", F.array_join(F.slice("words", (skipped + 1).cast("int"), (hi - lo).cast("int")), " ").alias("text")).alias("piece"))
+        .repartition("s", "block")
     )
-    slots = block_slots(aimed, block, shards, seed).select("s", "block", "words").hint("merge")  # grows with the words: never broadcast
-    got = F.greatest(F.least(F.col("hi"), F.coalesce("words", F.lit(0))) - F.col("lo"), F.lit(0))
-    return (
-        pieces.join(slots, ["s", "block"], "left")
-        .groupBy("s", "bucket", "nth", "doc_id", "size", "source_size", "target")
-        .agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+    blocks = pieces.groupBy("s", "block").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    slots = block_slots(aimed, block, shards, seed).withColumnRenamed("words", "upto").hint("shuffle_hash")  # grows with the words: never broadcast
+    text = F.array_join(F.col("pieces.text"), " ")
+    taken = F.transform("pieces", lambda p: F.struct(p["bucket"].alias("bucket"), p["nth"].alias("nth"), F.greatest(F.least(p["hi"], F.col("upto")) - p["lo"], F.lit(0)).alias("n")))
+    return blocks.join(slots, ["s", "block"]).select(
+        "shard", "slot", "s", "block", F.when(F.col("upto") < block, F.array_join(F.slice(F.split(text, " "), 1, F.col("upto").cast("int")), " ")).otherwise(text).alias("words"), taken.alias("pieces")
     )
 
 
+def mixed_blocks(docs: DataFrame, share: int = 150, most: int = 2, block: int = BLOCK, shards: int = 64, seed: int = 11) -> DataFrame:
+    """The packed mix: (shard, slot, source, block, words); a shard's slots are 0, 1, ...; words are parted by a space."""
+    placed, aimed = _numbered(docs, share, most, block)
+    named = F.broadcast(aimed.select("s", "source"))
+    return _packed(placed, aimed, block, shards, seed).join(named, "s").select("shard", "slot", "source", "block", "words")
+
+
+def taken_words(docs: DataFrame, share: int = 150, most: int = 2, block: int = BLOCK, shards: int = 64, seed: int = 11) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words of it in the packed mix, repeats counted) of every row."""
+    placed, aimed = _numbered(docs, share, most, block)
+    mix = stored(_packed(placed, aimed, block, shards, seed), "mix", "zstd")
+    taken = mix.select("s", F.explode("pieces").alias("p")).groupBy("s", "p.bucket", "p.nth").agg(F.sum("p.n").alias("taken"))
+    return placed.drop("text").join(taken.hint("merge"), ["s", "bucket", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     """Whole documents of the mix: each row comes out taken / size times, the fraction rounded by a hash of its key.
 

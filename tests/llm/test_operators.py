@@ -122,6 +122,41 @@ def test_mixture(spark, docs, nothing, sf):
     assert mixing.mixed_documents(table).columns == table.columns
 
 
+def test_mix_is_dealt_and_packed(spark, docs, nothing, sf):
+    from collections import Counter
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mixed_blocks(table, shards=8).collect()
+    taken = mixing.taken_words(table, shards=8).collect()
+    texts = {r.doc_id: r for r in table.collect()}
+    for shard in range(8):
+        places = sorted(r.slot for r in rows if r.shard == shard)
+        assert places == list(range(len(places))) and abs(len(places) - len(rows) / 8) < 1
+    # the words are those of the documents, as often as the documents are said to be taken
+    got, said = Counter(), Counter()
+    for r in rows:
+        got[r.source] += len(r.words.split())
+    for r in taken:
+        said[texts[r.doc_id].source] += r.taken
+    assert got == said
+    full = {s for s in got if all(r.taken >= r.size for r in taken if texts[r.doc_id].source == s)}
+    assert full
+    for s in full:
+        once = {r.block: r.words for r in sorted((r for r in rows if r.source == s), key=lambda r: len(r.words))}
+        stream = " ".join(once[k] for k in sorted(once))
+        assert sorted(once) == list(range(len(once))) and sorted(stream.split()) == sorted(w for r in texts.values() if r.source == s for w in (r.text or "").split())
+        assert all(" ".join(r.text.split()) in stream for r in texts.values() if r.source == s and r.text)
+    # source counts of shards are drawn, their sums are exact
+    count = lambda some: Counter((r.shard, r.source) for r in some)
+    other = mixing.mixed_blocks(table, shards=8, seed=12).collect()
+    assert Counter(r.source for r in rows) == Counter(r.source for r in other) and count(rows) != count(other)
+    for s, n in Counter(r.source for r in rows).items():
+        part = n / len(rows)
+        off = sum((count(rows)[k, s] - n / 8) ** 2 for k in range(8)) / (n * (1 - part))
+        assert 0.05 < off < 4
+    assert mixing.mixed_blocks(docs).count() > 0 and mixing.mixed_blocks(nothing).count() == 0
+
+
 def test_language(spark, docs, nothing, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     known = {r.doc_id: r.lang for r in table.collect()}
