@@ -202,6 +202,26 @@ def test_leaks_by_brute_force(spark, docs, nothing, sf):
     assert decontamination.lcs_length([w.encode() for w in a], [w.encode() for w in b]) == 3
 
 
+def test_leaks_of_long_and_common_items(spark):
+    import random
+
+    rng = random.Random(5)
+    words = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+    items = {k: [f"i{k}x{j}" if j % 3 == 0 else f"v{rng.randrange(4000)}" for j in range(n)] for k, n in enumerate([180, 201, 250, 320, 900])}
+    texts = [(k, words(77 + 13 * k) + item + words(150)) for k, item in items.items()]
+    texts += [(100 + k, words(55 + 7 * k) + [w for j, w in enumerate(item) if j % 4 != 1] + words(150)) for k, item in items.items()]
+    texts += [(200 + j, words(300)) for j in range(30)]
+    frame = lambda rows: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    bench = frame(items.items()).withColumnRenamed("doc_id", "item_id")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(texts), bench).collect()}
+    assert got == {(k, k) for k in items} | {(100 + k, k) for k in items}
+    item = [f"c{j}" for j in range(30)]
+    asked = frame([(7, item)]).withColumnRenamed("doc_id", "item_id")
+    assert [(r.doc_id, r.item_id) for r in decontamination.leaks(frame([(1, item)]), asked).collect()] == [(1, 7)]
+    every = [(k, words(20 + 9 * k) + item + words(90)) for k in range(20)]
+    assert sorted((r.doc_id, r.item_id) for r in decontamination.leaks(frame(every), asked).collect()) == [(k, 7) for k in range(20)]
+
+
 def test_terms_follow_words():
     texts = [None, "", " ,.", "a", "A a, a!", "Straße l'été 東京 x-y\tz", "long " * 40_000 + "b"]
     seen: dict = {}
