@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.sources.workspace import small_batches
+
 
 def islands(df: DataFrame, by: str, at: str, flag: str, least: int = 1) -> DataFrame:
     """(by, start, length) of runs of consecutive rows with a true flag."""
@@ -24,6 +30,42 @@ def lag_run_loop(tokens: DataFrame, by: str, at: str, token: str, periods: int,
     return found.groupBy(by).agg(F.min(F.struct(at, "p")).alias("first")).select(by, F.col(f"first.{at}").alias("stop"), F.col("first.p").alias("period"))
 
 
+def first_loop(ids: np.ndarray, periods: int, least: int) -> tuple[int, int] | None:
+    """(stop, period) as in lag_run_loop, of one row's tokens; of two periods at one place the shorter."""
+    best = None
+    for p in range(1, min(periods, len(ids) - 1) + 1):
+        need = max(least, 4 * p) - p
+        edges = np.r_[-1, np.flatnonzero(ids[p:] != ids[:-p]), len(ids) - p]
+        long = np.flatnonzero(np.diff(edges) > need)
+        if len(long) and (best is None or edges[long[0]] + need + p < best[0]):
+            best = int(edges[long[0]]) + need + p, p
+    return best
+
+
+def loops(rows: DataFrame, by: str, words: str, periods: int, least: int) -> DataFrame:
+    """(by, stop, period) of lag_run_loop over arrays of words; a row per period would be too many for long periods."""
+    small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for key, own in zip(batch[by].to_pylist(), batch[words].to_pylist(), strict=True):
+                seen: dict = {}
+                if hit := first_loop(np.array([seen.setdefault(w, len(seen)) for w in own]), periods, least):
+                    found.append((key, *hit))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=[by, "stop", "period"])
+
+    some = rows.select(F.col(by).cast("long").alias(by), words).where(F.size(words) >= least)
+    return some.mapInArrow(run, f"{by} long, stop long, period long")
+
+
+def tail_repeats(words: Column, longest: int) -> Column:
+    """Whether the words end with a block of at most so many words three times. Bound in lambdas, so computed once."""
+    block = lambda t, k, n: F.slice(t, n * k + 1, k)
+    same = lambda t: F.exists(F.sequence(F.lit(1), F.lit(longest)), lambda k: (F.size(t) >= 3 * k) & (block(t, k, 0) == block(t, k, 1)) & (block(t, k, 0) == block(t, k, 2)))
+    return F.exists(F.array(F.slice(F.reverse(words), 1, 3 * longest)), same)
+
+
 def sessions(events: DataFrame, by: str, ts: str, gap_seconds: int) -> DataFrame:
     """(by, session, first, last, n): events apart by more than the gap begin a session."""
     w = Window.partitionBy(by).orderBy(ts, "event_id")

@@ -230,6 +230,17 @@ def loop_exact_rule(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.lag_run_loop(words, "doc_id", "pos", "w", 4, 4).select("doc_id", F.col("stop").cast("long").alias("stop"), F.col("period").cast("long").alias("period"))
 
 
+@query()
+def loop_exact_rule_128(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "documents").select("doc_id", T.word_list(F.col("text")).alias("w"))
+    return sequences.loops(words, "doc_id", "w", 128, 256)
+
+
+@query()
+def repeated_tail_block_64(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").where(sequences.tail_repeats(T.word_list(F.col("text")), 64)).select("doc_id")
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(w) >= 3 AND w[len(w)] = w[len(w) - 1] AND w[len(w)] = w[len(w) - 2] OR len(w) >= 6 AND w[len(w) - 1:len(w)] = w[len(w) - 3:len(w) - 2] AND w[len(w) - 1:len(w)] = w[len(w) - 5:len(w) - 4]")
 def repeated_tail_block(spark: SparkSession, sf: str) -> DataFrame:
     words = table(spark, sf, "documents").select("doc_id", T.word_list(F.col("text")).alias("w"))
