@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (local tests) a temporary folder is made once and kept in the session's settings.
+    Where the setting is absent, a local session (``local[..]``) gets a temporary folder, kept in the session's settings;
+    on a cluster that folder would be unseen by executors, so the call is refused.
     """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or spark.conf.get("folioflow.scratch", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"set {key} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("folioflow.scratch", found)
     return found.rstrip("/")
@@ -31,7 +35,15 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``stored`` frame that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
