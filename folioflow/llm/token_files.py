@@ -6,9 +6,10 @@ cut into blocks of 16,384; each block is transposed into its four byte planes an
 zstandard (a plane of zeros takes no bytes). The chunk index (file, chunk, first id in the file, doc_ids, lengths) lies
 in columns of its own, so it's read without the payload. The files are written and read by Spark, in any store.
 
-The pre-tokenizer splits at white space, so a text's ids are those of its words in a row; each worker process keeps the
-ids of about 600,000 words it has met and encodes only new ones, a batch at a time. Only one row per file meets in one task (file totals). A null text is empty: it holds
-the end id alone. Equal doc_ids are ordered by text. Null doc_ids come first. Extra columns are ignored.
+Where a tokenizer splits at white space, a text's ids are those of its words in a row: words are dictionary-encoded in
+Arrow, each worker process keeps the ids of about 600,000 words it has met and encodes only new ones. Any other tokenizer
+gets whole texts. Only one row per file meets in one task (file totals). A null text is empty: it holds the end id alone.
+Equal doc_ids are ordered by text. Null doc_ids come first. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -74,20 +76,30 @@ def _byte_marks() -> dict[int, str]:
 BYTE_MARKS = _byte_marks()
 
 
-class WordIds(dict):
-    """Word to the little-endian bytes of its ids; kept by the worker process over its tasks, and bounded.
+SLICE = 4 << 20
+#: A punctuation mark right after a Latin letter or a digit starts a token of its own; a space there changes no id.
+AFTER_WORDS = "([a-z0-9\u00e0-\u00f6\u00f8-\u00ff])([.,!?;:])"
 
-    ASCII letters may be lower-cased first, as the tokenizer does it anyway, except beside the mark of special tokens.
+
+class WordIds:
+    """Ids of whole texts by their words; the ids of words met before are kept by the worker process, and bounded.
+
+    Texts are lower-cased (ASCII letters), split at white space and marks after words, and dictionary-encoded in Arrow; only words that are new
+    to the process go through the tokenizer. That holds for tokenizers that lower-case, drop white space and never merge
+    over it; ``by_words`` tries that on a text, and a tokenizer that fails is given whole texts instead.
     """
 
     _kept: dict[str, WordIds] = {}
 
     def __init__(self, path: str, most: int = 600_000):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.at: dict[str, int] = {}
+        self.starts, self.sizes, self.flat, self.end, self.seen = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0, np.zeros(0, np.int32)
+        self.by_words = self._by_words()
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -95,69 +107,111 @@ class WordIds(dict):
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    @staticmethod
-    def words(text: str) -> list[bytes]:
-        data = text.encode()
-        return (data if b"<|" in data else data.lower()).split()
+    def forget(self, least: int = 3) -> None:
+        """Keeps the words met in ``least`` slices or more, if they are less than half of what there is room for."""
+        kept = np.flatnonzero(self.seen[: len(self.at)] >= least)
+        if 2 * len(kept) >= self.most:
+            kept = kept[:0]
+        words, sizes = list(self.at), self.sizes[kept]
+        self.at = {words[k]: i for i, k in enumerate(kept.tolist())}
+        ids = np.concatenate([self.flat[a : a + n] for a, n in zip(self.starts[kept], sizes, strict=True)]) if len(kept) else self.flat[:0]
+        self.starts, self.sizes, self.flat, self.end = np.cumsum(sizes) - sizes, sizes, ids, len(ids)
+        self.seen = np.ones(len(kept), np.int32)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.batch(texts, add_special_tokens=False)]
+
+    def _by_words(self) -> bool:
+        """Whether this tokenizer gives a text the ids of its words, in lower case or not, with each way of splitting them."""
+        text = "The Quick\tbr\u00f6wn fox, jumped.  over 12 (lazy) dogs\r\n\u00c9t\u00e9 na\u00efve. \u6771\u4eac it's x.y"
+        try:
+            values = [v for ids in self.ids(pa.array([text])) for v in ids.tolist()]
+        except (AttributeError, TypeError, KeyError):
+            return False
+        return values == self.whole([text])[0]
 
     @staticmethod
-    def stem(word: bytes) -> bytes | None:
-        """The word without a last . or , if the tokenizer parts them: after a letter or a digit."""
-        if len(word) > 1 and word[-1] in b".,":
-            last = word.decode()[-2]
-            if unicodedata.category(last)[0] in "LN":
-                return word[:-1]
-        return None
-
-    def marks(self, word: str) -> str | None:
+    def marks(word: str) -> str | None:
         """What the tokenizer's normalizer and splitter make of a word, where that is plain: lower-case Latin letters."""
-        if word.isalpha() and word.islower() and max(word) < "\u0250" and word.lower() == word and unicodedata.is_normalized("NFC", word):
-            return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_MARKS)
+        if word.isalpha() and word.islower():
+            if word.isascii():
+                return word
+            if max(word) < "\u0250" and word.lower() == word and unicodedata.is_normalized("NFC", word):
+                return word.encode().decode("latin-1").translate(BYTE_MARKS)
         return None
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encodes the words of a batch that aren't known."""
-        if len(self) > self.most:
-            self.clear()
-        new = {w for words in texts for w in words if w not in self} if texts else set()
-        stems = {w: s for w in new if (s := self.stem(w))}
-        plain, tokenize = [], self.tokenizer.model.tokenize
-        for w in new | {*stems.values(), b".", b","}:
-            if w not in stems and w not in self:
-                if marks := self.marks(w.decode()):
-                    self[w] = np.array([t.id for t in tokenize(marks)], "<u4").tobytes()
-                else:
-                    plain.append(w)
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for word, found in zip(plain, encode([w.decode() for w in plain], add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-        for word, s in stems.items():
-            self[word] = self[s] + self[word[-1:]]
+    def learn(self, words: list[str]) -> None:
+        """Ids of words that aren't known."""
+        known, tokenize, marks = len(self.at), self.tokenizer.model.tokenize, self.marks
+        marked = [(w, m) for w in words if (m := marks(w))]
+        self.at.update(zip((w for w, _ in marked), range(known, known + len(marked)), strict=True))
+        plain = [w for w in words if w not in self.at]
+        self.at.update(zip(plain, range(len(self.at), len(self.at) + len(plain)), strict=True))
+        lists = [[t.id for t in tokenize(m)] for _, m in marked] + self.whole(plain)
+        self._append(known, [len(x) for x in lists], [i for x in lists for i in x])
+
+    def _append(self, known: int, sizes: list[int], ids: list[int]) -> None:
+        def room(a: np.ndarray, n: int) -> np.ndarray:
+            return a if n <= len(a) else np.r_[a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)]
+
+        n = len(sizes)
+        self.starts, self.sizes, self.flat, self.seen = room(self.starts, known + n), room(self.sizes, known + n), room(self.flat, self.end + len(ids)), room(self.seen, known + n)
+        self.sizes[known : known + n] = sizes
+        self.starts[known : known + n] = self.end + np.cumsum([0, *sizes[:-1]]) if n else 0
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.end += len(ids)
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = pc.fill_null(texts, "")
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), AFTER_WORDS, r"\1 \2")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, parted))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.at) > self.most:
+            self.forget()
+        if new := [w for w in words if w not in self.at]:
+            self.learn(new)
+        named = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.seen[named] += 1
+        word = named[coded.indices.to_numpy()]
+        sizes = self.sizes[word]
+        ends = np.cumsum(sizes)
+        out = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[word] - (ends - sizes), sizes)] if len(ends) else np.zeros(0, np.uint32)
+        cuts = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column in slices of about SLICE bytes, so that what is made of one stays small."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
 
 
 def _chunks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, file = WordIds.of(path), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         chunk = first = 0
-        docs, parts, total = [], [], 0
+        docs, parts, lengths, total = [], [], [], 0
 
         def row():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            lengths = [len(p) // 4 for p in parts]
+            ids = np.concatenate(parts).astype("<u4", copy=False)
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([pack(ids)], pa.binary())], names=["file", "chunk", "first_id", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            words = [memo.words(t) if t else [] for t in batch["text"].to_pylist()]
-            memo.learn(words)
-            for doc, own in zip(batch["doc_id"].to_pylist(), words, strict=True):
-                ids = b"".join(map(memo.__getitem__, own)) + end
-                docs.append(doc)
-                parts.append(ids)
-                total += len(ids) // 4
-                if total >= CHUNK:
-                    yield row()
-                    chunk, first, docs, parts, total = chunk + 1, first + total, [], [], 0
+            keys = iter(batch["doc_id"].to_pylist())
+            for texts in _slices(batch["text"]):
+                coded = memo.ids(texts) if memo.by_words else [np.array(ids, "<u4") for ids in memo.whole([t or "" for t in texts.to_pylist()])]
+                for ids in coded:
+                    docs.append(next(keys))
+                    parts += [ids, end]
+                    lengths.append(len(ids) + 1)
+                    total += len(ids) + 1
+                    if total >= CHUNK:
+                        yield row()
+                        chunk, first, docs, parts, lengths, total = chunk + 1, first + total, [], [], [], 0
         if docs:
             yield row()
 

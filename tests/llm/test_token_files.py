@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -21,16 +22,12 @@ def whole(text):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(blacklist_categories=["Cs"]), st.sampled_from("abAB .,'<|>sİΣé́  \x1c\x85\n\t3²½;!")), max_size=40))
 def test_word_ids_equal_whole_text(text):
-    memo, words = WordIds.of(PATH), WordIds.words(text)
-    memo.learn([words])
-    assert np.frombuffer(b"".join(memo[w] for w in words), "<u4").tolist() == whole(text)
+    assert WordIds.of(PATH).ids(pa.array([text]))[0].tolist() == whole(text)
 
 
 def test_special_tokens_and_case():
     for text in ("été ñandú größe œuvre ßa ªb ºc ŉx ǆ ıI ſs þorn élève naïve. straße,", "a<|endoftext|>b", "<|ENDOFTEXT|> X", "It's. THE'LL, 3.5,", "ΑΣ. ΑΣ", "x…. y»,"):
-        memo, words = WordIds.of(PATH), WordIds.words(text)
-        memo.learn([words])
-        assert np.frombuffer(b"".join(memo[w] for w in words), "<u4").tolist() == whole(text)
+        assert WordIds.of(PATH).ids(pa.array([None, text, "", text]))[3].tolist() == whole(text)
 
 
 @settings(max_examples=50, deadline=None)
@@ -54,3 +51,23 @@ def test_files_round_trip(spark):
 
 def test_empty(spark):
     assert read_documents(write_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH)).collect() == []
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert WordIds.of(PATH).by_words and not WordIds.of(path).by_words
+    texts = [(None, None), (1, "Two words\n here. "), (2, ""), (2, "")]
+    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in read_documents(write_tokens(spark.createDataFrame(texts, "doc_id long, text string"), path)).collect())
+    other, at, want = Tokenizer.from_file(path), 0, []
+    for _, t in texts:
+        ids = np.array([*other.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def test_words_are_forgotten_and_learnt_again():
+    memo = WordIds(PATH, most=50)
+    texts = [" ".join(f"w{k}{j}, {k}x" for j in range(30)) for k in range(20)]
+    for t in texts + texts:
+        assert memo.ids(pa.array([t]))[0].tolist() == whole(t)
