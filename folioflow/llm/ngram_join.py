@@ -3,23 +3,28 @@
 1. One pass hashes each text into its shingle set and keeps its size and digest; it also counts shingles into a fixed
    number of buckets. Equal sets form a class, named by its least doc_id, so copies cost nothing later.
 2. The global order puts shingles of thin buckets first (ties by hash). Two sets that reach the threshold share a
-   shingle among the first ``n - ceil(t n) + 1`` of either, so only those are shuffled, and only those that two classes
-   share go on.
+   shingle among the first ``n - ceil(t n) + 1`` of either, so only those are looked at.
 3. Shingles with few holders give candidate pairs, found inside the holder list and cut by sizes and by a parity bitmap
-   of each set, which bounds the overlap from above before any set is moved. Shingles with many
-   holders join their holders to families instead; a family is dealt into size-bounded blocks that meet pairwise, so no
-   key meets in one task and no pairs are written out.
+   of each set, which bounds the overlap from above before any set is moved. Shingles with many holders are told apart
+   by a table of them (broadcast while it has at most ``DENSE`` rows, joined otherwise) and are never gathered: they tie
+   their holders to families, a family is dealt into size-bounded blocks that meet pairwise. A family whose sets are
+   mostly unlike each other costs the square of its blocks.
 4. Each task stores the sets of a group in a trie along the global order and walks it with each probe: sets with a
    common path share the partial overlap, and subtrees whose remaining length can't reach the threshold are cut.
    Links are exact: every candidate is decided by its whole sets.
 5. Components of the links name the document groups.
 
-Broadcast: the bucket levels (2**20 bytes) and a bitmap of candidate classes (2**22 bits), both of fixed size.
-Rows: one for each input row. Null or empty texts have an empty set and are linked with nothing. Extra columns are ignored.
+Broadcast: the bucket levels (2**20 bytes) and a bitmap of candidate classes (2**22 bits), both of fixed size, and the
+table of frequent shingles below its bound. All are destroyed when the links are stored.
+Rows: one for each input row. Null or empty texts have an empty set and are linked with nothing. A set is known by its
+doc_id and digest, so rows that share a doc_id keep their own texts and links; ``ngram_components`` ties such rows
+together, as one document, ``group_heads`` doesn't. Rows with a null doc_id are linked with nothing. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,37 +34,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.words import WordHashes, shingle_sets
-from folioflow.operators.graph import connected_components
-from folioflow.sources.workspace import small_batches, stored
+from folioflow.operators.graph import Groups, connected_components
+from folioflow.sources.workspace import discard, small_batches, stored
 
 ORDER_BITS = 20
 SLICES = 16
 FLAG_BITS = 22
+DENSE = 2_000_000
 
 
 # ---- passes over the texts -------------------------------------------------------------------------------------------
 
 
+DIGESTS = "doc_id long, mark long, n long, d1 long, d2 long, slice int, counts binary"
+
+
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two signed numbers."""
+    x = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
+
+
 def _digests(size: int):
-    """Rows for documents (slice null), then the partition's bucket counts in slices (doc_id null)."""
+    """Rows for documents (slice null), then the partition's bucket counts in slices (n null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHashes(), np.zeros(1 << ORDER_BITS, np.uint32)
         mask = np.uint64((1 << ORDER_BITS) - 1)
         for batch in batches:
-            n, d1, d2 = [], [], []
+            n, d = [], []
             for s in shingle_sets(batch["text"].to_pylist(), size, memo):
-                x = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
-                d1.append((x >> 64) - (1 << 63))
-                d2.append((x & (1 << 64) - 1) - (1 << 63))
+                d.append(digest(s))
                 np.add.at(counts, (s & mask).astype(np.int64), np.uint32(1))
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "n", "d1", "d2", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "mark", "n", "d1", "d2", "slice", "counts"])
         parts = counts.reshape(SLICES, -1)
         kept = [k for k in range(SLICES) if parts[k].any()]
         none = pa.array([None] * len(kept), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(kept, pa.int32()), pa.array([parts[k].tobytes() for k in kept], pa.binary())], names=["doc_id", "n", "d1", "d2", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(kept, pa.int32()), pa.array([parts[k].tobytes() for k in kept], pa.binary())], names=["doc_id", "mark", "n", "d1", "d2", "slice", "counts"])
 
     return run
 
@@ -78,7 +91,7 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def order_levels(counted: DataFrame) -> np.ndarray:
     """A level from 0 to 63 for each bucket, by the logarithm of its count; summed in two steps on the executors."""
     kind = "slice int, counts binary"
-    part = counted.select("slice", "counts").repartition(SLICES * 4, "slice", F.rand(7)).mapInArrow(_sum_counts, kind)
+    part = counted.select("slice", "counts").mapInArrow(_sum_counts, kind)  # several input files a task
     whole = part.repartition(SLICES, "slice").mapInArrow(_sum_counts, kind)
     counts = np.zeros((SLICES, (1 << ORDER_BITS) // SLICES), np.int64)
     for row in whole.toLocalIterator():  # 16 rows of a fixed size
@@ -119,7 +132,7 @@ def _reaching(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch[c].to_pylist() for c in ("n1", "p1", "n2", "p2")), strict=True)
-            yield batch.filter(pa.array([can_reach(*r, percent) for r in rows], pa.bool_())).select(["probe", "doc_id"])
+            yield batch.filter(pa.array([can_reach(*r, percent) for r in rows], pa.bool_())).select(["probe", "cls"])
 
     return run
 
@@ -134,16 +147,17 @@ def _prefixes(size: int, percent: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, table = WordHashes(), levels.value
         for batch in batches:
-            ids, n, parts, parities = [], [], [], []
+            ids, d, n, parts, parities = [], [], [], [], []
             for doc, s in zip(batch["doc_id"].to_pylist(), shingle_sets(batch["text"].to_pylist(), size, memo), strict=True):
                 if len(s) and doc is not None:
                     p = prefix_length(len(s), percent)
                     key = _ordered(s, table)
                     ids.append(doc)
+                    d.append(digest(s))
                     n.append(len(s))
                     parts.append(np.partition(key, p - 1)[:p] if p < len(key) else key)
                     parities.append(parity(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), _as_lists(parts), pa.array(parities, pa.binary())], names=["doc_id", "n", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(n, pa.int64()), _as_lists(parts), pa.array(parities, pa.binary())], names=["doc_id", "d1", "d2", "n", "prefix", "parity"])
 
     return run
 
@@ -157,8 +171,9 @@ def _whole_sets(size: int, levels, flags):
             doc = np.array(batch["doc_id"].fill_null(-1)).astype(np.int64)
             slot = (doc % (1 << FLAG_BITS)).astype(np.int64)
             batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)))
-            sets = [np.sort(_ordered(s, table)) for s in shingle_sets(batch["text"].to_pylist(), size, memo)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], _as_lists(sets)], names=["doc_id", "shingles"])
+            sets = list(shingle_sets(batch["text"].to_pylist(), size, memo))
+            d = [digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), _as_lists([np.sort(_ordered(s, table)) for s in sets])], names=["doc_id", "d1", "d2", "shingles"])
 
     return run
 
@@ -232,61 +247,50 @@ def walk(root: Node, probe: np.ndarray, percent: int, joined) -> Iterator[int]:
         stack += [(c, overlap, depth, at) for c in node.children.values()]
 
 
-class Groups:
-    """Union-find over the names of one task's group."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        while (y := self.up.setdefault(x, x)) != x:
-            self.up[x] = x = self.up.setdefault(y, y)
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+LINKS = "a long, b long, a_id long, b_id long"
 
 
 def _trie_links(percent: int):
-    """Rows (key.., doc_id, side, shingles) sorted by key; side 0 is stored, 1 probes, 2 does both. Gives spanning links."""
+    """Rows (key.., cls, doc_id, side, shingles) sorted by key; side 0 is stored, 1 probes, 2 does both. Gives spanning links."""
 
-    def decide(ids, sides, sets) -> list[tuple[int, int]]:
+    def decide(names, sides, sets) -> list[tuple[int, int]]:
         groups, found, root = Groups(), [], Node(np.zeros(0, np.uint64), 1 << 60)
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+        order = sorted(range(len(names)), key=lambda i: (len(sets[i]), names[i]))
         root.longest = 0
         for i in order:
             if sides[i] != 1:
-                insert(root, sets[i], ids[i])
+                insert(root, sets[i], names[i])
         for i in order:
             if sides[i]:
-                me = ids[i]
+                me = names[i]
                 for other in walk(root, sets[i], percent, lambda names, me=me: all(groups.top(x) == groups.top(me) for x in names)):
                     if other != me and groups.join(other, me):
                         found.append((other, me))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sides, sets = None, [], [], []
+        key, names, ids, sides, sets = None, [], {}, [], []
 
-        def out(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+        def out():
+            pairs = decide(names, sides, sets)
+            cells = zip(*((a, b, ids[a], ids[b]) for a, b in pairs), strict=True) if pairs else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cells], names=["a", "b", "a_id", "b_id"])
 
         for batch in batches:
             lists = batch["shingles"]
             ends = np.array(lists.offsets)
             flat = np.array(lists.values).view(np.uint64)
-            for r, (k, doc, side) in enumerate(zip(batch["key"].to_pylist(), batch["doc_id"].to_pylist(), batch["side"].to_pylist(), strict=True)):
+            for r, (k, cls, doc, side) in enumerate(zip(*(batch[c].to_pylist() for c in ("key", "cls", "doc_id", "side")), strict=True)):
                 if k != key:
-                    if len(ids) > 1 and (pairs := decide(ids, sides, sets)):
-                        yield out(pairs)
-                    key, ids, sides, sets = k, [], [], []
-                ids.append(doc)
+                    if len(names) > 1:
+                        yield out()
+                    key, names, ids, sides, sets = k, [], {}, [], []
+                names.append(cls)
+                ids[cls] = doc
                 sides.append(side)
                 sets.append(flat[ends[r] : ends[r + 1]].copy())
-        if len(ids) > 1 and (pairs := decide(ids, sides, sets)):
-            yield out(pairs)
+        if len(names) > 1:
+            yield out()
 
     return run
 
@@ -295,7 +299,7 @@ def _trie_links(percent: int):
 
 
 def _candidate_pairs(percent: int):
-    """Pairs of a holder list whose sizes can reach the threshold; (probe, stored), the smaller set probes."""
+    """Class pairs of a holder list whose sizes can reach the threshold; (probe, stored), the smaller set probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,8 +309,8 @@ def _candidate_pairs(percent: int):
                     for y in holders[i + 1 :]:
                         if 100 * x["n"] < percent * y["n"]:
                             break
-                        found.add((x["doc_id"], y["doc_id"]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["probe", "doc_id"])
+                        found.add((x["cls"], y["cls"]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["probe", "cls"])
 
     return run
 
@@ -321,49 +325,54 @@ def _flags(ids: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int = 64, block: int = 512) -> tuple[DataFrame, DataFrame]:
-    """``(rows, links)``: rows has doc_id, n, class_id of each document; links has class pairs (a, b) that span all groups.
+def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int = 64, block: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, classes, links)``, all but rows stored.
 
+    rows: doc_id, mark (hash of the text), n, d1, d2 (digest) of each document. classes: cls, class_id, d1, d2, n of each
+    different set. links: pairs of classes (a, b) and their doc_ids (a_id, b_id) that span all groups.
     few: holders up to which a shingle gives pairs; above it its holders form a family. block: sets of a family that
     one task stores at once. Neither changes the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = stored(texts.mapInArrow(_digests(size), "doc_id long, n long, d1 long, d2 long, slice int, counts binary"), "digests")
+    first = stored(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_digests(size), DIGESTS), "digests")
     levels = spark.sparkContext.broadcast(order_levels(first.where("slice is not null")))
-    sized = first.where("slice is null").select("doc_id", "n", "d1", "d2")
-    classes = stored(sized.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    rows = sized.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", "class_id")
-
-    prefixes = texts.mapInArrow(_prefixes(size, percent, levels), "doc_id long, n long, prefix array<long>, parity binary")
-    own = classes.select(F.col("class_id").alias("doc_id")).distinct()
-    prefixes = stored(prefixes.join(own, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefixes")
-    held = prefixes.select("doc_id", "n", F.explode("prefix").alias("shingle"))
-    shared = held.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    held = stored(held.join(shared, "shingle"), "holders")
+    rows = first.where("slice is null").select("doc_id", "mark", "n", "d1", "d2")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    names = classes.select(F.col("class_id").alias("doc_id"), "d1", "d2", "cls")
+    one_set = ["doc_id", "d1", "d2"]
+
+    prefixes = texts.mapInArrow(_prefixes(size, percent, levels), "doc_id long, d1 long, d2 long, n long, prefix array<long>, parity binary")
+    prefixes = stored(prefixes.join(names, one_set).dropDuplicates(one_set).select("cls", "n", "prefix", "parity"), "prefixes")
+    held = prefixes.select("cls", "n", F.explode("prefix").alias("shingle"))
+    dense = stored(held.groupBy("shingle").agg(F.count("*").alias("holders")).where(F.col("holders") > few).select("shingle"), "dense")
+    known = F.broadcast(dense) if dense.count() <= DENSE else dense
 
     pairs = (
-        held.where(F.col("holders") <= few)
+        held.join(known, "shingle", "left_anti")
         .groupBy("shingle")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "doc_id"))).alias("holders"))
+        .agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("holders"))  # few of them
+        .where("size(holders) > 1")
         .select("holders")
         .distinct()
-        .mapInArrow(_candidate_pairs(percent), "probe long, doc_id long")
+        .mapInArrow(_candidate_pairs(percent), "probe long, cls long")
         .distinct()
     )
-    one = prefixes.select(F.col("doc_id").alias("probe"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
-    two = prefixes.select("doc_id", F.col("n").alias("n2"), F.col("parity").alias("p2"))
-    pairs = stored(pairs.join(one, "probe").join(two, "doc_id").select("probe", "doc_id", "n1", "p1", "n2", "p2").mapInArrow(_reaching(percent), "probe long, doc_id long"), "pairs")
-    dense = held.where(F.col("holders") > few)
-    hubs = dense.groupBy("shingle").agg(F.min("doc_id").alias("hub"))
-    family = connected_components(dense.join(hubs, "shingle").select("doc_id", "hub").distinct(), "doc_id", "hub")
-    sized_family = family.join(held.select("doc_id", "n").distinct(), family.vertex == F.col("doc_id")).select("doc_id", "component", F.floor(F.ln("n") / F.ln(F.lit(100 / percent))).cast("int").alias("scale"))
-    members = sized_family.groupBy("component", "scale").agg(F.count("*").alias("size"))
-    dealt = sized_family.join(members, ["component", "scale"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    beside = members.select("component", (F.col("scale") - 1).alias("scale"), F.ceil(F.col("size") / block).cast("int").alias("above"))
-    under = members.select("component", (F.col("scale") + 1).alias("scale"), F.ceil(F.col("size") / block).cast("int").alias("below"))
-    dealt = stored(dealt.join(beside, ["component", "scale"], "left").join(under, ["component", "scale"], "left"), "dealt")
+    one = prefixes.select(F.col("cls").alias("probe"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
+    two = prefixes.select("cls", F.col("n").alias("n2"), F.col("parity").alias("p2"))
+    pairs = stored(pairs.join(one, "probe").join(two, "cls").select("probe", "cls", "n1", "p1", "n2", "p2").mapInArrow(_reaching(percent), "probe long, cls long"), "pairs")
+
+    # a frequent shingle is a vertex of its own, below zero: its holders are never gathered by it
+    hub = -F.col("shingle").bitwiseAND((1 << 63) - 1) - 1
+    family = connected_components(held.join(known, "shingle", "left_semi").select("cls", hub.alias("hub")), "cls", "hub").where("vertex >= 0")
+    base = math.log(100 / percent * (1 + 1e-6))  # sets that can reach the threshold lie in one scale or in neighbouring ones
+    scaled = family.join(classes, family.vertex == classes.cls).select("cls", "component", F.floor(F.ln("n") / base).cast("int").alias("scale"))
+    members = scaled.groupBy("component", "scale").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = members.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("scale", "blocks"))).alias("all"))
+    at = lambda k: F.try_element_at("all", F.col("scale") + k)
+    dealt = stored(scaled.join(members, "component").select("cls", "component", "scale", at(0).alias("blocks"), at(1).alias("above"), at(-1).alias("below"), F.pmod(F.xxhash64("cls"), at(0)).cast("int").alias("mine")), "dealt")
     scale, mine = F.col("scale"), F.col("mine")
 
     def met(s1, b1, s2, b2, side):
@@ -381,29 +390,38 @@ def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int =
             F.coalesce(F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: met(scale - 1, j, scale, mine, 1)), none),
         )
     )
+    probes = F.concat(F.lit("0:"), "probe").alias("key")
     tasks = (
-        pairs.select(F.struct(F.lit(0).alias("kind"), F.col("probe").alias("id")).alias("key"), "doc_id", F.lit(0).alias("side"))
-        .union(pairs.select(F.struct(F.lit(0).alias("kind"), F.col("probe").alias("id")).alias("key"), F.col("probe").alias("doc_id"), F.lit(1).alias("side")).distinct())
-        .union(dealt.select("doc_id", F.explode(meets).alias("m")).select(F.struct(F.lit(1).alias("kind"), F.col("m.id").alias("id")).alias("key"), "doc_id", F.col("m.side").alias("side")))
-        .select(F.concat_ws(":", "key.kind", "key.id").alias("key"), "doc_id", "side")
+        pairs.select(probes, "cls", F.lit(0).alias("side"))
+        .union(pairs.select(probes, F.col("probe").alias("cls"), F.lit(1).alias("side")).distinct())
+        .union(dealt.select("cls", F.explode(meets).alias("m")).select(F.concat(F.lit("1:"), "m.id"), "cls", "m.side"))
     )
-    wanted = pairs.select("doc_id").union(pairs.select("probe")).union(dealt.select("doc_id")).distinct()
+    wanted = pairs.select("cls").union(pairs.select("probe")).union(dealt.select("cls")).distinct().join(names, "cls")
     flags = spark.sparkContext.broadcast(_flags(wanted))
-    sets = texts.mapInArrow(_whole_sets(size, levels, flags), "doc_id long, shingles array<long>").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = tasks.join(sets, "doc_id").repartition("key").sortWithinPartitions("key").mapInArrow(_trie_links(percent), "a long, b long")
-    return rows, links
+    sets = texts.mapInArrow(_whole_sets(size, levels, flags), "doc_id long, d1 long, d2 long, shingles array<long>").dropDuplicates(one_set)
+    called = tasks.join(names, "cls").join(sets, one_set).select("key", "cls", "doc_id", "side", "shingles")
+    links = stored(called.repartition("key").sortWithinPartitions("key").mapInArrow(_trie_links(percent), LINKS), "links")
+    for used in (levels, flags):
+        used.destroy()
+    for done in (prefixes, dense, pairs, dealt):
+        discard(done)
+    return rows, classes, links
 
 
 def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, few: int = 64, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and class_id (least doc_id with the same set).
 
-    docs needs doc_id and text. A document with an empty set, or a null doc_id, is its own component. Repeated doc_ids
-    are one vertex; each of their rows is returned.
+    docs needs doc_id and text. A document with an empty set, or a null doc_id, is its own component. Rows that share a
+    doc_id are one document: what is linked with any of their texts is in one component. Each row is returned.
     """
-    rows, links = jaccard_links(docs, size, percent, few, block)
-    components = stored(connected_components(links, "a", "b"), "components")
+    rows, classes, links = jaccard_links(docs, size, percent, few, block)
+    sets = rows.where("n > 0 and doc_id is not null")
+    several = sets.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("one"), F.max(F.struct("d1", "d2")).alias("two")).where("one <> two").select("doc_id")
+    same = sets.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2", "n"]).select("doc_id", "class_id")
+    components = stored(connected_components(links.select("a_id", "b_id").union(same), "a_id", "b_id"), "components")
+    out = rows.join(classes, ["d1", "d2", "n"], "left")
     return (
-        rows.join(components, rows.class_id == components.vertex, "left")
+        out.join(components, out.class_id == components.vertex, "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
@@ -411,3 +429,15 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, few: int
             F.coalesce("class_id", "doc_id").alias("class_id"),
         )
     )
+
+
+def group_heads(docs: DataFrame, size: int = 5, percent: int = 80, few: int = 64, block: int = 512) -> DataFrame:
+    """(doc_id, mark) of one text of each group of linked texts, the one of least doc_id; mark is xxhash64 of the text.
+
+    Rows that share a doc_id are texts of their own. Rows without words or doc_id are in no group.
+    """
+    rows, classes, links = jaccard_links(docs, size, percent, few, block)
+    components = stored(connected_components(links, "a", "b"), "components")
+    grouped = classes.join(components, classes.cls == components.vertex, "left").select(F.coalesce("component", "cls").alias("group"), F.struct("class_id", "d1", "d2").alias("one"))
+    heads = grouped.groupBy("group").agg(F.min("one").alias("one")).select(F.col("one.class_id").alias("doc_id"), "one.d1", "one.d2")
+    return rows.join(heads, ["doc_id", "d1", "d2"]).groupBy("doc_id", "d1", "d2").agg(F.min("mark").alias("mark")).select("doc_id", "mark")

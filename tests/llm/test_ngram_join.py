@@ -64,3 +64,30 @@ def test_small_table_of_the_driver(spark, sf):
     rows = [(r.doc_id, r.text, 0) for r in docs.collect()]
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(docs).collect()}
     assert got == brute(rows)
+
+
+def test_rows_of_one_doc_id_keep_their_texts(spark):
+    from folioflow.llm.ngram_join import group_heads
+
+    one, two = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    near = lambda words, k: " ".join([*words[:k], "x", *words[k + 1 :]])
+    rows = [(5, " ".join(one), 0), (5, " ".join(two), 0), (6, near(one, 59), 0), (7, near(two, 59), 0), (5, " ".join(one), 1), (8, " ".join(one), 0), (9, None, 0)]
+    for _ in range(2):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+        got = sorted((r.doc_id, r.component_id) for r in ngram_components(df).collect())
+        assert got == [(5, 5), (5, 5), (5, 5), (6, 5), (7, 5), (8, 5), (9, 9)]
+        assert sorted(r.doc_id for r in group_heads(df).collect()) == [5, 5]
+        rows.reverse()
+
+
+def test_low_thresholds_and_wide_sizes(spark):
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(300)]
+    rows = [(k, " ".join(shared[: 30 + 3 * k] + [f"{k}w{j}" for j in range(rng.randrange(250))]), 0) for k in range(60)]
+    for percent in (10, 50, 100):
+        check_at(spark, rows, percent)
+
+
+def check_at(spark, rows, percent):
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(rows, SCHEMA), percent=percent, few=2, block=9).collect()}
+    assert got == brute(rows, percent=percent)
