@@ -10,10 +10,12 @@ A run is repeated if it has ``min_words`` words or more and an equal run begins
 lines are deleted. It is enough to look at runs that just reach ``min_words``, from each first line and from each last
 line: a longer repeated run is the union of those inside it, and they are repeated too.
 
-Ranks come from a range-partitioned sort and are written to the shared folder each round. Groups are pre-aggregated and
-joined back, so a run in a third of all documents meets in no single task. A document's own lines are one row.
-Rows with equal doc_id and text are one record; each comes back. Null texts stay null; empty lines count no words;
-extra columns are kept; an empty table gives no rows.
+Ranks come from a range-partitioned sort and are written to the shared folder each round. Names and their counts are
+pre-aggregated and written before they are joined back, so that Spark may split the partition of a line or run that a
+third of all documents hold. A document's own lines are one row.
+Rows with equal doc_id and text are one record; each comes back, with the same lines deleted. Rows with a null doc_id
+have no place in the order: they come back whole and delete nothing. Null texts stay null; empty lines count no words;
+extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.sources.workspace import small_batches, stored
+from folioflow.sources.workspace import discard, small_batches, stored
 
 MIN_WORDS = 50
 KEY = ["doc_id", "mark"]
@@ -83,9 +85,12 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         tail = suffixes.select(*KEY, F.col("pos").alias("tail"), F.col("rank").alias("r2"))
         named = runs.where(F.col("level") == level).withColumn("tail", F.col("start") + F.col("span") - block).join(head, [*KEY, "start"]).join(tail, [*KEY, "tail"])
         name = ["span", "r1", "r2"]
-        first = named.groupBy(*name).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*name, "first")
+        named = stored(named, "named")
+        first = stored(named.groupBy(*name).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select(*name, "first"), "first")
         later = stored(named.join(first, name).where(F.struct("doc_id", "mark", "start") != F.col("first")).select(*KEY, "start", "span"), "later")
         out = later if out is None else out.union(later)
+        for done in (named, first):
+            discard(done)
         if level == deepest:
             break
         ahead = suffixes.select(*KEY, (F.col("pos") - block).alias("pos"), F.col("rank").alias("next"))
@@ -93,7 +98,9 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         again = _ranked(paired.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("one"), F.col("next").alias("two")), "one", "two")
         again = stored(again, "ranks")
         pairs = paired.withColumnsRenamed({"rank": "one", "next": "two"})
-        suffixes = stored(pairs.join(again, ["one", "two"]).select(*KEY, "pos", "rank"), "suffixes")
+        shorter, suffixes = suffixes, stored(pairs.join(again, ["one", "two"]).select(*KEY, "pos", "rank"), "suffixes")
+        for done in (paired, again, shorter):
+            discard(done)
         if suffixes.isEmpty():
             break
     return out if out is not None else runs.select(*KEY, "start", "span")
