@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from folioflow.sources.workspace import shared_dir, small_batches
 
 UNIT = 64
+STEP = 1 << 16
 RATE = 8000
 UNKNOWN = "application/octet-stream"
 
@@ -110,16 +111,23 @@ def _bmp(d: bytes, at: int) -> int:
 
 
 def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
+    """To the last end mark before the next header: saved changes append further ones."""
+    after = d.find(b"%PDF-", at + 5)
+    end = d.rfind(b"%%EOF", at, after if after >= 0 else len(d))
     return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
 
 
 def _gzip(d: bytes, at: int) -> int:
+    """Inflates the member to its end in bounded steps, whatever its size; what comes out is thrown away."""
+    view, place, z = memoryview(d), at, zlib.decompressobj(31)
     try:
-        z = zlib.decompressobj(31)
-        room = 1 << 26  # output is thrown away; a longer one is no valid find
-        z.decompress(d[at:], room)
-        return len(d) - at - len(z.unused_data) if z.eof else 0
+        while place < len(d) and not z.eof:
+            part = view[place : place + STEP]
+            place += len(part)
+            z.decompress(part, STEP)
+            while z.unconsumed_tail and not z.eof:
+                z.decompress(z.unconsumed_tail, STEP)
+        return place - len(z.unused_data) - at if z.eof else 0
     except zlib.error:
         return 0
 
