@@ -2,8 +2,8 @@
 
 Characters are lower-cased code points, everything but letters is a space; n-grams of one to three fall into 2**16
 buckets. Training counts n-grams of all labelled rows inside the tasks; each task hands on one count array per language,
-and these are summed in two steps. The log-probability matrix (languages x 2**16 floats) is broadcast: labels are few by
-nature, and more than 2,000 of them are refused. Scoring gathers its rows for a batch of texts at once.
+and these are summed in two steps. The log-probability matrix is broadcast: 256 KB for each learned language, so its size
+follows the number of different labels and not the number of documents. Scoring gathers its rows for one text at a time.
 
 A null text, or one without a letter, is ``und`` with score 0; so is everything if no row is labelled. The score is the
 posterior with the likelihood weakened to that of at most 200 n-grams, so that it stays informative on long texts.
@@ -24,7 +24,6 @@ from folioflow.sources.workspace import small_batches
 BITS = 16
 ORDERS = (1, 2, 3)
 EVIDENCE = 200
-MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -97,13 +96,15 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.nd
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counted = rows.mapInArrow(_counts, kind)
     part = counted.repartition(32, "lang", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(_summed, kind)
-    whole = part.repartition(8, "lang").mapInArrow(_summed, kind).limit(MOST_LANGUAGES + 1).collect()
-    if len(whole) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    whole.sort(key=lambda r: r["lang"])
-    counts = np.array([np.frombuffer(r["counts"], "<i8") for r in whole], np.float64).reshape(len(whole), 1 << BITS) + smoothing
-    docs = np.array([r["docs"] for r in whole], np.float64)
-    return [r["lang"] for r in whole], np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32).copy(), np.log(docs / docs.sum()) if len(docs) else docs
+    names, docs, counts = [], [], []
+    for r in part.repartition(8, "lang").mapInArrow(_summed, kind).toLocalIterator():
+        names.append(r["lang"])
+        docs.append(float(r["docs"]))
+        row = np.frombuffer(r["counts"], "<i8") + smoothing
+        counts.append(np.log(row / row.sum()).astype(np.float32))
+    order = sorted(range(len(names)), key=names.__getitem__)
+    logs = np.array([counts[k] for k in order], np.float32).reshape(len(order), 1 << BITS).T.copy()
+    return [names[k] for k in order], logs, np.log(np.array([docs[k] for k in order]) / sum(docs)) if docs else np.zeros(0)
 
 
 def classify(texts: list[str | None], model) -> tuple[list[str], list[float]]:
