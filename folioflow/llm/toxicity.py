@@ -91,12 +91,13 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = plain_words(text)
             own.append(features_of(words, memo))
             other.append(features_of([swap.get(w, w) for w in words], memo) if any(w in swap for w in words) else [])
-        ints = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(own, ints), pa.array(other, ints)], names=["toxic", "own", "other"])
+        packed = ([np.array(x, "<i4").tobytes() for x in side] for side in (own, other))
+        yield pa.RecordBatch.from_arrays([batch["toxic"], *(pa.array(x, pa.binary()) for x in packed)], names=["toxic", "own", "other"])
 
 
-def _matrix(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
+def _matrix(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature number of each entry."""
+    return np.repeat(np.arange(len(packed), dtype=np.int32), [len(x) // 4 for x in packed]), np.frombuffer(b"".join(packed), "<i4")
 
 
 def telling(y: np.ndarray, row: np.ndarray, col: np.ndarray, chi: float = 25.0, least: int = 100) -> np.ndarray:
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, pull: float = 1.
         return zero, float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     sample = known.where(draw < F.when(F.col("toxic") == 1, most / sizes[1]).otherwise(most / sizes[0]))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(_labelled, "toxic int, own array<int>, other array<int>").collect()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(_labelled, "toxic int, own binary, other binary").collect()
     if len({r["toxic"] for r in rows}) < 2:
         return zero, float(np.log(share / (1 - share)))
     return fit(rows, share, pull)
