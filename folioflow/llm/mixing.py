@@ -27,9 +27,15 @@ from folioflow.sources.workspace import stored
 BLOCK = 128
 BUCKETS = 512
 CHUNK = 4096
-#: Weights of the sources in order, and primes near 2**31 for the permutations.
+#: Rows per source up to which they are broadcast.
+SOURCES = 200_000
+#: Weights of the sources in order.
 WEIGHTS = (3, 1, 2)
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+
+
+def beside(side: DataFrame) -> DataFrame:
+    """A stored table with few rows per source, broadcast if it's small enough; Spark picks the join otherwise."""
+    return F.broadcast(side) if side.count() <= SOURCES else side
 
 
 def word_count(text: Column) -> Column:
@@ -56,13 +62,28 @@ def targets(sizes: DataFrame, share: int = 150, most: int = 2) -> DataFrame:
     return filled.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def permuted(j: Column, n: Column, salt: Column) -> Column:
-    """A permutation of 0..n-1 that salt picks: an affine map with a prime factor and an offset.
+def permuted(j: Column, n: Column, salt: Column, rounds: int = 3, walks: int = 32) -> Column:
+    """A keyed permutation of 0..n-1: a Feistel network over a grid of about root n by root n cells.
 
-    The factors are primes of about 2**31, so none divides n while a source has fewer blocks than that.
+    A cell beyond n - 1 is walked on until one below comes out; such cells are fewer than a row of the grid, so 32 walks
+    are never used up in practice, and an error is raised if they are.
     """
-    factor = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(salt, F.lit(len(PRIMES))) + 1).cast("int"))
-    return F.pmod(j * F.pmod(factor, n) + F.pmod(F.shiftrightunsigned(salt, 8), n), n)
+    wide = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    high = F.ceil(n / wide).cast("long")
+
+    def turn(at: Column, k: Column) -> Column:
+        low = F.pmod(at["low"] + F.pmod(F.xxhash64(salt, k, at["up"]), wide), wide)
+        return F.transform(F.array(low), lambda low: F.struct(low.alias("low"), F.pmod(at["up"] + F.pmod(F.xxhash64(k, salt, low), high), high).alias("up")))[0]
+
+    def network(x: Column) -> Column:
+        start = F.struct(F.pmod(x, wide).alias("low"), F.floor(x / wide).alias("up"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda at: at["up"] * wide + at["low"])
+
+    def ended(x: Column) -> Column:
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), x, lambda x, _: F.when(x < n, x).otherwise(network(x)))
+        return F.when(x < n, x).otherwise(F.coalesce(F.filter(F.array(walked), lambda x: x < n)[0], F.raise_error(F.lit("the permutation did not end")).cast("long")))
+
+    return F.transform(F.array(network(j.cast("long"))), ended)[0]
 
 
 def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +104,7 @@ def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataF
         .withColumn("rest", F.pmod("more", F.lit(block)))
     )
     aimed = stored(aimed, "targets")
-    named = F.broadcast(aimed.select(F.col("source").alias("name"), "s", "source_size", "target"))
+    named = beside(aimed.select(F.col("source").alias("name"), "s", "source_size", "target"))
     starts = buckets.join(named, F.col("source").eqNullSafe(F.col("name"))).select("s", "bucket", (F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("first"))
     inside = Window.partitionBy("s", "bucket").orderBy("mark", "doc_id", "size")
     placed = (
@@ -122,12 +143,12 @@ def dealt(aimed: DataFrame, shards: int, seed: int) -> DataFrame:
         .withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "shard", "place"), F.col("total")))
         .withColumn("part", F.floor(F.col("at") / width))
     )
-    drawn = stored(places.join(F.broadcast(reach), "part").where("at >= lo and at < hi").groupBy("shard", "s").agg(F.count("*").alias("n")), "drawn")
+    drawn = stored(places.join(beside(reach), "part").where("at >= lo and at < hi").groupBy("shard", "s").agg(F.count("*").alias("n")), "drawn")
 
     per = Window.partitionBy("s")
     upto = per.orderBy(F.xxhash64(F.lit(seed), "s", "shard"), "shard").rowsBetween(Window.unboundedPreceding, 0)
     above = (
-        drawn.join(F.broadcast(ranges.select("s", "want")), "s")
+        drawn.join(beside(ranges.select("s", "want")), "s")
         .select("shard", "s", "n", "want", F.sum("n").over(upto).alias("upto"), F.sum("n").over(per).alias("got"))
         .where("got > want")
         .select("shard", "s", F.expr("(upto * (got - want)) div got - ((upto - n) * (got - want)) div got").alias("gone"))
@@ -149,7 +170,7 @@ def dealt(aimed: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def block_slots(aimed: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
     """(s, shard, slot, block, words): the source and block that each slot of an output shard reads, and words of it."""
-    held = dealt(aimed, shards, seed).join(F.broadcast(aimed.select("s", "blocks", "slots", "rest")), "s")
+    held = dealt(aimed, shards, seed).join(beside(aimed.select("s", "blocks", "slots", "rest")), "s")
     spread = held.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("s", "shard", "chunk")
     return (
         spread.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "n") - 1)))
@@ -189,7 +210,7 @@ def _packed(placed: DataFrame, aimed: DataFrame, block: int, shards: int, seed:
 def mixed_blocks(docs: DataFrame, share: int = 150, most: int = 2, block: int = BLOCK, shards: int = 64, seed: int = 11) -> DataFrame:
     """The packed mix: (shard, slot, source, block, words); a shard's slots are 0, 1, ...; words are parted by a space."""
     placed, aimed = _numbered(docs, share, most, block)
-    named = F.broadcast(aimed.select("s", "source"))
+    named = beside(aimed.select("s", "source"))
     return _packed(placed, aimed, block, shards, seed).join(named, "s").select("shard", "slot", "source", "block", "words")
 
 
