@@ -81,8 +81,7 @@ def test_shards(spark, docs, nothing):
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert all(r.grown_shard in (r.shard, 16) for r in rows) and sharding.shard_documents(nothing).count() == 0
-    owners = sharding._owners(16, 8192)
-    assert np.bincount(owners).tolist() == [512] * 16
+    assert np.bincount([r.shard for r in sharding.even_map(spark, 16).collect()]).tolist() == [512] * 16
     loads = spark.createDataFrame([(s, 10_000 if s < 40 else 100) for s in range(256)], "virtual_slot int, bytes long")
     mapped = sharding.even_map(spark, 4, 256)
     after = sharding.rebalanced(mapped, loads).join(loads, "virtual_slot").groupBy("shard").sum("bytes").collect()
@@ -230,3 +229,103 @@ def test_terms_follow_words():
         assert len(words) == len(ids)
         assert all(seen.setdefault(w, k) == k for w, k in zip(words, ids, strict=True))
     assert len(set(seen.values())) == len(seen)
+
+
+def test_shards_by_plain_values(spark, sf, tmp_path):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    data = {r.doc_id: (r.text or "").encode() for r in table.collect()}
+    now = {r.virtual_slot: r.shard for r in sharding.even_map(spark, 16).collect()}
+    grown = {r.virtual_slot: r.shard for r in sharding.grow(sharding.even_map(spark, 16)).collect()}
+    assert grown == {r.virtual_slot: r.shard for r in sharding.even_map(spark, 17).collect()}
+    rows = sharding.shard_documents(table).collect()
+    bytes_of: dict = {}
+    for r in rows:
+        assert (r.size, r.text_crc32, r.shard, r.grown_shard) == (len(data[r.doc_id]) + 1, zlib.crc32(data[r.doc_id]), now[r.virtual_slot], grown[r.virtual_slot])
+        bytes_of[r.shard] = bytes_of.get(r.shard, 0) + r.size
+    assert all(r.shard_bytes == bytes_of[r.shard] for r in rows)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.shard_documents(table.repartition(7)).collect()))
+    even = sharding.shard_evenly(table).collect()
+    assert {r.law for r in even} == {"bytes"} and len(even) == len(rows) and all(r.grown_shard is None for r in even)
+    heaviest = max(r.size for r in rows)
+    loads = {r.shard: r.shard_bytes for r in even}
+    assert max(loads.values()) <= max(1.03 * sum(loads.values()) / 16, heaviest) + heaviest
+    path = f"file://{tmp_path}/maps"
+    first = sharding.save_map(sharding.even_map(spark, 3, 64), path)
+    sharding.save_map(sharding.grow(first), path)
+    assert sharding.load_map(spark, path).first().version == 4 and sharding.load_map(spark, path, 3).count() == 64
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        sharding.save_map(sharding.even_map(spark, 3, 64), path)
+
+
+def test_equal_rows_are_placed_apart(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 8)
+    df = spark.createDataFrame([(None, "same")] * 50 + [(1, "a"), (1, "b"), (None, None)], "doc_id long, text string")
+    rows = sharding.shard_documents(df).collect()
+    assert len(rows) == 53
+    for s in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
+def test_permutations(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 5, 10, 17, 101, 1000):
+        for salt in (3, 4):
+            got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.xxhash64(F.lit(salt))).alias("x")).collect()]
+            assert sorted(got) == list(range(n))
+    far = spark.range(20).select(mixing.permuted(F.col("id") + 10**12, F.lit(10**13 + 7).cast("long"), F.lit(1).cast("long")).alias("x")).distinct()
+    assert far.where(f"x between 0 and {10**13 + 6}").count() == 20
+
+
+def test_long_members_and_saved_pdfs():
+    import gzip
+
+    large = gzip.compress(bytes(80 << 20)) + gzip.compress(b"next")
+    pdf = b"%PDF-1.4 x startxref 9 %%EOF more startxref 12 %%EOF"
+    machine = media.automaton()
+    found = media.sniffed(b"ab" + large + b"tail", machine)
+    assert [(a, t) for a, _, t in found] == [(2, "application/gzip"), (2 + len(gzip.compress(bytes(80 << 20))), "application/gzip")]
+    assert media.sniffed(pdf + b"junk" + pdf, machine) == [(0, len(pdf), "application/pdf"), (len(pdf) + 4, len(pdf), "application/pdf")]
+    assert media.sniffed(b"\x1f\x8b\x08" + bytes(20), machine) == []
+
+
+def test_line_dedup_edges(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"{long}\nx", 1, [0]), (1, f"{long}\nx", 1, [0]), (2, f"y\n{long}", 2, [5]), (2, f"{long}\nz", 3, [0]), (None, long, 0, [0]), (3, "x\ny", 0, [0])]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, start int, deleted_lines array<int>")).collect()
+    got = sorted((r.doc_id or 0, r.n_lines, tuple(r.deleted_lines)) for r in out)
+    # of the two texts of doc_id 1 (one record) the lines stay, twice; doc_id 2's copies go; rows without doc_id come back whole
+    assert got == [(0, 1, ()), (1, 2, ()), (1, 2, ()), (2, 2, (0,)), (2, 2, (1,)), (3, 2, ())]
+
+
+def test_counterfactual_pull(spark):
+    words = ["muslim", "christian", "jewish", "hindu"]
+    rows = [(i, f"{words[i % 4]} people {'vile' if (i % 4 == 0 and i % 5) or i % 17 == 0 else 'kind'} number {i % 7}") for i in range(400)]
+    labels = spark.createDataFrame([(i, int("vile" in t)) for i, t in rows], "doc_id long, toxic int")
+    table = spark.createDataFrame([*rows, *((1000 + k, f"{w} people kind") for k, w in enumerate(words))], "doc_id long, text string")
+    spread = {}
+    for pull in (0.0, 5.0):
+        found = [r.score for r in toxicity.score(table, labels, pull=pull).where("doc_id >= 1000").collect()]
+        spread[pull] = max(found) - min(found)
+    assert spread[5.0] < 0.5 * spread[0.0]
+
+
+def test_recall_of_paraphrases_against_exact_scan(spark):
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    items = {k: [rng.choice(vocabulary) for _ in range(rng.choice([15, 25, 40, 57, 120, 300]))] for k in range(400)}
+    texts = []
+    for k, item in items.items():
+        kept = [w if rng.random() > 0.2 else rng.choice(vocabulary) for w in item]
+        texts.append((k, [rng.choice(vocabulary) for _ in range(rng.randrange(20, 120))] + kept + [rng.choice(vocabulary) for _ in range(60)]))
+    texts += [(1000 + j, [rng.choice(vocabulary) for _ in range(200)]) for j in range(100)]
+    frame = lambda rows: spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    coded = {k: [w.encode() for w in item] for k, item in items.items()}
+    want = {(k, k) for k, words in texts if k in items and decontamination.judged(coded[k], [w.encode() for w in words])[1]}
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame(texts), frame(items.items()).withColumnRenamed("doc_id", "item_id")).collect()}
+    for low, high in ((0, 30), (30, 64), (64, 400)):
+        some = {p for p in want if low <= len(items[p[1]]) < high}
+        assert len(some & got) >= 0.9 * len(some) > 0
+    assert all(decontamination.judged(coded[i], [w.encode() for w in dict(texts)[d]])[1] for d, i in got)
