@@ -25,18 +25,22 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1 with five words and 0.8: the document with the least doc_id of each group stays.
 
-    Rows without a doc_id are in no group and stay; of rows that share a doc_id one stays.
+    Rows without words or doc_id are in no group and stay. Rows with one doc_id and different texts are told apart; of
+    rows equal in both, the least by all columns stays.
     """
-    groups = ngram_join.ngram_components(docs, size=5, percent=80)
-    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"] == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    heads = ngram_join.group_heads(docs, size=5, percent=80).select(F.col("doc_id").alias("head"), F.col("mark").alias("head_mark"))
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    kept = docs.where(~wordless).join(heads, (docs["doc_id"] == F.col("head")) & (F.xxhash64(docs["text"].cast("string")) == F.col("head_mark")), "left_semi")
+    once = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*(kept[c] for c in kept.columns))).alias("kept_row")).select("kept_row.*")
+    return once.unionByName(docs.where(wordless | F.col("doc_id").isNull()))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold a benchmark item go."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("leaked")), "left_anti")
+    """Operator 5: documents that hold a benchmark item go; rows are told apart by doc_id and text."""
+    marked = docs.withColumn("text_mark", F.xxhash64(F.col("text").cast("string")))
+    keyed = marked.select(F.xxhash64("doc_id", "text_mark").alias("doc_id"), "text")
+    found = decontamination.leaks(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leaked")).distinct()
+    return docs.join(found, F.xxhash64(docs["doc_id"], F.xxhash64(docs["text"].cast("string"))) == F.col("leaked"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: the shard and place of each row."""
-    return sharding.shard_documents(docs)
+    """Operator 9: the shard and place of each row, under a map rebalanced by bytes."""
+    return sharding.shard_evenly(docs)
 
 
 STAGES = [
