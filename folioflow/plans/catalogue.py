@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import joins, measures, select, sequences, vectors
 from folioflow.operators.graph import connected_components
+from folioflow.plans.registry import QUERIES, SQL, query  # noqa: F401
 from folioflow.sources.workspace import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _GRAMS = """
 w AS (SELECT {key} AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {table}),
 g AS (SELECT k, unnest(list_transform(range(1, len(w) - 11), lambda i: w[i:i + 12])) AS g FROM w WHERE len(w) >= 13),
