@@ -89,6 +89,17 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(sums, docs)
 
 
+def _log_shares(smoothing: float):
+    """The summed counts of a language as logarithms of smoothed shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _summed(batches):
+            rows = [np.frombuffer(raw, "<i8") + smoothing for raw in batch["counts"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["lang"], batch["docs"], pa.array([np.log(x / x.sum()).astype("<f4").tobytes() for x in rows], pa.binary())], names=["lang", "docs", "counts"])
+
+    return run
+
+
 def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (buckets x languages) and log priors, from all rows with text and lang."""
     kind = "lang string, docs long, counts binary"
@@ -96,15 +107,10 @@ def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.nd
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counted = rows.mapInArrow(_counts, kind)
     part = counted.repartition(32, "lang", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(_summed, kind)
-    names, docs, counts = [], [], []
-    for r in part.repartition(8, "lang").mapInArrow(_summed, kind).toLocalIterator():
-        names.append(r["lang"])
-        docs.append(float(r["docs"]))
-        row = np.frombuffer(r["counts"], "<i8") + smoothing
-        counts.append(np.log(row / row.sum()).astype(np.float32))
-    order = sorted(range(len(names)), key=names.__getitem__)
-    logs = np.array([counts[k] for k in order], np.float32).reshape(len(order), 1 << BITS).T.copy()
-    return [names[k] for k in order], logs, np.log(np.array([docs[k] for k in order]) / sum(docs)) if docs else np.zeros(0)
+    whole = sorted(part.repartition(8, "lang").mapInArrow(_log_shares(smoothing), kind).collect(), key=lambda r: r["lang"])  # a row per language
+    logs = np.array([np.frombuffer(r["counts"], "<f4") for r in whole], np.float32).reshape(len(whole), 1 << BITS).T.copy()
+    docs = np.array([r["docs"] for r in whole], np.float64)
+    return [r["lang"] for r in whole], logs, np.log(docs / docs.sum()) if len(docs) else docs
 
 
 def classify(texts: list[str | None], model) -> tuple[list[str], list[float]]:
