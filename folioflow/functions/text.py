@@ -27,11 +27,6 @@ def html_text(html: Column) -> Column:
     return collapsed(F.regexp_replace(plain, "(?s)<[^>]*>", " "))
 
 
-def error_rate(truth: Column, text: Column) -> Column:
-    """Edits over the truth's length (one at least)."""
-    return F.levenshtein(truth, text) / F.greatest(F.lit(1), F.length(truth))
-
-
 def seeded_rank(seed: str, *parts: Column) -> Column:
     """A pseudorandom rank: SHA-256 of the seed and the parts with NUL between."""
     return F.sha2(F.concat_ws("\0", F.lit(seed), *(p.cast("string") for p in parts)), 256)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import word_list
+from folioflow.sources.workspace import stored
 
 
 def remaining(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -19,49 +20,71 @@ def inventory(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(seen, key, "left").groupBy(F.when(F.col("found"), "done").otherwise("missing").alias("status")).agg(F.count("*").alias("n"))
 
 
-def merged(base: DataFrame, newer: DataFrame, key: str, value: str) -> DataFrame:
-    """Upsert: the newer value wins where both have the key; keys of either side stay."""
-    return base.select(key, F.col(value).alias("old")).join(newer.select(key, F.col(value).alias("new")), key, "full").select(key, F.coalesce("new", "old").alias(value), F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "kept").otherwise("updated").alias("action"))
+def merged(base: DataFrame, newer: DataFrame, key: str, value: str, strict: bool = False) -> DataFrame:
+    """Upsert: the newer value wins where both have the key; keys of either side stay. strict refuses keys that only the newer side has."""
+    both = base.select(key, F.col(value).alias("old")).join(newer.select(key, F.col(value).alias("new")), key, "full").select(key, F.coalesce("new", "old").alias(value), F.when(F.col("old").isNull(), F.raise_error(F.lit("a new row matches no old one")).cast("string") if strict else F.lit("inserted")).when(F.col("new").isNull(), "kept").otherwise("updated").alias("action"))
+    return both
 
 
-def word_grams(docs: DataFrame, key: str, size: int = 13, distinct_words: int = 8) -> DataFrame:
-    """(key, gram): distinct word n-grams of lower-cased ASCII words with enough distinct words."""
+BROADCAST = 2_000_000
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """A stored frame, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def word_grams(docs: DataFrame, key: str, size: int = 13) -> DataFrame:
+    """(key, at, hash, w): a hash of every run of ``size`` lower-cased ASCII words; w are the text's words."""
     words = docs.select(key, word_list(F.col("text")).alias("w")).where(F.size("w") >= size)
-    grams = words.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("g"))
-    return grams.where(F.size(F.array_distinct("g")) >= distinct_words).select(key, F.array_join("g", " ").alias("gram")).distinct()
+    return words.select(key, "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, size)))).alias("at", "hash"))
 
 
-def contaminated(docs: DataFrame, reference: DataFrame, key: str, ref_key: str, size: int = 13, least: int = 3) -> DataFrame:
+def contaminated(docs: DataFrame, reference: DataFrame, key: str, ref_key: str, size: int = 13, least: int = 3, distinct_words: int = 8) -> DataFrame:
     """Documents that share ``least`` or more distinct n-grams with the reference, and the item they share most with.
 
-    Grams are joined as text; the reference's grams are the smaller side and Spark picks the join. Ties of the item go
-    to the smallest id.
+    A gram counts for the first item that has it. Grams of documents are hashed and met with the reference's hashes
+    where they are read (a broadcast while the reference has few grams); only what is left is compared as text and
+    shuffled. Ties of the item go to the smallest id.
     """
-    hits = word_grams(docs, key, size).join(word_grams(reference, ref_key, size), "gram")
-    by_doc = hits.groupBy(key).agg(F.countDistinct("gram").alias("hits")).where(F.col("hits") >= least)
+    gram = F.slice("w", F.col("at") + 1, size)
+    some = word_grams(reference, ref_key, size).select(ref_key, "hash", gram.alias("g")).where(F.size(F.array_distinct("g")) >= distinct_words)
+    known = stored(some.groupBy("hash", F.array_join("g", " ").alias("gram")).agg(F.min(ref_key).alias(ref_key)), "grams")
+    met = word_grams(docs, key, size).join(beside(known.select("hash").distinct()), "hash", "left_semi").select(key, "hash", F.array_join(gram, " ").alias("gram"))
+    hits = met.distinct().join(known, ["hash", "gram"])
     by_item = hits.groupBy(key, ref_key).agg(F.count("*").alias("shared"))
-    top = by_item.groupBy(key).agg(F.min_by(ref_key, F.struct(-F.col("shared"), F.col(ref_key))).alias("top_item"))
-    return by_doc.join(top, key)
+    top = F.min_by(ref_key, F.struct(-F.col("shared"), F.col(ref_key)))
+    return by_item.groupBy(key).agg(F.sum("shared").alias("hits"), top.alias("top_item")).where(F.col("hits") >= least)
+
+
+BITS = 60
 
 
 def simhash(docs: DataFrame, key: str) -> DataFrame:
-    """(key, simhash): 32 bits from crc32 of the distinct words of a text, by majority."""
-    words = docs.select(key, F.explode(F.array_distinct(word_list(F.col("text")))).alias("w")).select(key, F.crc32("w").alias("h"))
-    votes = [F.sum(F.shiftright("h", b).bitwiseAND(1) * 2 - 1).alias(f"b{b}") for b in range(32)]
-    bits = sum((F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(32)), F.lit(0))
-    return words.groupBy(key).agg(*votes).select(key, bits.cast("long").alias("simhash"))
+    """(key, simhash): 60 bits by majority over the MD5 of a text's distinct words; texts without words have no row."""
+    words = docs.select(key, F.explode(F.array_distinct(word_list(F.col("text")))).alias("w")).select(key, F.conv(F.substring(F.md5("w"), 1, BITS // 4), 16, 10).cast("long").alias("h"))
+    votes = [F.sum(F.shiftright("h", b).bitwiseAND(1) * 2 - 1).alias(f"b{b}") for b in range(BITS)]
+    bits = F.lit(0).cast("long")
+    for b in range(BITS):
+        bits = bits + F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0))
+    return words.groupBy(key).agg(*votes).select(key, bits.alias("simhash"))
 
 
-def near_by_hamming(left: DataFrame, right: DataFrame, left_key: str, right_key: str, most: int = 3) -> DataFrame:
-    """Pairs whose 32-bit hashes differ in at most ``most`` bits: equi-joins on ``most + 1`` bands, then an exact count."""
-    bands, width = most + 1, 32 // (most + 1)
+def near_by_hamming(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(one, two, distance): distinct hashes (simhash) of either side that differ in at most ``most`` bits.
+
+    Of ``most + 2`` bands two are equal at least; rows meet on every pair of equal bands, then bits are counted.
+    """
+    bands = most + 2
+    cuts = [BITS * k // bands for k in range(bands + 1)]
+    part = lambda k: F.shiftright("simhash", cuts[k]).bitwiseAND((1 << cuts[k + 1] - cuts[k]) - 1)
 
-    def banded(df: DataFrame, k: str) -> DataFrame:
-        band = [F.struct(F.lit(b).alias("band"), F.shiftright("simhash", b * width).bitwiseAND((1 << width) - 1 if b < bands - 1 else (1 << 32 - b * width) - 1).alias("part")) for b in range(bands)]
-        return df.select(F.col(k), F.col("simhash").alias(f"{k}_hash"), F.explode(F.array(*band)).alias("s")).select(k, f"{k}_hash", "s.band", "s.part")
+    def banded(df: DataFrame, name: str) -> DataFrame:
+        keys = [F.struct(F.lit(i * bands + j).alias("pair"), part(i).alias("i"), part(j).alias("j")) for i in range(bands) for j in range(i + 1, bands)]
+        return df.select(F.col("simhash").alias(name), F.explode(F.array(*keys)).alias("key"))
 
-    distance = F.bit_count(F.col(f"{left_key}_hash").bitwiseXOR(F.col(f"{right_key}_hash")))
-    return banded(left, left_key).join(banded(right, right_key), ["band", "part"]).withColumn("distance", distance.cast("int")).where(F.col("distance") <= most).select(left_key, right_key, "distance").distinct()
+    distance = F.bit_count(F.col("one").bitwiseXOR(F.col("two"))).cast("int")
+    return banded(left, "one").join(banded(right, "two"), "key").select("one", "two", distance.alias("distance")).where(F.col("distance") <= most).distinct()
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
@@ -72,8 +95,17 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> Da
 
 
 def null_tolerant(settings: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of settings that agree with a wanted row, whose nulls stand for anything."""
-    match: Column = F.lit(True)
-    for c in columns:
-        match = match & (wanted[c].isNull() | wanted[c].eqNullSafe(settings[c]))
-    return settings.join(F.broadcast(wanted.limit(1000)), match, "left_semi")
+    """Rows of settings that agree with a wanted row, whose nulls stand for anything: one equi-join per set of null columns."""
+    shape = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns))
+    once = wanted.select(*columns, shape.alias("shape")).distinct()
+    rows, earlier = settings.limit(0), []
+    for (pattern,) in sorted(once.select("shape").distinct().collect()):  # 2 ** columns at most
+        named = [c for c, bit in zip(columns, pattern, strict=True) if bit == "0"]
+        if not named:
+            return settings
+        some, left = once.where(F.col("shape") == pattern).select(*named), settings
+        for other, names in earlier:
+            left = left.join(other, names, "left_anti")
+        rows = rows.unionByName(left.join(some, named, "left_semi"))
+        earlier.append((some, named))
+    return rows

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators.sampling import running
+
 
 def rates(df: DataFrame, group: str, edits: Column, length: Column) -> DataFrame:
     """Micro (ratio of sums) and macro (mean of ratios) rates by group, over rows with a length."""
@@ -19,14 +21,21 @@ def rates(df: DataFrame, group: str, edits: Column, length: Column) -> DataFrame
 
 
 def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Median, linear p10 and nearest-rank p95 by group."""
-    near = Window.partitionBy(group).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("rn", F.row_number().over(near)).withColumn("n", F.count("*").over(Window.partitionBy(group)))
-    return ranked.groupBy(group).agg(
-        F.round(F.percentile(value, 0.5), 6).alias("median"),
-        F.round(F.percentile(value, 0.1), 6).alias("p10"),
-        F.round(F.max(F.when(F.col("rn") == F.ceil(0.95 * F.col("n")), F.col(value))), 6).alias("p95"),
-    )
+    """Median, linear p10 and nearest-rank p95 by group.
+
+    Rows are ranked over range partitions of (group, value), so a group may lie in many tasks; only the rows at the ranks
+    that are asked for meet by group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(group, value)
+    ranked = running(rows.withColumn("one", F.lit(1)), [group, value], place=("sum", F.col("one")))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per group
+    at = ranked.join(sizes.withColumn("first", first), group).withColumn("rank", F.col("place") - F.col("first") - 1)
+    where = lambda q: (F.col("n") - 1) * q
+    pick = lambda q, side: F.max(F.when(F.col("rank") == side(where(q)), F.col(value)))
+    line = lambda q: pick(q, F.floor) + (pick(q, F.ceil) - pick(q, F.floor)) * F.max(where(q) - F.floor(where(q)))
+    near = F.max(F.when(F.col("rank") == F.ceil(0.95 * F.col("n")) - 1, F.col(value)))
+    return at.groupBy(group).agg(F.round(line(0.5), 6).alias("median"), F.round(line(0.1), 6).alias("p10"), F.round(near, 6).alias("p95"))
 
 
 def moments(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -78,13 +87,13 @@ def rank_biserial(df: DataFrame, group: str, flag: Column, value: str) -> DataFr
     return wins.groupBy(group).agg(F.round(2 * F.sum("wins") / F.nullif(pairs, F.lit(0.0)) - 1, 6).alias("rank_biserial"))
 
 
-def log_sum_exp(df: DataFrame, group: str, chunk: Column, value: str) -> DataFrame:
+def log_sum_exp(df: DataFrame, group: str, chunk: Column, value: str, digits: int = 6) -> DataFrame:
     """The softmax denominator's logarithm per group, merged from chunks that each hold (maximum, sum of exp(x - maximum))."""
     top = df.select(group, chunk.alias("chunk"), value)
     parts = top.join(top.groupBy(group, "chunk").agg(F.max(value).alias("m")), [group, "chunk"]).groupBy(group, "chunk", "m").agg(F.sum(F.exp(F.col(value) - F.col("m"))).alias("s"))
     merged = parts.groupBy(group).agg(F.max("m").alias("top"), F.collect_list(F.struct("m", "s")).alias("parts"))
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["s"] * F.exp(p["m"] - F.col("top")))
-    return merged.select(group, F.round(F.col("top") + F.ln(total), 6).alias("log_sum_exp"))
+    return merged.select(group, F.round(F.col("top") + F.ln(total), digits).alias("log_sum_exp"))
 
 
 def best_threshold(df: DataFrame, group: str, score: Column, truth: Column, grid: list[float], least_precision: float) -> DataFrame:

@@ -31,12 +31,6 @@ def hash_split(key: Column) -> Column:
     return F.when(left < 70, "train").when(left < 85, "val").otherwise("test")
 
 
-def prefix_to_target(df: DataFrame, amount: str, target: float, *order: str) -> DataFrame:
-    """Rows in order up to the first whose running sum reaches the target. The order is global: for ranked short lists."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(amount).over(w)).where(F.col("running") - F.col(amount) < target)
-
-
 def round_robin(df: DataFrame, group: str, k: int, *order: str) -> DataFrame:
     """Groups take turns: the first row of every group, then the second, to k rows each."""
     return top_k(df, group, k, *map(F.col, order))

@@ -80,9 +80,3 @@ def moving_average(df: DataFrame, by: str, at: list[str], value: str, alpha: flo
     start = F.get("rows", F.lit(0))[value].cast("double")
     fold = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(1))), start, lambda acc, r: acc * (1 - alpha) + r[value] * alpha)
     return rows.select(by, F.round(fold, 6).alias("ema"))
-
-
-def contiguous_index(df: DataFrame, index: str, arrival: str) -> DataFrame:
-    """Ordered emission: when each index may leave, given that indexes leave in order."""
-    w = Window.orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(index, F.max(arrival).over(w).alias("leaves_at"))

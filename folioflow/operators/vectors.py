@@ -41,8 +41,182 @@ def argmax_first(v: Column) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
-def gram_matrix(df: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
+def gram_matrix(df: DataFrame, group: str, vector: str, dims: int, digits: int = 6) -> DataFrame:
     """Mean of X^T X over the first dims, by group: two explodes of a fixed width, summed on the map side."""
     x = F.transform(F.slice(vector, 1, dims), lambda a: a.cast("double"))
     cells = F.flatten(F.transform(x, lambda a, i: F.transform(x, lambda b, j: F.struct(i.alias("i"), j.alias("j"), (a * b).alias("v")))))
-    return df.select(group, F.explode(cells).alias("c")).groupBy(group, "c.i", "c.j").agg(F.round(F.avg("c.v"), 6).alias("gram"))
+    return df.select(group, F.explode(cells).alias("c")).groupBy(group, "c.i", "c.j").agg(F.round(F.avg("c.v"), digits).alias("gram"))
+
+
+def total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+
+def doubles(v: Column) -> Column:
+    return F.transform(v, lambda x: x.cast("double"))
+
+
+def axpy(a: Column, x: Column, y: Column) -> Column:
+    """y + a x."""
+    return F.zip_with(x, y, lambda p, q: q.cast("double") + a * p.cast("double"))
+
+
+def squared_relu_glu(gate: Column, up: Column) -> Column:
+    """max(gate, 0) squared times up, entry by entry; a gate that is no number counts as 0."""
+    open_ = lambda g: F.when(F.isnan(g), 0.0).otherwise(F.greatest(g, F.lit(0.0)))
+    return F.zip_with(gate, up, lambda g, u: open_(g.cast("double")) * open_(g.cast("double")) * u.cast("double"))
+
+
+def dequantized(parts: Column) -> Column:
+    """Codes times scales of the blocks of ``quantized``."""
+    return F.flatten(F.transform(parts, lambda p: F.transform(p["codes"], lambda c: c * p["scale"])))
+
+
+def quantized_dot(parts: Column, x: Column, block: int = 32) -> Column:
+    """Dot product of coded blocks with a plain vector: one scale per block."""
+    own = lambda i: F.slice(x, i * block + 1, block)
+    return total(F.transform(parts, lambda p, i: p["scale"] * dot(p["codes"], own(i))))
+
+
+def with_exceptions(v: Column, columns: list[int], block: int = 32, top: int = 127) -> Column:
+    """Blocks coded without some columns (their codes are 0), which are kept as they are: struct(parts, columns, values)."""
+    kept = F.array(*map(F.lit, sorted(set(columns))))
+    rest = F.transform(v, lambda x, i: F.when(F.array_contains(kept, i), 0.0).otherwise(x.cast("double")))
+    return F.struct(quantized(rest, block, top).alias("parts"), kept.alias("columns"), F.transform(kept, lambda k: F.get(v, k).cast("double")).alias("values"))
+
+
+def restored(coded: Column) -> Column:
+    """The vector of ``with_exceptions``: codes times scales, exact columns over them."""
+    return F.transform(dequantized(coded["parts"]), lambda x, i: F.when(F.array_contains(coded["columns"], i), F.element_at(coded["values"], F.array_position(coded["columns"], i).cast("int"))).otherwise(x))
+
+
+def packed_nibbles(codes: Column) -> Column:
+    """Codes of -8..7, two to a byte, the first in the low half."""
+    return F.transform(F.sequence(F.lit(0), F.size(codes) - 1, F.lit(2)), lambda i: F.get(codes, i).bitwiseAND(15) + F.shiftleft(F.get(codes, i + 1).bitwiseAND(15), 4))
+
+
+def nibble(byte: Column, high: bool) -> Column:
+    """A half of a byte with its sign."""
+    half = F.shiftright(byte, 4) if high else byte.bitwiseAND(15)
+    return F.when(half > 7, half - 16).otherwise(half)
+
+
+def unpacked_nibbles(data: Column) -> Column:
+    return F.flatten(F.transform(data, lambda b: F.array(nibble(b, False), nibble(b, True))))
+
+
+def bf16(x: Column) -> Column:
+    """A number with eight bits of mantissa, halves to even (normal numbers)."""
+    x = x.cast("double")
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - 7)
+    return F.when(x == 0, 0.0).otherwise(F.rint(x / unit) * unit)
+
+
+def fast_hadamard(v: Column, size: int = 32) -> Column:
+    """Walsh-Hadamard transform of one block in log2(size) passes of sums and differences, scaled by the block's root."""
+    def passed(v: Column, k: int) -> Column:
+        return F.transform(F.array(v), lambda w: F.transform(w, lambda x, i: F.when(i.bitwiseAND(k) == 0, x + F.get(w, i + k)).otherwise(F.get(w, i - k) - x)))[0]
+
+    v, k = doubles(v), 1
+    while k < size:
+        v, k = passed(v, k), 2 * k
+    return F.transform(v, lambda x: x / size**0.5)
+
+
+def signs(seed: int, size: int = 32) -> list[int]:
+    """+1 or -1 from the top bits of a 64-bit mixing generator."""
+    return [1 - 2 * (splitmix(seed + k) >> 63) for k in range(size)]
+
+
+def splitmix(state: int) -> int:
+    """One step of the 64-bit split-mix generator; its constants are fixed values."""
+    z = (state + 0x9E3779B97F4A7C15) & (1 << 64) - 1
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+    return z ^ z >> 31
+
+
+def rotated(v: Column, seed: int, size: int = 32) -> Column:
+    """Signs flipped, then transformed."""
+    flips = F.array(*(F.lit(float(s)) for s in signs(seed, size)))
+    return fast_hadamard(F.zip_with(v, flips, lambda x, s: x.cast("double") * s), size)
+
+
+def unrotated(v: Column, seed: int, size: int = 32) -> Column:
+    """The inverse of ``rotated``."""
+    flips = F.array(*(F.lit(float(s)) for s in signs(seed, size)))
+    return F.zip_with(fast_hadamard(v, size), flips, lambda x, s: x * s)
+
+
+def crest(block: Column) -> Column:
+    """Largest magnitude over the root mean square."""
+    return F.array_max(F.transform(block, lambda x: F.abs(x.cast("double")))) / F.sqrt(dot(block, block) / F.size(block))
+
+
+def relative(error: Column, reference: Column) -> Column:
+    """Length of the error over that of the reference."""
+    return F.sqrt(dot(error, error) / dot(reference, reference))
+
+
+def clipped_error(block: Column, factor: float, top: int = 7) -> Column:
+    """Squared error of a block coded with its scale shrunk by a factor."""
+    scale = F.array_max(F.transform(block, lambda x: F.abs(x.cast("double")))) * factor / top
+    back = lambda x: F.greatest(F.least(F.rint(x / scale), F.lit(float(top))), F.lit(-float(top))) * scale
+    return F.when(scale > 0, total(F.transform(block, lambda x: (x.cast("double") - back(x.cast("double"))) * (x.cast("double") - back(x.cast("double")))))).otherwise(0.0)
+
+
+def best_clip(block: Column, factors: tuple[float, ...] = (1.0, 0.95, 0.9, 0.85, 0.8)) -> Column:
+    """The factor of least squared error, the first of equals."""
+    return F.array_min(F.array(*(F.struct(clipped_error(block, f).alias("error"), F.lit(k).alias("k"), F.lit(f).alias("factor")) for k, f in enumerate(factors))))["factor"]
+
+
+def attention(rows: DataFrame, by: str, at: str, vector: str, sink: float = 0.0) -> DataFrame:
+    """(by, at, output): each row's softmax average of the vectors of its sequence up to itself, with a sink logit.
+
+    A sequence is one row of bounded length while it's computed; the sums are rescaled by the largest logit, so
+    nothing overflows.
+    """
+    scale = F.sqrt(F.size("own").cast("double"))
+    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(vector).alias("x")))).alias("sequence"))
+    asked = lists.select(by, "sequence", F.explode("sequence").alias("q")).select(by, F.col("q.at").alias(at), F.col("q.x").alias("own"), F.filter("sequence", lambda s: s["at"] <= F.col("q.at")).alias("seen"))
+    scored = asked.withColumn("logits", F.transform("seen", lambda s: dot(s["x"], F.col("own")) / scale))
+    top = scored.withColumn("top", F.greatest(F.array_max("logits"), F.lit(sink)))
+    shares = top.withColumn("e", F.transform("logits", lambda z: F.exp(z - F.col("top")))).withColumn("whole", total(F.col("e")) + F.exp(sink - F.col("top")))
+    zero = F.transform("own", lambda x: F.lit(0.0))
+    output = F.aggregate(F.arrays_zip("e", "seen"), zero, lambda acc, r: axpy(r["e"] / F.col("whole"), r["seen"]["x"], acc))
+    return shares.select(by, at, output.alias("output"))
+
+
+def block_bounds(rows: DataFrame, block: str, vector: str, dims: int) -> DataFrame:
+    """Least and greatest value of every coordinate of a block of rows: what a scan needs to skip it."""
+    cells = rows.select(block, F.posexplode(vector).alias("i", "x")).groupBy(block, "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c))), lambda r: r[c])
+    return cells.groupBy(block).agg(ordered("low").alias("low"), ordered("high").alias("high"))
+
+
+def bound(query: Column, low: Column, high: Column) -> Column:
+    """The greatest dot product that a vector inside the bounds can have with the query."""
+    best = F.zip_with(low, high, lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b")))
+    return total(F.zip_with(query, best, lambda q, r: F.greatest(q.cast("double") * r["a"], q.cast("double") * r["b"])))
+
+
+def screened(rows: DataFrame, asked: DataFrame, key: str, vector: str, queries: int = 64) -> DataFrame:
+    """(q, best, score): the row of greatest dot product with each asked vector, other than itself; ties go to the least key.
+
+    Asked vectors come in blocks of ``queries``, a block to a row, which every row meets. Codes of eight bits give each
+    product within a bound of their rounding; only rows whose upper bound reaches the best lower bound that their task
+    group has seen are scored exactly. The bound never drops a winner.
+    """
+    n = max(1, -(-asked.count() // queries))
+    numbered = asked.select(F.col(key).alias("q"), F.col(vector).alias("a"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("q", "a")).alias("asked"))
+    parts = rows.select(key, vector, quantized(F.col(vector)).alias("parts")).select(key, vector, dequantized(F.col("parts")).alias("coded"))
+    coded = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    slack = F.aggregate(F.zip_with(vector, "coded", lambda x, c: F.abs(x.cast("double") - c)), F.lit(0.0), lambda s, e: F.greatest(s, e))
+    met = coded.withColumn("slack", slack).join(blocks, "block")
+    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    near = met.select(key, vector, "slack", "coded", F.explode("asked").alias("x")).where(F.col(key) != F.col("x.q")).select(key, vector, "x.q", "x.a", dot(F.col("x.a"), F.col("coded")).alias("near"), (F.col("slack") * size(F.col("x.a"))).alias("off"))
+    least = near.groupBy("q").agg(F.max(F.col("near") - F.col("off")).alias("least"))
+    able = near.join(least, "q").where(F.col("near") + F.col("off") >= F.col("least") - 1e-9)
+    best = able.select("q", key, dot(F.col("a"), F.col(vector)).alias("d")).groupBy("q").agg(F.min(F.struct((-F.col("d")).alias("m"), F.col(key).alias("k"))).alias("b"))
+    return best.select("q", F.col("b.k").alias("best"), F.round(-F.col("b.m"), 6).alias("score"))

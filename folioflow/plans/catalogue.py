@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import joins, measures, select, sequences, vectors
+from folioflow.operators import joins, measures, sampling, select, sequences, vectors
 from folioflow.operators.graph import connected_components
 from folioflow.plans.registry import QUERIES, SQL, query  # noqa: F401
-from folioflow.sources.workspace import table
+from folioflow.sources.workspace import stored, table
 
-_GRAMS = """
-w AS (SELECT {key} AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {table}),
-g AS (SELECT k, unnest(list_transform(range(1, len(w) - 11), lambda i: w[i:i + 12])) AS g FROM w WHERE len(w) >= 13),
-grams AS (SELECT DISTINCT k, array_to_string(g, ' ') AS gram FROM g WHERE len(list_distinct(g)) >= 8)"""
-
-
-def _gram_ctes(name: str, key: str, source: str) -> str:
-    return _GRAMS.format(key=key, table=source).replace("w AS", f"w_{name} AS", 1).replace("FROM w ", f"FROM w_{name} ").replace("g AS (SELECT k, unnest", f"g_{name} AS (SELECT k, unnest").replace("grams AS", f"grams_{name} AS").replace("FROM g ", f"FROM g_{name} ")
+def _grams(name: str, key: str, source: str) -> str:
+    """CTEs: the distinct 13-word grams (with eight distinct words) of a table's texts."""
+    return f"""
+w_{name} AS (SELECT {key} AS k, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {source}),
+g_{name} AS (SELECT k, unnest(list_transform(range(1, len(w) - 11), lambda i: w[i:i + 12])) AS g FROM w_{name} WHERE len(w) >= 13),
+grams_{name} AS (SELECT DISTINCT k, array_to_string(g, ' ') AS gram FROM g_{name} WHERE len(list_distinct(g)) >= 8)"""
 
 
 @query(f"""
-WITH {_gram_ctes("d", "doc_id", "documents")}, {_gram_ctes("b", "item_id", "benchmark")},
-h AS (SELECT d.k AS doc_id, b.k AS item_id, d.gram FROM grams_d d JOIN grams_b b USING (gram)),
-n AS (SELECT doc_id, count(DISTINCT gram) AS hits FROM h GROUP BY doc_id HAVING count(DISTINCT gram) >= 3),
+WITH {_grams("d", "doc_id", "documents")}, {_grams("b", "item_id", "benchmark")}, f AS (SELECT gram, min(k) AS item_id FROM grams_b GROUP BY gram),
+h AS (SELECT d.k AS doc_id, f.item_id, d.gram FROM grams_d d JOIN f USING (gram)),
+n AS (SELECT doc_id, count(*) AS hits FROM h GROUP BY doc_id HAVING count(*) >= 3),
 t AS (SELECT doc_id, item_id, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, item_id) AS rn FROM h GROUP BY doc_id, item_id)
 SELECT n.doc_id, n.hits, t.item_id AS top_item FROM n JOIN t ON n.doc_id = t.doc_id AND t.rn = 1""")
 def decontam_13gram(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,21 +45,6 @@ def missing_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return joins.inventory(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("""
-WITH a AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0)
-SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, round(coalesce(b.o_totalprice, a.o_totalprice), 4) AS o_totalprice,
-CASE WHEN a.o_orderkey IS NULL THEN 'inserted' WHEN b.o_orderkey IS NULL THEN 'kept' ELSE 'updated' END AS action FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""")
-def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    out = joins.merged(orders.where("o_orderkey % 3 <> 0"), orders.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), "o_orderkey", "o_totalprice")
-    return out.withColumn("o_totalprice", F.round("o_totalprice", 4))
-
-
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 6")
-def unique_key_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 6")
-
-
 @query("SELECT doc_id, quality, toxic FROM labels WHERE quality = 1 AND toxic = 0 OR toxic = 1")
 def null_tolerant_match(spark: SparkSession, sf: str) -> DataFrame:
     wanted = spark.createDataFrame([(1, 0), (None, 1)], "quality int, toxic int")
@@ -79,32 +62,6 @@ def normalized_dedup_keep_first(spark: SparkSession, sf: str) -> DataFrame:
     return select.keep_first(table(spark, sf, "documents").select("doc_id", "lang", norm.alias("h")), F.col("h"), "doc_id").select("doc_id", "lang")
 
 
-@query()
-def pairwise_dup_audit(spark: SparkSession, sf: str) -> DataFrame:
-    docs = joins.simhash(table(spark, sf, "documents").dropDuplicates(["text"]), "doc_id")
-    return joins.near_by_hamming(docs, docs.withColumnRenamed("doc_id", "other"), "doc_id", "other", 3).where("doc_id < other")
-
-
-@query()
-def blocklist_hamming_anti(spark: SparkSession, sf: str) -> DataFrame:
-    docs = joins.simhash(table(spark, sf, "documents"), "doc_id")
-    blocked = joins.near_by_hamming(docs, joins.simhash(table(spark, sf, "benchmark"), "item_id"), "doc_id", "item_id", 3)
-    return docs.join(blocked, "doc_id", "left_anti").select("doc_id")
-
-
-@query("""
-WITH RECURSIVE n AS (SELECT doc_id, md5(text) AS k FROM documents UNION ALL SELECT doc_id, 'n:' || n_chars FROM documents WHERE n_chars > 2000),
-e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.k = b.k WHERE a.doc_id <> b.doc_id),
-r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
-m AS (SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x)
-SELECT doc_id, component FROM m WHERE doc_id IN (SELECT a FROM e)""")
-def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    keys = docs.select("doc_id", F.md5("text").alias("k")).union(docs.where("n_chars > 2000").select("doc_id", F.concat(F.lit("n:"), "n_chars")))
-    hubs = keys.groupBy("k").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return connected_components(keys.join(hubs, "k").select("doc_id", "hub"), "doc_id", "hub").select(F.col("vertex").alias("doc_id"), "component")
-
-
 @query("""
 WITH s AS (SELECT CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'test' END AS split, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT line, count(*) AS n FROM s WHERE length(line) >= 20 GROUP BY line HAVING count(DISTINCT split) > 1""")
@@ -143,28 +100,6 @@ def top_k_per_group(spark: SparkSession, sf: str) -> DataFrame:
     return select.top_k(rows, "l_suppkey", 3, F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")).select("l_suppkey", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey FROM (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS running FROM part) WHERE running - p_size < 5000")
-def prefix_to_target(spark: SparkSession, sf: str) -> DataFrame:
-    return select.prefix_to_target(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", 5000, "p_partkey").select("p_partkey")
-
-
-@query("SELECT a.item_id, CASE WHEN levenshtein(a.text, b.text) <= 60 THEN levenshtein(a.text, b.text) END AS edits FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE a.text = strip_accents(a.text) AND b.text = strip_accents(b.text) AND strlen(a.text) = length(a.text) AND strlen(b.text) = length(b.text)")
-def bounded_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
-    items = table(spark, sf, "benchmark").where(F.octet_length("text") == F.length("text"))
-    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return items.join(after, "item_id").select("item_id", F.nullif(F.levenshtein("text", "other", 60), F.lit(-1)).cast("long").alias("edits"))
-
-
-@query("""
-WITH p AS (SELECT conv_id, turn, role, substr(text, 1, 60) AS a, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 60) AS b FROM conversations),
-x AS (SELECT role, levenshtein(a, b) AS e, length(a) AS n FROM p WHERE b IS NOT NULL AND strlen(a) = length(a) AND strlen(b) = length(b))
-SELECT role, count(*) AS n, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_empty, round(sum(e) / sum(n), 6) AS micro, round(avg(e / n), 6) AS macro FROM x GROUP BY role""")
-def cer_ascii_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = table(spark, sf, "conversations").select("role", F.substring("text", 1, 60).alias("a"), F.substring(following, 1, 60).alias("b")).where("b is not null and octet_length(a) = length(a) and octet_length(b) = length(b)")
-    return measures.rates(pairs, "role", F.levenshtein("a", "b"), F.length("a"))
-
-
 @query("""
 WITH p AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS a, regexp_extract_all(lower(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)), '[a-z0-9]+') AS b FROM conversations),
 q AS (SELECT conv_id, turn, a, b, list_filter(range(0, least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1]) AS d FROM p WHERE b IS NOT NULL)
@@ -197,13 +132,6 @@ def props_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count("props").alias("with_props"), F.max(F.length("props")).cast("long").alias("longest"))
 
 
-@query("SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 200")
-def token_frequency_top(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", F.explode(T.word_list(F.col("text"))).alias("w"))
-    by_doc = words.groupBy("w", "doc_id").agg(F.count("*").alias("c"))
-    return by_doc.groupBy("w").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "w").limit(200)
-
-
 @query("""
 WITH t AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
 l AS (SELECT doc_id, pos - 1 AS pos, p, w = lag(w, p) OVER (PARTITION BY doc_id, p ORDER BY pos) AS same FROM t, (SELECT unnest(range(1, 5)) AS p)),
@@ -263,11 +191,6 @@ def ema_policy(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.moving_average(table(spark, sf, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 0.15)
 
 
-@query("SELECT event_id, max(ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS leaves_at FROM events")
-def ordered_emit(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.contiguous_index(table(spark, sf, "events"), "event_id", "ts")
-
-
 @query("""
 WITH f AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) AS eos, min(CASE WHEN event_type = 'error' THEN event_id END) AS loop, max(event_id) AS cap FROM events GROUP BY user_id)
 SELECT user_id, least(coalesce(eos, cap), coalesce(loop, cap), cap) AS stop_at, CASE WHEN eos IS NOT NULL AND eos <= coalesce(loop, eos) THEN 'eos' WHEN loop IS NOT NULL THEN 'loop' ELSE 'length' END AS reason FROM f""")
@@ -312,11 +235,6 @@ def all_row_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").rollup("o_orderstatus").agg(F.count_if(F.col("o_orderpriority").like("1%")).alias("urgent"), F.count_if(F.col("o_orderpriority").like("5%")).alias("low"), F.count("*").alias("n"))
 
 
-@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10, round(max(CASE WHEN rn = ceil(0.95 * n) THEN value END), 6) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type")
-def percentiles_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.percentiles(table(spark, sf, "events"), "event_type", "value")
-
-
 @query("SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 4) AS deviation FROM lineitem GROUP BY l_returnflag")
 def pop_std_from_moments(spark: SparkSession, sf: str) -> DataFrame:
     return measures.moments(table(spark, sf, "lineitem"), "l_returnflag", "l_quantity")
@@ -348,17 +266,6 @@ def pearson_reading_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.corr("event_id", "value"), 6).alias("r"))
 
 
-@query("SELECT j, round(avg(CASE WHEN n >= j THEN 1.0 ELSE 0.0 END), 6) AS reach FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), (SELECT unnest(range(1, 9)) AS j) GROUP BY j")
-def survival_reach(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
-    return turns.select("n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))).alias("j")).groupBy("j").agg(F.round(F.avg((F.col("n") >= F.col("j")).cast("double")), 6).alias("reach"))
-
-
-@query("WITH x AS (SELECT label, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS e FROM embeddings), c AS (SELECT label, i, j, e[i + 1] * e[j + 1] AS v FROM x, (SELECT unnest(range(0, 8)) AS i), (SELECT unnest(range(0, 8)) AS j)) SELECT label, i::INT AS i, j::INT AS j, round(avg(v), 6) AS gram FROM c GROUP BY ALL")
-def gram_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.gram_matrix(table(spark, sf, "embeddings"), "label", "embedding", 8)
-
-
 @query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS argmax FROM embeddings")
 def argmax_first_tie(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", vectors.argmax_first(F.col("embedding")).alias("argmax"))
@@ -373,29 +280,6 @@ def quantize_absmax_q8(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("vec_id", "block", F.round("q.scale", 9).alias("scale"), F.aggregate("q.codes", F.lit(0).cast("long"), lambda s, c: s + c).alias("code_sum"))
 
 
-@query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(e[1] / sqrt(list_sum(list_transform(e, lambda v: v * v)) / len(e) + 1e-6), 6) AS first_value FROM x")
-def rms_norm(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.get(vectors.rms_norm(F.col("embedding")), F.lit(0)), 6).alias("first_value"))
-
-
-@query("WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(list_sum(list_transform(range(0, 32), lambda j: e[j + 1] * (1 - 2 * (bit_count(5 & j::INT) % 2)))) / sqrt(32), 6) AS h5 FROM x")
-def hadamard_rotate(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.get(vectors.hadamard(F.col("embedding")), F.lit(5)), 6).alias("h5"))
-
-
-@query("""
-WITH q AS (SELECT vec_id AS q, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id, list_dot_product(list_transform(a, lambda v: v::DOUBLE), list_transform(embedding, lambda v: v::DOUBLE)) AS d FROM q, embeddings WHERE vec_id <> q)
-SELECT q, vec_id AS best, round(d, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d DESC, vec_id) AS rn FROM s) WHERE rn = 1""")
-def screened_top1(spark: SparkSession, sf: str) -> DataFrame:
-    """Best other vector of every twentieth vector: exact scores against the stated query set, in blocks of 64 queries."""
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), (F.floor(F.col("vec_id") / 20) % 64).alias("block"))
-    blocks = asked.groupBy("block").agg(F.collect_list(F.struct("q", "a")).alias("asked"))
-    scored = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).join(blocks, "block").select("vec_id", "embedding", F.explode("asked").alias("x"))
-    d = scored.where("vec_id <> x.q").select("vec_id", "x.q", vectors.dot(F.col("x.a"), F.col("embedding")).alias("d"))
-    return d.groupBy("q").agg(F.min(F.struct((-F.col("d")).alias("m"), "vec_id")).alias("b")).select("q", F.col("b.vec_id").alias("best"), F.round(-F.col("b.m"), 6).alias("score"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN CASE WHEN p_retailprice <= 1000 THEN 0.1 ELSE 0.3 END ELSE CASE WHEN p_retailprice <= 1500 THEN -0.2 ELSE 0.5 END END + CASE WHEN p_size <= 25 THEN 0.05 ELSE -0.05 END AS score FROM part")
 def tree_scoring(spark: SparkSession, sf: str) -> DataFrame:
     size, price = F.col("p_size"), F.col("p_retailprice")
@@ -415,12 +299,6 @@ def constraint_suite(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").agg(*(F.count_if(F.expr(rule)).alias(k) for k, rule in fails.items()), (F.count("*") - F.countDistinct("doc_id")).alias("repeated_id"))
 
 
-@query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS cohort FROM documents")
-def count_cohorts(spark: SparkSession, sf: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", F.floor((place - 1) / 8).cast("long").alias("cohort"))
-
-
 @query("""
 WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type <> 'purchase' GROUP BY user_id, ts)
 SELECT e.event_id, e.user_id, e.ts, round(v.value, 6) AS value FROM e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts""")
@@ -438,14 +316,6 @@ def rank_biserial(spark: SparkSession, sf: str) -> DataFrame:
     return measures.rank_biserial(table(spark, sf, "part"), "p_brand", F.col("p_size") > 25, "p_retailprice")
 
 
-@query("""
-WITH x AS (SELECT label, embedding[1]::DOUBLE AS v FROM embeddings), m AS (SELECT label, max(v) AS m FROM x GROUP BY label)
-SELECT label, round(any_value(m) + ln(sum(exp(v - m))), 6) AS log_sum_exp FROM x JOIN m USING (label) GROUP BY label""")
-def partial_softmax_merge(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select("label", "vec_id", F.get("embedding", F.lit(0)).cast("double").alias("v"))
-    return measures.log_sum_exp(rows, "label", F.col("vec_id") % 4, "v")
-
-
 @query("""
 WITH r AS (SELECT lang, n_chars::DOUBLE AS s, quality = 1 AS y FROM labels JOIN documents USING (doc_id)), t AS (SELECT unnest([0.0, 100.0, 300.0, 1000.0, 3000.0]::DOUBLE[]) AS threshold),
 c AS (SELECT lang, threshold, count(*) FILTER (s >= threshold AND y) AS tp, count(*) FILTER (s >= threshold) AS n, count(*) FILTER (y) AS pos FROM r, t GROUP BY ALL)
@@ -461,12 +331,135 @@ def page_parent_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(parent.alias("parent")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
+@query("""WITH n AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey)
+SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, round(coalesce(total, o_totalprice), 2) AS o_totalprice, CASE WHEN o_orderkey IS NULL THEN 'inserted' WHEN l_orderkey IS NULL THEN 'kept' ELSE 'updated' END AS action FROM orders FULL JOIN n ON o_orderkey = l_orderkey""")
+def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
+    newer = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum("l_extendedprice"), 2).alias("o_totalprice"))
+    return joins.merged(table(spark, sf, "orders"), newer, "o_orderkey", "o_totalprice").withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def unique_key_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+
+
+_SIM = """
+{n}w AS (SELECT {k} AS k, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM {t}), {n}h AS (SELECT k, ('0x' || substr(md5(w), 1, 15))::BIGINT AS h FROM {n}w),
+{n}v AS (SELECT k, b, sum((h >> b & 1) * 2 - 1) > 0 AS up FROM {n}h, (SELECT unnest(range(0, 60)) AS b) GROUP BY ALL), {n}s AS (SELECT k, sum(CASE WHEN up THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS sim FROM {n}v GROUP BY k)"""
+
+
+@query(f"""WITH {_SIM.format(n="d", k="doc_id", t="documents")}, t AS (SELECT doc_id, CASE WHEN doc_id % 10 < 7 THEN 0 ELSE 1 END AS split, min(doc_id) OVER (PARTITION BY lower(trim(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')))) AS text_class, sim FROM documents LEFT JOIN ds ON k = doc_id),
+l AS (SELECT a.sim, a.split, count(DISTINCT b.sim) AS near FROM (SELECT DISTINCT sim, split FROM t) a JOIN (SELECT DISTINCT sim, split FROM t) b ON a.split <> b.split AND bit_count(xor(a.sim, b.sim)) <= 4 GROUP BY ALL)
+SELECT doc_id, text_class, coalesce(near, 0) AS cross_split_near FROM t LEFT JOIN l USING (sim, split)""")
+def pairwise_dup_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Membership in classes of equal normalised text, and how many similar hashes (4 of 60 bits) the other split holds."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 10 < 7, 0).otherwise(1).alias("split"))
+    norm = F.sha2(F.lower(T.collapsed(F.col("text"))), 256)
+    keyed = docs.select("doc_id", "split", norm.alias("h"))
+    classes = keyed.groupBy("h").agg(F.min("doc_id").alias("text_class"))
+    hashed = joins.simhash(docs, "doc_id")
+    rows = keyed.join(classes, "h").join(hashed, "doc_id", "left")
+    each = rows.where("simhash is not null").select("simhash", "split").distinct()
+    near = joins.near_by_hamming(each.where("split = 0").select("simhash"), each.where("split = 1").select("simhash"), 4)
+    links = near.select(F.col("one").alias("simhash"), F.lit(0).alias("split"), F.col("two").alias("other")).union(near.select("two", F.lit(1), "one"))
+    counted = links.groupBy("simhash", "split").agg(F.count("*").alias("near"))
+    return rows.join(counted, ["simhash", "split"], "left").select("doc_id", "text_class", F.coalesce("near", F.lit(0)).alias("cross_split_near"))
+
+
+@query(f"""WITH {_SIM.format(n="d", k="doc_id", t="documents")}, {_SIM.format(n="b", k="item_id", t="benchmark")},
+x AS (SELECT DISTINCT ds.k FROM ds JOIN bs ON bit_count(xor(ds.sim, bs.sim)) <= 8) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT k FROM x) AND sha256(text) NOT IN (SELECT sha256(text) FROM benchmark WHERE text IS NOT NULL)""")
+def blocklist_hamming_anti(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents neither equal to a blocked text nor within 8 of 60 bits of one's hash; texts without words are kept."""
+    docs, blocked = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
+    hashed = joins.simhash(docs, "doc_id")
+    near = joins.near_by_hamming(hashed.select("simhash").distinct(), joins.simhash(blocked, "item_id").select("simhash").distinct(), 8).select(F.col("one").alias("simhash")).distinct()
+    out = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(blocked.select(F.sha2("text", 256).alias("h")).distinct(), "h", "left_anti")
+    return out.join(hashed.join(near, "simhash").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT doc_id, md5(lower(text)) AS k FROM documents UNION ALL SELECT doc_id, 'l:' || md5(split_part(text, chr(10), 1)) FROM documents WHERE length(split_part(text, chr(10), 1)) >= 20),
+c AS (SELECT k, min(doc_id) AS hub FROM n GROUP BY k HAVING count(*) > 1), e AS (SELECT DISTINCT doc_id AS a, hub AS b FROM n JOIN c USING (k) WHERE doc_id <> hub), f AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS x, a AS y FROM f UNION SELECT r.x, f.b FROM r JOIN f ON r.y = f.a)
+SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x""")
+def near_dup_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents tied by equal lower-cased text or an equal first line of 20 characters or more."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    line = F.split("text", "\n", 2)[0]
+    keys = docs.select("doc_id", F.md5(F.lower("text")).alias("k")).union(docs.where(F.length(line) >= 20).select("doc_id", F.concat(F.lit("l:"), F.md5(line))))
+    hubs = stored(keys.groupBy("k").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("k", "hub"), "hubs")
+    return connected_components(keys.join(hubs, "k").select("doc_id", "hub"), "doc_id", "hub").select(F.col("vertex").alias("doc_id"), "component")
+
+
+@query()
+def cer_ascii_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Character error rates of whole texts by role."""
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = table(spark, sf, "conversations").select("role", F.col("text").alias("a"), following.alias("b")).where("b is not null")
+    return measures.rates(pairs, "role", F.levenshtein("a", "b"), F.length("a"))
+
+
+@query()
+def bounded_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
+    """Edits from each item to the next, null above 60."""
+    items = table(spark, sf, "benchmark")
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return items.join(after, "item_id").select("item_id", F.nullif(F.levenshtein("text", "other", 60), F.lit(-1)).cast("long").alias("edits"))
+
+
+@query("SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 200")
+def token_frequency_top(spark: SparkSession, sf: str) -> DataFrame:
+    """Words are sorted inside their row, so that the first of each document is known and only words are shuffled."""
+    sorted_words = table(spark, sf, "documents").select(F.array_sort(T.word_list(F.col("text"))).alias("w"))
+    each = sorted_words.select(F.explode(F.zip_with("w", F.concat(F.array(F.lit("")), "w"), lambda x, before: F.struct(x.alias("w"), (x != before).cast("int").alias("new")))).alias("x")).where("x.w is not null")
+    return each.groupBy("x.w").agg(F.count("*").alias("n"), F.sum("x.new").alias("docs")).orderBy(F.desc("n"), "w").limit(200)
+
+
 @query("""
 WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM w GROUP BY ALL),
 r AS (SELECT lang, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS rn FROM c)
 SELECT lang, count(*) AS words, round(sum(CASE WHEN rn <= 100 THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM r GROUP BY lang""")
 def token_frequency_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    counts = table(spark, sf, "documents").select("lang", F.explode(T.word_list(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
-    ranked = counts.withColumn("rn", place)
-    return ranked.groupBy("lang").agg(F.count("*").alias("words"), F.round(F.sum(F.when(F.col("rn") <= 100, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("coverage"))
+    """Share of a language's hundred commonest words; each task keeps its own hundred before they meet."""
+    counts = stored(table(spark, sf, "documents").select("lang", F.explode(T.word_list(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")), "counts")
+    top = select.top_k(counts.select("lang", "n", "w"), "lang", 100, F.desc("n"), F.col("w")).groupBy("lang").agg(F.sum("n").alias("top"))
+    return counts.groupBy("lang").agg(F.count("*").alias("words"), F.sum("n").alias("all")).join(top, "lang").select("lang", "words", F.round(F.col("top") / F.col("all"), 6).alias("coverage"))
+
+
+@query("SELECT event_id, max(ts) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS leaves_at FROM events")
+def ordered_emit(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.leaving(table(spark, sf, "events"), "event_id", "ts")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS running FROM part) WHERE running - p_size < 5000")
+def prefix_to_target(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.prefix_to_target(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", 5000, "p_partkey").select("p_partkey")
+
+
+@query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS cohort FROM documents")
+def count_cohorts(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.cohorts(table(spark, sf, "documents").select("source", "doc_id"), "source", "doc_id", 8).select("doc_id", "cohort")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10, round(max(CASE WHEN rn = ceil(0.95 * n) THEN value END), 6) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) GROUP BY event_type")
+def percentiles_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return measures.percentiles(table(spark, sf, "events"), "event_type", "value")
+
+
+@query("SELECT j, round(avg(CASE WHEN n >= j THEN 1.0 ELSE 0.0 END), 6) AS reach FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), (SELECT unnest(range(1, (SELECT max(n) FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id)) + 1)) AS j) GROUP BY j")
+def survival_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of conversations with j turns or more, to the longest: counted by length first, so one row per length is ranked."""
+    lengths = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
+    upto = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    steps = lengths.select("n", F.round(F.sum("c").over(upto) / F.sum("c").over(whole), 6).alias("reach"), (F.coalesce(F.lead("n").over(Window.orderBy(F.desc("n"))), F.lit(0)) + 1).alias("least"))
+    return steps.select(F.explode(F.sequence("least", "n")).alias("j"), "reach")
+
+
+@query("""
+WITH q AS (SELECT vec_id AS q, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id, list_dot_product(list_transform(a, lambda v: v::DOUBLE), list_transform(embedding, lambda v: v::DOUBLE)) AS d FROM q, embeddings WHERE vec_id <> q)
+SELECT q, vec_id AS best, round(d, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d DESC, vec_id) AS rn FROM s) WHERE rn = 1""")
+def screened_top1(spark: SparkSession, sf: str) -> DataFrame:
+    """Best other vector of every twentieth vector: coded vectors screen by bounds, what may win is scored exactly."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return vectors.screened(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding")
