@@ -56,11 +56,16 @@ def tolerance_argmin(df: DataFrame, group: str, candidate: str, cost: str, withi
     return best.where(F.col("cost") <= F.col("best") * (1 + within)).groupBy(group).agg(F.min(candidate).alias(candidate))
 
 
-def bracket(df: DataFrame, case: str, slot: str, ms: str) -> DataFrame:
-    """Controls before and after (slots 0 and 2) and a candidate (1): drift of the controls and gain over each."""
+def bracketed(df: DataFrame, case: str, slot: str, ms: str) -> DataFrame:
+    """(case, a, c, b): medians of the controls (slots 0 and 2) and the candidate (1)."""
     m = lambda k: F.percentile(F.when(F.col(slot) == k, F.col(ms)), 0.5)
+    return df.groupBy(case).agg(m(0).alias("a"), m(1).alias("c"), m(2).alias("b"))
+
+
+def bracket(df: DataFrame, case: str, slot: str, ms: str) -> DataFrame:
+    """Drift of the controls before and after a candidate, and its gain over each."""
     a, c, b = F.col("a"), F.col("c"), F.col("b")
-    return df.groupBy(case).agg(m(0).alias("a"), m(1).alias("c"), m(2).alias("b")).select(
+    return bracketed(df, case, slot, ms).select(
         case, F.round(F.abs(a - b) / F.least(a, b), 6).alias("drift"), F.round(1 - c / a, 6).alias("gain_before"), F.round(1 - c / b, 6).alias("gain_after"), (F.abs(a - b) / F.least(a, b) <= 0.05).alias("stable")
     )
 

@@ -1 +1 @@
-"""streaming of folioflow."""
+"""Structured Streaming forms of the ordered and windowed operators."""
