@@ -62,8 +62,8 @@ def targets(sizes: DataFrame, share: int = 150, most: int = 2) -> DataFrame:
     return filled.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def permuted(j: Column, n: Column, salt: Column, rounds: int = 3, walks: int = 32) -> Column:
-    """A keyed permutation of 0..n-1: a Feistel network over a grid of about root n by root n cells.
+def permuted(j: Column, n: Column, salt: Column, rounds: int = 3, walks: int = 32, back: bool = False) -> Column:
+    """A keyed permutation of 0..n-1: a Feistel network over a grid of about root n by root n cells; ``back`` inverts it.
 
     A cell beyond n - 1 is walked on until one below comes out; such cells are fewer than a row of the grid, so 32 walks
     are never used up in practice, and an error is raised if they are.
@@ -71,13 +71,24 @@ def permuted(j: Column, n: Column, salt: Column, rounds: int = 3, walks: int = 3
     wide = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     high = F.ceil(n / wide).cast("long")
 
+    def across(k: Column, up: Column) -> Column:
+        return F.pmod(F.xxhash64(salt, k, up), wide)
+
+    def along(k: Column, low: Column) -> Column:
+        return F.pmod(F.xxhash64(k, salt, low), high)
+
     def turn(at: Column, k: Column) -> Column:
-        low = F.pmod(at["low"] + F.pmod(F.xxhash64(salt, k, at["up"]), wide), wide)
-        return F.transform(F.array(low), lambda low: F.struct(low.alias("low"), F.pmod(at["up"] + F.pmod(F.xxhash64(k, salt, low), high), high).alias("up")))[0]
+        low = F.pmod(at["low"] + across(k, at["up"]), wide)
+        return F.transform(F.array(low), lambda low: F.struct(low.alias("low"), F.pmod(at["up"] + along(k, low), high).alias("up")))[0]
+
+    def turn_back(at: Column, k: Column) -> Column:
+        up = F.pmod(at["up"] - along(k, at["low"]), high)
+        return F.transform(F.array(up), lambda up: F.struct(F.pmod(at["low"] - across(k, up), wide).alias("low"), up.alias("up")))[0]
 
     def network(x: Column) -> Column:
         start = F.struct(F.pmod(x, wide).alias("low"), F.floor(x / wide).alias("up"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda at: at["up"] * wide + at["low"])
+        order = F.sequence(F.lit(rounds), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(rounds))
+        return F.aggregate(order, start, turn_back if back else turn, lambda at: at["up"] * wide + at["low"])
 
     def ended(x: Column) -> Column:
         walked = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), x, lambda x, _: F.when(x < n, x).otherwise(network(x)))
@@ -86,6 +97,11 @@ def permuted(j: Column, n: Column, salt: Column, rounds: int = 3, walks: int = 3
     return F.transform(F.array(network(j.cast("long"))), ended)[0]
 
 
+def _pass_salt(seed: int, turn: Column) -> Column:
+    """What picks the permutation of a source's pass."""
+    return F.xxhash64(F.lit(seed), "s", turn.cast("long"))
+
+
 def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataFrame, DataFrame]:
     """Each row with its place in its source's word stream; and a row for each source (s) with blocks, slots and rest.
 
@@ -104,16 +120,16 @@ def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataF
         .withColumn("rest", F.pmod("more", F.lit(block)))
     )
     aimed = stored(aimed, "targets")
-    named = beside(aimed.select(F.col("source").alias("name"), "s", "source_size", "target"))
+    named = beside(aimed.select(F.col("source").alias("name"), "s", "source_size", "target", "blocks", (F.col("slots") + (F.col("rest") > 0).cast("long")).alias("reads")))
     starts = buckets.join(named, F.col("source").eqNullSafe(F.col("name"))).select("s", "bucket", (F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("first"))
     inside = Window.partitionBy("s", "bucket").orderBy("mark", "doc_id", "size")
     placed = (
         marked.join(named, F.col("source").eqNullSafe(F.col("name")))
-        .select("doc_id", "text", "mark", "bucket", "s", "source_size", "target", word_count(F.col("text")).alias("size"))
+        .select("doc_id", "text", "mark", "bucket", "s", "source_size", "target", "blocks", "reads", word_count(F.col("text")).alias("size"))
         .withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("nth", F.row_number().over(inside))
         .join(starts, ["s", "bucket"])
-        .select("doc_id", "text", "size", "s", "bucket", "nth", "source_size", "target", (F.col("first") + F.col("end") - F.col("size")).alias("start"))
+        .select("doc_id", "text", "size", "s", "bucket", "nth", "source_size", "target", "blocks", "reads", (F.col("first") + F.col("end") - F.col("size")).alias("start"))
     )
     return placed, aimed
 
@@ -179,7 +195,7 @@ def block_slots(aimed: DataFrame, block: int, shards: int, seed: int) -> DataFra
             "s",
             "shard",
             permuted(F.col("before") + F.col("i"), F.col("places"), F.xxhash64(F.lit(seed), F.lit("shard"), "shard")).alias("slot"),
-            permuted(F.pmod("nth_slot", "blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "s", F.floor(F.col("nth_slot") / F.col("blocks")))).alias("block"),
+            permuted(F.pmod("nth_slot", "blocks"), F.col("blocks"), _pass_salt(seed, F.floor(F.col("nth_slot") / F.col("blocks")))).alias("block"),
             F.when(F.col("nth_slot") < F.col("slots"), F.lit(block).cast("long")).otherwise(F.col("rest")).alias("words"),
         )
     )
@@ -191,10 +207,13 @@ def _packed(placed: DataFrame, aimed: DataFrame, block: int, shards: int, seed:
     lo = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     hi = F.least(end - F.col("block") * block, F.lit(block))
     skipped = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
+    # a source that isn't read whole once: blocks that no slot reads aren't moved
+    read = F.when(F.col("reads") >= F.col("blocks"), True).otherwise(permuted(F.col("block"), F.col("blocks"), _pass_salt(seed, F.lit(0)), back=True) < F.col("reads"))
     pieces = (
         placed.where("size > 0")
-        .select("s", "bucket", "nth", "size", "start", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
+        .select("s", "bucket", "nth", "size", "start", "blocks", "reads", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"))
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
+        .where(read)
         .select("s", "block", F.struct(lo.alias("lo"), hi.alias("hi"), "bucket", "nth", F.array_join(F.slice("words", (skipped + 1).cast("int"), (hi - lo).cast("int")), " ").alias("text")).alias("piece"))
         .repartition("s", "block")
     )

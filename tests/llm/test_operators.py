@@ -273,6 +273,8 @@ def test_permutations(spark):
         for salt in (3, 4):
             got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.xxhash64(F.lit(salt))).alias("x")).collect()]
             assert sorted(got) == list(range(n))
+            back = mixing.permuted(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.xxhash64(F.lit(salt))), F.lit(n).cast("long"), F.xxhash64(F.lit(salt)), back=True)
+            assert spark.range(n).where(back != F.col("id")).count() == 0
     far = spark.range(20).select(mixing.permuted(F.col("id") + 10**12, F.lit(10**13 + 7).cast("long"), F.lit(1).cast("long")).alias("x")).distinct()
     assert far.where(f"x between 0 and {10**13 + 6}").count() == 20
 
