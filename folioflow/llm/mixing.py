@@ -62,39 +62,39 @@ def targets(sizes: DataFrame, share: int = 150, most: int = 2) -> DataFrame:
     return filled.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def permuted(j: Column, n: Column, salt: Column, rounds: int = 3, walks: int = 32, back: bool = False) -> Column:
+def permuted(j: Column, n: Column, salt: Column, rounds: int = 2, walks: int = 32, back: bool = False) -> Column:
     """A keyed permutation of 0..n-1: a Feistel network over a grid of about root n by root n cells; ``back`` inverts it.
 
     A cell beyond n - 1 is walked on until one below comes out; such cells are fewer than a row of the grid, so 32 walks
-    are never used up in practice, and an error is raised if they are.
+    are never used up in practice, and an error is raised if they are. Four half rounds make a pseudorandom permutation.
     """
     wide = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    high = F.ceil(n / wide).cast("long")
-
-    def across(k: Column, up: Column) -> Column:
-        return F.pmod(F.xxhash64(salt, k, up), wide)
-
-    def along(k: Column, low: Column) -> Column:
-        return F.pmod(F.xxhash64(k, salt, low), high)
+    whole = F.struct(j.cast("long").alias("x"), n.cast("long").alias("n"), wide.alias("wide"), salt.alias("salt"))
 
     def turn(at: Column, k: Column) -> Column:
-        low = F.pmod(at["low"] + across(k, at["up"]), wide)
-        return F.transform(F.array(low), lambda low: F.struct(low.alias("low"), F.pmod(at["up"] + along(k, low), high).alias("up")))[0]
+        low = F.pmod(at["low"] + F.pmod(F.xxhash64(at["salt"], k, at["up"]), at["wide"]), at["wide"])
+        up = lambda low: F.pmod(at["up"] + F.pmod(F.xxhash64(k, at["salt"], low), at["high"]), at["high"])
+        return F.transform(F.array(low), lambda low: F.struct(low.alias("low"), up(low).alias("up"), at["wide"].alias("wide"), at["high"].alias("high"), at["salt"].alias("salt")))[0]
 
     def turn_back(at: Column, k: Column) -> Column:
-        up = F.pmod(at["up"] - along(k, at["low"]), high)
-        return F.transform(F.array(up), lambda up: F.struct(F.pmod(at["low"] - across(k, up), wide).alias("low"), up.alias("up")))[0]
+        up = F.pmod(at["up"] - F.pmod(F.xxhash64(k, at["salt"], at["low"]), at["high"]), at["high"])
+        low = lambda up: F.pmod(at["low"] - F.pmod(F.xxhash64(at["salt"], k, up), at["wide"]), at["wide"])
+        return F.transform(F.array(up), lambda up: F.struct(low(up).alias("low"), up.alias("up"), at["wide"].alias("wide"), at["high"].alias("high"), at["salt"].alias("salt")))[0]
+
+    def network(x: Column, g: Column) -> Column:
+        high = F.floor((g["n"] + g["wide"] - 1) / g["wide"])
+        start = F.struct(F.pmod(x, g["wide"]).alias("low"), F.floor(x / g["wide"]).alias("up"), g["wide"].alias("wide"), high.alias("high"), g["salt"].alias("salt"))
+        order = [*range(1, rounds + 1)]
+        return F.aggregate(F.array(*map(F.lit, order[::-1] if back else order)), start, turn_back if back else turn, lambda at: at["up"] * at["wide"] + at["low"])
 
-    def network(x: Column) -> Column:
-        start = F.struct(F.pmod(x, wide).alias("low"), F.floor(x / wide).alias("up"))
-        order = F.sequence(F.lit(rounds), F.lit(1)) if back else F.sequence(F.lit(1), F.lit(rounds))
-        return F.aggregate(order, start, turn_back if back else turn, lambda at: at["up"] * wide + at["low"])
+    def ended(g: Column) -> Column:
+        def walked(x: Column) -> Column:
+            on = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), x, lambda x, _: F.when(x < g["n"], x).otherwise(network(x, g)))
+            return F.when(x < g["n"], x).otherwise(F.coalesce(F.filter(F.array(on), lambda x: x < g["n"])[0], F.raise_error(F.lit("the permutation did not end")).cast("long")))
 
-    def ended(x: Column) -> Column:
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), x, lambda x, _: F.when(x < n, x).otherwise(network(x)))
-        return F.when(x < n, x).otherwise(F.coalesce(F.filter(F.array(walked), lambda x: x < n)[0], F.raise_error(F.lit("the permutation did not end")).cast("long")))
+        return F.transform(F.array(network(g["x"], g)), walked)[0]
 
-    return F.transform(F.array(network(j.cast("long"))), ended)[0]
+    return F.coalesce(F.transform(F.array(whole), ended)[0], F.lit(-1).cast("long"))  # never null: no filter repeats it
 
 
 def _pass_salt(seed: int, turn: Column) -> Column:
