@@ -35,9 +35,11 @@ def beside(df: DataFrame) -> DataFrame:
 
 
 def word_grams(docs: DataFrame, key: str, size: int = 13) -> DataFrame:
-    """(key, at, hash, w): a hash of every run of ``size`` lower-cased ASCII words; w are the text's words."""
+    """(key, at, hash, w): a hash of every run of ``size`` lower-cased ASCII words, of the words' hashes; w are the text's words."""
     words = docs.select(key, word_list(F.col("text")).alias("w")).where(F.size("w") >= size)
-    return words.select(key, "w", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.slice("w", i, size)))).alias("at", "hash"))
+    places = F.sequence(F.lit(1), F.size("w") - size + 1)
+    grams = F.transform(F.array(F.transform("w", lambda x: F.xxhash64(x))), lambda h: F.transform(places, lambda i: F.xxhash64(F.slice(h, i, size))))[0]  # bound, so words are hashed once
+    return words.select(key, "w", F.posexplode(grams).alias("at", "hash"))
 
 
 def contaminated(docs: DataFrame, reference: DataFrame, key: str, ref_key: str, size: int = 13, least: int = 3, distinct_words: int = 8) -> DataFrame:
