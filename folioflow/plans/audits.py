@@ -13,11 +13,11 @@ from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
 
 
-@query("WITH s AS (SELECT l_partkey, l_linenumber, count(*) AS n, sum(l_quantity)::BIGINT AS q, sum(l_orderkey % 1009 * l_quantity)::BIGINT AS h FROM lineitem GROUP BY ALL) SELECT l_partkey, count(*) AS repetitions, count(DISTINCT (n, q, h)) = 1 AS identical FROM s GROUP BY l_partkey")
+@query("WITH s AS (SELECT l_orderkey, l_returnflag, count(*) AS n, min(l_linestatus) AS lo, max(l_linestatus) AS hi FROM lineitem GROUP BY ALL) SELECT l_orderkey, count(*) AS repetitions, count(DISTINCT (n, lo, hi)) = 1 AS identical FROM s GROUP BY l_orderkey")
 def identical_repetitions(spark: SparkSession, sf: str) -> DataFrame:
     """Whether all repetitions of a page gave one output, by signatures that do not depend on row order."""
-    sums = table(spark, sf, "lineitem").groupBy("l_partkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.sum(F.col("l_orderkey") % 1009 * F.col("l_quantity")).alias("h"))
-    return sums.groupBy("l_partkey").agg(F.count("*").alias("repetitions"), (F.countDistinct("n", "q", "h") == 1).alias("identical"))
+    sums = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.min("l_linestatus").alias("lo"), F.max("l_linestatus").alias("hi"))
+    return sums.groupBy("l_orderkey").agg(F.count("*").alias("repetitions"), (F.countDistinct("n", "lo", "hi") == 1).alias("identical"))
 
 
 @query("""WITH r AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total, max(o_totalprice) AS most FROM orders GROUP BY o_custkey)
