@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioflow.llm import chat, decontamination, language_id, line_dedup, media, mixing, ngram_join, sharding, token_files, toxicity
+from folioflow.llm import chat, decontamination, fill_in_middle, language_id, line_dedup, media, mixing, ngram_join, sharding, token_files, toxicity
 from folioflow.sources.workspace import table
 
 
@@ -64,6 +64,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents"), seed="7", percent=100, spm_percent=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -109,4 +114,20 @@ g AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": JOIN_SQL, "op7_chat_formatting": CHAT_SQL}
+FIM_SQL = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l FROM documents),
+d AS (
+  SELECT *, CAST(len(l) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(l) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(l) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (
+  SELECT *, array_to_string(l[1 : least(x, y)], '') AS p, array_to_string(l[least(x, y) + 1 : greatest(x, y)], '') AS m, array_to_string(l[greatest(x, y) + 1 :], '') AS s FROM d)
+SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
+
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": JOIN_SQL, "op7_chat_formatting": CHAT_SQL, "op12_fill_in_middle": FIM_SQL}
