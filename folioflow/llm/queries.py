@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioflow.llm import chat, decontamination, fill_in_middle, language_id, line_dedup, media, mixing, ngram_join, sharding, token_files, toxicity
+from folioflow.llm import chat, decontamination, fill_in_middle, language_id, line_dedup, media, mixing, ngram_join, repair, sharding, token_files, toxicity
 from folioflow.sources.workspace import table
 
 
@@ -64,6 +64,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), rows)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents"), seed="7", percent=100, spm_percent=50))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_structure_repair": op11_structure_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
 }
 
@@ -114,6 +120,51 @@ g AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
+#: The table of the CRC-32 polynomial 0xEDB88320 comes from its rule; layers are (cost, audit, repaired text) of the four states.
+REPAIR_SQL = r"""
+WITH RECURSIVE z AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS z),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)) AS b FROM conversations),
+c AS (SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda h, x: xor(h >> 8, z[CAST(xor(h, x) & 255 AS INT) + 1]), 4294967295), 4294967295) % 20 AS kind FROM k, z),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS time FROM c WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    rtrim(text, E' \t\n\x0b\x0c\r') AS end_text
+  FROM p),
+f AS (SELECT *, CASE WHEN end_text = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(end_text, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id),
+v AS (
+  SELECT conv_id, 0 AS i, {'c': 0, 'a': '', 't': ''} AS q0, {'c': 1000000000, 'a': '', 't': ''} AS q1, {'c': 5, 'a': 'I', 't': chr(10) || 'user:'} AS q2,
+    {'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS q3
+  FROM g
+  UNION ALL
+  SELECT conv_id, i, q0, q1, {'c': m2.c, 'a': m2.a, 't': m2.t} AS q2, least(m3, {'c': m2.c + 5, 'a': m2.a || 'I', 't': m2.t || chr(10) || 'assistant:'}) AS q3 FROM (
+    SELECT *, least(n2, {'c': q0.c + 5, 'a': q0.a || 'I', 't': q0.t || chr(10) || 'user:'}, {'c': q1.c + 5, 'a': q1.a || 'I', 't': q1.t || chr(10) || 'user:'},
+      {'c': n3.c + 5, 'a': n3.a || 'I', 't': n3.t || chr(10) || 'user:'}) AS m2, n3 AS m3 FROM (
+      SELECT v.conv_id, f.i,
+        {'c': q0.c + 2, 'a': q0.a || 'D', 't': q0.t} AS q0,
+        least({'c': q1.c + 2, 'a': q1.a || 'D', 't': q1.t}, {'c': q0.c + x.e + CASE WHEN r = 's' THEN 0 ELSE 1000000000 END, 'a': q0.a || 'K', 't': q0.t || x.l}) AS q1,
+        least({'c': q2.c + 2, 'a': q2.a || 'D', 't': q2.t},
+          {'c': q0.c + x.e + x.u, 'a': q0.a || x.ue, 't': q0.t || x.ul}, {'c': q1.c + x.e + x.u, 'a': q1.a || x.ue, 't': q1.t || x.ul}, {'c': q3.c + x.e + x.u, 'a': q3.a || x.ue, 't': q3.t || x.ul}) AS n2,
+        least({'c': q3.c + 2, 'a': q3.a || 'D', 't': q3.t}, {'c': q2.c + x.e + x.s, 'a': q2.a || x.se, 't': q2.t || x.sl}) AS n3
+      FROM v JOIN (
+        SELECT *, {'e': CASE fault WHEN 't' THEN 5 WHEN '' THEN 0 ELSE 1000000000 END, 'l': chr(10) || role || ':' || text,
+          'u': CASE WHEN r = 'u' THEN 0 ELSE 1 END, 'ue': CASE WHEN r = 'u' THEN 'K' ELSE 'R' END, 'ul': chr(10) || CASE WHEN r = 'u' THEN role ELSE 'user' END || ':' || text,
+          's': CASE WHEN r = 'a' THEN 0 ELSE 1 END, 'se': CASE WHEN r = 'a' THEN 'K' ELSE 'R' END, 'sl': chr(10) || CASE WHEN r = 'a' THEN role ELSE 'assistant' END || ':' || text} AS x FROM f) f
+        ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1))),
+e AS (SELECT g.*, least(v.q0, v.q3) AS q FROM g JOIN v ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.n = v.i)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(q.c, 0) AS BIGINT) AS cost, coalesce(q.a, '') AS audit, sha256(coalesce(substr(q.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 FIM_SQL = r"""
 WITH u AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
@@ -130,4 +181,4 @@ SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIG
 FROM c
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": JOIN_SQL, "op7_chat_formatting": CHAT_SQL, "op12_fill_in_middle": FIM_SQL}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": JOIN_SQL, "op7_chat_formatting": CHAT_SQL, "op11_structure_repair": REPAIR_SQL, "op12_fill_in_middle": FIM_SQL}
