@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from folioflow.llm import chat, decontamination, fill_in_middle, language_id, line_dedup, media, mixing, ngram_join, repair, sharding, token_files, toxicity
+from folioflow.llm import chat, decontamination, fill_in_middle, language_id, line_dedup, media, mixing, ngram_join, quality, repair, sharding, token_files, toxicity
 from folioflow.sources.workspace import table
 
 
@@ -73,6 +73,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents"), seed="7", percent=100, spm_percent=50))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_structure_repair": op11_structure_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -181,4 +187,51 @@ SELECT doc_id, n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIG
 FROM c
 """
 
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": JOIN_SQL, "op7_chat_formatting": CHAT_SQL, "op11_structure_repair": REPAIR_SQL, "op12_fill_in_middle": FIM_SQL}
+_LEVELS = "".join(
+    f"""
+k{k} AS MATERIALIZED (SELECT lang, substr(gram, 2) AS gram, count(*) AS c FROM k{k + 1} GROUP BY 1, 2),"""
+    for k in (4, 3, 2, 1)
+)
+_PROBABILITIES = "".join(
+    f"""
+n{k} AS (SELECT lang, CAST(count(*) FILTER (c = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (c = 2) AS DOUBLE) AS n2, CAST(count(*) FILTER (c = 3) AS DOUBLE) AS n3, CAST(count(*) FILTER (c = 4) AS DOUBLE) AS n4 FROM k{k} GROUP BY lang),
+d{k} AS (
+  SELECT lang, CASE WHEN n1 > 0 THEN greatest(0.1, 1 - 2 * n1 / (n1 + 2 * n2) * n2 / n1) ELSE 0.5 END AS d1,
+    CASE WHEN n1 > 0 AND n2 > 0 THEN greatest(0.1, 2 - 3 * n1 / (n1 + 2 * n2) * n3 / n2) ELSE 1.0 END AS d2,
+    CASE WHEN n1 > 0 AND n3 > 0 THEN greatest(0.1, 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3) ELSE 1.5 END AS d3 FROM n{k}),
+r{k} AS (SELECT lang, gram, left(gram, {k - 1}) AS context, c, CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS taken FROM k{k} JOIN d{k} USING (lang)),
+b{k} AS (SELECT lang, context, sum(c) AS total, sum(taken) / sum(c) AS back FROM r{k} GROUP BY ALL),
+p{k} AS MATERIALIZED (
+  SELECT r.lang, r.gram, (c - taken) / total + back * l.p AS p FROM r{k} r JOIN b{k} b ON r.lang = b.lang AND r.context = b.context JOIN p{k - 1} l ON r.lang = l.lang AND substr(r.gram, 2) = l.gram),"""
+    for k in (1, 2, 3, 4, 5)
+)
+
+QUALITY_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+v AS (
+  SELECT row, unnest(range(len(w) - 4)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS v FROM w WHERE len(w) >= 5),
+a AS (SELECT row, i, count(*) OVER (PARTITION BY row, v) AS n FROM v),
+m AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM a, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY row),
+x AS (
+  SELECT row, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    ltrim(regexp_replace(regexp_replace(regexp_replace(text, '[0-9]', '0', 'g'), '[\x00-\x1F]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS plain
+  FROM w LEFT JOIN m USING (row)),
+y AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, repeat(chr(2), 4) || plain || chr(3) AS padded FROM x),
+g AS MATERIALIZED (SELECT row, lang, gram, count(*) AS n FROM (SELECT row, lang, unnest(list_transform(range(1, length(padded) - 3), lambda i: substr(padded, i, 5))) AS gram FROM y WHERE n_words > 0) GROUP BY ALL),
+k5 AS MATERIALIZED (SELECT lang, gram, sum(n) AS c FROM g GROUP BY ALL),{{levels}}
+p0 AS (SELECT lang, '' AS gram, 1.0 / (count(*) + 1) AS p FROM k1 GROUP BY lang),{{probabilities}}
+s AS (SELECT row, -sum(n * ln(p)) AS nats FROM g JOIN p5 USING (lang, gram) GROUP BY row),
+q AS MATERIALIZED (SELECT y.*, CAST(floor(nats / ln(2) / greatest(length(regexp_replace(plain, '[^\pL0]', '', 'g')), 1) * 512) AS BIGINT) AS step FROM y LEFT JOIN s USING (row)),
+o AS (SELECT lang, quantile_disc(step, 0.5) AS middle FROM q WHERE NOT base_failed GROUP BY lang),
+e AS (
+  SELECT lang, middle, greatest(4, quantile_disc(middle - step, 0.5) FILTER (step <= middle)) AS low, greatest(4, quantile_disc(step - middle, 0.5) FILTER (step >= middle)) AS high
+  FROM q JOIN o USING (lang) WHERE NOT base_failed GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(step - middle > 7 * high * sqrt(1 + 300 / greatest(word_chars, 1)) OR middle - step > 20 * low * sqrt(1 + 300 / greatest(word_chars, 1)), false) AS kept
+FROM q LEFT JOIN e USING (lang)
+""".format(levels=_LEVELS, probabilities=_PROBABILITIES)
+
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": JOIN_SQL, "op7_chat_formatting": CHAT_SQL, "op11_structure_repair": REPAIR_SQL, "op12_fill_in_middle": FIM_SQL, "op13_quality_rules": QUALITY_SQL}
