@@ -419,7 +419,8 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, few: int
     several = sets.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("one"), F.max(F.struct("d1", "d2")).alias("two")).where("one <> two").select("doc_id")
     same = sets.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2", "n"]).select("doc_id", "class_id")
     components = stored(connected_components(links.select("a_id", "b_id").union(same), "a_id", "b_id"), "components")
-    out = rows.join(classes, ["d1", "d2", "n"], "left")
+    known = classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), "class_id")
+    out = rows.join(known, F.col("doc_id").isNotNull() & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
     return (
         out.join(components, out.class_id == components.vertex, "left")
         .select(

@@ -49,6 +49,8 @@ SPACE = " \t\n\x0b\x0c\r"
 _GOLD = 0x9E3779B97F4A7C15
 _POWERS = [np.uint64(pow(_GOLD, k + 1, 1 << 64)) for k in range(ORDER)]
 _FLUSH = 1_000_000
+_MERGE = 200_000
+CHUNK = 300_000
 
 
 class Points:
@@ -119,22 +121,43 @@ def gram_counts(langs: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndar
     return found[:, 0], found[:, 1:].astype(np.uint32), counts
 
 
+def _chunks(texts: list[str]) -> Iterator[slice]:
+    """Slices of a batch that hold about ``CHUNK`` characters each, so that arrays stay small; a longer text is one by itself."""
+    begin = chars = 0
+    for i, text in enumerate(texts):
+        if chars and chars + len(text) > CHUNK:
+            yield slice(begin, i)
+            begin, chars = i, 0
+        chars += len(text)
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 class _Counts:
-    """Counts of a task, merged batch by batch."""
+    """Counts of a task; those of new chunks wait until there are enough to merge."""
 
     def __init__(self):
         self.keys = np.zeros(0, np.uint64)
         self.langs, self.windows, self.counts = np.zeros(0, object), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+        self.waiting: list[tuple] = []
+        self.n_waiting = 0
 
     def add(self, langs: list[str], texts: list[str]) -> None:
         names = np.unique(np.array(langs, object))
         lang, windows, counts = gram_counts(langs, texts)
         keys = gram_hashes(_language_seeds(names.tolist())[lang], [windows[:, ORDER - 1 - k] for k in range(ORDER)])
-        keys, first, inverse = np.unique(np.concatenate([self.keys, keys]), return_index=True, return_inverse=True)
-        self.counts = np.bincount(inverse, np.concatenate([self.counts, counts])).astype(np.int64)
-        self.langs = np.concatenate([self.langs, names[lang]])[first]
-        self.windows = np.concatenate([self.windows, windows])[first]
-        self.keys = keys
+        self.waiting.append((keys, names[lang], windows, counts))
+        self.n_waiting += len(keys)
+        if self.n_waiting > max(_MERGE, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = [(self.keys, self.langs, self.windows, self.counts), *self.waiting]
+        keys, langs, windows, counts = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        self.waiting, self.n_waiting = [], 0
+        self.keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        self.counts = np.bincount(inverse, counts, len(self.keys)).astype(np.int64)
+        self.langs, self.windows = langs[first], windows[first]
 
     def packed(self) -> pa.RecordBatch:
         text = self.windows.tobytes().decode("utf-32-le", "surrogatepass")
@@ -145,11 +168,14 @@ class _Counts:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = _Counts()
     for batch in batches:
-        if batch.num_rows:
-            held.add(batch["lang"].to_pylist(), batch["text"].to_pylist())
+        langs, texts = batch["lang"].to_pylist(), batch["text"].to_pylist()
+        for part in _chunks(texts):
+            held.add(langs[part], texts[part])
         if len(held.keys) > _FLUSH:
+            held.merge()
             yield held.packed()
             held = _Counts()
+    held.merge()
     if len(held.keys):
         yield held.packed()
 
@@ -180,10 +206,10 @@ def fitted(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFr
     log_p is null for a bare context, log_back where nothing follows. The row of the empty n-gram has the probability of an
     unknown character and the weight that leads to it.
     """
-    scraps = [stored(grams, "quality-counts")]
-    levels = {order: scraps[0]}
+    levels = {order: stored(grams, "quality-counts")}
     for k in range(order - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c"))
+        levels[k] = stored(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), "quality-counts")
+    scraps = list(levels.values())
     below = levels[1].groupBy("lang", F.lit("").alias("gram")).agg((1.0 / (F.count("*") + 1)).alias("p"))
     parts = [below.select("lang", "gram", F.log("p").alias("log_p"), F.lit(None).cast("double").alias("log_back"))]
     for k in range(1, order + 1):
@@ -191,11 +217,11 @@ def fitted(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFr
         rows = levels[k].join(discounts(levels[k]), "lang").select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"), (F.col("c") - taken).alias("left"), taken.alias("taken"), "c")
         contexts = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("taken") / F.sum("c")).alias("back"))
         lower = below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower"))
-        level = rows.join(contexts, ["lang", "context"]).join(lower, ["lang", "rest"]).select("lang", "gram", (F.col("left") / F.col("total") + F.col("back") * F.col("lower")).alias("p"))
-        below = stored(level, f"quality-order-{k}")
+        joined = rows.join(contexts, ["lang", "context"]).join(lower, ["lang", "rest"])
+        below = stored(joined.select("lang", "gram", "context", "back", (F.col("left") / F.col("total") + F.col("back") * F.col("lower")).alias("p")), "quality-order")
         scraps.append(below)
         parts.append(below.select("lang", "gram", F.log("p").alias("log_p"), F.lit(None).cast("double").alias("log_back")))
-        parts.append(contexts.select("lang", F.col("context").alias("gram"), F.lit(None).cast("double").alias("log_p"), F.log("back").alias("log_back")))
+        parts.append(below.select("lang", F.col("context").alias("gram"), F.lit(None).cast("double").alias("log_p"), F.log("back").alias("log_back")).distinct())
     model = functools.reduce(DataFrame.unionByName, parts).groupBy("lang", "gram").agg(F.max("log_p").alias("log_p"), F.max("log_back").alias("log_back"))
     return stored(model, "quality-model"), scraps
 
@@ -305,11 +331,14 @@ def measured(docs: DataFrame, model: Model | None, *carried: str) -> DataFrame:
             texts, langs = batch["text"].to_pylist(), batch["lang"].to_pylist()
             if not texts:
                 continue
-            points = Points(texts)
             n_words, n_dup_lines, n_repeat_words = zip(*(features(t, memo) for t in texts), strict=True)
-            nats = shared.value.nats(langs, points) if shared.value else np.full(len(texts), np.nan)
+            parts = []
+            for part in _chunks(texts):
+                points = Points(texts[part])
+                parts.append((points.word_chars, points.n_symbols, points.n_letters, shared.value.nats(langs[part], points) if shared.value else np.full(len(points.n_letters), np.nan)))
+            word_chars, n_symbols, n_letters, nats = map(np.concatenate, zip(*parts, strict=True))
             nats = np.where(np.array(n_words) > 0, nats, np.nan)
-            counts = [pa.array(x, pa.int64()) for x in (n_words, points.word_chars, points.n_symbols, n_dup_lines, n_repeat_words, points.n_letters)]
+            counts = [pa.array(x, pa.int64()) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_letters)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), *counts, pa.array(nats, pa.float64(), mask=np.isnan(nats))], names=[*names, *_FEATURES, "nats"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
