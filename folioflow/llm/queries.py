@@ -201,8 +201,8 @@ d{k} AS (
     CASE WHEN n1 > 0 AND n3 > 0 THEN greatest(0.1, 3 - 4 * n1 / (n1 + 2 * n2) * n4 / n3) ELSE 1.5 END AS d3 FROM n{k}),
 r{k} AS (SELECT lang, gram, left(gram, {k - 1}) AS context, c, CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS taken FROM k{k} JOIN d{k} USING (lang)),
 b{k} AS (SELECT lang, context, sum(c) AS total, sum(taken) / sum(c) AS back FROM r{k} GROUP BY ALL),
-p{k} AS MATERIALIZED (
-  SELECT r.lang, r.gram, (c - taken) / total + back * l.p AS p FROM r{k} r JOIN b{k} b ON r.lang = b.lang AND r.context = b.context JOIN p{k - 1} l ON r.lang = l.lang AND substr(r.gram, 2) = l.gram),"""
+t{k} AS MATERIALIZED (SELECT r.lang, gram, substr(gram, 2) AS rest, (c - taken) / total AS own, back FROM r{k} r JOIN b{k} b ON r.lang = b.lang AND r.context = b.context),
+p{k} AS MATERIALIZED (SELECT t.lang, t.gram, own + back * l.p AS p FROM t{k} t JOIN p{k - 1} l ON t.lang = l.lang AND t.rest = l.gram),"""
     for k in (1, 2, 3, 4, 5)
 )
 
@@ -210,9 +210,9 @@ QUALITY_SQL = rf"""
 WITH t AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
-v AS (
-  SELECT row, unnest(range(len(w) - 4)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS v FROM w WHERE len(w) >= 5),
-a AS (SELECT row, i, count(*) OVER (PARTITION BY row, v) AS n FROM v),
+u AS (SELECT row, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM w),
+v AS (SELECT row, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS v FROM u WINDOW o AS (PARTITION BY row ORDER BY i)),
+a AS (SELECT row, i, count(*) OVER (PARTITION BY row, v) AS n FROM v WHERE v IS NOT NULL),
 m AS (SELECT row, count(DISTINCT i + j) AS n_repeat_words FROM a, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY row),
 x AS (
   SELECT row, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -220,7 +220,9 @@ x AS (
     ltrim(regexp_replace(regexp_replace(regexp_replace(text, '[0-9]', '0', 'g'), '[\x00-\x1F]', ' ', 'g'), ' +', ' ', 'g'), ' ') AS plain
   FROM w LEFT JOIN m USING (row)),
 y AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, repeat(chr(2), 4) || plain || chr(3) AS padded FROM x),
-g AS MATERIALIZED (SELECT row, lang, gram, count(*) AS n FROM (SELECT row, lang, unnest(list_transform(range(1, length(padded) - 3), lambda i: substr(padded, i, 5))) AS gram FROM y WHERE n_words > 0) GROUP BY ALL),
+h AS (SELECT row, lang, unnest(string_split(padded, '')) AS c, unnest(range(length(padded))) AS i FROM y WHERE n_words > 0),
+j AS (SELECT row, lang, c || lead(c) OVER o || lead(c, 2) OVER o || lead(c, 3) OVER o || lead(c, 4) OVER o AS gram FROM h WINDOW o AS (PARTITION BY row ORDER BY i)),
+g AS MATERIALIZED (SELECT row, lang, gram, count(*) AS n FROM j WHERE gram IS NOT NULL GROUP BY ALL),
 k5 AS MATERIALIZED (SELECT lang, gram, sum(n) AS c FROM g GROUP BY ALL),{{levels}}
 p0 AS (SELECT lang, '' AS gram, 1.0 / (count(*) + 1) AS p FROM k1 GROUP BY lang),{{probabilities}}
 s AS (SELECT row, -sum(n * ln(p)) AS nats FROM g JOIN p5 USING (lang, gram) GROUP BY row),
