@@ -37,12 +37,6 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([-+]?\d+(?:[.,]\d+)*)"), 1)
 
 
-def furniture(text: Column, least: int = 4) -> Column:
-    """A header or footer without digits and marks, lower-cased; null below ``least`` letters."""
-    plain = F.lower(F.regexp_replace(text, r"[\d\W_]", ""))
-    return F.when(F.length(plain) >= least, plain)
-
-
 def document_family(name: Column) -> Column:
     """The document of a page's name: what precedes a page or slide number, else the name."""
     found = F.regexp_extract(name, r"^(.+?)[_-](?:page|slide|p)[_-]?\d+(?:\.\w+)?$", 1)
@@ -72,28 +66,11 @@ def assignments(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def first_json(text: Column) -> Column:
-    """The first JSON object inside noisy text, as text; null if there is none: nesting up to three deep."""
-    inner = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
-    return F.nullif(F.regexp_extract(text, f"({inner})", 1), F.lit(""))
-
-
 def last_json_line(text: Column) -> Column:
     """The last line that begins with a brace."""
     return F.get(F.reverse(F.filter(F.split(text, "\n"), lambda x: x.startswith("{"))), F.lit(0))
 
 
-def canonical(json: Column) -> Column:
-    """A flat JSON object with sorted names and no spaces."""
-    pairs = F.array_sort(F.map_entries(F.from_json(json, "map<string,string>")))
-    quoted = lambda v: F.when(v.isNull() | v.rlike(r"^(-?\d+(\.\d+)?([eE][-+]?\d+)?|true|false|[\[{].*)$"), F.coalesce(v, F.lit("null"))).otherwise(F.concat(F.lit('"'), v, F.lit('"')))
-    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(F.lit('"'), p["key"], F.lit('":'), quoted(p["value"]))), ","), F.lit("}"))
-
-
-def json_digest(json: Column) -> Column:
-    return F.sha2(canonical(json), 256)
-
-
 def markdown_links(text: Column) -> Column:
     """Link targets inside a repository: no web, mail or fragment links, fragments cut off."""
     found = F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]+)\)"), 1)
@@ -107,19 +84,6 @@ def differing_flags(values: dict[str, Column], defaults: dict) -> Column:
     return F.filter(F.array(*flags), lambda x: x.isNotNull())
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Edit distance of two word arrays: words become code points, so Spark's Levenshtein counts words."""
-    known = F.array_distinct(F.concat(a, b))
-    as_letters = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position(known, w) + F.when(F.array_position(known, w) < 0xD700, 0x100).otherwise(0x900)), 4, "0")), "")), "UTF-16BE")
-    return F.levenshtein(as_letters(a), as_letters(b))
-
-
-def normalized_distance(a: Column, b: Column) -> Column:
-    """Edits over the longer length; 0 for two empty texts."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 0.0).otherwise(F.levenshtein(a, b) / longest)
-
-
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common beginning of two arrays."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull())

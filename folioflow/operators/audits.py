@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,21 @@ def families(rows: DataFrame, key: str, overrides: DataFrame, rules: list[tuple[
         ruled = F.when(holds, family).otherwise(ruled)
     given = overrides.groupBy(key).agg(F.min("family").alias("reviewed"))
     return rows.join(given, key, "left").withColumn("family", F.coalesce("reviewed", ruled)).drop("reviewed")
+
+
+def repetitions(rows: DataFrame, case: list[str], repetition: str, output: list[str]) -> DataFrame:
+    """(case, repetitions, identical): whether all repetitions of a case gave the same output rows, as multisets of whole rows.
+
+    The digest of a repetition adds four 48-bit parts of each row's SHA-256 and counts rows, so it sums in any order and no
+    repetition is gathered; to keep order, have the place among the output's columns.
+    """
+    whole = F.sha2(F.to_json(F.struct(*(F.col(c) for c in output)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring("digest", 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).alias(f"part{k}") for k in range(4)]
+    each = rows.select(*case, repetition, whole.alias("digest")).groupBy(*case, repetition).agg(F.count("*").alias("n"), *parts)
+    return each.groupBy(*case).agg(F.count("*").alias("repetitions"), (F.countDistinct("n", *(f"part{k}" for k in range(4))) == 1).alias("identical"))
+
+
+def repeated(rows: DataFrame, keys: dict[str, list[str]], carried: str) -> DataFrame:
+    """(carried, key, n): for each named key that must be unique, its values that occur more than once; nulls are values."""
+    twice = [rows.groupBy(*{carried: 0, **dict.fromkeys(columns)}).agg(F.count("*").alias("n")).where("n > 1").select(carried, F.lit(name).alias("key"), "n") for name, columns in keys.items()]
+    return functools.reduce(DataFrame.unionByName, twice)

@@ -79,46 +79,3 @@ def drafting(steps: DataFrame, by: str, at: str, rate: str, extra: str, single:
         return F.struct(smooth.alias("smooth"), F.when(draft, 0).otherwise(s["idle"] + 1).alias("idle"), F.concat(s["out"], F.array(F.struct(x["at"].cast("long").alias("at"), smooth.alias("smooth"), draft.alias("draft")))).alias("out"))
 
     return rows.select(by, F.explode(F.aggregate("steps", state, step, lambda s: s["out"])).alias("x")).select(by, F.col("x.at").alias(at), "x.smooth", "x.draft")
-
-
-def symbols(ids: list[int], digits: dict[int, str]) -> list[tuple[int, int | None]]:
-    """Tokens as (token, None), runs of digit tokens as (-1, their number)."""
-    out, run = [], ""
-    for t in [*ids, None]:
-        if t in digits:
-            run += digits[t]
-            continue
-        if run:
-            out.append((-1, int(run)))
-            run = ""
-        if t is not None:
-            out.append((t, None))
-    return out
-
-
-def counting_loop(ids: list[int], digits: dict[int, str], cycles: int = 128, tokens: int = 256, longest: int = 16) -> int | None:
-    """The number of symbols in a period that repeats with numbers stepping by constants, at least one of them not zero."""
-    found = symbols(ids, digits)
-    kind = np.array([s for s, _ in found])
-    number = np.array([n if n is not None else 0 for _, n in found], object)
-    for p in range(1, longest + 1):
-        need = p * cycles
-        if len(found) < need + p or len(ids) < tokens:
-            continue
-        same = kind[-need:] == kind[-need - p : -p]
-        steps = number[-need:] - number[-need - p : -p]
-        if same.all() and (steps[p:] == steps[:-p]).all() and any(steps[-p:]):
-            return p
-    return None
-
-
-def counting_loops(rows: DataFrame, key: str, tokens: str, digits: dict[int, str], cycles: int = 128, least: int = 256) -> DataFrame:
-    """(key, period) of rows that end in a counting loop."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(k, p) for k, own in zip(batch[key].to_pylist(), batch[tokens].to_pylist(), strict=True) if own and (p := counting_loop(own, digits, cycles, least))]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32())], names=[key, "period"])
-
-    small_batches(rows.sparkSession)
-    return rows.select(F.col(key).cast("long").alias(key), F.col(tokens).cast("array<bigint>").alias(tokens)).where(F.size(tokens) >= least).mapInArrow(run, f"{key} long, period int")

@@ -30,11 +30,11 @@ def lag_run_loop(tokens: DataFrame, by: str, at: str, token: str, periods: int,
     return found.groupBy(by).agg(F.min(F.struct(at, "p")).alias("first")).select(by, F.col(f"first.{at}").alias("stop"), F.col("first.p").alias("period"))
 
 
-def first_loop(ids: np.ndarray, periods: int, least: int) -> tuple[int, int] | None:
+def first_loop(ids: np.ndarray, periods: int, least: int, repeats: int = 4) -> tuple[int, int] | None:
     """(stop, period) as in lag_run_loop, of one row's tokens; of two periods at one place the shorter."""
     best = None
     for p in range(1, min(periods, len(ids) - 1) + 1):
-        need = max(least, 4 * p) - p
+        need = max(least, repeats * p) - p
         edges = np.r_[-1, np.flatnonzero(ids[p:] != ids[:-p]), len(ids) - p]
         long = np.flatnonzero(np.diff(edges) > need)
         if len(long) and (best is None or edges[long[0]] + need + p < best[0]):

@@ -13,11 +13,15 @@ from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
 
 
-@query("WITH s AS (SELECT l_orderkey, l_returnflag, count(*) AS n, min(l_linestatus) AS lo, max(l_linestatus) AS hi FROM lineitem GROUP BY ALL) SELECT l_orderkey, count(*) AS repetitions, count(DISTINCT (n, lo, hi)) = 1 AS identical FROM s GROUP BY l_orderkey")
+@query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey || ':' || CAST(l_quantity AS INT) AS row FROM lineitem),
+r AS (SELECT l_orderkey, repetition, l_linenumber, row || CASE WHEN repetition = 2 AND l_orderkey % 3 = 0 AND l_linenumber = l_orderkey % 5 + 1 THEN '!' ELSE '' END AS row FROM o, (SELECT unnest(range(3)) AS repetition)),
+s AS (SELECT l_orderkey, repetition, string_agg(row, chr(10) ORDER BY l_linenumber, row) AS out FROM r GROUP BY ALL) SELECT l_orderkey, count(*) AS repetitions, count(DISTINCT out) = 1 AS identical FROM s GROUP BY l_orderkey""")
 def identical_repetitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether all repetitions of a page gave one output, by signatures that do not depend on row order."""
-    sums = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.min("l_linestatus").alias("lo"), F.max("l_linestatus").alias("hi"))
-    return sums.groupBy("l_orderkey").agg(F.count("*").alias("repetitions"), (F.countDistinct("n", "lo", "hi") == 1).alias("identical"))
+    """Whether all repetitions of an order's rows gave one output, place by place; the third of every third order is changed in one row, where it has that row."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", F.col("l_quantity").cast("int")).alias("row"), F.explode(F.array(*map(F.lit, range(3)))).alias("repetition"))
+    changed = (F.col("repetition") == 2) & (F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") == F.col("l_orderkey") % 5 + 1)
+    rows = rows.withColumn("row", F.when(changed, F.concat("row", F.lit("!"))).otherwise(F.col("row")))
+    return A.repetitions(rows, ["l_orderkey"], "repetition", ["l_linenumber", "row"])
 
 
 @query("""WITH r AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total, max(o_totalprice) AS most FROM orders GROUP BY o_custkey)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators import sampling
+from folioflow.operators import audits as A
 from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
 
@@ -123,9 +124,11 @@ def best_draft_length(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.orderBy(F.desc("gain"), "j").limit(1).select("j", F.round("gain", 8).alias("gain"))
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id, role, text HAVING count(*) > 1 UNION ALL SELECT conv_id, count(*) FROM conversations GROUP BY conv_id, turn HAVING count(*) > 1")
+@query("""WITH r AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 5 = 0 AND turn = 1 UNION ALL SELECT conv_id, turn + 1, role, text || '!' FROM conversations WHERE conv_id % 7 = 0 AND turn = 2)
+SELECT conv_id, 'message' AS key, count(*) AS n FROM r GROUP BY conv_id, role, text HAVING count(*) > 1 UNION ALL SELECT conv_id, 'turn', count(*) FROM r GROUP BY conv_id, turn HAVING count(*) > 1""")
 def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys that must be unique and aren't: equal messages, equal turn numbers."""
-    rows = table(spark, sf, "conversations")
-    twice = lambda *k: rows.groupBy("conv_id", *k).agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "n")
-    return twice("role", "text").unionByName(twice("turn"))
+    """Keys that must be unique and aren't: equal messages, equal turn numbers; some of either are put in."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    copies = rows.where("conv_id % 5 = 0 and turn = 1")
+    moved = rows.where("conv_id % 7 = 0 and turn = 2").select("conv_id", (F.col("turn") + 1).alias("turn"), "role", F.concat("text", F.lit("!")).alias("text"))
+    return A.repeated(rows.unionByName(copies).unionByName(moved), {"message": ["conv_id", "role", "text"], "turn": ["conv_id", "turn"]}, "conv_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import measures, proposals, scoring
+from folioflow.operators import loops, measures, proposals, scoring
 from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
 
@@ -98,9 +98,9 @@ def ngram_proposals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def counting_loops(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts that end by counting: tokens are characters, digit runs are one number."""
+    """Where texts end by repeating or by counting: tokens are characters, digit runs are one number."""
     tokens = table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("tokens"))
-    return proposals.counting_loops(tokens, "doc_id", "tokens", {48 + d: str(d) for d in range(10)})
+    return loops.loop_stops(tokens, "doc_id", "tokens", {48 + d: d for d in range(10)})
 
 
 @query()

@@ -113,10 +113,11 @@ def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", size["w"].alias("w"), size["h"].alias("h"), P.to_patch(w).alias("patch"), (F.rint(w / 16) * F.rint(h / 16) + 16).cast("int").alias("tokens"))
 
 
-@query("""SELECT p_partkey, list_sum(list_transform(range(0, p_size), lambda i: floor((i + 0.5::DOUBLE) * (97::DOUBLE / p_size))))::BIGINT AS nearest, round(list_sum(list_transform(range(0, p_size), lambda i: i * (2::DOUBLE / greatest(p_size - 1, 1)) - 1)), 6) + 0 AS grid FROM part WHERE p_size IN (1, 2, 4, 8, 16, 32)""")
+@query("""WITH s AS (SELECT p_partkey, p_size AS n, 97::DOUBLE / p_size AS step, 2::DOUBLE / greatest(p_size - 1, 1) AS gap FROM part),
+a AS (SELECT *, list_transform(range(0, n), lambda k: trunc(list_reduce(range(0, k), lambda pos, i: pos + step, step * 0.5::DOUBLE))::BIGINT) AS nearest, list_transform(range(0, n), lambda i: CASE WHEN n = 1 THEN -1 WHEN i < n // 2 THEN -1 + gap * i ELSE 1 - gap * (n - 1 - i) END) AS grid FROM s)
+SELECT p_partkey, md5(array_to_string(nearest, ' ')) AS nearest, round(list_sum(list_transform(range(0, n), lambda i: grid[i + 1] * (i + 1))), 6) AS grid FROM a""")
 def index_grids(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest source indexes and an evenly spaced grid, on sizes whose running sums are exact."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    rows = table(spark, sf, "part").where("p_size in (1, 2, 4, 8, 16, 32)")
-    grid = F.when(F.col("p_size") > 1, total(P.linspace(F.lit(-1.0), F.lit(1.0), F.col("p_size")))).otherwise(-1.0)
-    return rows.select("p_partkey", total(F.transform(P.nearest(F.lit(97), F.col("p_size")), lambda i: i.cast("double"))).cast("long").alias("nearest"), (F.round(grid, 6) + 0.0).alias("grid"))
+    """Nearest source indexes, positions summed step by step, and an evenly spaced grid, for every size."""
+    grid = F.when(F.col("p_size") > 1, P.linspace(F.lit(-1.0), F.lit(1.0), F.col("p_size"))).otherwise(F.array(F.lit(-1.0)))
+    weighed = F.aggregate(F.transform(grid, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return table(spark, sf, "part").select("p_partkey", F.md5(F.array_join(P.nearest(F.lit(97), F.col("p_size")), " ")).alias("nearest"), F.round(weighed, 6).alias("grid"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
+from folioflow.streaming import keyed as K
 from folioflow.streaming import stateful as S
 
 
@@ -18,7 +19,7 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ordered_release(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of eight lanes leave in the order of their place, whatever order they come in."""
     rows = stream(spark, sf).select((F.col("event_id") % 8).alias("lane"), F.floor(F.col("event_id") / 8).alias("place"), "value")
-    return S.finished(S.released(rows, "lane", "place", "value"), "released").withColumn("value", F.round("value", 6))
+    return S.finished(K.released(rows, "lane", "place", "value").select("lane", "place", "value"), "released").withColumn("value", F.round("value", 6))
 
 
 @query("SELECT user_id, x AS cohort, 10::BIGINT AS n FROM (SELECT user_id, unnest(range(0, count(*) // 10)) AS x FROM events GROUP BY user_id)")

@@ -1,4 +1,4 @@
-"""Structured Streaming: ordered release, loop stops, cohorts, sessions, dedup and joins of streams.
+"""Structured Streaming: opening and finishing streams, cohorts, sessions, dedup and joins; ``keyed`` has ordered release and loop stops.
 
 Each operator takes a streaming frame (a batch frame works for the stateless ones) and keeps bounded state per key; the
 batch forms in ``folioflow.operators`` give the same rows once a stream has ended.
@@ -6,7 +6,7 @@ batch forms in ``folioflow.operators`` give the same rows once a stream has ende
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioflow.sources.workspace import shared_dir
+from folioflow.streaming.keyed import rocks_store
 
 
 def opened(spark: SparkSession, folder: str, name: str = "*.parquet", files: int | None = None) -> DataFrame:
@@ -26,8 +27,12 @@ def opened(spark: SparkSession, folder: str, name: str = "*.parquet", files: int
 
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there and gives its rows. Complete mode keeps the last batch, by an idempotent sink."""
-    import uuid
+    """Runs a stream over all that is there, on the RocksDB state store, and gives its rows. Complete mode keeps the last batch, by an idempotent sink."""
+    with rocks_store(stream.sparkSession):
+        return _finished(stream, name, mode)
+
+
+def _finished(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -50,31 +55,6 @@ def batch_sink(path: str):
     return write
 
 
-def released(stream: DataFrame, by: str, index: str, value: str, failed: str | None = None) -> DataFrame:
-    """(by, index, value, place): rows leave in the order of their index, from 0, as soon as all earlier ones have come.
-
-    With ``failed`` (a boolean column), a failed row is the last of its key that leaves.
-    """
-    bad = F.coalesce(F.col(failed), F.lit(False)) if failed else F.lit(False)
-    rows = stream.select(F.col(by).cast("long").alias("by"), F.col(index).cast("long").alias("at"), F.col(value).cast("double").alias("value"), bad.alias("bad"))
-
-    def release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, stopped, waiting = (state.get if state.exists else (0, False, "{}"))
-        held = {int(k): v for k, v in json.loads(waiting).items()}
-        for frame in frames:
-            held |= {int(a): (None if pd.isna(v) else float(v), bool(b)) for a, v, b in zip(frame["at"], frame["value"], frame["bad"], strict=True)}
-        out = []
-        while following in held and not stopped:
-            v, b = held.pop(following)
-            out.append((key[0], following, v))
-            following, stopped = following + 1, bool(b)
-        state.update((following, stopped, json.dumps({} if stopped else held)))
-        yield pd.DataFrame(out, columns=["by", "at", "value"])
-
-    out = rows.groupBy("by").applyInPandasWithState(release, "by long, at long, value double", "following long, stopped boolean, waiting string", "append", GroupStateTimeout.NoTimeout)
-    return out.select(F.col("by").alias(by), F.col("at").alias(index), F.col("value").alias(value))
-
-
 def waiting_failure(rows: DataFrame, by: str, index: str, failed: str) -> DataFrame:
     """(by, blocked_at): keys with a failure behind an index that hasn't come; the batch form of the stop signal."""
     came = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.col(index))).alias("came"), F.min(F.when(F.col(failed), F.col(index))).alias("bad"))
@@ -82,33 +62,6 @@ def waiting_failure(rows: DataFrame, by: str, index: str, failed: str) -> DataFr
     return came.where("bad is not null").select(by, missing.alias("blocked_at")).where("blocked_at is not null")
 
 
-def loop_stops(stream: DataFrame, by: str, at: str, token: str, periods: int = 128, least: int = 256) -> DataFrame:
-    """(by, stop, period): the first place where a stream of tokens repeats those p back long enough.
-
-    State per key: a counter for each lag and the last ``periods`` tokens; rows of a key come in order.
-    """
-    rows = stream.select(F.col(by).cast("long").alias("by"), F.col(at).cast("long").alias("at"), F.col(token).cast("long").alias("token"))
-
-    def watch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, ring, done = (state.get if state.exists else ([0] * periods, [], False))
-        run, ring, out = list(run), list(ring), []
-        for frame in frames:
-            for place, t in frame.sort_values("at")[["at", "token"]].itertuples(index=False):
-                if done:
-                    break
-                for p in range(1, len(ring) + 1):
-                    run[p - 1] = run[p - 1] + 1 if ring[-p] == t else 0
-                    if run[p - 1] + p >= max(least, 4 * p) and not done:
-                        out.append((key[0], int(place), p))
-                        done = True
-                ring = [*ring, int(t)][-periods:]
-        state.update((run, ring, done))
-        yield pd.DataFrame(out, columns=["by", "stop", "period"])
-
-    out = rows.groupBy("by").applyInPandasWithState(watch, "by long, stop long, period int", "run array<int>, ring array<bigint>, done boolean", "append", GroupStateTimeout.NoTimeout)
-    return out.withColumnRenamed("by", by)
-
-
 def counted_cohorts(stream: DataFrame, by: str, value: str, size: int) -> DataFrame:
     """(by, cohort, n, total): batches of exactly ``size`` rows of a key, as soon as they are full."""
     rows = stream.select(F.col(by).cast("long").alias("by"), F.col(value).cast("double").alias("value"))

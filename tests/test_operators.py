@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import pixels, proposals, sampling, scoring, sequences, vectors
+from folioflow.operators import pixels, proposals, sampling, scoring, vectors
 from folioflow.plans.registry import QUERIES
 from folioflow.streaming import stateful
 
@@ -77,15 +77,6 @@ def test_proposals(spark):
     assert [r[0] for r in same.select(proposals.accepted(F.col("d"), F.col("t"))).collect()] == [2, 1, 0]
 
 
-def test_counting_loops(spark):
-    digits = {48 + d: str(d) for d in range(10)}
-    text = lambda s: [ord(c) for c in s]
-    counted = lambda n, step, tail="": "".join(f"row {k * step};" for k in range(n)) + tail
-    rows = [(1, text(counted(200, 1))), (2, text(counted(200, 3))), (3, text(counted(100, 1))), (4, text("ab " * 200)), (5, text(counted(200, 1, "end"))), (6, text("".join(f"{k},{500 - k} " for k in range(300)))), (7, text("x 5;" * 300))]
-    got = {r.id: r.period for r in proposals.counting_loops(spark.createDataFrame(rows, "id long, t array<int>"), "id", "t", digits).collect()}
-    assert got == {1: 6, 2: 6, 6: 4}
-
-
 def test_draft_policy(spark, sf):
     events = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "value").collect())
     state, want = {}, {}
@@ -142,16 +133,7 @@ def test_streams_equal_batches(spark, tmp_path):
         for f in (tmp_path / f"in/part{k}.parquet").glob("*.parquet"):
             f.rename(path / f"{k}.parquet")
     stream = stateful.opened(spark, str(path), files=1)
-    out = stateful.finished(stateful.released(stream, "lane", "at", "v", "bad"), "t").collect()
-    assert sorted((r.lane, r["at"]) for r in out) == [(0, k) for k in range(20)] + [(1, k) for k in range(7)] + [(2, k) for k in range(12)]
     blocked = stateful.waiting_failure(spark.createDataFrame([(1, 0, False), (1, 2, True), (2, 0, True)], "l long, i long, f boolean"), "l", "i", "f")
     assert [tuple(r) for r in blocked.collect()] == [(1, 1)]
     cohorts = stateful.finished(stateful.counted_cohorts(stream, "lane", "v", 6), "c").collect()
     assert sorted((r.lane, r.cohort, r.n) for r in cohorts) == [(lane, c, 6) for lane in range(3) for c in range(3)]
-    tokens = {1: [1, 2, 3] * 200, 2: list(range(300)), 3: [4] * 256, 4: [4] * 255}
-    df = spark.createDataFrame([(k, i, t) for k, ts in tokens.items() for i, t in enumerate(ts)], "k long, i long, t long")
-    df.coalesce(1).write.parquet(f"{tmp_path}/tokens")
-    found = {r.k: (r.stop, r.period) for r in stateful.finished(stateful.loop_stops(stateful.opened(spark, f"{tmp_path}/tokens"), "k", "i", "t"), "l").collect()}
-    import numpy as np
-
-    assert found == {k: hit for k, ts in tokens.items() if (hit := sequences.first_loop(np.array(ts), 128, 256))} and set(found) == {1, 3}
