@@ -2,8 +2,10 @@
 
 Characters are lower-cased code points, everything but letters is a space; n-grams of one to three fall into 2**16
 buckets. Training counts n-grams of all labelled rows inside the tasks; each task hands on one count array per language,
-and these are summed in two steps. The log-probability matrix is broadcast: 256 KB for each learned language, so its size
-follows the number of different labels and not the number of documents. Scoring gathers its rows for one text at a time.
+and these are summed in two steps. The log-probability matrix takes 256 KB for each learned language, so its size follows the
+number of different labels and not of documents; it is collected and broadcast in blocks of at most ``LABELS`` languages,
+and with more than one block texts pass all of them one after the other, with the best so far beside them. Scoring makes a
+sparse matrix (text, bucket, count) of a batch's texts and multiplies it with the block's columns.
 
 A null text, or one without a letter, is ``und`` with score 0; so is everything if no row is labelled. The score is the
 posterior with the likelihood weakened to that of at most 200 n-grams, so that it stays informative on long texts.
@@ -16,14 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.sources.workspace import small_batches
+from folioflow.sources.workspace import discard, small_batches, stored
 
 BITS = 16
 ORDERS = (1, 2, 3)
 EVIDENCE = 200
+LABELS = 256
+CHARS = 200_000
+CELLS = 4_000_000
 UNKNOWN = "und"
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -100,67 +106,150 @@ def _log_shares(smoothing: float):
     return run
 
 
-def train(labelled: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-probabilities (buckets x languages) and log priors, from all rows with text and lang."""
+class Block:
+    """Log-probabilities (buckets x languages) and log priors of some languages."""
+
+    def __init__(self, langs: list[str], logs: np.ndarray, prior: np.ndarray):
+        self.langs, self.logs, self.prior = langs, logs, prior
+
+
+def train(labelled: DataFrame, smoothing: float = 0.5, labels: int = LABELS) -> list[Broadcast]:
+    """Broadcast blocks of languages in order of their names, from all rows with text and lang."""
     kind = "lang string, docs long, counts binary"
-    small_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counted = rows.mapInArrow(_counts, kind)
     part = counted.repartition(32, "lang", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(_summed, kind)
-    whole = sorted(part.repartition(8, "lang").mapInArrow(_log_shares(smoothing), kind).collect(), key=lambda r: r["lang"])  # a row per language
-    logs = np.array([np.frombuffer(r["counts"], "<f4") for r in whole], np.float32).reshape(len(whole), 1 << BITS).T.copy()
-    docs = np.array([r["docs"] for r in whole], np.float64)
-    return [r["lang"] for r in whole], logs, np.log(docs / docs.sum()) if len(docs) else docs
+    whole = stored(part.repartition(8, "lang").mapInArrow(_log_shares(smoothing), kind), "languages")
+    docs = {r["lang"]: r["docs"] for r in whole.select("lang", "docs").collect()}  # a row per language
+    names, total, blocks = sorted(docs), sum(docs.values()), []
+    for k in range(0, len(names), labels):
+        mine = names[k : k + labels]
+        found = {r["lang"]: np.frombuffer(r["counts"], "<f4") for r in whole.where(F.col("lang").between(mine[0], mine[-1])).collect()}
+        logs = np.array([found[n] for n in mine], np.float32).T.copy()
+        blocks.append(spark.sparkContext.broadcast(Block(mine, logs, np.log(np.array([docs[n] for n in mine]) / total))))
+    discard(whole)
+    return blocks
+
+
+def sparse_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts with a letter and their numbers of n-grams; then each one's different buckets one after the other as (begin, bucket, count)."""
+    grams = [(i, found) for i, text in enumerate(texts) if text and (found := gram_buckets(text)) is not None]
+    if not grams:
+        return (np.zeros(0, np.int64),) * 4
+    sizes = np.array([len(g) for _, g in grams])
+    keys, counts = np.unique(np.repeat(np.arange(len(grams), dtype=np.uint64), sizes) << np.uint64(BITS) | np.concatenate([g for _, g in grams]), return_counts=True)
+    begins = np.searchsorted(keys >> np.uint64(BITS), np.arange(len(grams), dtype=np.uint64))
+    return np.array([i for i, _ in grams]), sizes, begins, np.stack([(keys & np.uint64((1 << BITS) - 1)).astype(np.int64), counts])
+
+
+def totals(begins: np.ndarray, cells: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """Summed log-probabilities (texts x languages): the sparse matrix times the columns of a block, a few at a time."""
+    step = max(1, CELLS // cells.shape[1])
+    parts = [np.add.reduceat(logs[cells[0], k : k + step] * cells[1][:, None].astype(np.float64), begins, axis=0) for k in range(0, logs.shape[1], step)]
+    return np.concatenate(parts, axis=1)
+
+
+#: What is known of a text after some blocks: the best language, its log posterior, that with weakened likelihood, and the log of the weakened sum.
+Known = tuple[str, float, float, float]
+NOTHING: Known = (UNKNOWN, -np.inf, -np.inf, -np.inf)
+
+
+def seen_block(texts: list[str | None], block: Block, before: list[Known]) -> list[Known]:
+    """The state of each text of a batch after one more block; of equal languages the earlier stays."""
+    after = list(before)
+    for part in _parts(texts):
+        at, sizes, begins, cells = sparse_counts(texts[part])
+        if not len(at) or not block.langs:
+            continue
+        sums = totals(begins, cells, block.logs)
+        strong, weak = sums + block.prior, sums * np.minimum(1.0, EVIDENCE / sizes)[:, None] + block.prior
+        best = strong.argmax(1)
+        top = weak.max(1)
+        lump = top + np.log(np.exp(weak - top[:, None]).sum(1))
+        for row, i in enumerate((at + part.start).tolist()):
+            name, held, weakened, total = after[i]
+            total = float(np.logaddexp(total, lump[row]))
+            if strong[row, best[row]] > held:
+                name, held, weakened = block.langs[best[row]], float(strong[row, best[row]]), float(weak[row, best[row]])
+            after[i] = name, held, weakened, total
+    return after
+
+
+def _parts(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of a batch of about ``CHARS`` characters."""
+    begin = chars = 0
+    for i, text in enumerate(texts):
+        n = len(text) if text else 0
+        if chars and chars + n > CHARS:
+            yield slice(begin, i)
+            begin, chars = i, 0
+        chars += n
+    yield slice(begin, len(texts))
+
+
+def _score(known: Known) -> float:
+    return float(np.exp(known[2] - known[3])) if known[1] > -np.inf else 0.0
+
+
+def classify(texts: list[str | None], model: list[Block]) -> tuple[list[str], list[float]]:
+    """Language and score of each text of a batch."""
+    known = [NOTHING] * len(texts)
+    for block in model:
+        known = seen_block(texts, block, known)
+    return [k[0] for k in known], [_score(k) for k in known]
 
 
-def classify(texts: list[str | None], model) -> tuple[list[str], list[float]]:
-    """Language and score of each text of a batch."""
-    langs, logs, prior = model
-    names, scores = [], []
-    for text in texts:
-        found = gram_buckets(text) if text and langs else None
-        if found is None:
-            names.append(UNKNOWN)
-            scores.append(0.0)
-            continue
-        total = logs[found].sum(0, dtype=np.float64)
-        weak = total * min(1.0, EVIDENCE / len(found)) + prior
-        best = int(np.argmax(total + prior))
-        names.append(langs[best])
-        scores.append(float(1 / np.exp(weak - weak[best]).sum()))
-    return names, scores
+_STATE = ("lang_pred", "held", "weakened", "total")
+
 
+def _pass(block: Broadcast, first: bool, dropped: tuple[str, ...] = ()):
+    """Adds a block's findings to the state columns at the end of a batch; ``dropped`` columns end there."""
 
-def _predictions(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = classify(batch["text"].to_pylist(), model.value)
-            at = batch.schema.get_field_index("text")
-            kept = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(batch.schema.names[i] for i in kept), "lang_pred", "score"])
+            texts = batch["text"].to_pylist()
+            known = [NOTHING] * len(texts) if first else list(zip(*(batch[c].to_pylist() for c in _STATE), strict=True))
+            known = seen_block(texts, block.value, known)
+            names = [n for n in batch.schema.names if n not in _STATE + dropped]
+            state = [pa.array([k[0] for k in known], pa.string()), *(pa.array([k[j] for k in known], pa.float64()) for j in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), *state], names=[*names, *_STATE])
 
     return run
 
 
-def accepted(docs: DataFrame, model, least: float) -> DataFrame:
+def _known(rows: DataFrame, model: list[Broadcast], *dropped: str) -> DataFrame:
+    """Rows (text among their columns) with lang_pred and score, without the dropped columns."""
+    if not model:
+        return rows.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).drop(*dropped)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    for k, block in enumerate(model):
+        gone = dropped if k == len(model) - 1 else ()
+        kind = ", ".join([*(f"`{n}` {t}" for n, t in kinds.items() if n not in gone), "lang_pred string, held double, weakened double, total double"])
+        rows = rows.mapInArrow(_pass(block, not k, gone), kind)
+    score = F.when(F.col("held") > float("-inf"), F.exp(F.col("weakened") - F.col("total"))).otherwise(0.0)
+    return rows.withColumn("score", score).drop("held", "weakened", "total")
+
+
+def accepted(docs: DataFrame, model: list[Broadcast], least: float) -> DataFrame:
     """The rows of docs, all columns, whose language is known with a score of ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if len(model) > 1:
+        named = {c: f"own {c}" for c in docs.columns if c != "text"}
+        found = _known(docs.withColumnsRenamed(named), model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+        return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in named.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = classify(batch["text"].to_pylist(), shared.value)
+            names, scores = classify(batch["text"].to_pylist(), [b.value for b in model])
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def predict(docs: DataFrame, model, *carried: str) -> DataFrame:
+def predict(docs: DataFrame, model: list[Broadcast], *carried: str) -> DataFrame:
     """The carried columns with lang_pred and score of each row's whole text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*carried, F.col("text").cast("string").alias("text"))
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInArrow(_predictions(shared), kind + ", lang_pred string, score double")
+    return _known(docs.select(*carried, F.col("text").cast("string").alias("text")), model, "text")
 
 
 def held_out(doc_id: Column, of: int = 4, fold: int = 2) -> Column:

@@ -9,7 +9,8 @@ class, picked by a hash of doc_id (all of them if there are fewer); the intercep
 shares. The weights (1 MB) are broadcast and every whole text is scored in the tasks.
 
 Null or empty texts score by the intercept alone; without labels of both classes, or with no label at all, every score is
-the share of toxic labels (0 if none). Several labels of a doc_id count as toxic if one is; extra columns are ignored.
+the share of toxic labels (0 if none). Several labels of a doc_id count as toxic if one is, and one text of a doc_id is learned from,
+so ``most`` bounds what reaches the driver; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,6 +115,19 @@ def telling(y: np.ndarray, row: np.ndarray, col: np.ndarray, chi: float = 25.0,
     return (value > 0) & (value >= min(chi, np.partition(value, -least)[-least]))
 
 
+def slope(w: np.ndarray, b: float, y: np.ndarray, cells: tuple, pairs: int, own: tuple, other: tuple, pull: float) -> tuple[np.ndarray, float]:
+    """The gradient, by weights and intercept, of the mean log loss plus ``pull`` times the mean squared change of counterfactual logits."""
+    row, col = cells
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -30, 30)))
+    d = (p - y) / len(y)
+    g = np.bincount(col, d[row], len(w))
+    if pairs:
+        change = np.bincount(own[0], w[own[1]], pairs) - np.bincount(other[0], w[other[1]], pairs)
+        c = 2 * pull * change / pairs
+        g += np.bincount(own[1], c[own[0]], len(w)) - np.bincount(other[1], c[other[0]], len(w))
+    return g, float(d.sum())
+
+
 def fit(rows: list, share: float, pull: float = 1.0, ridge: float = 2e-4, steps: int = 60, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and intercept from (toxic, own, other) rows by full-batch Adam; share is the true part of toxic labels."""
     y = np.array([r["toxic"] for r in rows], np.float32)
@@ -124,15 +138,8 @@ def fit(rows: list, share: float, pull: float = 1.0, ridge: float = 2e-4, steps:
     common = telling(y, row, col)
     w, b, m, v, mb, vb = np.zeros(1 << BITS), 0.0, np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], len(y)) + b, -30, 30)))
-        d = (p - y) / len(y)
-        g = np.bincount(col, d[row], 1 << BITS)
-        if pairs:
-            change = np.bincount(a_row, w[a_col], len(pairs)) - np.bincount(b_row, w[b_col], len(pairs))
-            c = 2 * pull * change / len(pairs)
-            g += np.bincount(a_col, c[a_row], 1 << BITS) - np.bincount(b_col, c[b_row], 1 << BITS)
+        g, gb = slope(w, b, y, (row, col), len(pairs), (a_row, a_col), (b_row, b_col), pull)
         g = (g + ridge * w) * common
-        gb = float(d.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate / (1 + t / 20)
         w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -152,7 +159,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, pull: float = 1.
         return zero, float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     sample = known.where(draw < F.when(F.col("toxic") == 1, most / sizes[1]).otherwise(most / sizes[0]))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").mapInArrow(_labelled, "toxic int, own binary, other binary").collect()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    one = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text")).alias("one")).select("one.text", "toxic")
+    rows = one.mapInArrow(_labelled, "toxic int, own binary, other binary").collect()
     if len({r["toxic"] for r in rows}) < 2:
         return zero, float(np.log(share / (1 - share)))
     return fit(rows, share, pull)

@@ -91,3 +91,9 @@ def test_low_thresholds_and_wide_sizes(spark):
 def check_at(spark, rows, percent):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(rows, SCHEMA), percent=percent, few=2, block=9).collect()}
     assert got == brute(rows, percent=percent)
+
+
+def test_rows_without_an_id_are_linked_with_nothing(spark):
+    rows = [(None, "a b c d e f", 0), (None, "a b c d e f", 0), (5, "a b c d e f", 0), (3, "a b c d e f", 0), (None, None, 0)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
+    assert got == sorted([(None, 3, None, None), (None, 3, None, None), (5, 3, 3, 3), (3, 3, 3, 3), (None, 0, None, None)], key=repr)
