@@ -34,26 +34,28 @@ def beside(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def word_grams(docs: DataFrame, key: str, size: int = 13) -> DataFrame:
-    """(key, at, hash, w): a hash of every run of ``size`` lower-cased ASCII words, of the words' hashes; w are the text's words."""
-    words = docs.select(key, word_list(F.col("text")).alias("w")).where(F.size("w") >= size)
-    places = F.sequence(F.lit(1), F.size("w") - size + 1)
-    grams = F.transform(F.array(F.transform("w", lambda x: F.xxhash64(x))), lambda h: F.transform(places, lambda i: F.xxhash64(F.slice(h, i, size))))[0]  # bound, so words are hashed once
-    return words.select(key, "w", F.posexplode(grams).alias("at", "hash"))
+def gram_marks(docs: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, a, b): each different run of ``size`` lower-cased ASCII words of a text by 128 bits of hash; no text goes along.
+
+    Words are hashed once, runs are told apart in their row, and only the two hashes leave it.
+    """
+    hashes = docs.select(key, F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= size)
+    run = lambda h, i: F.slice(h, i, size)
+    marks = F.transform(F.array("h"), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.struct(F.xxhash64(run(h, i)).alias("a"), F.xxhash64(F.lit(1), run(h, i)).alias("b"))))[0]  # bound, so words are hashed once
+    return hashes.select(key, F.explode(F.array_distinct(marks)).alias("m")).select(key, "m.a", "m.b")
 
 
 def contaminated(docs: DataFrame, reference: DataFrame, key: str, ref_key: str, size: int = 13, least: int = 3, distinct_words: int = 8) -> DataFrame:
     """Documents that share ``least`` or more distinct n-grams with the reference, and the item they share most with.
 
-    A gram counts for the first item that has it. Grams of documents are hashed and met with the reference's hashes
-    where they are read (a broadcast while the reference has few grams); only what is left is compared as text and
-    shuffled. Ties of the item go to the smallest id.
+    A gram counts for the first item that has it. Grams meet as 128-bit hashes where documents are read (a broadcast while
+    the reference has few grams, 20 bytes each); only hits are shuffled. Ties of the item go to the smallest id.
     """
-    gram = F.slice("w", F.col("at") + 1, size)
-    some = word_grams(reference, ref_key, size).select(ref_key, "hash", gram.alias("g")).where(F.size(F.array_distinct("g")) >= distinct_words)
-    known = stored(some.groupBy("hash", F.array_join("g", " ").alias("gram")).agg(F.min(ref_key).alias(ref_key)), "grams")
-    met = word_grams(docs, key, size).join(beside(known.select("hash").distinct()), "hash", "left_semi").select(key, "hash", F.array_join(gram, " ").alias("gram"))
-    hits = met.distinct().join(known, ["hash", "gram"])
+    words = reference.select(ref_key, word_list(F.col("text")).alias("w")).where(F.size("w") >= size)
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))
+    rich = words.select(ref_key, F.explode(F.filter(runs, lambda g: F.size(F.array_distinct(g)) >= distinct_words)).alias("g")).select(ref_key, F.array_join("g", " ").alias("text"))
+    known = stored(gram_marks(rich, ref_key, size).groupBy("a", "b").agg(F.min(ref_key).alias(ref_key)), "grams")
+    hits = gram_marks(docs, key, size).join(beside(known), ["a", "b"]).select(key, ref_key, "a", "b").distinct()
     by_item = hits.groupBy(key, ref_key).agg(F.count("*").alias("shared"))
     top = F.min_by(ref_key, F.struct(-F.col("shared"), F.col(ref_key)))
     return by_item.groupBy(key).agg(F.sum("shared").alias("hits"), top.alias("top_item")).where(F.col("hits") >= least)
@@ -63,13 +65,15 @@ BITS = 60
 
 
 def simhash(docs: DataFrame, key: str) -> DataFrame:
-    """(key, simhash): 60 bits by majority over the MD5 of a text's distinct words; texts without words have no row."""
-    words = docs.select(key, F.explode(F.array_distinct(word_list(F.col("text")))).alias("w")).select(key, F.conv(F.substring(F.md5("w"), 1, BITS // 4), 16, 10).cast("long").alias("h"))
-    votes = [F.sum(F.shiftright("h", b).bitwiseAND(1) * 2 - 1).alias(f"b{b}") for b in range(BITS)]
+    """(key, simhash): 60 bits by majority over the MD5 of a text's distinct words; texts without words have no row. Votes are counted in the row."""
+    words = F.array_distinct(word_list(F.col("text")))
+    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, BITS // 4), 16, 10).cast("long"))
+    vote = lambda h, b: F.aggregate(h, F.lit(0), lambda n, x: n + F.shiftright(x, b).bitwiseAND(1).cast("int"))
+    rows = docs.select(key, hashes.alias("h")).where(F.size("h") > 0)
     bits = F.lit(0).cast("long")
     for b in range(BITS):
-        bits = bits + F.when(F.col(f"b{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0))
-    return words.groupBy(key).agg(*votes).select(key, bits.alias("simhash"))
+        bits = bits + F.when(2 * vote("h", b) > F.size("h"), F.lit(1 << b)).otherwise(F.lit(0))
+    return rows.select(key, bits.alias("simhash"))
 
 
 def near_by_hamming(left: DataFrame, right: DataFrame, most: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +45,56 @@ def argmax_first(v: Column) -> Column:
     return (F.array_position(v, F.array_max(v)) - 1).cast("int")
 
 
+def gram_sums(df: DataFrame, group: str, vector: str, dims: int) -> DataFrame:
+    """(group, i, j, v, n): X^T X over the first dims and the number of rows, one matrix for each group and task.
+
+    A task adds up batches of vectors as matrix products and hands on its groups' sums; vectors of another length or with
+    nulls aren't rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch["g"].type
+            groups = np.array(batch["g"].to_pylist(), object)
+            x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+            for g in {*groups.tolist()}:
+                mine = x[[k == g for k in groups]]
+                held = sums.setdefault(g, [np.zeros((dims, dims)), 0])
+                held[0] += mine.T @ mine
+                held[1] += len(mine)
+        i, j = (a.ravel() for a in np.indices((dims, dims)))
+        for g, (total_, n) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * dims * dims, kind), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total_.ravel()), pa.array(np.full(dims * dims, n), pa.int64())], names=["g", "i", "j", "v", "n"])
+
+    rows = df.select(F.col(group).alias("g"), F.transform(F.slice(vector, 1, dims), lambda a: a.cast("double")).alias("x")).where((F.size("x") == dims) & ~F.exists("x", lambda a: a.isNull()))
+    return rows.mapInArrow(run, f"g {rows.schema['g'].dataType.simpleString()}, i int, j int, v double, n long").withColumnRenamed("g", group)
+
+
 def gram_matrix(df: DataFrame, group: str, vector: str, dims: int, digits: int = 6) -> DataFrame:
-    """Mean of X^T X over the first dims, by group: two explodes of a fixed width, summed on the map side."""
-    x = F.transform(F.slice(vector, 1, dims), lambda a: a.cast("double"))
-    cells = F.flatten(F.transform(x, lambda a, i: F.transform(x, lambda b, j: F.struct(i.alias("i"), j.alias("j"), (a * b).alias("v")))))
-    return df.select(group, F.explode(cells).alias("c")).groupBy(group, "c.i", "c.j").agg(F.round(F.avg("c.v"), digits).alias("gram"))
+    """Mean of X^T X over the first dims, by group; a task and group moves one matrix."""
+    return gram_sums(df, group, vector, dims).groupBy(group, "i", "j").agg(F.round(F.sum("v") / F.sum("n"), digits).alias("gram"))
+
+
+def weighted_error(deltas: DataFrame, weights: DataFrame, gram: DataFrame, by: list[str], block: int = 64) -> DataFrame:
+    """(by, error): sqrt(tr(D G D^T) / tr(W G W^T)) of matrices given as cells (by, row, col, v), with G as cells (i, j, gram).
+
+    Cells are cut into blocks of ``block`` columns; a row's block meets only the blocks of G above it, so that G lies over
+    all tasks and no matrix is whole in one. tr(X G X^T) is the sum over rows of x G x^T.
+    """
+    part = lambda c: F.floor(F.col(c) / block).cast("int")
+    cells = gram.select("i", "j", "gram").withColumn("bi", part("i")).withColumn("bj", part("j")).groupBy("bi", "bj").agg(F.collect_list(F.struct((F.col("i") % block).alias("i"), (F.col("j") % block).alias("j"), "gram")).alias("g"))
+
+    def energy(matrix: DataFrame, name: str) -> DataFrame:
+        strips = matrix.withColumn("b", part("col")).groupBy(*by, "row", "b").agg(F.map_from_entries(F.collect_list(F.struct((F.col("col") % block).alias("c"), "v"))).alias("x"))
+        right = strips.select(*by, "row", F.col("b").alias("bj"), F.col("x").alias("y"))
+        met = strips.withColumnRenamed("b", "bi").join(cells, "bi").join(right, [*by, "row", "bj"])
+        at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))
+        form = F.aggregate("g", F.lit(0.0), lambda s, c: s + at(F.col("x"), c["i"]) * c["gram"] * at(F.col("y"), c["j"]))
+        return met.select(*by, form.alias("e")).groupBy(*by).agg(F.sum("e").alias(name))
+
+    return energy(deltas, "d").join(energy(weights, "w"), by).select(*by, F.sqrt(F.col("d") / F.col("w")).alias("error"))
 
 
 def total(v: Column) -> Column:
