@@ -56,16 +56,31 @@ def families(rows: DataFrame, key: str, overrides: DataFrame, rules: list[tuple[
     return rows.join(given, key, "left").withColumn("family", F.coalesce("reviewed", ruled)).drop("reviewed")
 
 
-def repetitions(rows: DataFrame, case: list[str], repetition: str, output: list[str]) -> DataFrame:
-    """(case, repetitions, identical): whether all repetitions of a case gave the same output rows, as multisets of whole rows.
+SIGNATURE = ("n", "part0", "part1", "part2", "part3")
+
 
-    The digest of a repetition adds four 48-bit parts of each row's SHA-256 and counts rows, so it sums in any order and no
-    repetition is gathered; to keep order, have the place among the output's columns.
+def signatures(rows: DataFrame, keys: list[str], output: list[str]) -> DataFrame:
+    """(keys, n, part0 .. part3): a digest of each key's output rows as a multiset of whole rows.
+
+    It counts rows and adds four 48-bit parts of each one's SHA-256, so it sums in any order and no output is gathered; to keep
+    order, have the place among the output's columns.
     """
     whole = F.sha2(F.to_json(F.struct(*(F.col(c) for c in output)), {"ignoreNullFields": "false"}), 256)
     parts = [F.sum(F.conv(F.substring("digest", 1 + 12 * k, 12), 16, 10).cast("decimal(20,0)")).alias(f"part{k}") for k in range(4)]
-    each = rows.select(*case, repetition, whole.alias("digest")).groupBy(*case, repetition).agg(F.count("*").alias("n"), *parts)
-    return each.groupBy(*case).agg(F.count("*").alias("repetitions"), (F.countDistinct("n", *(f"part{k}" for k in range(4))) == 1).alias("identical"))
+    return rows.select(*keys, whole.alias("digest")).groupBy(*keys).agg(F.count("*").alias("n"), *parts)
+
+
+def repetitions(rows: DataFrame, case: list[str], repetition: str, output: list[str]) -> DataFrame:
+    """(case, repetitions, identical): whether all repetitions of a case gave the same output rows."""
+    each = signatures(rows, [*case, repetition], output)
+    return each.groupBy(*case).agg(F.count("*").alias("repetitions"), (F.countDistinct(*SIGNATURE) == 1).alias("identical"))
+
+
+def same_outputs(one: DataFrame, two: DataFrame, keys: list[str], output: list[str]) -> DataFrame:
+    """(keys, same_tokens, same_length, exact) of the keys that both runs have."""
+    other = signatures(two, keys, output).withColumnsRenamed({c: f"other_{c}" for c in SIGNATURE})
+    equal = lambda names: F.struct(*names).eqNullSafe(F.struct(*(F.col(f"other_{c}").alias(c) for c in names)))
+    return signatures(one, keys, output).join(other, keys).select(*keys, equal(SIGNATURE).alias("same_tokens"), equal(("n",)).alias("same_length"), equal(SIGNATURE).alias("exact"))
 
 
 def repeated(rows: DataFrame, keys: dict[str, list[str]], carried: str) -> DataFrame:

@@ -20,22 +20,27 @@ def rates(df: DataFrame, group: str, edits: Column, length: Column) -> DataFrame
     )
 
 
-def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Median, linear p10 and nearest-rank p95 by group.
+def quantiles(df: DataFrame, keys: list[str], value: str, **points: float) -> DataFrame:
+    """The keys and a linear quantile for each named point; null values don't count, groups without others have no row.
 
-    Rows are ranked over range partitions of (group, value), so a group may lie in many tasks; only the rows at the ranks
+    Rows are ranked over range partitions of (keys, value), so a group may lie in many tasks; only the rows at the ranks
     that are asked for meet by group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(group, value)
-    ranked = running(rows.withColumn("one", F.lit(1)), [group, value], place=("sum", F.col("one")))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per group
-    at = ranked.join(sizes.withColumn("first", first), group).withColumn("rank", F.col("place") - F.col("first") - 1)
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("group"), F.col(value).alias("value"))
+    ranked = running(rows.withColumn("one", F.lit(1)), ["group", "value"], place=("sum", F.col("one")))
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per group
+    at = ranked.join(sizes.withColumn("first", first), "group").withColumn("rank", F.col("place") - F.col("first") - 1)
     where = lambda q: (F.col("n") - 1) * q
-    pick = lambda q, side: F.max(F.when(F.col("rank") == side(where(q)), F.col(value)))
+    pick = lambda q, side: F.max(F.when(F.col("rank") == side(where(q)), F.col("value")))
     line = lambda q: pick(q, F.floor) + (pick(q, F.ceil) - pick(q, F.floor)) * F.max(where(q) - F.floor(where(q)))
-    near = F.max(F.when(F.col("rank") == F.ceil(0.95 * F.col("n")) - 1, F.col(value)))
-    return at.groupBy(group).agg(F.round(line(0.5), 6).alias("median"), F.round(line(0.1), 6).alias("p10"), F.round(near, 6).alias("p95"))
+    near = F.max(F.when(F.col("rank") == F.ceil(0.95 * F.col("n")) - 1, F.col("value")))
+    return at.groupBy("group").agg(*(line(q).alias(name) for name, q in points.items()), near.alias("nearest_p95")).select(*(F.col(f"group.{k}").alias(k) for k in keys), *points, "nearest_p95")
+
+
+def percentiles(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Median, linear p10 and nearest-rank p95 by group, over ranges of rows as in ``quantiles``."""
+    return quantiles(df, [group], value, median=0.5, p10=0.1).select(group, F.round("median", 6).alias("median"), F.round("p10", 6).alias("p10"), F.round("nearest_p95", 6).alias("p95"))
 
 
 def moments(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -51,15 +56,16 @@ def gate(df: DataFrame, group: str, reference: Column, candidate: Column, limit:
 
 def tolerance_argmin(df: DataFrame, group: str, candidate: str, cost: str, within: float = 0.02) -> DataFrame:
     """The smallest candidate whose median cost is within ``within`` of the group's best."""
-    med = df.groupBy(group, candidate).agg(F.percentile(cost, 0.5).alias("cost"))
+    med = quantiles(df.select(group, candidate, cost), [group, candidate], cost, median=0.5).select(group, candidate, F.col("median").alias("cost"))
     best = med.withColumn("best", F.min("cost").over(Window.partitionBy(group)))
     return best.where(F.col("cost") <= F.col("best") * (1 + within)).groupBy(group).agg(F.min(candidate).alias(candidate))
 
 
 def bracketed(df: DataFrame, case: str, slot: str, ms: str) -> DataFrame:
     """(case, a, c, b): medians of the controls (slots 0 and 2) and the candidate (1)."""
-    m = lambda k: F.percentile(F.when(F.col(slot) == k, F.col(ms)), 0.5)
-    return df.groupBy(case).agg(m(0).alias("a"), m(1).alias("c"), m(2).alias("b"))
+    medians = quantiles(df.where(F.col(slot).isin(0, 1, 2)), [case, slot], ms, median=0.5)
+    m = lambda k: F.max(F.when(F.col(slot) == k, F.col("median")))
+    return medians.groupBy(case).agg(m(0).alias("a"), m(1).alias("c"), m(2).alias("b"))
 
 
 def bracket(df: DataFrame, case: str, slot: str, ms: str) -> DataFrame:

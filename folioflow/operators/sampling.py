@@ -90,8 +90,8 @@ def priority_union(first: DataFrame, rest: DataFrame, family: str, key: str, lim
 
 
 def blinded(outputs: DataFrame, by: list[str], name: str, seed: str) -> DataFrame:
-    """Equal outputs under one letter, in seeded order: (letter, by.., names)."""
-    groups = outputs.groupBy(*by).agg(F.array_sort(F.collect_set(name)).alias("names"))
+    """Equal outputs under one letter, in seeded order: (letter, by.., n), with the number of different names that gave them."""
+    groups = outputs.groupBy(*by).agg(F.countDistinct(name).alias("n"))
     return groups.withColumn("letter", F.dense_rank().over(Window.partitionBy(by[0]).orderBy(seeded_rank(seed, *(F.col(c) for c in by)))))
 
 

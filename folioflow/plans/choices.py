@@ -62,7 +62,7 @@ def priority_union(spark: SparkSession, sf: str) -> DataFrame:
 def blinded_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Equal outputs of a page under one letter, shuffled by a seed."""
     rows = table(spark, sf, "events").select((F.col("user_id") % 5).alias("page"), "event_type", "user_id")
-    return sampling.blinded(rows, ["page", "event_type"], "user_id", "s5").select("page", "event_type", "letter", F.size("names").cast("long").alias("n"))
+    return sampling.blinded(rows, ["page", "event_type"], "user_id", "s5").select("page", "event_type", "letter", "n")
 
 
 @query()

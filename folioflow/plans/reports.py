@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import seeded_rank
+from folioflow.operators import measures
 from folioflow.operators import vectors as V
 from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
@@ -54,7 +55,9 @@ def tensor_differences(spark: SparkSession, sf: str) -> DataFrame:
 def stage_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Means, maxima and percentiles over two axes."""
     cells = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).select("label", ((F.col("i") + 1) % 4).cast("long").alias("stage"), F.col("x").cast("double").alias("v"))
-    return cells.groupBy("label", "stage").agg(F.round(F.max("v"), 8).alias("most"), F.round(F.avg("v"), 8).alias("mean"), F.round(F.percentile("v", 0.5), 8).alias("p50"), F.round(F.percentile("v", 0.99), 8).alias("p99"))
+    sums = cells.groupBy("label", "stage").agg(F.round(F.max("v"), 8).alias("most"), F.round(F.avg("v"), 8).alias("mean"))
+    ranked = measures.quantiles(cells, ["label", "stage"], "v", p50=0.5, p99=0.99)
+    return sums.join(ranked, ["label", "stage"]).select("label", "stage", "most", "mean", F.round("p50", 8).alias("p50"), F.round("p99", 8).alias("p99"))
 
 
 @query("SELECT p_brand, round(sum(p_retailprice * p_size) / sum(p_size), 6) AS weighted, max(p_size) AS most, sum(p_size)::BIGINT AS steps FROM part GROUP BY p_brand")
@@ -114,8 +117,9 @@ SELECT step, round(avg(ok), 6) AS accuracy, round(avg(alive), 6) AS accepted FRO
 def step_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Accuracy of each draft step, and the share of drafts accepted up to it."""
     order = Window.partitionBy("p_brand").orderBy("p_partkey")
-    rows = table(spark, sf, "part").select("p_brand", "p_partkey", (F.col("p_size") > 10).cast("int").alias("ok")).withColumns({"step": F.row_number().over(order), "alive": F.min("ok").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return rows.where("step <= 8").groupBy(F.col("step").cast("long").alias("step")).agg(F.round(F.avg("ok"), 6).alias("accuracy"), F.round(F.avg("alive"), 6).alias("accepted"))
+    first = table(spark, sf, "part").select("p_brand", "p_partkey", (F.col("p_size") > 10).cast("int").alias("ok")).withColumn("step", F.row_number().over(order)).where("step <= 8")  # cut in each task
+    rows = first.withColumn("alive", F.min("ok").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(F.col("step").cast("long").alias("step")).agg(F.round(F.avg("ok"), 6).alias("accuracy"), F.round(F.avg("alive"), 6).alias("accepted"))
 
 
 @query("""WITH r AS (SELECT user_id AS arm, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS round FROM events) SELECT round, arm, event_id, CASE WHEN round % 2 = 1 THEN dense_rank() OVER (PARTITION BY round ORDER BY arm) ELSE dense_rank() OVER (PARTITION BY round ORDER BY arm DESC) END AS place FROM r WHERE round <= 6""")

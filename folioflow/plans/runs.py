@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.operators import audits as A
+from folioflow.operators import measures
 from folioflow.plans.registry import query
 from folioflow.sources import files, records
 from folioflow.sources.workspace import table
@@ -124,18 +126,16 @@ SELECT page, n, round(one, 4) AS one, round(two, 4) AS two, round(1 - two / one,
 def run_medians_by_page(spark: SparkSession, sf: str) -> DataFrame:
     a, b = two_runs(spark, sf)
     both = a.select("page", "step", F.col("ms").alias("x")).join(b.select("page", "step", F.col("ms").alias("y")), ["page", "step"])
-    m = both.groupBy("page").agg(F.count("*").alias("n"), F.percentile("x", 0.5).alias("one"), F.percentile("y", 0.5).alias("two"))
+    median = lambda c, name: measures.quantiles(both, ["page"], c, **{name: 0.5}).select("page", name)
+    m = both.groupBy("page").agg(F.count("*").alias("n")).join(median("x", "one"), "page", "left").join(median("y", "two"), "page", "left")
     return m.select("page", "n", F.round("one", 4).alias("one"), F.round("two", 4).alias("two"), F.round(1 - F.col("two") / F.col("one"), 6).alias("saved"))
 
 
-@query(f"""WITH {_RUNS}, s AS (SELECT page, sha256(string_agg(token::VARCHAR, ',' ORDER BY step)) AS sig, count(*) AS n FROM a GROUP BY page), t AS (SELECT page, sha256(string_agg(token::VARCHAR, ',' ORDER BY step)) AS sig, count(*) AS n FROM b GROUP BY page)
+@query(f"""WITH {_RUNS}, s AS (SELECT page, sha256(string_agg(step || ':' || coalesce(token::VARCHAR, ''), ',' ORDER BY step)) AS sig, count(*) AS n FROM a GROUP BY page), t AS (SELECT page, sha256(string_agg(step || ':' || coalesce(token::VARCHAR, ''), ',' ORDER BY step)) AS sig, count(*) AS n FROM b GROUP BY page)
 SELECT s.page, s.sig = t.sig AS same_tokens, s.n = t.n AS same_length, s.sig = t.sig AND s.n = t.n AS exact FROM s JOIN t USING (page)""")
 def output_equality_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Equality of two runs' outputs field by field, by a signature of the ordered tokens."""
-    sig = lambda df, s, n: df.groupBy("page").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "token"))), lambda t: t["token"].cast("string")), ","), 256).alias(s), F.count("*").alias(n))
-    a, b = two_runs(spark, sf)
-    both = sig(a, "s", "n").join(sig(b, "t", "m"), "page")
-    return both.select("page", (F.col("s") == F.col("t")).alias("same_tokens"), (F.col("n") == F.col("m")).alias("same_length"), ((F.col("s") == F.col("t")) & (F.col("n") == F.col("m"))).alias("exact"))
+    """Equality of two runs' outputs, by a signature of the placed tokens that sums in any order."""
+    return A.same_outputs(*two_runs(spark, sf), ["page"], ["step", "token"])
 
 
 @query("""WITH p AS (SELECT o_orderpriority AS page, o_orderstatus AS run, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL)
@@ -205,7 +205,9 @@ def without_warmups(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of each arm without its first four samples."""
     arm = (F.col("user_id") % 9).alias("arm")
     rows = table(spark, sf, "events").select("event_type", arm, "value", "ts", "event_id")
-    later = rows.withColumn("rn", F.row_number().over(Window.partitionBy("event_type", "arm").orderBy("ts", "event_id"))).where("rn > 4")
+    head = Window.partitionBy("event_type", "arm").orderBy("ts", "event_id")
+    warm = rows.withColumn("rn", F.row_number().over(head)).where("rn <= 4").select("event_id")  # four rows an arm, cut in each task
+    later = rows.join(warm, "event_id", "left_anti")
     return later.groupBy("event_type", "arm").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
 
 
