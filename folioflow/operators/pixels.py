@@ -5,6 +5,8 @@ All of it groups by page and line, so a page's pixels may lie in many tasks; onl
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,3 +198,65 @@ def difference_hash(gray: DataFrame) -> DataFrame:
     after = F.lead("v").over(Window.partitionBy("page", "y").orderBy("x"))
     bits = gray.withColumn("after", after).where("after is not null").select("page", F.when(F.col("v") > F.col("after"), F.expr("shiftleft(1L, cast(63 - (y * 8 + x) as int))")).otherwise(F.lit(0)).alias("bit"))
     return bits.groupBy("page").agg(F.bit_or("bit").alias("dhash"))
+
+
+def tiled(gray: DataFrame, tile: int, halo: int) -> DataFrame:
+    """(page, ty, tx, y, x, v): pixels by the tiles that need them, each tile with ``halo`` pixels of its neighbours around it.
+
+    A pixel near a border comes once for every tile that it touches, so work on a tile needs no other and no self join.
+    """
+    near = lambda c: F.transform(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)), lambda t: t.cast("int"))
+    both = gray.select("page", "y", "x", "v", F.explode(near("y")).alias("ty")).select("*", F.explode(near("x")).alias("tx"))
+    return both.where("ty >= 0 and tx >= 0").select("page", "ty", "tx", "y", "x", "v")
+
+
+NEIGHBOUR_SUMS = ("pixels", "ink", "edges", "across", "down", "transitions", "laplacian", "inner")
+
+
+def neighbour_sums(gray: DataFrame, tile: int = 256, ink: int = 160, edge: int = 40) -> DataFrame:
+    """(page, pixels, ink, edges, across, down, transitions, laplacian, inner) of each page's pixels and their neighbours.
+
+    edges: pairs side by side or one above the other that differ by more than ``edge``; across and down: summed differences;
+    transitions: pairs side by side of which one is inked; laplacian: summed |4 v - neighbours| of the ``inner`` inked pixels
+    that have all four. Tiles of bounded size are computed apart, with a halo of one pixel, and their sums are added.
+    """
+
+    def sums(table: pa.Table) -> pa.Table:
+        ty, tx = table["ty"][0].as_py(), table["tx"][0].as_py()
+        y, x, v = (table[c].to_numpy().astype(np.int64) for c in ("y", "x", "v"))
+        top, left = ty * tile - 1, tx * tile - 1
+        cells = np.full((tile + 2, tile + 2), -1, np.int64)
+        cells[y - top, x - left] = v
+        own, here = cells[1:-1, 1:-1], cells[1:-1, 1:-1] >= 0
+        right, below = cells[1:-1, 2:], cells[2:, 1:-1]
+        beside, under = here & (right >= 0), here & (below >= 0)
+        dx, dy = np.abs(own - right) * beside, np.abs(own - below) * under
+        inked = here & (own < ink)
+        inside = inked & beside & under & (cells[1:-1, :-2] >= 0) & (cells[:-2, 1:-1] >= 0)
+        curve = np.abs(4 * own - right - below - cells[1:-1, :-2] - cells[:-2, 1:-1])
+        found = (here.sum(), inked.sum(), (dx > edge).sum() + (dy > edge).sum(), dx.sum(), dy.sum(), (beside & (inked != (right < ink))).sum(), (curve * inside).sum(), inside.sum())
+        return pa.table([table["page"].slice(0, 1).combine_chunks(), *(pa.array([int(n)], pa.int64()) for n in found)], names=["page", *NEIGHBOUR_SUMS])
+
+    dealt = tiled(gray, tile, 1)
+    kind = f"page {gray.schema['page'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in NEIGHBOUR_SUMS)
+    return dealt.groupBy("page", "ty", "tx").applyInArrow(sums, kind).groupBy("page").agg(*(F.sum(c).alias(c) for c in NEIGHBOUR_SUMS))
+
+
+def native_features(gray: DataFrame, tile: int = 256) -> DataFrame:
+    """(page, ink_per_edge, laplacian): inked pixels for each strong edge, and the mean Laplacian over inner ink."""
+    s = neighbour_sums(gray, tile)
+    return s.select("page", (F.col("ink") / F.greatest("edges", F.lit(1))).alias("ink_per_edge"), F.when(F.col("inner") > 0, F.col("laplacian") / F.col("inner")).otherwise(0.0).alias("laplacian"))
+
+
+def resample_loss(gray: DataFrame, width: int, height: int, size: int, ink: int = 160, lossy: int = 60) -> DataFrame:
+    """(page, change, lossy): mean change of inked pixels, and the share that changes by more than ``lossy``, when pages of one size
+    are scaled to a long side of ``size`` (cubic) and back (triangle). Pages that would grow, or have no ink, lose nothing."""
+    scale = size / max(width, height)
+    pages = gray.select("page").distinct()
+    if scale >= 1:
+        return pages.select("page", F.lit(0.0).alias("change"), F.lit(0.0).alias("lossy"))
+    w, h = max(1, int(width * scale)), max(1, int(height * scale))
+    back = resized(resized(gray, width, height, w, h), w, h, width, height, "triangle").select("page", "y", "x", F.col("v").alias("back"))
+    diff = F.abs(F.col("v") - F.col("back"))
+    lost = gray.where(F.col("v") < ink).join(back, ["page", "y", "x"]).groupBy("page").agg(F.avg(diff).alias("change"), F.avg((diff > lossy).cast("int")).alias("lossy"))
+    return pages.join(lost, "page", "left").select("page", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("change", "lossy")))

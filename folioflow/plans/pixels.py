@@ -121,3 +121,19 @@ def index_grids(spark: SparkSession, sf: str) -> DataFrame:
     grid = F.when(F.col("p_size") > 1, P.linspace(F.lit(-1.0), F.lit(1.0), F.col("p_size"))).otherwise(F.array(F.lit(-1.0)))
     weighed = F.aggregate(F.transform(grid, lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
     return table(spark, sf, "part").select("p_partkey", F.md5(F.array_join(P.nearest(F.lit(97), F.col("p_size")), " ")).alias("nearest"), F.round(weighed, 6).alias("grid"))
+
+
+@query(f"""WITH {_PAGES}, n AS (SELECT page, v, lead(v) OVER r AS a, lag(v) OVER r AS b, lead(v) OVER c AS d, lag(v) OVER c AS e FROM q WINDOW r AS (PARTITION BY page, y ORDER BY x), c AS (PARTITION BY page, x ORDER BY y))
+SELECT page, count(*) AS pixels, count(*) FILTER (v < 160) AS ink, count(*) FILTER (abs(a - v) > 40) + count(*) FILTER (abs(d - v) > 40) AS edges, sum(abs(a - v))::BIGINT AS across, sum(abs(d - v))::BIGINT AS down, count(*) FILTER ((v < 160) <> (a < 160)) AS transitions,
+coalesce(sum(abs(4 * v - a - b - d - e)) FILTER (v < 160), 0)::BIGINT AS laplacian, count(a + b + d + e) FILTER (v < 160) AS inner FROM n GROUP BY page""")
+def neighbour_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges, differences, ink transitions and Laplacians of each page, by tiles of 5 pixels with a halo."""
+    return P.neighbour_sums(gray(spark, sf), 5)
+
+
+@query()
+def resample_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """What pages lose when they are scaled to 6 and to 3 pixels and back."""
+    rows = gray(spark, sf)
+    loss = lambda size: P.resample_loss(rows, 8, 8, size).select("page", F.round("change", 6).alias(f"change_{size}"), F.round("lossy", 6).alias(f"lossy_{size}"))
+    return loss(6).join(loss(3), "page")
