@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.sampling import running
+from folioflow.sources.workspace import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -219,21 +223,87 @@ def best_clip(block: Column, factors: tuple[float, ...] = (1.0, 0.95, 0.9, 0.85,
     return F.array_min(F.array(*(F.struct(clipped_error(block, f).alias("error"), F.lit(k).alias("k"), F.lit(f).alias("factor")) for k, f in enumerate(factors))))["factor"]
 
 
-def attention(rows: DataFrame, by: str, at: str, vector: str, sink: float = 0.0) -> DataFrame:
-    """(by, at, output): each row's softmax average of the vectors of its sequence up to itself, with a sink logit.
+class SoftmaxState:
+    """Partial softmax averages of some queries: the largest logit, the sum of exponentials and the weighted vectors, both for that logit."""
+
+    def __init__(self, top: np.ndarray, whole: np.ndarray, output: np.ndarray):
+        self.top, self.whole, self.output = top, whole, output
+
+    @classmethod
+    def of(cls, logits: np.ndarray, values: np.ndarray) -> SoftmaxState:
+        """Logits (queries x keys, -inf where a key isn't seen) and the keys' values."""
+        top = logits.max(1, initial=-np.inf)
+        e = np.exp(logits - np.where(np.isfinite(top), top, 0.0)[:, None])
+        return cls(top, e.sum(1), e @ values)
+
+    def merged(self, other: SoftmaxState) -> SoftmaxState:
+        top = np.maximum(self.top, other.top)
+        base = np.where(np.isfinite(top), top, 0.0)
+        one, two = np.exp(self.top - base), np.exp(other.top - base)
+        return SoftmaxState(top, self.whole * one + other.whole * two, self.output * one[:, None] + other.output * two[:, None])
+
+    def packed(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.top, self.whole, self.output)]
+
+    @classmethod
+    def unpacked(cls, top: bytes, whole: bytes, output: bytes) -> SoftmaxState:
+        n = len(top) // 8
+        return cls(np.frombuffer(top), np.frombuffer(whole), np.frombuffer(output).reshape(n, -1) if n else np.zeros((0, 0)))
+
+
+def _block(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([r["code"] for r in rows], np.int64), np.array([r["at"] for r in rows], np.int64), np.array([r["x"] for r in rows], np.float64)
 
-    A sequence is one row of bounded length while it's computed; the sums are rescaled by the largest logit, so
-    nothing overflows.
+
+def attention(rows: DataFrame, by: str, at: str, vector: str, sink: float = 0.0, block: int = 512) -> DataFrame:
+    """(by, at, output): each row's softmax average of the vectors of its sequence up to itself, with a sink logit; ``at`` is an integer.
+
+    Rows in order of (by, at) are cut into blocks whatever their sequences. A block of queries meets the blocks of keys that
+    share a sequence with it, each meeting gives a partial state of its queries, and states are merged, 32 blocks of keys at
+    a time and then all. So a sequence of any length is never in one task, and a short one shares its block with others.
     """
-    scale = F.sqrt(F.size("own").cast("double"))
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(vector).alias("x")))).alias("sequence"))
-    asked = lists.select(by, "sequence", F.explode("sequence").alias("q")).select(by, F.col("q.at").alias(at), F.col("q.x").alias("own"), F.filter("sequence", lambda s: s["at"] <= F.col("q.at")).alias("seen"))
-    scored = asked.withColumn("logits", F.transform("seen", lambda s: dot(s["x"], F.col("own")) / scale))
-    top = scored.withColumn("top", F.greatest(F.array_max("logits"), F.lit(sink)))
-    shares = top.withColumn("e", F.transform("logits", lambda z: F.exp(z - F.col("top")))).withColumn("whole", total(F.col("e")) + F.exp(sink - F.col("top")))
-    zero = F.transform("own", lambda x: F.lit(0.0))
-    output = F.aggregate(F.arrays_zip("e", "seen"), zero, lambda acc, r: axpy(r["e"] / F.col("whole"), r["seen"]["x"], acc))
-    return shares.select(by, at, output.alias("output"))
+    spread = running(rows.select(F.col(by).alias("by"), F.col(at).cast("long").alias("at"), doubles(F.col(vector)).alias("x")), ["by", "at"], place=("sum", F.lit(1)))
+    one = F.struct("by", F.xxhash64("by").alias("code"), "at", "x")
+    blocks = spread.groupBy(F.floor((F.col("place") - 1) / block).alias("block")).agg(F.collect_list(one).alias("rows"))
+    first, last = F.array_min(F.transform("rows", lambda r: F.struct(r["by"], r["at"]))), F.array_max(F.transform("rows", lambda r: F.struct(r["by"], r["at"])))
+    blocks = stored(blocks.select("block", first.alias("first"), last.alias("last"), "rows"), "attention-blocks")
+    asked, seen = blocks.select(F.col("block").alias("q"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("rows").alias("asked")), blocks.select(F.col("block").alias("k"), "first", "last", "rows")
+    meetings = asked.join(seen, F.col("q") == F.col("k")).unionByName(asked.join(seen, F.col("f.by").eqNullSafe(F.col("last.by")) & (F.col("k") < F.col("q"))))
+    meetings = meetings.unionByName(asked.join(seen, F.col("l.by").eqNullSafe(F.col("first.by")) & (F.col("k") > F.col("q")) & (F.col("first.at") <= F.col("l.at"))))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                (code, place, x), (other, before, y) = _block(row["asked"]), _block(row["rows"])
+                logits = np.where((code[:, None] == other) & (before <= place[:, None]), x @ y.T / np.sqrt(x.shape[1]), -np.inf)
+                state = SoftmaxState.of(logits, y).packed()
+                yield pa.RecordBatch.from_arrays([pa.array([row["q"]], pa.int64()), pa.array([row["k"] // 32], pa.int64()), *(pa.array([s], pa.binary()) for s in state)], names=["q", "part", "top", "whole", "output"])
+
+    kind = "q long, part long, top binary, whole binary, output binary"
+
+    def merge(table: pa.Table) -> pa.Table:
+        states = [SoftmaxState.unpacked(*(table[c][i].as_py() for c in ("top", "whole", "output"))) for i in range(table.num_rows)]
+        state = functools.reduce(SoftmaxState.merged, states).packed()
+        return pa.table([table["q"].slice(0, 1).combine_chunks(), table["part"].slice(0, 1).combine_chunks(), *(pa.array([s], pa.binary()) for s in state)], names=["q", "part", "top", "whole", "output"])
+
+    parts = meetings.select("q", "k", "asked", "rows").mapInArrow(meet, kind).groupBy("q", "part").applyInArrow(merge, kind)
+    whole = parts.groupBy("q").applyInArrow(merge, kind).select("q", "top", "whole", "output")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                state = SoftmaxState.unpacked(*(row[c][0].as_py() for c in ("top", "whole", "output")))
+                dims = state.output.shape[1]
+                done = state.merged(SoftmaxState(np.full(len(state.top), float(sink)), np.ones(len(state.top)), np.zeros((len(state.top), dims))))
+                given = row["rows"].flatten()
+                out = pa.ListArray.from_arrays(pa.array(np.arange(len(state.top) + 1) * dims, pa.int32()), pa.array((done.output / done.whole[:, None]).ravel()))
+                yield pa.RecordBatch.from_arrays([given.field("by"), given.field("at"), out], names=["by", "at", "output"])
+
+    joined = whole.join(blocks.select(F.col("block").alias("q"), "rows"), "q").select("top", "whole", "output", "rows")
+    out = joined.mapInArrow(finish, f"by {spread.schema['by'].dataType.simpleString()}, at long, output array<double>")
+    return out.select(F.col("by").alias(by), F.col("at").alias(at), "output")
 
 
 def block_bounds(rows: DataFrame, block: str, vector: str, dims: int) -> DataFrame:
