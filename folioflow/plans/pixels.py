@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import pixels as P
+from folioflow.operators import polygons as G
 from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
 
@@ -137,3 +138,31 @@ def resample_losses(spark: SparkSession, sf: str) -> DataFrame:
     rows = gray(spark, sf)
     loss = lambda size: P.resample_loss(rows, 8, 8, size).select("page", F.round("change", 6).alias(f"change_{size}"), F.round("lossy", 6).alias(f"lossy_{size}"))
     return loss(6).join(loss(3), "page")
+
+
+@query("""WITH s AS (SELECT p_partkey AS page, p_size AS n, 100 AS w, 60 AS h FROM part), r AS (SELECT *, least(n + 40, 100) - n AS rw, 30 AS rh, greatest(0, least(n + 20, 100) - n) AS kw, 10 AS kh FROM s)
+SELECT page, (rw * rh - kw * kh)::BIGINT AS pixels, round((rw * rh - kw * kh) / 6000, 6) AS share FROM r""")
+def masked_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of a figure's region, partly beyond the page, without the caption that is kept inside it."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("page"), F.col("p_size").cast("double").alias("n"))
+    box = lambda x1, y1, x2, y2: F.array(x1, y1, x2, y1, x2, y2, x1, y2)
+    low, high = (F.lit(v).cast("double") for v in (5.0, 35.0))
+    regions = rows.select("page", box(F.col("n"), low, F.col("n") + 40, high).alias("poly"))
+    kept = rows.select("page", box(F.col("n") - 7, low, F.col("n") + 20, F.lit(15.0)).alias("poly"))
+    pages = rows.select("page", F.lit(100).alias("width"), F.lit(60).alias("height"))
+    return G.masked(pages, regions, kept).withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT p_partkey AS page, round(CASE WHEN p_size % 3 = 0 THEN list_sort([p_size, p_size % 5 + 1, 9])[2] / 200 WHEN p_size % 3 = 1 THEN (p_size + 3) / 200 ELSE 1 END, 9) AS height FROM part""")
+def polygon_heights(spark: SparkSession, sf: str) -> DataFrame:
+    """Upper median height of a page's lines; of its blocks where lines have no polygons; else 1."""
+    n = F.col("p_size").cast("double")
+    poly = lambda h: F.array(F.lit(3.0), F.lit(2.0), F.lit(9.0), F.lit(2.0), F.lit(9.0), h + 2, F.lit(3.0), h + 2)
+    line = lambda text, h: F.struct(F.lit(text).alias("text"), poly(h).alias("poly"))
+    none = F.array().cast("array<struct<text:string,poly:array<double>>>")
+    block = lambda text, p, lines: F.struct(F.lit(text).alias("text"), p.alias("poly"), lines.alias("lines"))
+    no_poly = F.lit(None).cast("array<double>")
+    lined = F.array(block("two\nlines", poly(n + 90), F.array(line("a", n), line("", n + 500))), block("x", no_poly, F.array(line("b", F.pmod(n, F.lit(5)) + 1), line("c", F.lit(9.0)))))
+    single = F.array(block("one line", poly(n + 3), none), block("two\nlines", poly(n + 90), none))
+    blocks = F.when(F.col("p_size") % 3 == 0, lined).when(F.col("p_size") % 3 == 1, single).otherwise(F.array(block("", poly(n), none)))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("page"), F.round(G.line_height(blocks, F.lit(200.0)), 9).alias("height"))

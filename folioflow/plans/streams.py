@@ -59,3 +59,10 @@ def stream_join(spark: SparkSession, sf: str) -> DataFrame:
 def stream_static_join(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
     return S.finished(S.enriched(stream(spark, sf).select("event_id", "user_id"), names, "user_id").select("event_id", "c_mktsegment"), "enriched")
+
+
+@query()
+def stream_loop_stops(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the hours of eight lanes of events first repeat long enough to be a loop, as the events come."""
+    rows = stream(spark, sf).select((F.col("event_id") % 8).alias("lane"), F.floor(F.col("event_id") / 8).alias("place"), F.hour("ts").alias("hour"))
+    return S.finished(K.loop_stops(rows, "lane", "place", "hour"), "loops")

@@ -67,3 +67,30 @@ def test_losses_by_whole_arrays(spark):
         want = (np.abs(a - back)[ink].mean(), (np.abs(a - back)[ink] > 60).mean()) if ink.any() else (0.0, 0.0)
         assert abs(got[k][0] - want[0]) < 1e-9 and abs(got[k][1] - want[1]) < 1e-9
     assert {tuple(r)[1:] for r in P.resample_loss(pages(spark, arrays), 12, 8, 12).collect()} == {(0.0, 0.0)}
+
+
+def inside(poly, x, y):
+    """Even-odd rule for one point."""
+    points = list(zip(poly[::2], poly[1::2], strict=False))
+    hit = False
+    for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1], strict=True):
+        if (ay <= y < by or by <= y < ay) and ax + (y - ay) * (bx - ax) / (by - ay) <= x:
+            hit = not hit
+    return hit
+
+
+def test_masked_pixels_by_each_centre(spark):
+    from folioflow.operators import polygons as G
+
+    rng = np.random.default_rng(7)
+    some = lambda k: (rng.uniform(-5, 30, 2 * k)).tolist()
+    sizes = {1: (24, 17), 2: (9, 30), 3: (12, 12), 4: (8, 8), 5: (0, 5)}
+    regions = [(1, some(3)), (1, some(5)), (2, some(4)), (2, some(7)), (3, [0.0, 0.0, 6.0, 0.0, 6.0, 6.0, 0.0, 6.0]), (3, [3.0, 3.0]), (4, None), (9, some(3))]
+    kept = [(1, some(4)), (2, some(3)), (3, [0.0, 0.0, 6.0, 0.0, 6.0, 3.0, 0.0, 3.0])]
+    schema = "page long, poly array<double>"
+    pages_df = spark.createDataFrame([(p, w, h) for p, (w, h) in sizes.items()], "page long, width int, height int")
+    got = {r.page: (r.pixels, r.share) for r in G.masked(pages_df, spark.createDataFrame(regions, schema), spark.createDataFrame(kept, schema)).collect()}
+    for p, (w, h) in sizes.items():
+        hits = sum(any(inside(q, x + 0.5, y + 0.5) for k, q in regions if k == p and q and len(q) >= 6) and not any(inside(q, x + 0.5, y + 0.5) for k, q in kept if k == p) for y in range(h) for x in range(w))
+        assert got[p] == (hits, hits / (w * h) if w * h else 0.0)
+    assert got[3][0] == 18 and set(got) == set(sizes)
