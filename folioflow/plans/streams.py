@@ -61,8 +61,10 @@ def stream_static_join(spark: SparkSession, sf: str) -> DataFrame:
     return S.finished(S.enriched(stream(spark, sf).select("event_id", "user_id"), names, "user_id").select("event_id", "c_mktsegment"), "enriched")
 
 
-@query()
+@query("""WITH l AS (SELECT event_id % 8 AS lane, max(event_id // 8) AS last, CASE WHEN event_id % 8 < 2 THEN 255 ELSE 555 - 30 * (event_id % 8) END AS stop FROM events GROUP BY event_id % 8)
+SELECT lane, stop, 'exact' AS rule, 1::BIGINT AS period FROM l WHERE last >= stop""")
 def stream_loop_stops(spark: SparkSession, sf: str) -> DataFrame:
-    """Where the hours of eight lanes of events first repeat long enough to be a loop, as the events come."""
-    rows = stream(spark, sf).select((F.col("event_id") % 8).alias("lane"), F.floor(F.col("event_id") / 8).alias("place"), F.hour("ts").alias("hour"))
-    return S.finished(K.loop_stops(rows, "lane", "place", "hour"), "loops")
+    """Where eight lanes of events, whose tokens stay for 300 places at a time, first repeat long enough to be a loop, as the events come."""
+    lane, place = F.col("event_id") % 8, F.floor(F.col("event_id") / 8)
+    rows = stream(spark, sf).select(lane.alias("lane"), place.alias("place"), F.floor((place + 30 * lane) / 300).alias("token"))
+    return S.finished(K.loop_stops(rows, "lane", "place", "token"), "loops")
