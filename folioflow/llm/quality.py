@@ -36,6 +36,7 @@ from folioflow.sources.workspace import discard, small_batches, stored
 ORDER = 5
 WINDOW = 5
 MOST = 4_000_000
+LANGUAGES = 100_000
 STEPS = 512
 LENGTH = 300
 LEAST_SPREAD = 4
@@ -210,11 +211,13 @@ def fitted(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFr
     for k in range(order - 1, 0, -1):
         levels[k] = stored(levels[k + 1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), "quality-counts")
     scraps = list(levels.values())
+    few = levels[1].select("lang").distinct().count() <= LANGUAGES
+    beside = F.broadcast if few else lambda df: df
     below = levels[1].groupBy("lang", F.lit("").alias("gram")).agg((1.0 / (F.count("*") + 1)).alias("p"))
     parts = [below.select("lang", "gram", F.log("p").alias("log_p"), F.lit(None).cast("double").alias("log_back"))]
     for k in range(1, order + 1):
         taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = levels[k].join(discounts(levels[k]), "lang").select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"), (F.col("c") - taken).alias("left"), taken.alias("taken"), "c")
+        rows = levels[k].join(beside(discounts(levels[k])), "lang").select("lang", "gram", F.substring("gram", 1, k - 1).alias("context"), F.substring("gram", 2, k - 1).alias("rest"), (F.col("c") - taken).alias("left"), taken.alias("taken"), "c")
         contexts = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("taken") / F.sum("c")).alias("back"))
         lower = below.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower"))
         joined = rows.join(contexts, ["lang", "context"]).join(lower, ["lang", "rest"])
@@ -255,9 +258,14 @@ class Model:
     """Logarithms of probabilities and of back-off weights by the hash of language and n-gram."""
 
     def __init__(self, parts: list[tuple[bytes, bytes, bytes]]):
-        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k, _, _ in parts)])
-        tables = [np.concatenate([np.zeros(0), *(np.frombuffer(p[n], np.float64) for p in parts)]) for n in (1, 2)]
-        self.log_p, self.log_back = (SortedTable(keys[~np.isnan(v)], v[~np.isnan(v)]) for v in tables)
+        """parts: bytes of hashes and of both logarithms (nan for none); the list is emptied."""
+        tables = []
+        for n in (1, 2):
+            known = [(np.frombuffer(p[0], np.uint64), np.frombuffer(p[n], np.float64)) for p in parts]
+            known = [(k[~np.isnan(v)], v[~np.isnan(v)]) for k, v in known]
+            tables.append(SortedTable(*(np.concatenate([np.zeros(0, kind), *(x[i] for x in known)]) for i, kind in enumerate((np.uint64, np.float64)))))
+        parts.clear()
+        self.log_p, self.log_back = tables
 
     def nats(self, langs: list[str], points: Points) -> np.ndarray:
         """The negative log-probability of each text; nan if the model has nothing of its language."""
@@ -292,7 +300,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def arrays(model: DataFrame) -> Model:
     """The model's rows as arrays on the driver; the caller has counted them."""
-    return Model([tuple(map(bytes, r)) for r in model.select("lang", "gram", "log_p", "log_back").mapInArrow(_pack, "keys binary, log_p binary, log_back binary").collect()])
+    return Model([tuple(r) for r in model.select("lang", "gram", "log_p", "log_back").mapInArrow(_pack, "keys binary, log_p binary, log_back binary").collect()])
 
 
 def features(text: str, memo: WordHashes) -> tuple[int, int, int]:
@@ -410,7 +418,9 @@ def judged(docs: DataFrame, above: float = ABOVE, below: float = BELOW, most: in
     found = stored(found, "quality-rows")
     for scrap in [model, *scraps]:
         discard(scrap)
-    of_langs = bands(found.where("not base_failed and step is not null"))
+    of_langs = stored(bands(found.where("not base_failed and step is not null")), "quality-bands")
+    if of_langs.count() <= LANGUAGES:  # a row per language: a third of all documents may be of one
+        of_langs = F.broadcast(of_langs)
     stretch = F.sqrt(1 + LENGTH / F.greatest("word_chars", F.lit(1)))
     away = F.col("step") - F.col("middle")
     outside = (away > above * F.col("high") * stretch) | (-away > below * F.col("low") * stretch)
