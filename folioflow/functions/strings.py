@@ -43,6 +43,13 @@ def document_family(name: Column) -> Column:
     return F.when(found != "", found).otherwise(name)
 
 
+def deck_family(name: Column) -> Column:
+    """The document of a page's name, with all pages of a slide deck (``deck_page_12.png``) as one."""
+    base = document_family(name)
+    deck = F.regexp_extract(base, r"^(.*)_page_\d+\.[^.]+$", 1)
+    return F.when(base.rlike(r"^.*_page_\d+\.[^.]+$"), deck).otherwise(base)
+
+
 def stage_name(key: Column) -> Column:
     """``decode.12.x`` as ``decode.*.x``."""
     return F.regexp_replace(key, r"decode\.\d+\.", "decode.*.")

@@ -34,3 +34,15 @@ def hash_split(key: Column) -> Column:
 def round_robin(df: DataFrame, group: str, k: int, *order: str) -> DataFrame:
     """Groups take turns: the first row of every group, then the second, to k rows each."""
     return top_k(df, group, k, *map(F.col, order))
+
+
+def gate_category(category: Column, characters: Column, least: int = 100, other: str = "other") -> Column:
+    """A row's category; without one it is ``other`` if it has ``least`` characters, else none."""
+    return F.coalesce(category, F.when(characters >= least, other))
+
+
+def without_named(df: DataFrame, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose base name doesn't match a pattern, and the distinct names that were dropped; null paths stay."""
+    name = F.regexp_extract(F.col(path), r"([^/\\]*)$", 1)
+    hit = F.coalesce(name.rlike(pattern), F.lit(False))
+    return df.where(~hit), df.where(hit).select(name.alias("name")).distinct()

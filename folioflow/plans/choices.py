@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import sampling
 from folioflow.operators import audits as A
+from folioflow.operators import select
 from folioflow.plans.registry import query
 from folioflow.sources.workspace import table
 
@@ -132,3 +133,18 @@ def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
     copies = rows.where("conv_id % 5 = 0 and turn = 1")
     moved = rows.where("conv_id % 7 = 0 and turn = 2").select("conv_id", (F.col("turn") + 1).alias("turn"), "role", F.concat("text", F.lit("!")).alias("text"))
     return A.repeated(rows.unionByName(copies).unionByName(moved), {"message": ["conv_id", "role", "text"], "turn": ["conv_id", "turn"]}, "conv_id")
+
+
+@query("""SELECT category, count(*) AS n FROM (SELECT coalesce(CASE WHEN lang <> 'en' THEN lang END, CASE WHEN length(text) >= 100 THEN 'other' END) AS category FROM documents) WHERE category IS NOT NULL GROUP BY category""")
+def gate_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by category; those without one are 'other' if they are long enough, else none."""
+    known = F.when(F.col("lang") != "en", F.col("lang"))
+    rows = table(spark, sf, "documents").select(select.gate_category(known, F.length("text")).alias("category"))
+    return rows.where("category is not null").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '([^/]*)$', 1) AS name FROM pages) SELECT name FROM p WHERE regexp_matches(name, '^[0-9]*[05]$')""")
+def dropped_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The distinct base names that a pattern excludes."""
+    path = F.substring_index(F.substring_index("url", "?", 1), "#", 1)
+    return select.without_named(table(spark, sf, "pages").select(path.alias("path")), "path", "^[0-9]*[05]$")[1]

@@ -75,3 +75,21 @@ def page_numbers(spec: Column, pages: Column) -> Column:
     high = lambda p: F.when(p.rlike(r"^\d+$"), low(p)).when(p.rlike(r"^\d+-$"), pages).otherwise(F.regexp_extract(p, r"-(\d+)$", 1).cast("int"))
     fine = F.forall(parts, lambda p: p.rlike(r"^\d+(-\d*)?$") & (low(p) >= 1) & (low(p) <= high(p)) & (high(p) <= pages))
     return F.when(fine, F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p), high(p)))))))
+
+
+def run_outputs(spark: SparkSession, path: str, result: str) -> DataFrame:
+    """(page, result) of a run, whichever way it was kept; ``result`` is the schema of a page's result.
+
+    A folder holds a JSON file for each page: its stem names the page, and files without a ``result`` are skipped. A file is
+    a report: its ``inputs`` and the outputs of its first sample pair up by position, to the end of the shorter; the folder
+    of an input names the page.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        rows = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.from_json("value", f"result struct<{result}>")["result"].alias("result"), stem(F.col("_metadata.file_path")).alias("page"))
+        return rows.where("result is not null").select("page", "result")
+    report = spark.read.text(path, wholetext=True).select(F.from_json("value", f"inputs array<struct<path:string>>, samples array<struct<outputs:array<struct<{result}>>>>").alias("r"))
+    inputs, outputs = F.col("r.inputs"), F.get("r.samples", F.lit(0))["outputs"]
+    n = F.least(F.size(inputs), F.size(outputs))
+    pairs = F.slice(F.arrays_zip(inputs.alias("input"), outputs.alias("output")), 1, F.greatest(n, F.lit(0)))
+    return report.select(F.explode(pairs).alias("p")).select(parent(F.col("p.input.path")).alias("page"), F.col("p.output").alias("result"))

@@ -92,3 +92,26 @@ def test_text_columns(spark):
     assert one(S.normalized_distance(F.lit("abc"), F.lit("abd"))) == pytest.approx(1 / 3) and one(S.normalized_distance(F.lit(""), F.lit(""))) == 0
     assert one(S.table_text(F.lit("a<b>x</b><table><tr><td>1</td></tr></table>c"))).split() == ["a<b>x</b>", "1", "c"]
     assert one(S.canonical(F.lit('{"b": 1, "a": "x"}'))) == '{"a":"x","b":1}'
+
+
+def test_runs_kept_either_way(spark, tmp_path):
+    put(tmp_path / "run/a.json", json.dumps({"result": {"text": "x", "n": 1}}))
+    put(tmp_path / "run/b.json", json.dumps({"error": "none"}))
+    put(tmp_path / "run/c.txt", "no")
+    put(tmp_path / "report.json", json.dumps({"inputs": [{"path": "pages/p1/i.png"}, {"path": "pages/p2/i.png"}, {"path": "pages/p3/i.png"}], "samples": [{"outputs": [{"text": "y", "n": 2}, {"text": None}]}, {"outputs": []}]}))
+    got = lambda name: sorted((r.page, r.result.text, r.result.n) for r in files.run_outputs(spark, str(tmp_path / name), "text:string,n:int").collect())
+    assert got("run") == [("a", "x", 1)] and got("report.json") == [("p1", "y", 2), ("p2", None, None)]
+    put(tmp_path / "none.json", "{}")
+    assert got("none.json") == []
+
+
+def test_families_categories_and_names(spark):
+    from folioflow.operators import select
+
+    names = ["book_page_3.png", "talk_page_12.pdf_5", "deck_page_7.pptx", "plain.png", None]
+    rows = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(S.deck_family(F.col("n"))).collect()]
+    assert rows[3:] == ["plain.png", None] and rows[0] == "book" and rows[2] == "deck"
+    df = spark.createDataFrame([("a", 5), (None, 100), (None, 99), (None, None)], "c string, n int")
+    assert [r[0] for r in df.select(select.gate_category(F.col("c"), F.col("n"))).collect()] == ["a", "other", None, None]
+    kept, dropped = select.without_named(spark.createDataFrame([("x/a1.png",), ("y\\a1.png",), ("a1/b.png",), (None,)], "p string"), "p", "^a")
+    assert sorted(r.p or "" for r in kept.collect()) == ["", "a1/b.png"] and [r.name for r in dropped.collect()] == ["a1.png"]
