@@ -18,7 +18,11 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: learns from the labelled rows; rejects ``und`` and scores below one half."""
+    """Operator 6: learns from the labelled rows; rejects ``und`` and scores below one half.
+
+    The score weighs a text as if it had at most 200 n-grams, so a long text stays if 200 of its n-grams, taken on average,
+    make one language likelier than all others together.
+    """
     return language_id.accepted(docs, language_id.train(docs), LEAST_LANGUAGE_SCORE)
 
 
