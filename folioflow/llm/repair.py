@@ -11,8 +11,8 @@ No conversation is gathered. Equal rows become one row with a number of copies b
 (role, text) is an aggregate joined back, and rows are dealt by ranges of (conv_id, turn, role, text), so that a
 long conversation spans many tasks. A task cuts its rows into pieces of at most ``PIECE`` rows. A piece that may continue
 a conversation is passed once from each state, giving a 4 x 4 table of (cost, audit); tables of a conversation are folded in
-order, which holds what four audits differ in. Only the digest of a repaired conversation sees its rows in one task, as a
-stream, since SHA-256 is sequential.
+order, which holds what four audits differ in. A conversation that lies inside its task is settled there and moves no more.
+Only the digest of a conversation over many pieces sees its rows in one task, as a stream, since SHA-256 is sequential.
 
 Null roles and texts are one space; a null turn comes first; a null conv_id is one conversation; ties of turn go by role and
 text; an empty table gives no rows; extra columns are ignored.
@@ -125,7 +125,7 @@ class _Piece:
     """Rows of one conversation, the layers over them, and what the report counts."""
 
     def __init__(self, conv, number: int, whole_start: bool):
-        self.conv, self.number, self.start = conv, number, whole_start
+        self.conv, self.number, self.start, self.whole = conv, number, whole_start, False
         self.rows: list[tuple] = []
         self.chars = self.n_turns = self.blank = self.duplicate = self.truncated = self.illegal = 0
         self.turns: list = []
@@ -165,6 +165,7 @@ def _pieces(most: int):
             "pid": pa.array([pid] * len(pieces), pa.int32()),
             "number": pa.array([p.number for p in pieces], pa.int64()),
             "start": pa.array([p.start for p in pieces], pa.bool_()),
+            "whole": pa.array([p.whole for p in pieces], pa.bool_()),
             "costs": pa.array([[b and b[0] for b in t] for t in table], pa.list_(pa.int64())),
             "audits": pa.array([[b and b[1] for b in t] for t in table], pa.list_(pa.string())),
             "first_initial": pa.array([p.rows[0][0][:1] for p in pieces], pa.string()),
@@ -185,6 +186,7 @@ def _pieces(most: int):
                 same = open_piece is not None and open_piece.conv == conv
                 if not same or len(open_piece.rows) >= most or open_piece.chars >= PIECE_CHARS:
                     if open_piece:
+                        open_piece.whole = open_piece.start and not same
                         done.append(open_piece)
                     # the first conversation of a task may have begun in an earlier one
                     open_piece = _Piece(conv, number, open_piece is not None and not same)
@@ -200,12 +202,15 @@ def _pieces(most: int):
 
 
 def pieces(rows: DataFrame, most: int = PIECE) -> DataFrame:
-    """Pieces of at most ``most`` rows of all conversations, in the shared folder; a conversation's pieces are in order of (pid, number)."""
+    """Pieces of at most ``most`` rows of all conversations, in the shared folder; a conversation's pieces are in order of (pid, number).
+
+    A ``whole`` piece is a conversation that began and ended inside its task.
+    """
     faulty = with_faults(rows)
     conv, turn = (faulty.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     small_batches(rows.sparkSession)
     order = ("conv_id", "turn", "role", "text")
-    kind = f"conv_id {conv}, pid int, number long, start boolean, costs array<long>, audits array<string>, first_initial string, last_initial string, first_turn {turn}, last_turn {turn}, "
+    kind = f"conv_id {conv}, pid int, number long, start boolean, whole boolean, costs array<long>, audits array<string>, first_initial string, last_initial string, first_turn {turn}, last_turn {turn}, "
     kind += ", ".join(f"{c} long" for c in _COUNTS) + ", rows array<struct<role:string,text:string,copies:long>>"
     return stored(faulty.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pieces(most), kind), "repair-pieces")
 
@@ -266,7 +271,7 @@ _PATH = ("conv_id", "pid", "number", "before", "after", "lead", "last", "gaps",
 
 
 def paths(cut: DataFrame) -> DataFrame:
-    """Pieces folded in order: a row per piece with its states; the last piece's row has the report of its conversation."""
+    """Pieces of the same conversations folded in order: a row per piece with its states; the last piece's row has the report."""
     conv = cut.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +299,24 @@ def paths(cut: DataFrame) -> DataFrame:
     return cut.drop("rows").repartition("conv_id").sortWithinPartitions("conv_id", "pid", "number").mapInArrow(run, kind)
 
 
-def repaired(cut: DataFrame, path: DataFrame) -> DataFrame:
-    """(conv_id, pid, number, place, edit, role, text): the rows of the repaired conversations, ordered by (pid, number, place)."""
+def settled(cut: DataFrame) -> DataFrame:
+    """The whole pieces with their states and report: no other piece decides with them, so nothing moves."""
+    ends = F.filter(F.array(*(F.struct(F.col("costs")[q].alias("cost"), F.col("audits")[q].alias("audit"), F.lit(q).alias("after")) for q in ACCEPTING)), lambda x: x["cost"].isNotNull())
+    gaps = F.when(F.col("first_turn").isNull(), 0).otherwise(F.col("last_turn") - F.col("first_turn") + 1 - F.col("n_turns")).cast("long")
+    found = cut.where("whole").withColumn("best", F.array_min(ends))
+    return found.select("*", F.lit(NOTHING).alias("before"), "best.after", F.lit("").alias("lead"), gaps.alias("gaps"), "best.cost", "best.audit")
+
+
+def joined(cut: DataFrame, path: DataFrame) -> DataFrame:
+    """The other pieces with the states that ``paths`` found."""
+    return cut.where("not whole").join(path.select("pid", "number", "before", "after", "lead"), ["pid", "number"])
+
+
+def repaired(ready: DataFrame) -> DataFrame:
+    """(conv_id, pid, number, place, edit, role, text): the rows of the repaired conversations, ordered by (pid, number, place), from pieces with their states."""
     chosen = F.col("audits")[F.when(F.col("start"), F.lit(0)).otherwise(F.col("before")) * 4 + F.col("after")]
-    steps = path.select("pid", "number", "before", "after", "lead")
-    ready = cut.join(steps, ["pid", "number"]).select("conv_id", "pid", "number", F.concat("lead", chosen).alias("audit"), F.when(F.col("lead") != "", F.lit(NOTHING)).otherwise(F.col("before")).alias("before"), "rows")
-    conv = cut.schema["conv_id"].dataType.simpleString()
+    ready = ready.select("conv_id", "pid", "number", F.concat("lead", chosen).alias("audit"), F.when(F.col("lead") != "", F.lit(NOTHING)).otherwise(F.col("before")).alias("before"), "rows")
+    conv = ready.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,8 +332,11 @@ def repaired(cut: DataFrame, path: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, f"conv_id {conv}, pid int, number long, place long, edit string, role string, text string")
 
 
-def text_digests(rows: DataFrame) -> DataFrame:
-    """(conv_id, repaired_sha256) of ``role:text``, joined by line ends, of rows as ``repaired`` gives them; streamed."""
+def text_digests(rows: DataFrame, dealt: bool = True) -> DataFrame:
+    """(conv_id, repaired_sha256) of ``role:text``, joined by line ends, of rows as ``repaired`` gives them; streamed.
+
+    With ``dealt`` rows are dealt and sorted by conversation first; rows of whole pieces come in order as they are.
+    """
     conv = rows.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +360,8 @@ def text_digests(rows: DataFrame) -> DataFrame:
         if state is not None:
             yield packed([(open_conv, state.hexdigest())])
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "pid", "number", "place").select("conv_id", "role", "text").mapInArrow(run, f"conv_id {conv}, repaired_sha256 string")
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "pid", "number", "place") if dealt else rows
+    return ordered.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {conv}, repaired_sha256 string")
 
 
 def damaged(rows: DataFrame, of: int = 20) -> DataFrame:
@@ -359,10 +380,12 @@ def report(rows: DataFrame, wanted: DataFrame | None = None, most: int = PIECE)
     ``wanted`` has the conv_ids to report; one without rows gets zeros, an empty audit and the digest of nothing.
     """
     cut = pieces(rows, most)
-    path = stored(paths(cut), "repair-paths")
+    own = settled(cut)
+    path = stored(paths(cut.where("not whole")), "repair-paths")
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
-    found = path.where("last").select("conv_id", *counts, "audit")
-    digests = text_digests(repaired(cut, path)).select(F.col("conv_id").alias("digested"), "repaired_sha256")
+    found = path.where("last").select("conv_id", *counts, "audit").unionByName(own.select("conv_id", *counts, "audit"))
+    digests = text_digests(repaired(own), False).unionByName(text_digests(repaired(joined(cut, path))))
+    digests = digests.select(F.col("conv_id").alias("digested"), "repaired_sha256")
     ids = (wanted if wanted is not None else rows).select(F.col("conv_id").alias("wanted")).distinct()
     out = ids.join(found, F.col("wanted").eqNullSafe(F.col("conv_id")), "left").join(digests, F.col("wanted").eqNullSafe(F.col("digested")), "left")
     empty = hashlib.sha256(b"").hexdigest()
