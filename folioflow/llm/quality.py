@@ -99,6 +99,15 @@ def gram_hashes(seeds: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
     return mixed(h)
 
 
+def all_hashes(seeds: np.ndarray, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``gram_hashes`` of the highest order at places that have enough before them, added up over the whole array."""
+    wide = points.astype(np.uint64)
+    h = wide * _POWERS[0]
+    for k in range(1, ORDER):
+        h[k:] += wide[:-k] * _POWERS[k]
+    return mixed(h[at] + seeds + np.uint64(ORDER))
+
+
 def gram_counts(langs: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different n-grams of a batch: the place of their language in the sorted languages, their code points, their counts."""
     p = Points(texts)
@@ -110,9 +119,10 @@ def gram_counts(langs: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndar
     of = lang[p.doc[p.at]]
     if width * ORDER + len(names).bit_length() <= 64:
         code = small[p.points]
-        key = of.astype(np.uint64)
-        for k in range(ORDER - 1, -1, -1):
-            key = key << np.uint64(width) | code[p.at - k]
+        key = code.copy()
+        for k in range(1, ORDER):
+            key[k:] |= code[:-k] << np.uint64(width * k)
+        key = key[p.at] | of.astype(np.uint64) << np.uint64(width * ORDER)
         found, counts = np.unique(key, return_counts=True)
         mask = np.uint64((1 << width) - 1)
         windows = np.stack([used[found >> np.uint64(width * k) & mask] for k in range(ORDER - 1, -1, -1)], 1).astype(np.uint32)
@@ -274,7 +284,7 @@ class Model:
         total, waiting = np.zeros(len(at)), np.arange(len(at))
         for k in range(ORDER, -1, -1):
             here, seed = at[waiting], seeds[waiting]
-            found, hit = self.log_p.look(gram_hashes(seed, [points.points[here - j] for j in range(k)]))
+            found, hit = self.log_p.look(all_hashes(seed, points.points, here) if k == ORDER else gram_hashes(seed, [points.points[here - j] for j in range(k)]))
             total[waiting] += found
             waiting, here, seed = waiting[~hit], here[~hit], seed[~hit]
             if not len(waiting):
@@ -311,9 +321,9 @@ def features(text: str, memo: WordHashes) -> tuple[int, int, int]:
     if len(words) > WINDOW:
         ids = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         n = len(ids) - WINDOW + 1
-        h = ids[:n].copy()
+        h = ids[:n] * _POWERS[0]
         for k in range(1, WINDOW):
-            h = mixed(h * np.uint64(_GOLD) + ids[k : n + k])
+            h += ids[k : n + k] * _POWERS[k]
         sorted_h = np.sort(h)
         twice = sorted_h[1:][sorted_h[1:] == sorted_h[:-1]]
         if len(twice):
