@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import edits as E
+from folioflow.functions import json_walk as J
 from folioflow.functions import strings as S
 from folioflow.sources import files, records
 
@@ -86,12 +88,12 @@ def test_text_columns(spark):
     assert one(S.numbers(F.lit("a -1.5 b 2,000 c3"))) == ["-1.5", "2,000", "3"]
     assert one(S.document_family(F.lit("deck_slide_12.png"))) == "deck" and one(S.document_family(F.lit("plain"))) == "plain"
     assert one(S.assignments(F.lit("# c\nA:BOOL=ON\nB:STRING=x=y\nA:BOOL=OFF\nbad"))) == {"A": "OFF", "B": "x=y"}
-    assert one(S.first_json(F.lit('x {"a":{"b":1}} {"c":2}'))) == '{"a":{"b":1}}' and one(S.first_json(F.lit("none"))) is None
+    assert one(J.first_object(F.lit('x {"a":{"b":1}} {"c":2}'))) == '{"a":{"b":1}}' and one(J.first_object(F.lit("none"))) is None
     assert one(S.markdown_links(F.lit("[a](x.md#h) [b](http://q) [c](#f) [d](y/z.md)"))) == ["x.md", "y/z.md"]
-    assert one(S.distance(F.split(F.lit("a b c d"), " "), F.split(F.lit("a x c"), " "))) == 2
-    assert one(S.normalized_distance(F.lit("abc"), F.lit("abd"))) == pytest.approx(1 / 3) and one(S.normalized_distance(F.lit(""), F.lit(""))) == 0
+    assert one(E.edits(F.split(F.lit("a b c d"), " "), F.split(F.lit("a x c"), " "))) == 2
+    assert one(E.relative_edits(F.lit("abc"), F.lit("abd"))).value == pytest.approx(1 / 3) and one(E.relative_edits(F.lit(""), F.lit(""))).value == 0
     assert one(S.table_text(F.lit("a<b>x</b><table><tr><td>1</td></tr></table>c"))).split() == ["a<b>x</b>", "1", "c"]
-    assert one(S.canonical(F.lit('{"b": 1, "a": "x"}'))) == '{"a":"x","b":1}'
+    assert one(J.canonical(F.lit('{"b": 1, "a": "x"}'))) == '{"a":"x","b":1}'
 
 
 def test_runs_kept_either_way(spark, tmp_path):
