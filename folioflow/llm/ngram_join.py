@@ -2,8 +2,10 @@
 
 1. One pass hashes each text into its shingle set and keeps its size and digest; it also counts shingles into a fixed
    number of buckets. Equal sets form a class, named by its least doc_id, so copies cost nothing later.
-2. The global order puts shingles of thin buckets first (ties by hash). Two sets that reach the threshold share a
-   shingle among the first ``n - ceil(t n) + 1`` of either, so only those are looked at.
+2. The global order puts shingles that few texts hold before frequent ones, those of thin buckets first (ties by hash).
+   What is frequent comes from counts of all occurrences in 2**28 places, which each task sends as sorted steps of about a
+   byte: the buckets are too few to tell a shingle of a hundred holders once they hold hundreds of rare ones each. Two sets
+   that reach the threshold share a shingle among the first ``n - ceil(t n) + 1`` of either, so only those are looked at.
 3. Shingles with few holders give candidate pairs, found inside the holder list and cut by sizes and by a parity bitmap
    of each set, which bounds the overlap from above before any set is moved. Shingles with many holders are told apart
    by a table of them (broadcast while it has at most ``DENSE`` rows, joined otherwise) and are never gathered: they tie
@@ -14,7 +16,7 @@
    Links are exact: every candidate is decided by its whole sets.
 5. Components of the links name the document groups.
 
-Broadcast: the bucket levels (2**20 bytes) and a bitmap of candidate classes (2**22 bits), both of fixed size, and the
+Broadcast: the bucket levels (2**20 bytes), a bitmap of frequent shingles (2**26 bits) and a bitmap of candidate classes (2**22 bits), both of fixed size, and the
 table of frequent shingles below its bound. All are destroyed when the links are stored.
 Rows: one for each input row. Null or empty texts have an empty set and are linked with nothing. A set is known by its
 doc_id and digest, so rows that share a doc_id keep their own texts and links; ``ngram_components`` ties such rows
@@ -24,6 +26,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -39,6 +42,9 @@ from folioflow.sources.workspace import discard, small_batches, stored
 
 ORDER_BITS = 20
 SLICES = 16
+#: Occurrences are counted by the first 28 bits of a shingle, in 64 ranges; what is frequent is kept as 2**26 bits.
+COUNT_BITS, RANGES, MARK_BITS = 28, 64, 26
+CHUNK = 1 << 22
 FLAG_BITS = 22
 DENSE = 2_000_000
 
@@ -49,6 +55,30 @@ DENSE = 2_000_000
 DIGESTS = "doc_id long, mark long, n long, d1 long, d2 long, slice int, counts binary"
 
 
+def packed(steps: np.ndarray) -> bytes:
+    """Numbers as bytes: so many 255s, then the rest."""
+    whole, rest = np.divmod(steps, 255)
+    out = np.full(int(whole.sum()) + len(steps), 255, np.uint8)
+    out[np.cumsum(whole + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """Sums, up to each, of the numbers of ``packed``."""
+    raw = np.frombuffer(data, np.uint8)
+    return np.cumsum(raw.astype(np.int64))[raw != 255]
+
+
+def _ranges(places: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """Sorted places below 2**28 by range, as steps from one to the next."""
+    x = np.sort(np.concatenate(places)).astype(np.int64)
+    width = 1 << COUNT_BITS
+    ends = np.searchsorted(x, np.arange(RANGES + 1) * (width // RANGES))
+    for k in range(RANGES):
+        if ends[k] < ends[k + 1]:
+            yield k, packed(np.diff(x[ends[k] : ends[k + 1]], prepend=k * (width // RANGES)))
+
+
 def digest(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits of a set as two signed numbers."""
     x = xxhash.xxh3_128_intdigest(shingles.tobytes())
@@ -56,10 +86,19 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _digests(size: int):
-    """Rows for documents (slice null), then the partition's bucket counts in slices (n null)."""
+    """Rows for documents (slice null), then the partition's bucket counts in slices and its occurrences in ranges (n null).
+
+    Slices are numbered from 0; occurrences (``_ranges``) have the slices below zero.
+    """
+
+    def others(slices: list[int], data: list[bytes]) -> pa.RecordBatch:
+        none = pa.array([None] * len(slices), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(slices, pa.int32()), pa.array(data, pa.binary())], names=["doc_id", "mark", "n", "d1", "d2", "slice", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHashes(), np.zeros(1 << ORDER_BITS, np.uint32)
+        places: list[np.ndarray] = []
+        held = 0
         mask = np.uint64((1 << ORDER_BITS) - 1)
         for batch in batches:
             n, d = [], []
@@ -67,12 +106,20 @@ def _digests(size: int):
                 n.append(len(s))
                 d.append(digest(s))
                 np.add.at(counts, (s & mask).astype(np.int64), np.uint32(1))
+                places.append((s >> np.uint64(64 - COUNT_BITS)).astype(np.uint32))
+                held += len(s)
+                if held >= CHUNK:
+                    for k, data in _ranges(places):
+                        yield others([-1 - k], [data])
+                    places, held = [], 0
             none = [None] * len(n)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(n, pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=["doc_id", "mark", "n", "d1", "d2", "slice", "counts"])
         parts = counts.reshape(SLICES, -1)
         kept = [k for k in range(SLICES) if parts[k].any()]
-        none = pa.array([None] * len(kept), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(kept, pa.int32()), pa.array([parts[k].tobytes() for k in kept], pa.binary())], names=["doc_id", "mark", "n", "d1", "d2", "slice", "counts"])
+        yield others(kept, [parts[k].tobytes() for k in kept])
+        if held:
+            for k, data in _ranges(places):
+                yield others([-1 - k], [data])
 
     return run
 
@@ -100,10 +147,42 @@ def order_levels(counted: DataFrame) -> np.ndarray:
     return np.floor(63 * np.log2(1 + counts) / np.log2(2 + counts.max())).astype(np.uint8)
 
 
-def _ordered(sets, levels: np.ndarray) -> np.ndarray:
-    """Shingles as numbers whose order is the global order: six bits of level, 58 of hash."""
-    level = levels[(sets & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)].astype(np.uint64)
-    return (level << np.uint64(58)) | (sets >> np.uint64(6))
+def _frequent(few: int):
+    """Rows (slice, bits): of each range, which stretches of places hold one that occurs more often than ``few`` times."""
+    fold = 1 << (COUNT_BITS - MARK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = (1 << COUNT_BITS) // RANGES
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                own = counts.setdefault(k, np.zeros(width, np.uint32))
+                places, n = np.unique(unpacked(raw), return_counts=True)
+                own[places] += n.astype(np.uint32)
+        for k, own in counts.items():
+            bits = np.packbits((own > few).reshape(-1, fold).any(1), bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - k], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    return run
+
+
+def frequent_marks(counted: DataFrame, few: int) -> np.ndarray:
+    """A bit for each stretch of shingles (by its first 26 bits): whether one of them occurs in more than ``few`` texts.
+
+    Every occurrence counts. Two shingles that share a place are taken for one, which moves them in the order, no more.
+    """
+    bits = np.zeros((RANGES, (1 << MARK_BITS) // 8 // RANGES), np.uint8)
+    for row in counted.select("slice", "counts").repartition(RANGES, "slice").mapInArrow(_frequent(few), "slice int, bits binary").toLocalIterator():  # 64 rows of a fixed size
+        bits[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.ravel()
+
+
+def _ordered(sets, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Shingles as numbers whose order is the global order: a bit for frequent ones, five bits of level, 58 of hash."""
+    levels, marks = order
+    level = (levels[(sets & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)] >> 1).astype(np.uint64)
+    frequent = (marks[(sets >> np.uint64(67 - MARK_BITS)).astype(np.int64)] >> (sets >> np.uint64(64 - MARK_BITS) & np.uint64(7)).astype(np.uint8) & 1).astype(np.uint64)
+    return (frequent << np.uint64(63)) | (level << np.uint64(58)) | (sets >> np.uint64(6))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -325,7 +404,46 @@ def _flags(ids: DataFrame) -> np.ndarray:
     return words.view(np.uint8)
 
 
-def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int = 64, block: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _meetings(sets: DataFrame, block: int, alone: bool = False) -> DataFrame:
+    """(key, cls, side) of sets (cls, component, scale, apart) dealt into blocks of their component, scale and ``apart``.
+
+    A block meets itself and the blocks of its own and the next scales, but those that are both not ``apart``; alone: only
+    itself. In a meeting one block is stored (0) and the other probes (1); a block that meets itself does both (2).
+    """
+    unit = 2 * F.col("scale") + F.col("apart")
+    sets = sets.withColumn("unit", unit.cast("long"))
+    counts = sets.groupBy("component", "unit").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    counts = counts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("unit", "blocks"))).alias("all"))
+    place = lambda unit, k: unit * (1 << 32) + k
+    dealt = sets.join(counts, "component").withColumn("mine", place(F.col("unit"), F.pmod(F.xxhash64("cls"), F.try_element_at("all", F.col("unit")))))
+
+    def others(step: int, apart: int):
+        near = (2 * (F.col("scale") + step) + apart).cast("long")
+        blocks = F.try_element_at("all", near)
+        listed = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: place(near, k))
+        able = blocks.isNotNull() if apart else blocks.isNotNull() & (F.col("apart") == 1)
+        return F.when(able, listed).otherwise(F.array().cast("array<bigint>"))
+
+    met = lambda one, two, side: F.struct(F.xxhash64("component", one, two).alias("id"), F.lit(side).alias("side"))
+    at, mine = F.col("at"), F.col("mine")
+    placed = F.array("mine") if alone else F.flatten(F.array(*(others(step, apart) for step in (-1, 0, 1) for apart in (0, 1))))
+    meets = dealt.select("cls", "component", "mine", F.explode(placed).alias("at"))
+    meets = meets.select("cls", F.when(mine < at, met(mine, at, 0)).when(mine > at, met(at, mine, 1)).otherwise(met(mine, mine, 2)).alias("m"))
+    return meets.select(F.concat(F.lit("1:"), "m.id").alias("key"), "cls", "m.side")
+
+
+def _grouped(sets: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The sets with ``top``, the least set that links tie them to."""
+    tops = connected_components(functools.reduce(DataFrame.union, links), "a", "b")
+    return stored(sets.join(tops, sets["cls"] == tops["vertex"], "left").select(*(sets[c] for c in sets.columns), F.coalesce(tops["component"], sets["cls"]).alias("top")), "grouped")
+
+
+def _spread(grouped: DataFrame) -> DataFrame:
+    """Families that lie in more than one group."""
+    return grouped.groupBy("component").agg(F.min("top").alias("one"), F.max("top").alias("two")).where("one <> two").select("component")
+
+
+def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int = 8, block: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, classes, links)``, all but rows stored.
 
     rows: doc_id, mark (hash of the text), n, d1, d2 (digest) of each document. classes: cls, class_id, d1, d2, n of each
@@ -337,7 +455,7 @@ def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int =
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = stored(texts.withColumn("mark", F.xxhash64("text")).mapInArrow(_digests(size), DIGESTS), "digests")
-    levels = spark.sparkContext.broadcast(order_levels(first.where("slice is not null")))
+    levels = spark.sparkContext.broadcast((order_levels(first.where("slice >= 0")), frequent_marks(first.where("slice < 0"), few)))
     rows = first.where("slice is null").select("doc_id", "mark", "n", "d1", "d2")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
@@ -364,51 +482,60 @@ def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int =
     two = prefixes.select("cls", F.col("n").alias("n2"), F.col("parity").alias("p2"))
     pairs = stored(pairs.join(one, "probe").join(two, "cls").select("probe", "cls", "n1", "p1", "n2", "p2").mapInArrow(_reaching(percent), "probe long, cls long"), "pairs")
 
+    # pairs tie their sets to groups: a group of one block moves each set once, however many pairs it has
+    tied = connected_components(pairs, "probe", "cls")
+    sizes = tied.groupBy("component").agg(F.count("*").alias("members"))
+    tied = stored(tied.join(sizes, "component").select(F.col("vertex").alias("cls"), "component", "members"), "tied")
+    wide = pairs.join(tied.where(F.col("members") > block).select(F.col("cls").alias("probe")), "probe", "left_semi")
+    probes = F.concat(F.lit("0:"), "probe").alias("key")
+    tasks = (
+        wide.select(probes, "cls", F.lit(0).alias("side"))
+        .union(wide.select(probes, F.col("probe").alias("cls"), F.lit(1).alias("side")).distinct())
+        .union(tied.where(F.col("members") <= block).select(F.concat(F.lit("2:"), "component"), "cls", F.lit(2)))
+    )
+
     # a frequent shingle is a vertex of its own, below zero: its holders are never gathered by it
     hub = -F.col("shingle").bitwiseAND((1 << 63) - 1) - 1
     family = connected_components(held.join(known, "shingle", "left_semi").select("cls", hub.alias("hub")), "cls", "hub").where("vertex >= 0")
     base = math.log(100 / percent * (1 + 1e-6))  # sets that can reach the threshold lie in one scale or in neighbouring ones
-    scaled = family.join(classes, family.vertex == classes.cls).select("cls", "component", F.floor(F.ln("n") / base).cast("int").alias("scale"))
-    members = scaled.groupBy("component", "scale").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = members.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("scale", "blocks"))).alias("all"))
-    at = lambda k: F.try_element_at("all", F.col("scale") + k)
-    dealt = stored(scaled.join(members, "component").select("cls", "component", "scale", at(0).alias("blocks"), at(1).alias("above"), at(-1).alias("below"), F.pmod(F.xxhash64("cls"), at(0)).cast("int").alias("mine")), "dealt")
-    scale, mine = F.col("scale"), F.col("mine")
-
-    def met(s1, b1, s2, b2, side):
-        """The meeting of two blocks, and whether this one is stored there (0), probes (1) or does both (2)."""
-        return F.struct(F.xxhash64("component", s1, b1, s2, b2).alias("id"), F.lit(side).cast("int").alias("side"))
-
-    none = F.array().cast("array<struct<id:bigint,side:int>>")
-    meets = F.flatten(
-        F.array(
-            F.transform(
-                F.sequence(F.lit(0), F.col("blocks") - 1),
-                lambda j: F.when(mine < j, met(scale, mine, scale, j, 0)).when(mine > j, met(scale, j, scale, mine, 1)).otherwise(met(scale, mine, scale, mine, 2)),
-            ),
-            F.coalesce(F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: met(scale, mine, scale + 1, j, 0)), none),
-            F.coalesce(F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: met(scale - 1, j, scale, mine, 1)), none),
-        )
-    )
-    probes = F.concat(F.lit("0:"), "probe").alias("key")
-    tasks = (
-        pairs.select(probes, "cls", F.lit(0).alias("side"))
-        .union(pairs.select(probes, F.col("probe").alias("cls"), F.lit(1).alias("side")).distinct())
-        .union(dealt.select("cls", F.explode(meets).alias("m")).select(F.concat(F.lit("1:"), "m.id"), "cls", "m.side"))
-    )
-    wanted = pairs.select("cls").union(pairs.select("probe")).union(dealt.select("cls")).distinct().join(names, "cls")
+    scaled = stored(family.join(classes, family.vertex == classes.cls).select("cls", "component", F.floor(F.ln("n") / base).cast("int").alias("scale"), F.lit(1).alias("apart")), "scaled")
+
+    wanted = pairs.select("cls").union(pairs.select("probe")).union(scaled.select("cls")).distinct().join(names, "cls")
     flags = spark.sparkContext.broadcast(_flags(wanted))
     sets = texts.mapInArrow(_whole_sets(size, levels, flags), "doc_id long, d1 long, d2 long, shingles array<long>").dropDuplicates(one_set)
-    called = tasks.join(names, "cls").join(sets, one_set).select("key", "cls", "doc_id", "side", "shingles")
-    links = stored(called.repartition("key").sortWithinPartitions("key").mapInArrow(_trie_links(percent), LINKS), "links")
+    sets = stored(sets.join(names, one_set).select("cls", "doc_id", "shingles"), "sets")
+
+    def decided(tasks: DataFrame) -> DataFrame:
+        called = tasks.join(sets, "cls").select("key", "cls", "doc_id", "side", "shingles")
+        return stored(called.repartition("key").sortWithinPartitions("key").mapInArrow(_trie_links(percent), LINKS), "links")
+
+    # a family's blocks are settled alone; then one set of each group so found meets the others' (all, if none is linked);
+    # then what is not in the family's largest group meets all of it: sets of one group need no further link
+    first_links = decided(tasks.union(_meetings(scaled, block, alone=True)))
+    scraps = [prefixes, dense, pairs, tied, scaled, sets]
+    found = [first_links]
+    grouped = _grouped(scaled, found)
+    scraps.append(grouped)
+    several = grouped.join(_spread(grouped), "component", "left_semi")
+    if not several.isEmpty():
+        found.append(decided(_meetings(several.where("cls = top").drop("top"), block)))
+        if not several.where("cls <> top").isEmpty():
+            grouped = _grouped(scaled, found)
+            scraps.append(grouped)
+            several = grouped.join(_spread(grouped), "component", "left_semi")
+            counts = several.groupBy("component", "top").agg(F.count("*").alias("members"))
+            largest = counts.groupBy("component").agg(F.max(F.struct("members", "top")).alias("most")).select("component", F.col("most.top").alias("most"))
+            rest = several.join(largest, "component").withColumn("apart", (F.col("top") != F.col("most")).cast("int"))
+            found.append(decided(_meetings(rest.select("cls", "component", "scale", "apart"), block)))
+    links = functools.reduce(DataFrame.union, found)
     for used in (levels, flags):
         used.destroy()
-    for done in (prefixes, dense, pairs, dealt):
+    for done in scraps:
         discard(done)
     return rows, classes, links
 
 
-def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, few: int = 64, block: int = 512) -> DataFrame:
+def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, few: int = 8, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and class_id (least doc_id with the same set).
 
     docs needs doc_id and text. A document with an empty set, or a null doc_id, is its own component. Rows that share a
@@ -432,7 +559,7 @@ def ngram_components(docs: DataFrame, size: int = 4, percent: int = 85, few: int
     )
 
 
-def group_heads(docs: DataFrame, size: int = 5, percent: int = 80, few: int = 64, block: int = 512) -> DataFrame:
+def group_heads(docs: DataFrame, size: int = 5, percent: int = 80, few: int = 8, block: int = 512) -> DataFrame:
     """(doc_id, mark) of one text of each group of linked texts, the one of least doc_id; mark is xxhash64 of the text.
 
     Rows that share a doc_id are texts of their own. Rows without words or doc_id are in no group.
