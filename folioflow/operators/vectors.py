@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.sampling import running
-from folioflow.sources.workspace import stored
+from folioflow.sources.workspace import small_batches, stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -90,17 +90,51 @@ def weighted_error(deltas: DataFrame, weights: DataFrame, gram: DataFrame, by: l
     part = lambda c: F.floor(F.col(c) / block).cast("int")
     cells = gram.select("i", "j", "gram").withColumn("bi", part("i")).withColumn("bj", part("j")).groupBy("bi", "bj").agg(F.collect_list(F.struct((F.col("i") % block).alias("i"), (F.col("j") % block).alias("j"), "gram")).alias("g"))
 
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of x^T y of pairs of strips, by matrix and pair of blocks."""
+        kind, sums = None, {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(sums)
+            return pa.RecordBatch.from_arrays([pa.array([dict(k[0]) for k in keys], kind), *(pa.array([k[c] for k in keys], pa.int32()) for c in (1, 2)), pa.array([list(map(float, v.ravel())) for v in sums.values()], pa.list_(pa.float64()))], names=["own", "bi", "bj", "c"])
+
+        for batch in batches:
+            kind = batch["own"].type
+            names = batch["own"].to_pylist()
+            for r, (name, bi, bj) in enumerate(zip(names, batch["bi"].to_pylist(), batch["bj"].to_pylist(), strict=True)):
+                x, y = (batch[c][r].values.to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                at = (tuple(name.items()), bi, bj)
+                if at not in sums and len(sums) * block * block >= 1 << 21:
+                    yield out()
+                    sums.clear()
+                sums[at] = sums.get(at, 0) + np.outer(x, y)
+        if sums:
+            yield out()
+
     def energy(matrix: DataFrame, name: str) -> DataFrame:
-        strips = matrix.withColumn("b", part("col")).groupBy(*by, "row", "b").agg(F.map_from_entries(F.collect_list(F.struct((F.col("col") % block).alias("c"), "v"))).alias("x"))
-        right = strips.select(*by, "row", F.col("b").alias("bj"), F.col("x").alias("y"))
-        met = strips.withColumnRenamed("b", "bi").join(cells, "bi").join(right, [*by, "row", "bj"])
-        at = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0.0))
-        form = F.aggregate("g", F.lit(0.0), lambda s, c: s + at(F.col("x"), c["i"]) * c["gram"] * at(F.col("y"), c["j"]))
-        return met.select(*by, form.alias("e")).groupBy(*by).agg(F.sum("e").alias(name))
+        entries = F.map_from_entries(F.collect_list(F.struct((F.col("col") % block).alias("c"), "v")))
+        strips = matrix.withColumn("b", part("col")).groupBy(*by, "row", "b").agg(entries.alias("m"))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast(dict(matrix.dtypes)["col"])), F.lit(0.0)))
+        strips = strips.select(*by, "row", F.col("b").alias("bi"), dense.alias("x"))
+        met = strips.join(strips.select(*by, "row", F.col("bi").alias("bj"), F.col("x").alias("y")), [*by, "row"]).select(F.struct(*by).alias("own"), "bi", "bj", "x", "y")
+        small_batches(met.sparkSession)
+        own = met.schema["own"].dataType.simpleString()
+        summed = met.mapInArrow(products, f"own {own}, bi int, bj int, c array<double>").join(cells, ["bi", "bj"])
+        form = F.aggregate("g", F.lit(0.0), lambda s, c: s + c["gram"] * F.get("c", (c["i"] * block + c["j"]).cast("int")))
+        return summed.select("own.*", form.alias("e")).groupBy(*by).agg(F.sum("e").alias(name))
 
     return energy(deltas, "d").join(energy(weights, "w"), by).select(*by, F.sqrt(F.col("d") / F.col("w")).alias("error"))
 
 
+def row_weighted_error(rows: DataFrame, by: str, delta: str, weight: str, gram: DataFrame, dims: int) -> DataFrame:
+    """``weighted_error`` of matrices given as rows of arrays of one length.
+
+    tr(X G X^T) is the sum of the entries of X^T X times those of G, and a task adds up X^T X, so only such sums move.
+    """
+    energy = lambda c, name: gram_sums(rows, by, c, dims).join(F.broadcast(gram), ["i", "j"]).groupBy(by).agg(F.sum(F.col("v") * F.col("gram")).alias(name))
+    return energy(delta, "d").join(energy(weight, "w"), by).select(by, F.sqrt(F.col("d") / F.col("w")).alias("error"))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -319,23 +353,54 @@ def bound(query: Column, low: Column, high: Column) -> Column:
     return total(F.zip_with(query, best, lambda q, r: F.greatest(q.cast("double") * r["a"], q.cast("double") * r["b"])))
 
 
-def screened(rows: DataFrame, asked: DataFrame, key: str, vector: str, queries: int = 64) -> DataFrame:
+def _ordered_dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, terms added from first to last, so that equal vectors give equal products."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _codes(x: np.ndarray, block: int = 32, top: int = 127) -> np.ndarray:
+    """Vectors as the eight-bit codes of ``quantized`` give them back."""
+    out = np.zeros(x.shape)
+    for k in range(0, x.shape[1], block):
+        part = x[:, k : k + block]
+        scale = np.abs(part).max(1, keepdims=True) / top
+        out[:, k : k + block] = np.where(scale > 0, np.rint(part / np.where(scale > 0, scale, 1.0)) * scale, 0.0)
+    return out
+
+
+def screened(rows: DataFrame, asked: DataFrame, key: str, vector: str, queries: int = 1024, block: int = 2048) -> DataFrame:
     """(q, best, score): the row of greatest dot product with each asked vector, other than itself; ties go to the least key.
 
-    Asked vectors come in blocks of ``queries``, a block to a row, which every row meets. Codes of eight bits give each
-    product within a bound of their rounding; only rows whose upper bound reaches the best lower bound that their task
-    group has seen are scored exactly. The bound never drops a winner.
+    Rows and asked vectors are cut into blocks that meet pairwise; a meeting gives one row per asked vector. Inside it codes
+    of eight bits give each product within a bound of their rounding, and only rows whose upper bound reaches the best lower
+    bound are scored exactly. The bound never drops a winner. Keys are whole numbers; vectors have one length and no nulls.
     """
-    n = max(1, -(-asked.count() // queries))
-    numbered = asked.select(F.col(key).alias("q"), F.col(vector).alias("a"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("q", "a")).alias("asked"))
-    parts = rows.select(key, vector, quantized(F.col(vector)).alias("parts")).select(key, vector, dequantized(F.col("parts")).alias("coded"))
-    coded = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    slack = F.aggregate(F.zip_with(vector, "coded", lambda x, c: F.abs(x.cast("double") - c)), F.lit(0.0), lambda s, e: F.greatest(s, e))
-    met = coded.withColumn("slack", slack).join(blocks, "block")
-    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
-    near = met.select(key, vector, "slack", "coded", F.explode("asked").alias("x")).where(F.col(key) != F.col("x.q")).select(key, vector, "x.q", "x.a", dot(F.col("x.a"), F.col("coded")).alias("near"), (F.col("slack") * size(F.col("x.a"))).alias("off"))
-    least = near.groupBy("q").agg(F.max(F.col("near") - F.col("off")).alias("least"))
-    able = near.join(least, "q").where(F.col("near") + F.col("off") >= F.col("least") - 1e-9)
-    best = able.select("q", key, dot(F.col("a"), F.col(vector)).alias("d")).groupBy("q").agg(F.min(F.struct((-F.col("d")).alias("m"), F.col(key).alias("k"))).alias("b"))
+
+    def blocks(df: DataFrame, n: int, names: tuple[str, str]) -> DataFrame:
+        part = F.pmod(F.xxhash64(key), F.lit(max(1, -(-df.count() // n)))).cast("int")
+        numbered = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), doubles(F.col(vector)).alias("x"), part.alias("block"))
+        lists = numbered.groupBy("block").agg(F.collect_list(F.struct("k", "x")).alias("r"))
+        return stored(lists.select(F.col("r.k").alias(names[0]), F.flatten("r.x").alias(names[1])), "screened")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, x, ids, a = (batch[c][i].values.to_numpy(zero_copy_only=False) for c in ("keys", "x", "ids", "a"))
+                x, a = x.reshape(len(keys), -1), a.reshape(len(ids), -1)
+                coded = _codes(x)
+                near, off = a @ coded.T, np.abs(a).sum(1)[:, None] * np.abs(x - coded).max(1)
+                other = ids[:, None] != keys
+                least = np.where(other, near - off, -np.inf).max(1, keepdims=True)
+                q, r = np.nonzero(other & (near + off >= least - 1e-9))
+                score = _ordered_dots(a[q], x[r])
+                order = np.lexsort((keys[r], -score, q))
+                first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[first]], pa.int64()), pa.array(keys[r[first]], pa.int64()), pa.array(score[first], pa.float64())], names=["q", "k", "d"])
+
+    met = blocks(rows, block, ("keys", "x")).crossJoin(blocks(asked, queries, ("ids", "a")))
+    best = met.mapInArrow(meet, "q long, k long, d double").groupBy("q").agg(F.min(F.struct((-F.col("d")).alias("m"), "k")).alias("b"))
     return best.select("q", F.col("b.k").alias("best"), F.round(-F.col("b.m"), 6).alias("score"))
+

@@ -137,9 +137,8 @@ SELECT label, round(sqrt(d / w), 8) AS error FROM m""")
 def gram_weighted_error(spark: SparkSession, sf: str) -> DataFrame:
     """Error of four-bit coding as the layer behind it sees it: rows weighed by the mean Gram matrix of all vectors."""
     r = rows(spark, sf).withColumn("d", F.zip_with("e", V.dequantized(V.quantized(F.col("e"), top=7)), lambda a, b: a.cast("double") - b))
-    cells = lambda c: r.select("label", F.col("vec_id").alias("row"), F.posexplode(F.transform(c, lambda x: x.cast("double"))).alias("col", "v"))
     gram = V.gram_sums(r.withColumn("all", F.lit(0)), "all", "e", 64).groupBy("i", "j").agg((F.sum("v") / F.sum("n")).alias("gram"))
-    return V.weighted_error(cells("d"), cells("e"), gram, ["label"], 16).withColumn("error", F.round("error", 8))
+    return V.row_weighted_error(r, "label", "d", "e", gram, 64).withColumn("error", F.round("error", 8))
 
 
 @query(f"WITH {_E}, d AS (SELECT label, i, sum(e[i] * e[i]) AS energy FROM x, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY energy DESC, i) AS rn FROM d) SELECT label, list_sort(list((i - 1)::INT) FILTER (rn <= 8)) AS columns, round(sum(energy) FILTER (rn <= 8) / sum(energy), 8) AS share FROM r GROUP BY label")

@@ -100,3 +100,24 @@ def test_contaminated_by_sets_of_grams(spark):
             want[i] = (len(hits), min(set(hits), key=lambda x: (-hits.count(x), x)))
     out = joins.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "item_id")
     assert {r.doc_id: (r.hits, r.top_item) for r in out.collect()} == want and len(want) > 10
+
+
+def test_weighted_error_of_rows_moves_sums_only(spark):
+    rng = np.random.default_rng(11)
+    d, w = rng.standard_normal((2, 200, 6))
+    g = w.T @ w / 200
+    gram = spark.createDataFrame([(i, j, float(g[i, j])) for i in range(6) for j in range(6)], "i int, j int, gram double")
+    rows = spark.createDataFrame([("k", a.tolist(), b.tolist()) for a, b in zip(d, w, strict=True)], "k string, d array<double>, w array<double>")
+    got = vectors.row_weighted_error(rows, "k", "d", "w", gram, 6)
+    assert abs(got.first().error - np.sqrt(np.trace(d @ g @ d.T) / np.trace(w @ g @ w.T))) < 1e-9
+
+
+def test_screened_by_blocks_takes_the_least_key_of_equal_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((120, 40))
+    x[60:] = x[:60]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {r.q: r.best for r in vectors.screened(rows, rows.where("id % 3 = 0"), "id", "v", 7, 11).collect()}
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert got == {q: int(np.flatnonzero(score[q] >= score[q].max() - 1e-9)[0]) for q in range(0, 120, 3)}
