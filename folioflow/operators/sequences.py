@@ -30,11 +30,24 @@ def lag_run_loop(tokens: DataFrame, by: str, at: str, token: str, periods: int,
     return found.groupBy(by).agg(F.min(F.struct(at, "p")).alias("first")).select(by, F.col(f"first.{at}").alias("stop"), F.col("first.p").alias("period"))
 
 
+def _may_run(ids: np.ndarray, p: int, need: int) -> bool:
+    """Whether a run of ``need`` places equal to those p back is possible: it would hold eight places in a row from a grid point on."""
+    step = need - 7
+    at = np.arange(p + step - 1, len(ids) - 7, step)
+    for k in range(8):
+        at = at[ids[at + k] == ids[at + k - p]]
+        if not len(at):
+            return False
+    return True
+
+
 def first_loop(ids: np.ndarray, periods: int, least: int, repeats: int = 4) -> tuple[int, int] | None:
     """(stop, period) as in lag_run_loop, of one row's tokens; of two periods at one place the shorter."""
     best = None
     for p in range(1, min(periods, len(ids) - 1) + 1):
         need = max(least, repeats * p) - p
+        if need >= 16 and not _may_run(ids, p, need):
+            continue
         edges = np.r_[-1, np.flatnonzero(ids[p:] != ids[:-p]), len(ids) - p]
         long = np.flatnonzero(np.diff(edges) > need)
         if len(long) and (best is None or edges[long[0]] + need + p < best[0]):
@@ -42,16 +55,20 @@ def first_loop(ids: np.ndarray, periods: int, least: int, repeats: int = 4) -> t
     return best
 
 
+def _named(words: pa.Array) -> np.ndarray:
+    """Words as numbers, equal where the words are; numbers stay as they are."""
+    return words.to_numpy(zero_copy_only=False) if pa.types.is_integer(words.type) and not words.null_count else words.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+
+
 def loops(rows: DataFrame, by: str, words: str, periods: int, least: int) -> DataFrame:
-    """(by, stop, period) of lag_run_loop over arrays of words; a row per period would be too many for long periods."""
+    """(by, stop, period) of lag_run_loop over arrays of words or their hashes; a row per period would be too many for long periods."""
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for key, own in zip(batch[by].to_pylist(), batch[words].to_pylist(), strict=True):
-                seen: dict = {}
-                if hit := first_loop(np.array([seen.setdefault(w, len(seen)) for w in own]), periods, least):
+            for key, own in zip(batch[by].to_pylist(), batch[words], strict=True):
+                if hit := first_loop(_named(own.values), periods, least):
                     found.append((key, *hit))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=[by, "stop", "period"])
 

@@ -139,13 +139,13 @@ r AS (SELECT *, pos - coalesce(max(CASE WHEN same IS NOT TRUE THEN pos END) OVER
 s AS (SELECT doc_id, pos, p, row_number() OVER (PARTITION BY doc_id ORDER BY pos, p) AS rn FROM r WHERE same AND run + p >= greatest(4, 4 * p))
 SELECT doc_id, pos AS stop, p AS period FROM s WHERE rn = 1""")
 def loop_exact_rule(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(T.word_list(F.col("text"))).alias("pos", "w"))
-    return sequences.lag_run_loop(words, "doc_id", "pos", "w", 4, 4).select("doc_id", F.col("stop").cast("long").alias("stop"), F.col("period").cast("long").alias("period"))
+    words = table(spark, sf, "documents").select("doc_id", F.transform(T.word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    return sequences.loops(words, "doc_id", "w", 4, 4)
 
 
 @query()
 def loop_exact_rule_128(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", T.word_list(F.col("text")).alias("w"))
+    words = table(spark, sf, "documents").select("doc_id", F.transform(T.word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
     return sequences.loops(words, "doc_id", "w", 128, 256)
 
 

@@ -142,3 +142,17 @@ def test_failures_stay_with_their_rows(spark):
     rows = spark.createDataFrame([(i, i % 3) for i in range(9)], "i long, d long")
     out = {r.i: (r.q, r.error) for r in keyed.isolated(rows, lambda r: 6 // r["d"], "i", "q").collect()}
     assert all(out[i] == ((str(6 // (i % 3)), None) if i % 3 else (None, out[i][1])) for i in range(9)) and "ZeroDivisionError" in out[0][1]
+
+
+def test_a_loop_that_grid_points_may_miss():
+    """Runs just long enough, at every offset, are found; a run one place short isn't."""
+    from folioflow.operators.sequences import first_loop
+
+    rng = np.random.default_rng(3)
+    for p, need in ((1, 255), (5, 251), (64, 192), (100, 300), (128, 384)):
+        for lead in (0, 1, 7, 100, 191, 250):
+            for length in (need - 1, need):
+                ids = rng.integers(1000, 1 << 40, lead + p + length + 30)
+                for k in range(lead + p, lead + p + length):
+                    ids[k] = ids[k - p]
+                assert first_loop(ids, 128, 256) == ((lead + p + need - 1, p) if length == need else None)
