@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import word_list
-from folioflow.sources.workspace import stored
+from folioflow.sources.workspace import small_batches, stored
 
 
 def remaining(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -36,15 +39,67 @@ def beside(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+#: Bytes of text that a Python worker hashes at a time (a longer text is one piece).
+PIECE = 1 << 20
+_RANDOM = np.random.default_rng(13)
+_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+_BYTES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C1B
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of an odd base and of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)]) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about PIECE bytes each."""
+    first = 0
+    while first < len(offsets) - 1:
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+        yield first, end
+        first = end
+
+
+def _word_hashes(data: np.ndarray, edges: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, rows) of the words of texts that lie one behind another; edges are their first bytes and the end."""
+    inside = np.r_[False, _WORD[data], False]
+    border = np.zeros(len(data) + 1, bool)
+    border[edges] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | border))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | border))
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[data] * powers[0][: len(data)])]
+    h = (sums[ends] - sums[starts]) * powers[1][starts]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32)), np.searchsorted(edges, starts, "right") - 1
+
+
 def gram_marks(docs: DataFrame, key: str, size: int) -> DataFrame:
-    """(key, a, b): each different run of ``size`` lower-cased ASCII words of a text by 128 bits of hash; no text goes along.
+    """(key, a, b): each run of ``size`` lower-cased ASCII words of a text by 128 bits of hash, repeats included; no text goes along.
 
-    Words are hashed once, runs are told apart in their row, and only the two hashes leave it.
+    Words are hashed once, by the bytes of whole Arrow batches; a run's hashes are sums of its words' by odd weights of their places.
     """
-    hashes = docs.select(key, F.transform(word_list(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).where(F.size("h") >= size)
-    run = lambda h, i: F.slice(h, i, size)
-    marks = F.transform(F.array("h"), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.struct(F.xxhash64(run(h, i)).alias("a"), F.xxhash64(F.lit(1), run(h, i)).alias("b"))))[0]  # bound, so words are hashed once
-    return hashes.select(key, F.explode(F.array_distinct(marks)).alias("m")).select(key, "m.a", "m.b")
+    weights = np.random.default_rng(size).integers(0, 1 << 63, (2, size), np.uint64) * np.uint64(2) + np.uint64(1)
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _powers(PIECE)
+        for batch in batches:
+            texts = batch.column(1)
+            offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            for first, end in _pieces(offsets):
+                edges = offsets[first : end + 1].astype(np.int64)
+                if edges[-1] - edges[0] > len(powers[0]):
+                    powers = _powers(int(edges[-1] - edges[0]))
+                words, row = _word_hashes(data[edges[0] : edges[-1]], edges - edges[0], powers)
+                n = max(0, len(words) - size + 1)
+                whole = np.flatnonzero(row[:n] == row[size - 1 :]) if n else np.zeros(0, np.int64)
+                a, b = (sum((w * words[k : n + k] for k, w in enumerate(side)), np.zeros(n, np.uint64))[whole].view(np.int64) for side in weights)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row[whole])), pa.array(a), pa.array(b)], names=[key, "a", "b"])
+
+    lowered = docs.select(key, F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    return lowered.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, a long, b long")
 
 
 def contaminated(docs: DataFrame, reference: DataFrame, key: str, ref_key: str, size: int = 13, least: int = 3, distinct_words: int = 8) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain versions."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,3 +138,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert [tuple(r) for r in blocked.collect()] == [(1, 1)]
     cohorts = stateful.finished(stateful.counted_cohorts(stream, "lane", "v", 6), "c").collect()
     assert sorted((r.lane, r.cohort, r.n) for r in cohorts) == [(lane, c, 6) for lane in range(3) for c in range(3)]
+
+
+def test_grams_of_long_texts_are_marked_once_a_place(spark):
+    from folioflow.operators import joins
+
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))  # told apart pair by pair, the runs of one such text take minutes
+    docs = spark.createDataFrame([(1, long), (2, "w1 w2 w3"), (3, None), (4, "W0 w1, w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "doc_id long, text string")
+    began = time.time()
+    rows = joins.gram_marks(docs, "doc_id", 13).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("a", "b").alias("unlike")).collect()
+    assert {tuple(r) for r in rows} == {(1, 60_000 - 12, 5000), (4, 1, 1)}
+    assert time.time() - began < 30
+    known = spark.createDataFrame([(7, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (8, "a a a a a a a a a a a a a a a a")], "item_id long, text string")
+    assert [tuple(r) for r in joins.contaminated(docs, known, "doc_id", "item_id").collect()] == [(1, 3, 7)]
