@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ def beside(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-#: Bytes of text that a Python worker hashes at a time (a longer text is one piece).
+#: Bytes of text, or words, that a Python worker works on at a time (a longer text is one piece).
 PIECE = 1 << 20
 _RANDOM = np.random.default_rng(13)
 _WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
@@ -53,7 +54,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about PIECE bytes each."""
+    """Ranges of rows that hold about PIECE bytes or words each."""
     first = 0
     while first < len(offsets) - 1:
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
@@ -121,25 +122,41 @@ def contaminated(docs: DataFrame, reference: DataFrame, key: str, ref_key: str,
 BITS = 60
 
 
+def _majorities(lists: pa.Array) -> pa.Array:
+    """The 60 bits that most of a list's words have in their MD5; every different word of the batch is hashed once."""
+    offsets = lists.offsets.to_numpy()
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    codes, offsets = coded.indices.to_numpy(), offsets.astype(np.int64) - offsets[0]
+    digests = b"".join(hashlib.md5(w.encode()).digest()[:8] for w in coded.dictionary.to_pylist())
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)[:, :BITS]
+    sizes = np.diff(offsets)
+    up = np.zeros((len(sizes), BITS), bool)
+    for first, end in _pieces(offsets):
+        some = np.flatnonzero(sizes[first:end]) + first  # reduceat takes no empty ranges
+        if len(some):
+            held = bits[codes[offsets[first] : offsets[end]]]
+            up[some] = 2 * np.add.reduceat(held, offsets[some] - offsets[first], axis=0, dtype=np.int32) > sizes[some, None]
+    return pa.array(up @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)), mask=sizes == 0)
+
+
 def simhash(docs: DataFrame, key: str) -> DataFrame:
-    """(key, simhash): 60 bits by majority over the MD5 of a text's distinct words; texts without words have no row. Votes are counted in the row."""
+    """(key, simhash): 60 bits by majority over the MD5 of a text's distinct words; texts without words have no row. Votes are counted by Arrow batches."""
+    small_batches(docs.sparkSession)
     words = F.array_distinct(word_list(F.col("text")))
-    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, BITS // 4), 16, 10).cast("long"))
-    vote = lambda h, b: F.aggregate(h, F.lit(0), lambda n, x: n + F.shiftright(x, b).bitwiseAND(1).cast("int"))
-    rows = docs.select(key, hashes.alias("h")).where(F.size("h") > 0)
-    bits = F.lit(0).cast("long")
-    for b in range(BITS):
-        bits = bits + F.when(2 * vote("h", b) > F.size("h"), F.lit(1 << b)).otherwise(F.lit(0))
-    return rows.select(key, bits.alias("simhash"))
+    return docs.select(key, F.arrow_udf(_majorities, "long")(words).alias("simhash")).where("simhash is not null")
 
 
-def near_by_hamming(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """(one, two, distance): distinct hashes (simhash) of either side that differ in at most ``most`` bits.
+def _in_bands(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs (one, two) of hashes that agree in some three of ``most + 3`` bands, as all do that differ in ``most`` bits at most."""
+    edges = [round(k * BITS / (most + 3)) for k in range(most + 4)]
+    masks = [(1 << end) - (1 << first) for first, end in itertools.pairwise(edges)]
+    chosen = F.lit([sum(c) for c in itertools.combinations(masks, 3)]).cast("array<bigint>")
+    keyed = lambda side, name: side.select(F.col("simhash").alias(name), F.posexplode(chosen).alias("band", "mask")).select(name, "band", F.col(name).bitwiseAND(F.col("mask")).alias("bits"))
+    return keyed(left, "one").join(keyed(right, "two"), ["band", "bits"])
 
-    Of three bands of 20 bits one differs in ``most // 3`` bits at most. The right side, the smaller one, comes with every
-    band as it is and with so many bits flipped; hashes meet where a left band equals one, then bits are counted. With 8
-    bits that is 633 keys for a right hash, 3 for a left one, and chance pairs are 0.06 % of all.
-    """
+
+def _in_flips(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs (one, two) of hashes of which one of three bands differs in ``most // 3`` bits at most; the right side's bands come with so many bits flipped."""
     wide = BITS // 3
     flips = [sum(1 << b for b in chosen) for n in range(most // 3 + 1) for chosen in itertools.combinations(range(wide), n)]
     part = lambda k: F.shiftright("simhash", wide * k).bitwiseAND((1 << wide) - 1)
@@ -147,8 +164,18 @@ def near_by_hamming(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     plain = left.select(F.col("simhash").alias("one"), F.explode(F.array(*(key(k, part(k)) for k in range(3)))).alias("key"))
     spread = lambda k: F.transform(F.lit(flips).cast("array<bigint>"), lambda m: key(k, part(k).bitwiseXOR(m)))
     flipped = F.flatten(F.array(*map(spread, range(3))))
+    return plain.join(right.select(F.col("simhash").alias("two"), F.explode(flipped).alias("key")), "key")
+
+
+def near_by_hamming(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """(one, two, distance): distinct hashes (simhash) of either side that differ in at most ``most`` bits.
+
+    Up to 4 bits, hashes meet by three of ``most + 3`` bands (35 keys of 25 or 26 bits a hash for 4, so chance pairs are one
+    in a million or fewer). Beyond, the right side is the smaller one and comes with flipped bits: with 8 that is 633 keys for
+    a right hash, 3 for a left one, and chance pairs are 0.06 % of all. Then bits are counted.
+    """
     distance = F.bit_count(F.col("one").bitwiseXOR(F.col("two"))).cast("int")
-    met = plain.join(right.select(F.col("simhash").alias("two"), F.explode(flipped).alias("key")), "key")
+    met = (_in_bands if most <= 4 else _in_flips)(left, right, most)
     return met.select("one", "two", distance.alias("distance")).where(F.col("distance") <= most).distinct()
 
 

@@ -357,8 +357,7 @@ def pairwise_dup_audit(spark: SparkSession, sf: str) -> DataFrame:
     norm = F.sha2(F.lower(T.collapsed(F.col("text"))), 256)
     keyed = docs.select("doc_id", "split", norm.alias("h"))
     classes = keyed.groupBy("h").agg(F.min("doc_id").alias("text_class"))
-    hashed = joins.simhash(docs, "doc_id")
-    rows = keyed.join(classes, "h").join(hashed, "doc_id", "left")
+    rows = stored(keyed.join(classes, "h").join(joins.simhash(docs, "doc_id"), "doc_id", "left").drop("h"), "hashed")  # read four times below
     each = rows.where("simhash is not null").select("simhash", "split").distinct()
     near = joins.near_by_hamming(each.where("split = 0").select("simhash"), each.where("split = 1").select("simhash"), 4)
     links = near.select(F.col("one").alias("simhash"), F.lit(0).alias("split"), F.col("two").alias("other")).union(near.select("two", F.lit(1), "one"))
@@ -371,7 +370,7 @@ x AS (SELECT DISTINCT ds.k FROM ds JOIN bs ON bit_count(xor(ds.sim, bs.sim)) <=
 def blocklist_hamming_anti(spark: SparkSession, sf: str) -> DataFrame:
     """Documents neither equal to a blocked text nor within 8 of 60 bits of one's hash; texts without words are kept."""
     docs, blocked = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark")
-    hashed = joins.simhash(docs, "doc_id")
+    hashed = stored(joins.simhash(docs, "doc_id"), "hashed")
     near = joins.near_by_hamming(hashed.select("simhash").distinct(), joins.simhash(blocked, "item_id").select("simhash").distinct(), 8).select(F.col("one").alias("simhash")).distinct()
     out = docs.select("doc_id", F.sha2("text", 256).alias("h")).join(blocked.select(F.sha2("text", 256).alias("h")).distinct(), "h", "left_anti")
     return out.join(hashed.join(near, "simhash").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id")

@@ -1,6 +1,8 @@
 """Operators that SQL can't express, against plain versions."""
 
+import hashlib
 import random
+import re
 import time
 
 import pytest
@@ -151,3 +153,20 @@ def test_grams_of_long_texts_are_marked_once_a_place(spark):
     assert time.time() - began < 30
     known = spark.createDataFrame([(7, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (8, "a a a a a a a a a a a a a a a a")], "item_id long, text string")
     assert [tuple(r) for r in joins.contaminated(docs, known, "doc_id", "item_id").collect()] == [(1, 3, 7)]
+
+
+def test_simhash_of_long_texts_by_plain_votes(spark):
+    from folioflow.operators import joins
+
+    def plain(text):
+        words = set(re.findall("[a-z0-9]+", text.lower()))
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words]
+        return sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if words else None
+
+    texts = [" ".join(f"w{k % 40_000}x{j}" for k in range(60_000)) for j in range(4)] + ["a b a", "A, b! é", "...", "", "one"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string").repartition(2)
+    joins.simhash(rows.where("doc_id > 3"), "doc_id").collect()
+    began = time.time()
+    got = {r.doc_id: r.simhash for r in joins.simhash(rows, "doc_id").collect()}
+    assert time.time() - began < 8  # 60 passes over a text's hashes took longer
+    assert got == {i: plain(t) for i, t in enumerate(texts) if plain(t) is not None}
