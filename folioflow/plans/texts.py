@@ -140,8 +140,9 @@ def cross_split_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Text blocks of 160 characters or more, in normal form, that lie in two splits; half of them come decomposed."""
     split = F.when(F.col("doc_id") % 10 < 7, "a").otherwise("b")
     blocks = table(spark, sf, "documents").select(split.alias("split"), F.explode(F.split("text", "\n\n")).alias("block"))
-    plain = U.normal_text(F.when(F.length("block") % 2 == 0, U.normal_form(F.col("block"), "NFD")).otherwise(F.col("block")))
-    hashed = blocks.select("split", plain.alias("plain")).where(F.length("plain") >= 160).select("split", F.sha2("plain", 256).alias("sha"))
+    forms = F.when(F.length("block") % 2 == 0, F.array(F.lit("NFD"), F.lit("NFC"))).otherwise(F.array(F.lit("NFC")))
+    normal = U.in_forms(blocks.withColumn("forms", forms), "block", "forms")
+    hashed = normal.select("split", S.collapsed_white(F.col("block")).alias("plain")).where(F.length("plain") >= 160).select("split", F.sha2("plain", 256).alias("sha"))
     return hashed.groupBy("sha").agg(F.count("*").alias("copies"), F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("sha", "copies")
 
 
