@@ -102,13 +102,15 @@ def _pass_salt(seed: int, turn: Column) -> Column:
     return F.xxhash64(F.lit(seed), "s", turn.cast("long"))
 
 
-def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Each row with its place in its source's word stream; and a row for each source (s) with blocks, slots and rest.
+def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row with its place in its source's word stream, with text and without; and a row for each source (s) with blocks, slots and rest.
 
-    slots are whole blocks, rest is the words of one more, cut slot.
+    Rows without text come from sizes counted and stored once; equal rows of (mark, doc_id, size) have equal texts, so both
+    forms number alike. slots are whole blocks, rest is the words of one more, cut slot.
     """
     marked = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("mark")).withColumn("bucket", F.pmod("mark", F.lit(BUCKETS)).cast("int"))
-    buckets = stored(marked.groupBy("source", "bucket").agg(F.sum(word_count(F.col("text"))).alias("words")), "buckets")
+    sized = stored(marked.select("doc_id", "source", "mark", "bucket", word_count(F.col("text")).alias("size")), "sizes")
+    buckets = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     sizes = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     aimed = (
         targets(sizes, share, most)
@@ -123,15 +125,18 @@ def _numbered(docs: DataFrame, share: int, most: int, block: int) -> tuple[DataF
     named = beside(aimed.select(F.col("source").alias("name"), "s", "source_size", "target", "blocks", (F.col("slots") + (F.col("rest") > 0).cast("long")).alias("reads")))
     starts = buckets.join(named, F.col("source").eqNullSafe(F.col("name"))).select("s", "bucket", (F.sum("words").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")).alias("first"))
     inside = Window.partitionBy("s", "bucket").orderBy("mark", "doc_id", "size")
-    placed = (
-        marked.join(named, F.col("source").eqNullSafe(F.col("name")))
-        .select("doc_id", "text", "mark", "bucket", "s", "source_size", "target", "blocks", "reads", word_count(F.col("text")).alias("size"))
-        .withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("nth", F.row_number().over(inside))
-        .join(starts, ["s", "bucket"])
-        .select("doc_id", "text", "size", "s", "bucket", "nth", "source_size", "target", "blocks", "reads", (F.col("first") + F.col("end") - F.col("size")).alias("start"))
-    )
-    return placed, aimed
+
+    def placed(rows: DataFrame, *more: str) -> DataFrame:
+        return (
+            rows.join(named, F.col("source").eqNullSafe(F.col("name")))
+            .select("doc_id", *more, "mark", "bucket", "s", "source_size", "target", "blocks", "reads", "size")
+            .withColumn("end", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("nth", F.row_number().over(inside))
+            .join(starts, ["s", "bucket"])
+            .select("doc_id", *more, "size", "s", "bucket", "nth", "source_size", "target", "blocks", "reads", (F.col("first") + F.col("end") - F.col("size")).alias("start"))
+        )
+
+    return placed(marked.withColumn("size", word_count(F.col("text"))), "text"), placed(sized), aimed
 
 
 def dealt(aimed: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -228,17 +233,17 @@ def _packed(placed: DataFrame, aimed: DataFrame, block: int, shards: int, seed:
 
 def mixed_blocks(docs: DataFrame, share: int = 150, most: int = 2, block: int = BLOCK, shards: int = 64, seed: int = 11) -> DataFrame:
     """The packed mix: (shard, slot, source, block, words); a shard's slots are 0, 1, ...; words are parted by a space."""
-    placed, aimed = _numbered(docs, share, most, block)
+    placed, _, aimed = _numbered(docs, share, most, block)
     named = beside(aimed.select("s", "source"))
     return _packed(placed, aimed, block, shards, seed).join(named, "s").select("shard", "slot", "source", "block", "words")
 
 
 def taken_words(docs: DataFrame, share: int = 150, most: int = 2, block: int = BLOCK, shards: int = 64, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target and taken (words of it in the packed mix, repeats counted) of every row."""
-    placed, aimed = _numbered(docs, share, most, block)
+    placed, bare, aimed = _numbered(docs, share, most, block)
     mix = stored(_packed(placed, aimed, block, shards, seed), "mix", "zstd")
     taken = mix.select("s", F.explode("pieces").alias("p")).groupBy("s", "p.bucket", "p.nth").agg(F.sum("p.n").alias("taken"))
-    return placed.drop("text").join(taken.hint("merge"), ["s", "bucket", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return bare.join(taken.hint("merge"), ["s", "bucket", "nth"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:

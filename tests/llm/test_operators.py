@@ -331,3 +331,10 @@ def test_recall_of_paraphrases_against_exact_scan(spark):
         some = {p for p in want if low <= len(items[p[1]]) < high}
         assert len(some & got) >= 0.9 * len(some) > 0
     assert all(decontamination.judged(coded[i], [w.encode() for w in dict(texts)[d]])[1] for d, i in got)
+
+
+def test_mix_counts_words_of_a_text_once_for_its_rows(spark):
+    table = spark.createDataFrame([(k, "a b c " * k, "s" + str(k % 3)) for k in range(60)], "doc_id long, text string, source string")
+    out = mixing.taken_words(table)
+    assert {r.doc_id: r.size for r in out.collect()} == {k: 3 * k for k in range(60)}
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()  # sizes are read, not counted again
