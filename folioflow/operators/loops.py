@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.operators.sequences import first_loop
+from folioflow.operators.sequences import exact_needs, first_loop, may_run
 from folioflow.sources.workspace import small_batches
 
 NUMBER = -1
@@ -128,17 +129,19 @@ def symbols(tokens: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(numbers, NUMBER, tokens[begins]), values, begins, ends
 
 
-def first_count(tokens: np.ndarray, digit: np.ndarray, rule: Rule = Rule()) -> tuple[int, int] | None:
-    """(stop, period) of the counting rule over a whole sequence; of two periods at one place the shorter.
+def first_count(tokens: np.ndarray, digit: np.ndarray, rule: Rule = Rule(), among: list[int] | None = None) -> tuple[int, int] | None:
+    """(stop, period) of the counting rule over a whole sequence; of two periods at one place the shorter. ``among``: the only periods that may be found, if known.
 
     A loop needs a number in each of its periods and a stretch of equal names at its period, so few sequences and few
     stretches are looked at closely.
     """
-    if np.count_nonzero(np.diff(np.r_[False, digit >= 0].astype(np.int8)) == 1) < rule.cycles - 1:
+    if among == [] or np.count_nonzero(np.diff(np.r_[False, digit >= 0].astype(np.int8)) == 1) < rule.cycles - 1:
         return None
     names, values, begins, ends = symbols(tokens, digit)
     best = None
-    for p in range(1, min(rule.periods, len(names) - 1) + 1):
+    for p in range(1, rule.periods + 1) if among is None else among:
+        if p >= len(names):
+            break
         edges = np.r_[p - 1, np.flatnonzero(names[p:] != names[:-p]) + p, len(names)]
         for k in np.flatnonzero(np.diff(edges) > (rule.cycles - 1) * p):
             hit = _counted(range(edges[k] + 1, edges[k + 1]), p, names, values, begins, ends, rule)
@@ -165,33 +168,76 @@ def _counted(stretch: range, p: int, names, values, begins, ends, rule: Rule) ->
     return None
 
 
-def first_stop(tokens: np.ndarray, digit: np.ndarray, rule: Rule = Rule()) -> tuple[int, str, int] | None:
-    """(stop, rule, period): the first token, by its place from 0, at which a sequence ends; exact loops come first at one place."""
-    exact, counted = first_loop(tokens, rule.periods, rule.window, rule.repeats), first_count(tokens, digit, rule)
+def first_stop(tokens: np.ndarray, digit: np.ndarray, rule: Rule = Rule(), loops: list[int] | None = None, counts: list[int] | None = None) -> tuple[int, str, int] | None:
+    """(stop, rule, period): the first token, by its place from 0, at which a sequence ends; exact loops come first at one place.
+
+    ``loops`` and ``counts``: the only periods that either rule may find, if known.
+    """
+    exact, counted = first_loop(tokens, rule.periods, rule.window, rule.repeats, loops), first_count(tokens, digit, rule, counts)
     if counted and (exact is None or counted[0] < exact[0]):
         return counted[0], "counting", counted[1]
     return (exact[0], "exact", exact[1]) if exact else None
 
 
+Sifted = dict[int, list[int]]
+
+
+def may_stop(tokens: np.ndarray, digit: np.ndarray, ends: np.ndarray, rule: Rule = Rule()) -> tuple[Sifted, Sifted]:
+    """For the exact and the counting rule, the periods at which each of many sequences, laid end to end up to its end, may have a stop."""
+    is_digit = digit >= 0
+    first = np.zeros(len(tokens) + 1, bool)
+    first[0] = first[ends] = True
+    heads = np.flatnonzero(~is_digit | first[:-1] | ~np.r_[False, is_digit[:-1]])
+    names, closes = np.where(is_digit[heads], NUMBER, tokens[heads].astype(np.int64)), np.searchsorted(heads, ends)
+    numbers = np.diff(np.r_[0, np.cumsum(names == NUMBER)][np.r_[0, closes]])
+    counting = may_run(names, closes, {p: (rule.cycles - 1) * p for p in range(1, rule.periods + 1)})
+    return may_run(tokens, ends, exact_needs(rule.periods, rule.window, rule.repeats)), {i: p for i, p in counting.items() if numbers[i] >= rule.cycles - 1}
+
+
+def _pieces(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of sequences of at most so many tokens together, or of one sequence."""
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
+
+
 def loop_stops(rows: DataFrame, by: str, tokens: str, digits: dict[int, int], rule: Rule = Rule()) -> DataFrame:
-    """(by, stop, rule, period) of the sequences (arrays of numbers) that either rule ends; ``digits`` has the value of each digit token.
+    """(by, stop, rule, period) of the sequences (arrays of numbers, or texts: their code points) that either rule ends; ``digits`` has the value of each digit token.
 
-    Null arrays, and those with null tokens, have no stop.
+    Null arrays, and those with null tokens, have no stop. Many sequences at a time are laid end to end and sifted; what
+    may have a stop is looked at alone.
     """
+    text = dict(rows.dtypes)[tokens] == "string"
+
+    def laid(own: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all sequences and where each one ends."""
+        if not text:
+            return own.flatten().to_numpy(zero_copy_only=False), np.cumsum(own.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        whole = "".join(own.to_pylist())
+        return np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.cumsum(pc.utf8_length(own).to_numpy(zero_copy_only=False), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for key, own in zip(batch[by], batch["tokens"], strict=True):
-                ids = own.values.to_numpy(zero_copy_only=False)
-                digit = np.full(len(ids), -1, np.int64)
+            lengths = pc.utf8_length(batch["tokens"]) if text else batch["tokens"].value_lengths()
+            for start, stop in _pieces(np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64), 1 << 22):
+                ids, ends = laid(batch["tokens"].slice(start, stop - start))
+                digit = np.full(len(ids), -1, np.int8)
                 for token, value in digits.items():
                     digit[ids == token] = value
-                if hit := first_stop(ids, digit, rule):
-                    found.append((key.as_py(), *hit))
+                exact, counting = may_stop(ids, digit, ends, rule)
+                for i in sorted(exact.keys() | counting.keys()):
+                    own = slice(ends[i - 1] if i else 0, ends[i])
+                    if hit := first_stop(ids[own].astype(np.int64), digit[own], rule, exact.get(i, []), counting.get(i, [])):
+                        found.append((batch[by][start + i].as_py(), *hit))
             kinds = (batch[by].type, pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=[by, "stop", "rule", "period"])
 
     small_batches(rows.sparkSession)
-    some = rows.select(by, F.col(tokens).cast("array<bigint>").alias("tokens")).where((F.size("tokens") >= rule.window) & ~F.exists("tokens", lambda t: t.isNull()))
+    if text:
+        some = rows.select(by, F.col(tokens).alias("tokens")).where(F.length("tokens") >= rule.window)
+    else:
+        some = rows.select(by, F.col(tokens).cast("array<bigint>").alias("tokens")).where((F.size("tokens") >= rule.window) & ~F.exists("tokens", lambda t: t.isNull()))
     return some.mapInArrow(run, f"{by} {some.schema[by].dataType.simpleString()}, stop long, rule string, period long")

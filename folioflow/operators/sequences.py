@@ -30,23 +30,43 @@ def lag_run_loop(tokens: DataFrame, by: str, at: str, token: str, periods: int,
     return found.groupBy(by).agg(F.min(F.struct(at, "p")).alias("first")).select(by, F.col(f"first.{at}").alias("stop"), F.col("first.p").alias("period"))
 
 
-def _may_run(ids: np.ndarray, p: int, need: int) -> bool:
-    """Whether a run of ``need`` places equal to those p back is possible: it would hold eight places in a row from a grid point on."""
+def run_points(ids: np.ndarray, p: int, need: int) -> np.ndarray:
+    """Places, every run of ``need`` equal to those p back has one: grid points from which eight places in a row are equal."""
     step = need - 7
     at = np.arange(p + step - 1, len(ids) - 7, step)
     for k in range(8):
         at = at[ids[at + k] == ids[at + k - p]]
         if not len(at):
-            return False
-    return True
+            break
+    return at
 
 
-def first_loop(ids: np.ndarray, periods: int, least: int, repeats: int = 4) -> tuple[int, int] | None:
-    """(stop, period) as in lag_run_loop, of one row's tokens; of two periods at one place the shorter."""
+def may_run(ids: np.ndarray, ends: np.ndarray, needs: dict[int, int]) -> dict[int, list[int]]:
+    """For each of many sequences, laid end to end in ``ids`` up to its end, the p for which it may have a run of ``needs[p]`` places equal to those p back.
+
+    One pass over all of them for each p; sequences without any are left out. A needed run below 16 places is too short
+    for the grid, so then all may.
+    """
+    found: dict[int, list[int]] = {}
+    for p, need in needs.items():
+        for i in np.unique(np.searchsorted(ends, run_points(ids, p, need), "right")).tolist() if need >= 16 else range(len(ends)):
+            found.setdefault(i, []).append(p)
+    return found
+
+
+def exact_needs(periods: int, least: int, repeats: int = 4) -> dict[int, int]:
+    """The equal places that a loop of each period needs."""
+    return {p: max(least, repeats * p) - p for p in range(1, periods + 1)}
+
+
+def first_loop(ids: np.ndarray, periods: int, least: int, repeats: int = 4, among: list[int] | None = None) -> tuple[int, int] | None:
+    """(stop, period) as in lag_run_loop, of one row's tokens; of two periods at one place the shorter. ``among``: the only periods that may be found, if known."""
     best = None
-    for p in range(1, min(periods, len(ids) - 1) + 1):
+    for p in range(1, periods + 1) if among is None else among:
+        if p >= len(ids):
+            break
         need = max(least, repeats * p) - p
-        if need >= 16 and not _may_run(ids, p, need):
+        if need >= 16 and not len(run_points(ids, p, need)):
             continue
         edges = np.r_[-1, np.flatnonzero(ids[p:] != ids[:-p]), len(ids) - p]
         long = np.flatnonzero(np.diff(edges) > need)
@@ -63,13 +83,16 @@ def _named(words: pa.Array) -> np.ndarray:
 def loops(rows: DataFrame, by: str, words: str, periods: int, least: int) -> DataFrame:
     """(by, stop, period) of lag_run_loop over arrays of words or their hashes; a row per period would be too many for long periods."""
     small_batches(rows.sparkSession)
+    needs = exact_needs(periods, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for key, own in zip(batch[by].to_pylist(), batch[words], strict=True):
-                if hit := first_loop(_named(own.values), periods, least):
-                    found.append((key, *hit))
+            lists = batch[words]
+            keys, ids, ends = batch[by].to_pylist(), _named(lists.flatten()), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for i, among in sorted(may_run(ids, ends, needs).items()):
+                if hit := first_loop(ids[ends[i - 1] if i else 0 : ends[i]], periods, least, among=among):
+                    found.append((keys[i], *hit))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=[by, "stop", "period"])
 
     some = rows.select(F.col(by).cast("long").alias(by), words).where(F.size(words) >= least)

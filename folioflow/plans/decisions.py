@@ -99,8 +99,7 @@ def ngram_proposals(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def counting_loops(spark: SparkSession, sf: str) -> DataFrame:
     """Where texts end by repeating or by counting: tokens are characters, digit runs are one number."""
-    tokens = table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", ""), lambda c: F.ascii(c)).alias("tokens"))
-    return loops.loop_stops(tokens, "doc_id", "tokens", {48 + d: d for d in range(10)})
+    return loops.loop_stops(table(spark, sf, "documents"), "doc_id", "text", {48 + d: d for d in range(10)})
 
 
 @query()

@@ -156,3 +156,27 @@ def test_a_loop_that_grid_points_may_miss():
                 for k in range(lead + p, lead + p + length):
                     ids[k] = ids[k - p]
                 assert first_loop(ids, 128, 256) == ((lead + p + need - 1, p) if length == need else None)
+
+
+def test_texts_are_sifted_together(spark):
+    """Texts laid end to end stop where each alone does, also across pieces; few are looked at alone."""
+    rng = random.Random(11)
+    letters = "abcdefgh é漢😀"
+    plain = ["".join(rng.choice(letters) for _ in range(400)) + " ".join(str(rng.randrange(10**6)) for _ in range(140)) for _ in range(300)]
+    looped = {k: plain[k][: rng.randrange(300)] + "é漢 😀x"[: rng.randrange(1, 6)] * 300 for k in range(0, 300, 30)}
+    counted_ = {k: plain[k][: rng.randrange(300)] + "".join(f"{n}. x😀\n" for n in range(95, 95 + rng.choice([127, 128, 200]))) for k in range(1, 300, 40)}
+    texts = dict(enumerate(plain)) | looped | counted_ | {300: None, 301: "", 302: "7" * 255, 303: "7" * 256, 304: "7" * 300}
+    digits = {48 + d: d for d in range(10)}
+    alone = lambda t: loops.first_stop(np.array([ord(c) for c in t], np.int64), np.array([digits.get(ord(c), -1) for c in t], np.int64)) if t else None
+    want = {k: hit for k, t in texts.items() if (hit := alone(t))}
+    assert {r for _, r, _ in want.values()} == {"exact", "counting"} and len(want) > len(looped)
+    df = spark.createDataFrame([*texts.items()], "k long, t string").coalesce(1)
+    assert {r.k: (r.stop, r.rule, r.period) for r in loops.loop_stops(df, "k", "t", digits).collect()} == want
+    arrays = df.select("k", F.transform(F.split("t", ""), lambda c: F.ascii(c)).alias("t"))
+    assert {r.k: (r.stop, r.rule, r.period) for r in loops.loop_stops(arrays, "k", "t", digits).collect()} == want
+    kept = [t for t in texts.values() if t]
+    ids = np.concatenate([[ord(c) for c in t] for t in kept])
+    digit = np.where((ids >= 48) & (ids < 58), ids - 48, -1)
+    exact, counting = loops.may_stop(ids, digit, np.cumsum([len(t) for t in kept]))
+    assert len(exact) <= 15 and sum(map(len, counting.values())) < 8 * len(kept)
+    assert list(loops._pieces(np.array([3, 6, 20, 21, 22]), 6)) == [(0, 2), (2, 3), (3, 5)]
