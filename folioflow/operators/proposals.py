@@ -12,11 +12,36 @@ from pyspark.sql import functions as F
 from folioflow.sources.workspace import small_batches
 
 
-def last_occurrences(tokens: DataFrame, document: str, at: str, token: str, size: int = 4) -> DataFrame:
-    """(document, gram, last): the index of a lookup, each gram's latest place in its document."""
-    order = Window.partitionBy(document).orderBy(at)
-    gram = F.array(*(F.lag(token, size - 1 - k).over(order) for k in range(size)))
-    return tokens.select(document, at, gram.alias("gram")).where(~F.exists("gram", lambda g: g.isNull())).groupBy(document, "gram").agg(F.max(at).alias("last"))
+def _merged(lists: Column) -> Column:
+    """Lists of one place as one: all first tokens, then all second ones, and so on."""
+    longest = F.array_max(F.transform(lists, F.size))
+    at = lambda k: F.transform(F.filter(lists, lambda own: F.size(own) > k), lambda own: F.get(own, k))
+    return F.when(F.size(lists) == 1, F.get(lists, F.lit(0))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), longest - 1), at)))
+
+
+def last_occurrences(parts: DataFrame, document: str, at: str, tokens: str, joined: str, size: int = 4, tasks: int | None = None) -> DataFrame:
+    """(document, gram, last): the index of a lookup, each gram's latest place in its document, counted from 1.
+
+    parts: document, ``at``, and an array of tokens; a document's tokens are those of its parts in the order of ``at`` (null
+    last), of parts at one place the first tokens before the second ones. Grams are joined with ``joined``, which no
+    token holds; those with null tokens are left out. Parts, not tokens, are dealt and sorted, to ``tasks`` tasks; a gram
+    across parts has its first tokens from the ends of the parts before.
+    """
+    whole = parts.where(F.size(tokens) > 0).select(document, at, F.col(tokens).alias("tokens"))
+    dealt = whole.repartition(tasks, document) if tasks else whole.repartition(document)
+    placed = dealt.groupBy(document, at).agg(F.array_sort(F.collect_list("tokens")).alias("lists")).select(document, at, _merged(F.col("lists")).alias("tokens"))
+    order = Window.partitionBy(document).orderBy(F.asc_nulls_last(at))
+    tail = lambda c: F.slice(c, F.greatest(F.size(c) - size + 2, F.lit(1)), size - 1)
+    ends = placed.withColumn("tail", tail(F.col("tokens"))) if size > 1 else placed.withColumn("tail", F.slice("tokens", 1, 0))
+    none = F.slice("tail", 1, 0)
+    earlier = [F.coalesce(F.lag("tail", k).over(order), none) for k in range(size - 1, 0, -1)] or [none]
+    start = F.coalesce(F.sum(F.size("tokens")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ends.select(document, "tokens", start.alias("start"), tail(F.concat(*earlier)).alias("before") if size > 1 else none.alias("before"))
+    rows = rows.select(document, (F.col("start") - F.size("before")).alias("start"), F.concat("before", "tokens").alias("all")).where(F.size("all") >= size)
+    pieces = lambda i: [x for k in range(size) for x in (F.lit(joined), F.get("all", i + k))][1:]
+    grams = F.transform(F.slice("all", size, F.size("all")), lambda _, i: F.concat(*pieces(i)))  # null if a token is
+    each = rows.select(document, "start", F.posexplode(grams).alias("i", "gram")).where("gram is not null").select(document, "gram", (F.col("start") + F.col("i") + size).alias("at"))
+    return each.groupBy(document, "gram").agg(F.max("at").alias("last"))
 
 
 def proposals(rows: DataFrame, key: str, tokens: str, longest: int = 4, least: int = 2, draft: int = 8, history: str | None = None) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import loops, measures, proposals, scoring
 from folioflow.plans.registry import query
-from folioflow.sources.workspace import table
+from folioflow.sources.workspace import table, tasks_for
 
 FEATURES = ["p_size", "p_retailprice"]
 TREES = [
@@ -82,9 +82,9 @@ def prompt_layout(spark: SparkSession, sf: str) -> DataFrame:
 g AS (SELECT conv_id, pos, lag(word, 3) OVER u || ' ' || lag(word, 2) OVER u || ' ' || lag(word) OVER u || ' ' || word AS gram FROM o WINDOW u AS (PARTITION BY conv_id ORDER BY pos)) SELECT conv_id, gram, max(pos) AS last FROM g WHERE pos >= 4 GROUP BY ALL""")
 def gram_index(spark: SparkSession, sf: str) -> DataFrame:
     """The latest place of every four-word gram of a conversation."""
-    words = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(T.word_list(F.col("text"))).alias("i", "word"))
-    placed = words.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i")))
-    return proposals.last_occurrences(placed, "conv_id", "at", "word").select("conv_id", F.array_join("gram", " ").alias("gram"), "last")
+    turns = table(spark, sf, "conversations")
+    tasks = tasks_for(turns, F.length("text"), 1 << 22)
+    return proposals.last_occurrences(turns.select("conv_id", "turn", T.word_list(F.col("text")).alias("words")), "conv_id", "turn", "words", " ", tasks=tasks)
 
 
 @query()

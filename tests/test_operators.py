@@ -170,3 +170,30 @@ def test_simhash_of_long_texts_by_plain_votes(spark):
     got = {r.doc_id: r.simhash for r in joins.simhash(rows, "doc_id").collect()}
     assert time.time() - began < 8  # 60 passes over a text's hashes took longer
     assert got == {i: plain(t) for i, t in enumerate(texts) if plain(t) is not None}
+
+
+def test_latest_places_of_grams_over_parts(spark, tmp_path):
+    """Grams across parts, parts of one place and null tokens, by plain lists; more input is dealt to more tasks."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from folioflow.operators.proposals import last_occurrences
+    from folioflow.plans.decisions import gram_index
+    from folioflow.sources.workspace import tasks_for
+
+    rng = random.Random(6)
+    parts = [(d, t, [rng.choice("abcü") for _ in range(rng.choice([0, 1, 1, 2, 3, 9, 40]))]) for d in (1, 2, None) for t in range(30)]
+    parts += [(4, 0, ["a", "b"]), (4, 1, list("cde")), (4, 1, list("CD")), (4, None, ["z"]), (4, 2, None), (5, 0, ["a", "b", None, *"abcdabcd"]), (6, 0, list("abc"))]
+    tokens = {d: [w for p in sorted((p for p in parts if p[0] == d and p[2]), key=lambda p: p[1]) for w in p[2]] for d in (1, 2, None, 5, 6)} | {4: [*"ab", "C", "c", "D", "d", "e", "z"]}
+    df = spark.createDataFrame(parts, "d long, t long, w array<string>")
+    for size in (1, 2, 4):
+        want = {(d, " ".join(g)): i + size for d, w in tokens.items() for i in range(len(w) - size + 1) if None not in (g := w[i : i + size])}
+        for tasks in (None, 1, 7):
+            assert {(r.d, r.gram): r["last"] for r in last_occurrences(df, "d", "t", "w", " ", size, tasks).collect()} == want
+    weights = spark.createDataFrame([(10,), (None,), (25,)], "n long")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert (tasks_for(weights, F.col("n"), 5), tasks_for(weights, F.col("n"), 40), tasks_for(weights.limit(0), F.col("n"), 5)) == (max(7, least), least, least)
+    many = spark.range(600).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.repeat(F.lit("one two six ten "), 4096).alias("text"))
+    many.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert gram_index(spark, str(tmp_path)).rdd.getNumPartitions() == -(-600 * 65536 // (1 << 22)) > least
