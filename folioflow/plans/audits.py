@@ -10,7 +10,7 @@ from folioflow.functions.text import url_family
 from folioflow.operators import audits as A
 from folioflow.operators import vectors as V
 from folioflow.plans.registry import query
-from folioflow.sources.workspace import table
+from folioflow.sources.workspace import table, tasks_for
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey || ':' || CAST(l_quantity AS INT) AS row FROM lineitem),
@@ -18,7 +18,9 @@ r AS (SELECT l_orderkey, repetition, l_linenumber, row || CASE WHEN repetition =
 s AS (SELECT l_orderkey, repetition, string_agg(row, chr(10) ORDER BY l_linenumber, row) AS out FROM r GROUP BY ALL) SELECT l_orderkey, count(*) AS repetitions, count(DISTINCT out) = 1 AS identical FROM s GROUP BY l_orderkey""")
 def identical_repetitions(spark: SparkSession, sf: str) -> DataFrame:
     """Whether all repetitions of an order's rows gave one output, place by place; the third of every third order is changed in one row, where it has that row."""
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", F.col("l_quantity").cast("int")).alias("row"), F.explode(F.array(*map(F.lit, range(3)))).alias("repetition"))
+    lines = table(spark, sf, "lineitem")
+    dealt = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("quantity")).repartition(tasks_for(lines, F.lit(1), 1 << 19), "l_orderkey")
+    rows = dealt.select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", "quantity").alias("row"), F.explode(F.array(*map(F.lit, range(3)))).alias("repetition"))
     changed = (F.col("repetition") == 2) & (F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") == F.col("l_orderkey") % 5 + 1)
     rows = rows.withColumn("row", F.when(changed, F.concat("row", F.lit("!"))).otherwise(F.col("row")))
     return A.repetitions(rows, ["l_orderkey"], "repetition", ["l_linenumber", "row"])

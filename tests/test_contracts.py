@@ -65,6 +65,14 @@ def test_repetitions_tell_outputs_apart(spark):
     assert got == {0: (2, True), 1: (2, False), 2: (2, False), 3: (1, True), 4: (2, False)}
 
 
+def test_digests_of_repetitions_stay_where_their_rows_are(spark, sf):
+    """One shuffle, of whole rows by case; a case's digests are compared in the same task."""
+    from folioflow.plans.audits import identical_repetitions
+
+    plan = identical_repetitions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == plan.count("Exchange ") == 1
+
+
 def test_gram_matrices_and_weighted_errors(spark):
     rng = np.random.default_rng(2)
     x, d, w = rng.normal(size=(50, 10)), rng.normal(size=(6, 10)), rng.normal(size=(6, 10))
