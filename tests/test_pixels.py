@@ -94,3 +94,24 @@ def test_masked_pixels_by_each_centre(spark):
         hits = sum(any(inside(q, x + 0.5, y + 0.5) for k, q in regions if k == p and q and len(q) >= 6) and not any(inside(q, x + 0.5, y + 0.5) for k, q in kept if k == p) for y in range(h) for x in range(w))
         assert got[p] == (hits, hits / (w * h) if w * h else 0.0)
     assert got[3][0] == 18 and set(got) == set(sizes)
+
+
+def test_polygons_over_strips_and_far_beyond_pages(spark):
+    """Tall pages are cut into strips; lines beyond a page are never made, however far a polygon reaches."""
+    from folioflow.operators import polygons as G
+
+    rng = np.random.default_rng(9)
+    sizes = {"a": (9, 3 * G.STRIP + 5), "b": (7, G.STRIP), "c": (12, 2 * G.STRIP), "d": (5, 5), "e": (0, 9), "f": (4, 130)}
+    some = lambda h, k: [float(rng.uniform(-3, 14) if i % 2 == 0 else rng.uniform(-9, h + 9)) for i in range(2 * k)]
+    far = [-1e12, -1e12, 1e12, -1e12, 1e12, 1e12, -1e12, 1e12]
+    regions = [(p, some(h, k)) for p, (_, h) in sizes.items() if p in "abc" for k in (3, 5, 8)] + [("d", far), ("e", far), ("f", [0.0, 0.0, 4.0, 0.0, 4.0, 130.0, 0.0, 130.0, 9.0])]
+    kept = [(p, some(h, 4)) for p, (_, h) in sizes.items() if p in "abc"] + [("d", [1.0, 1.0, 3.0, 1.0, 3.0, 1e12, 1.0, 1e12]), ("f", [0.0, 0.0, None, 1.0, None, 2.0]), ("f", [0.0, 300.0, 4.0, 300.0, 4.0, 400.0])]
+    pages_df = spark.createDataFrame([(p, w, h) for p, (w, h) in sizes.items()], "page string, width int, height int")
+    schema = "page string, poly array<double>"
+    masked = G.masked(pages_df, spark.createDataFrame(regions, schema), spark.createDataFrame(kept, schema))
+    got = {r.page: r.pixels for r in masked.collect()}
+    for p, (w, h) in sizes.items():
+        if p in "abc":
+            hits = lambda polys: [q for k, q in polys if k == p]  # noqa: B023, E731
+            assert got[p] == sum(any(inside(q, x + 0.5, y + 0.5) for q in hits(regions)) and not any(inside(q, x + 0.5, y + 0.5) for q in hits(kept)) for y in range(h) for x in range(w)) > 0
+    assert (got["d"], got["e"], got["f"]) == (25 - 2 * 4, 0, 4 * 130) and set(got) == set(sizes)
