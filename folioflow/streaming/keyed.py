@@ -19,6 +19,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from folioflow.operators.loops import Detector, Rule
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows that leave in one frame.
+FRAME = 10_000
 
 
 @contextmanager
@@ -37,39 +39,54 @@ class _InOrder(StatefulProcessor):
     """Hands on a key's items in the order of ``at``, each as soon as all earlier ones are there."""
 
     waiting_schema: str
+    kinds: dict[str, type]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getMapState("waiting", "at long", self.waiting_schema)
         self.progress = handle.getValueState("progress", "following long, stopped boolean, told boolean")
 
-    def ready(self, rows: Iterator[pd.DataFrame], fields: list[str]) -> Iterator[tuple]:
+    def _came(self, rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Places in their order, of repeated ones the last to come, and the columns beside them: arrays, as a batch may hold millions of a key."""
+        parts = []
+        for frame in rows:
+            own = np.asarray(frame["at"], np.int64)
+            fits = np.zeros(len(own), bool) if self.stopped else own >= self.following
+            if fits.any():
+                parts.append((own[fits], *(frame[c].to_numpy()[fits].astype(kind) for c, kind in self.kinds.items())))
+        if not parts:
+            return np.zeros(0, np.int64), [np.zeros(0, kind) for kind in self.kinds.values()]
+        at, *columns = (np.concatenate(column) for column in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(at, kind="stable")
+        order = order[np.r_[at[order[1:]] != at[order[:-1]], True]]
+        return at[order], [column[order] for column in columns]
+
+    def ready(self, rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         """(at, *fields) of the items that may leave; the caller may set ``self.stopped``."""
         self.following, self.stopped, self.told = self.progress.get() if self.progress.exists() else (0, False, False)
-        came: dict[int, tuple] = {}
-        for frame in rows:
-            if not self.stopped:
-                for at, *values in frame[["at", *fields]].itertuples(index=False):
-                    if at >= self.following:
-                        came[int(at)] = tuple(v.tolist() if isinstance(v, np.ndarray | np.generic) else v for v in values)
+        came, columns = self._came(rows)
+        values = lambda k: tuple(v.tolist() if isinstance(v, np.ndarray | np.generic) else v for v in (column[k] for column in columns))
+        at, waits = 0, self.waiting.exists()  # a key with nothing waiting asks its state no more
         while not self.stopped:
-            if self.following in came:
-                values = came.pop(self.following)
-                if self.waiting.containsKey((self.following,)):
+            if at < len(came) and came[at] == self.following:
+                item = values(at)
+                at += 1
+                if waits and self.waiting.containsKey((self.following,)):
                     self.waiting.removeKey((self.following,))
-            elif self.waiting.containsKey((self.following,)):
-                values = self.waiting.getValue((self.following,))
+            elif waits and self.waiting.containsKey((self.following,)):
+                item = self.waiting.getValue((self.following,))
                 self.waiting.removeKey((self.following,))
             else:
                 break
             self.following += 1
-            yield self.following - 1, *values
+            yield self.following - 1, *item
         if self.stopped:
             if self.waiting.exists():
                 self.waiting.clear()
         else:
-            for at, values in came.items():
-                self.waiting.updateValue((at,), values)
-        self.held = came
+            for k in range(at, len(came)):
+                self.waiting.updateValue((int(came[k]),), values(k))
+        self.held = {c: column[at:] for c, column in zip(self.kinds, columns, strict=True)}
         self.progress.update((self.following, self.stopped, self.told))
 
     def close(self) -> None:
@@ -78,20 +95,24 @@ class _InOrder(StatefulProcessor):
 
 class _Release(_InOrder):
     waiting_schema = "value double, failed boolean"
+    kinds = {"value": float, "failed": bool}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for at, value, failed in self.ready(rows, ["value", "failed"]):
+        out, names = [], ["by", "at", "value", "signal"]
+        for at, value, failed in self.ready(rows):
             out.append((key[0], at, None if pd.isna(value) else value, "failed" if failed else "row"))
             self.stopped = bool(failed)
-        if not self.stopped and not self.told and any(bool(failed) for _, failed in self.held.values()):
+            if len(out) == FRAME:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if not self.stopped and not self.told and self.held["failed"].any():
             out.append((key[0], self.following, None, "blocked"))
             self.progress.update((self.following, False, True))
         if self.stopped:
             if self.waiting.exists():
                 self.waiting.clear()
             self.progress.update((self.following, True, self.told))
-        yield pd.DataFrame(out, columns=["by", "at", "value", "signal"])
+        yield pd.DataFrame(out, columns=names)
 
 
 def _keyed(stream: DataFrame, by: str, at: str, **fields) -> DataFrame:
@@ -114,6 +135,7 @@ def released(stream: DataFrame, by: str, at: str, value: str, failed: str | None
 
 class _Loops(_InOrder):
     waiting_schema = "token long"
+    kinds = {"token": np.int64}
 
     def __init__(self, digits: dict[int, int], rule: Rule):
         self.digits, self.rule = digits, rule
@@ -125,7 +147,7 @@ class _Loops(_InOrder):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         detector = Detector.unpacked(bytes(self.detector.get()[0]), self.rule) if self.detector.exists() else Detector(self.rule)
         out = []
-        for at, token in self.ready(rows, ["token"]):
+        for at, token in self.ready(rows):
             if hit := detector.push(int(token), self.digits.get(int(token))):
                 out.append((key[0], at, *hit))
                 self.stopped = True
@@ -151,6 +173,7 @@ class _Pages(_InOrder):
     """Proposals for each page from the pages before it; the document's last page ends its state."""
 
     waiting_schema = "tokens array<bigint>, last boolean"
+    kinds = {"tokens": object, "last": bool}
 
     def __init__(self, size: int, ahead: int):
         self.size, self.ahead = size, ahead
@@ -161,7 +184,7 @@ class _Pages(_InOrder):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for at, tokens, last in self.ready(rows, ["tokens", "last"]):
+        for at, tokens, last in self.ready(rows):
             tokens = [int(t) for t in (tokens if tokens is not None else [])]
             grams = [tuple(tokens[i : i + self.size]) for i in range(len(tokens) - self.size + 1)]
             first = next(((i, g) for i, g in enumerate(grams) if self.index.containsKey(g)), None)

@@ -180,3 +180,65 @@ def test_texts_are_sifted_together(spark):
     exact, counting = loops.may_stop(ids, digit, np.cumsum([len(t) for t in kept]))
     assert len(exact) <= 15 and sum(map(len, counting.values())) < 8 * len(kept)
     assert list(loops._pieces(np.array([3, 6, 20, 21, 22]), 6)) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_many_items_of_a_key_in_one_batch():
+    """A large batch is held as arrays and leaves in frames; its order, repeats and what waits from before are as for a small one."""
+    import tracemalloc
+
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows, self.asked = {}, 0
+
+        def exists(self):
+            return bool(self.rows)
+
+        def containsKey(self, key):
+            self.asked += 1
+            return key in self.rows
+
+        def getValue(self, key):
+            return self.rows[key]
+
+        def removeKey(self, key):
+            del self.rows[key]
+
+        def updateValue(self, key, value):
+            self.rows[key] = value
+
+        def clear(self):
+            self.rows.clear()
+
+        def get(self):
+            return self.rows[()]
+
+        def update(self, value):
+            self.rows[()] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return Held()
+
+        def getValueState(self, *_):
+            return Held()
+
+    n = 200_000
+    at = np.random.default_rng(1).permutation(n)
+    frames = lambda: (pd.DataFrame({"at": part, "value": part / 2.0, "failed": False}) for part in np.array_split(at, 40))
+    release = keyed._Release()
+    release.init(Handle())
+    tracemalloc.start()
+    seen = 0
+    for out in release.handleInputRows((7,), frames(), None):
+        assert len(out) <= keyed.FRAME and (out["at"] == np.arange(seen, seen + len(out))).all() and (out["value"] == out["at"] / 2).all()
+        seen += len(out)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and most < 100 * n and release.waiting.asked == 0
+    late = pd.DataFrame({"at": [n + 2, n + 1, n + 2, 5], "value": [1.0, None, 2.0, 3.0], "failed": [False] * 4})
+    assert sum(map(len, release.handleInputRows((7,), [late], None))) == 0 and len(release.waiting.rows) == 2
+    left = pd.concat(release.handleInputRows((7,), [pd.DataFrame({"at": [n, n + 3], "value": [None, None], "failed": [False, True]})], None))
+    assert left["at"].tolist() == [n, n + 1, n + 2, n + 3] and left["signal"].tolist() == ["row"] * 3 + ["failed"]
+    assert left["value"].isna().tolist() == [True, True, False, True] and left["value"].iloc[2] == 2.0 and not release.waiting.rows
