@@ -2,20 +2,22 @@
 
 1. One pass hashes each text into its shingle set and keeps its size and digest; it also counts shingles into a fixed
    number of buckets. Equal sets form a class, named by its least doc_id, so copies cost nothing later.
-2. The global order puts shingles of thin buckets first (ties by hash). Two sets that reach the threshold share a
-   shingle among the first ``n - ceil(t n) + 1`` of either, so only those are looked at.
-3. Shingles with few holders give candidate pairs, found inside the holder list and cut by sizes and by a parity bitmap
-   of each set, which bounds the overlap from above before any set is moved. Shingles with many holders are told apart
-   by a table of them (broadcast while it has at most ``DENSE`` rows, joined otherwise) and are never gathered: they tie
-   their holders to families, a family is dealt into size-bounded blocks that meet pairwise. A family whose sets are
-   mostly unlike each other costs the square of its blocks.
+2. The global order puts shingles of thin buckets first (ties by hash). A bucket's level is how far it lies above the
+   usual one, in deviations of chance, so a frequent shingle stands out of a bucket that holds hundreds of rare ones.
+   Two sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1`` of either, so only those
+   are looked at.
+3. Their holders meet once, sorted by shingle. Shingles with few holders give candidate pairs, which must share as many
+   of those shingles as their sizes ask for; a parity bitmap of each set then bounds the overlap from above before any
+   set is moved. Holders of shingles with many are passed on as they come: they are tied to families, a family is dealt
+   into size-bounded blocks that meet pairwise. A family whose sets are mostly unlike each other costs the square of its
+   blocks.
 4. Each task stores the sets of a group in a trie along the global order and walks it with each probe: sets with a
    common path share the partial overlap, and subtrees whose remaining length can't reach the threshold are cut.
    Links are exact: every candidate is decided by its whole sets.
 5. Components of the links name the document groups.
 
-Broadcast: the bucket levels (2**20 bytes) and a bitmap of candidate classes (2**22 bits), both of fixed size, and the
-table of frequent shingles below its bound. All are destroyed when the links are stored.
+Broadcast: the bucket levels (2**23 bytes) and a bitmap of candidate classes (2**22 bits), both of fixed size. Both are
+destroyed when the links are stored.
 Rows: one for each input row. Null or empty texts have an empty set and are linked with nothing. A set is known by its
 doc_id and digest, so rows that share a doc_id keep their own texts and links; ``ngram_components`` ties such rows
 together, as one document, ``group_heads`` doesn't. Rows with a null doc_id are linked with nothing. Extra columns are
@@ -37,10 +39,9 @@ from folioflow.llm.words import WordHashes, shingle_sets
 from folioflow.operators.graph import Groups, connected_components
 from folioflow.sources.workspace import discard, small_batches, stored
 
-ORDER_BITS = 20
+ORDER_BITS = 23
 SLICES = 16
 FLAG_BITS = 22
-DENSE = 2_000_000
 
 
 # ---- passes over the texts -------------------------------------------------------------------------------------------
@@ -55,6 +56,19 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts as compressed bytes: all low bytes, then the next ones."""
+    planes = np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The counts of one slice from ``packed``."""
+    n = (1 << ORDER_BITS) // SLICES
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _digests(size: int):
     """Rows for documents (slice null), then the partition's bucket counts in slices (n null)."""
 
@@ -72,7 +86,7 @@ def _digests(size: int):
         parts = counts.reshape(SLICES, -1)
         kept = [k for k in range(SLICES) if parts[k].any()]
         none = pa.array([None] * len(kept), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(kept, pa.int32()), pa.array([parts[k].tobytes() for k in kept], pa.binary())], names=["doc_id", "mark", "n", "d1", "d2", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(kept, pa.int32()), pa.array([packed(parts[k]) for k in kept], pa.binary())], names=["doc_id", "mark", "n", "d1", "d2", "slice", "counts"])
 
     return run
 
@@ -82,22 +96,33 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            new = np.frombuffer(raw, "<u4" if len(raw) == 4 * ((1 << ORDER_BITS) // SLICES) else "<i8").astype(np.int64)
+            new = unpacked(raw)
             sums[k] = sums[k] + new if k in sums else new
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(v) for v in sums.values()], pa.binary())], names=["slice", "counts"])
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """A level from 0 to 63 for each bucket, by its distance from the median in deviations; above four, by the logarithm."""
+    usual = float(np.median(counts))
+    z = (counts - usual) / math.sqrt(usual + 1)
+    return np.floor(np.clip(np.where(z < 4, 4 * (z + 4), 32 + 3 * np.log2(np.maximum(z - 3, 1))), 0, 63)).astype(np.uint8)
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sum_counts(batches):
+        for k, raw in zip(batch["slice"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([levels_of(unpacked(raw)).tobytes()], pa.binary())], names=["slice", "counts"])
 
 
 def order_levels(counted: DataFrame) -> np.ndarray:
-    """A level from 0 to 63 for each bucket, by the logarithm of its count; summed in two steps on the executors."""
+    """The level of each bucket; counts are summed in two steps on the executors, a slice's levels are made there too."""
     kind = "slice int, counts binary"
     part = counted.select("slice", "counts").mapInArrow(_sum_counts, kind)  # several input files a task
-    whole = part.repartition(SLICES, "slice").mapInArrow(_sum_counts, kind)
-    counts = np.zeros((SLICES, (1 << ORDER_BITS) // SLICES), np.int64)
-    for row in whole.toLocalIterator():  # 16 rows of a fixed size
-        counts[row["slice"]] += np.frombuffer(row["counts"], "<i8")
-    counts = counts.ravel()
-    return np.floor(63 * np.log2(1 + counts) / np.log2(2 + counts.max())).astype(np.uint8)
+    levels = np.zeros((SLICES, (1 << ORDER_BITS) // SLICES), np.uint8)
+    for row in part.repartition(SLICES, "slice").mapInArrow(_levels, kind).toLocalIterator():  # 16 rows of a fixed size
+        levels[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+    return levels.ravel()
 
 
 def _ordered(sets, levels: np.ndarray) -> np.ndarray:
@@ -298,19 +323,71 @@ def _trie_links(percent: int):
 # ---- the join --------------------------------------------------------------------------------------------------------
 
 
+SHARING = "holders array<struct<n:bigint,cls:bigint>>, cls long, hub long"
+
+
+def _sharing(few: int):
+    """Rows (shingle, n, cls) sorted by all three: the holders of a shingle as a list, or (cls, hub) where they are many.
+
+    No more than ``few`` + 1 holders wait, and the rest of a batch; a hub is the shingle below zero.
+    """
+    kind = pa.list_(pa.struct([("n", pa.int64()), ("cls", pa.int64())]))
+
+    def out(lists: list[tuple[np.ndarray, np.ndarray]], cls: list[np.ndarray], hubs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def rows(holders, c, h):
+            return pa.RecordBatch.from_arrays([holders, c, h], names=["holders", "cls", "hub"])
+
+        sizes = [len(n) for n, _ in lists]
+        if sizes:
+            fields = [pa.array(np.concatenate([x[i] for x in lists])) for i in (0, 1)]
+            ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+            empty = pa.nulls(len(sizes), pa.int64())
+            yield rows(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, names=["n", "cls"])), empty, empty)
+        if cls:
+            c = np.concatenate(cls)
+            yield rows(pa.nulls(len(c), kind), pa.array(c), pa.array(np.concatenate(hubs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = [np.zeros(0, np.int64)] * 3  # the last shingle's holders, which may go on in the next batch
+        many = None  # a shingle whose first holders have left already
+        for batch in batches:
+            s, n, c = (np.concatenate([w, np.array(batch[k])]) for w, k in zip(waiting, ("shingle", "n", "cls"), strict=True))
+            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+            ends = np.r_[starts[1:], len(s)]
+            lists, cls, hubs = [], [], []
+            last = len(starts) - 1
+            for i in np.flatnonzero(((ends - starts) > 1) | (s[starts] == many)) if many is not None else np.flatnonzero((ends - starts) > 1):
+                a, b = starts[i], ends[i]
+                if b - a > few or s[a] == many:
+                    many = s[a]
+                    cls.append(c[a:b])
+                    hubs.append(np.full(b - a, -(int(s[a]) & ((1 << 63) - 1)) - 1))
+                elif i < last:
+                    lists.append((n[a:b], c[a:b]))
+            keep = starts[last] if last >= 0 and s[starts[last]] != many else len(s)
+            waiting = [x[keep:] for x in (s, n, c)]
+            yield from out(lists, cls, hubs)
+        if len(waiting[0]) > 1:
+            yield from out([(waiting[1], waiting[2])], [], [])
+
+    return run
+
+
 def _candidate_pairs(percent: int):
-    """Class pairs of a holder list whose sizes can reach the threshold; (probe, stored), the smaller set probes."""
+    """Class pairs of holder lists whose sizes can reach the threshold, and how often; (probe, stored), the smaller set probes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = set()
-            for holders in batch["holders"].to_pylist():
+            found: dict[tuple[int, int, int, int], int] = {}
+            for holders, times in zip(batch["holders"].to_pylist(), batch["times"].to_pylist(), strict=True):
                 for i, x in enumerate(holders):
                     for y in holders[i + 1 :]:
                         if 100 * x["n"] < percent * y["n"]:
                             break
-                        found.add((x["cls"], y["cls"]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["probe", "cls"])
+                        key = (x["cls"], y["cls"], x["n"], y["n"])
+                        found[key] = found.get(key, 0) + times
+            cells = [*zip(*found, strict=True), list(found.values())] if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cells], names=["probe", "cls", "n1", "n2", "shared"])
 
     return run
 
@@ -346,27 +423,29 @@ def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int =
 
     prefixes = texts.mapInArrow(_prefixes(size, percent, levels), "doc_id long, d1 long, d2 long, n long, prefix array<long>, parity binary")
     prefixes = stored(prefixes.join(names, one_set).dropDuplicates(one_set).select("cls", "n", "prefix", "parity"), "prefixes")
-    held = prefixes.select("cls", "n", F.explode("prefix").alias("shingle"))
-    dense = stored(held.groupBy("shingle").agg(F.count("*").alias("holders")).where(F.col("holders") > few).select("shingle"), "dense")
-    known = F.broadcast(dense) if dense.count() <= DENSE else dense
+    held = prefixes.select("cls", "n", F.explode("prefix").alias("shingle")).select("shingle", "n", "cls")
+    sharing = stored(held.repartition("shingle").sortWithinPartitions("shingle", "n", "cls").mapInArrow(_sharing(few), SHARING), "sharing")
 
+    # What two sets share beyond their prefixes lies after the one that ends first, so it is at most ceil(t n) - 1 of the
+    # larger n. Shingles with many holders aren't counted: sets that share one of those meet in their family.
+    beyond = F.expr(f"({percent} * n2 + 99) div 100 - 1")
+    needed = F.expr(f"({percent} * (n1 + n2) + {99 + percent}) div {100 + percent}")
     pairs = (
-        held.join(known, "shingle", "left_anti")
-        .groupBy("shingle")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "cls"))).alias("holders"))  # few of them
-        .where("size(holders) > 1")
-        .select("holders")
-        .distinct()
-        .mapInArrow(_candidate_pairs(percent), "probe long, cls long")
-        .distinct()
+        sharing.where("holders is not null")
+        .groupBy("holders")
+        .agg(F.count("*").alias("times"))
+        .mapInArrow(_candidate_pairs(percent), "probe long, cls long, n1 long, n2 long, shared long")
+        .groupBy("probe", "cls", "n1", "n2")
+        .agg(F.sum("shared").alias("shared"))
+        .where(F.col("shared") + beyond >= needed)
+        .select("probe", "cls")
     )
     one = prefixes.select(F.col("cls").alias("probe"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
     two = prefixes.select("cls", F.col("n").alias("n2"), F.col("parity").alias("p2"))
     pairs = stored(pairs.join(one, "probe").join(two, "cls").select("probe", "cls", "n1", "p1", "n2", "p2").mapInArrow(_reaching(percent), "probe long, cls long"), "pairs")
 
     # a frequent shingle is a vertex of its own, below zero: its holders are never gathered by it
-    hub = -F.col("shingle").bitwiseAND((1 << 63) - 1) - 1
-    family = connected_components(held.join(known, "shingle", "left_semi").select("cls", hub.alias("hub")), "cls", "hub").where("vertex >= 0")
+    family = connected_components(sharing.where("hub is not null"), "cls", "hub").where("vertex >= 0")
     base = math.log(100 / percent * (1 + 1e-6))  # sets that can reach the threshold lie in one scale or in neighbouring ones
     scaled = family.join(classes, family.vertex == classes.cls).select("cls", "component", F.floor(F.ln("n") / base).cast("int").alias("scale"))
     members = scaled.groupBy("component", "scale").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -403,7 +482,7 @@ def jaccard_links(docs: DataFrame, size: int = 4, percent: int = 85, few: int =
     links = stored(called.repartition("key").sortWithinPartitions("key").mapInArrow(_trie_links(percent), LINKS), "links")
     for used in (levels, flags):
         used.destroy()
-    for done in (prefixes, dense, pairs, dealt):
+    for done in (prefixes, sharing, pairs, dealt):
         discard(done)
     return rows, classes, links
 

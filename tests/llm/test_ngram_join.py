@@ -97,3 +97,62 @@ def test_rows_without_an_id_are_linked_with_nothing(spark):
     rows = [(None, "a b c d e f", 0), (None, "a b c d e f", 0), (5, "a b c d e f", 0), (3, "a b c d e f", 0), (None, None, 0)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.class_id) for r in ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()), key=repr)
     assert got == sorted([(None, 3, None, None), (None, 3, None, None), (5, 3, 3, 3), (3, 3, 3, 3), (None, 0, None, None)], key=repr)
+
+
+def test_frequent_shingles_stand_out_of_full_buckets():
+    import numpy as np
+
+    from folioflow.llm.ngram_join import levels_of, packed, unpacked
+
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(400, 1 << 19)
+    frequent = np.zeros(len(counts), bool)
+    frequent[rng.choice(len(counts), 2000, replace=False)] = True
+    counts[frequent] += 128
+    counts[7] = 3_000_000
+    levels = levels_of(counts)
+    assert np.percentile(levels[frequent], 2) > np.percentile(levels[~frequent], 99.9)
+    assert levels[7] == levels.max() == 63
+    assert (np.diff(levels[np.argsort(counts)].astype(int)) >= 0).all()
+    assert (unpacked(packed(counts)) == counts).all()
+
+
+def test_holders_meet_across_batches():
+    import pyarrow as pa
+
+    from folioflow.llm.ngram_join import _sharing
+
+    rng = random.Random(4)
+    sizes = {s: rng.choice([1, 1, 2, 3, 4, 5, 17]) for s in range(-40, 40)}
+    rows = sorted((s, rng.randrange(9), 100 * s % 977 + k) for s, m in sizes.items() for k in range(m))
+    wanted = {s: sorted((n, c) for x, n, c in rows if x == s) for s in sizes}
+    for width in (1, 3, 10, 1000):
+        cuts = [rows[k : k + width] for k in range(0, len(rows), width)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*cut, strict=True)], names=["shingle", "n", "cls"]) for cut in cuts]
+        lists, edges = [], set()
+        for out in _sharing(4)(iter(batches)):
+            for r in out.to_pylist():
+                if r["holders"] is None:
+                    edges.add((r["cls"], r["hub"]))
+                else:
+                    lists.append([(h["n"], h["cls"]) for h in r["holders"]])
+        assert sorted(lists) == sorted(w for w in wanted.values() if 1 < len(w) <= 4)
+        assert edges == {(c, -(s & ((1 << 63) - 1)) - 1) for s, w in wanted.items() if len(w) > 4 for _, c in w}
+
+
+def test_sets_at_the_ends_of_the_size_range(spark):
+    rng = random.Random(6)
+    rows = []
+    for f in range(4):
+        words = [f"{f}w{j}" for j in range(203)]
+        for n in range(160 - 40 * (f % 2), 204, 3):
+            rows.append((1000 * f + n, " ".join(words[:n] if f < 2 else words[203 - n :]), 0))
+        for k in range(12):
+            text = words[:]
+            for _ in range(rng.randrange(4, 10)):
+                text[rng.randrange(203)] = f"{f}x{rng.randrange(10**6)}"
+            rows.append((1000 * f + 500 + k, " ".join(text[: rng.randrange(170, 204)]), 0))
+    rng.shuffle(rows)
+    for percent in (80, 85, 97):
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(rows, SCHEMA), percent=percent).collect()}
+        assert got == brute(rows, percent=percent)
