@@ -124,3 +124,22 @@ def test_empty(spark, sf, n):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_repeated_rows_stay_once(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(30))
+    rows = [(k, text(k), "en", "s", 1) for k in range(20)]
+    rows += [(3, text(3), "de", "t", 2), (3, text(3), "en", "s", 1), (3, text(99), "en", "s", 1), (4, text(4), None, "s", 1), (50, text(5), "en", "s", 1), (None, text(6), "en", "s", 1), (60, " ", "en", "s", 1), (60, " ", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    kept = p.keep_one_of_group(spark, docs, "")
+    wanted = [r for r in rows[:20] if r[0] not in (3, 4)] + [(3, text(3), "de", "t", 2), (3, text(99), "en", "s", 1), (4, text(4), None, "s", 1), *rows[-3:]]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(wanted, key=repr)
+    for option in ("-1", "10m"):  # by a join of texts where many rows come twice
+        monkeypatch.setattr(p, "stored", lambda df, name: df)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", option)
+        try:
+            assert sorted(map(tuple, p.keep_one_of_group(spark, docs, "").collect()), key=repr) == sorted(wanted, key=repr)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
